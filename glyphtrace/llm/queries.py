@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .byte_bpe import op6_byte_bpe
 from .exact_dedup import SQL as SQL9
 from .exact_dedup import op9_exact_dedup
 from .mixing import SQL as SQL7
 from .mixing import op7_mixing
 
 QUERIES = {
+    "op6_byte_bpe": op6_byte_bpe,
     "op7_mixing": op7_mixing,
     "op9_exact_dedup": op9_exact_dedup,
 }
