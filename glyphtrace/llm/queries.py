@@ -7,8 +7,10 @@ from .exact_dedup import SQL as SQL9
 from .exact_dedup import op9_exact_dedup
 from .mixing import SQL as SQL7
 from .mixing import op7_mixing
+from .mpeg_audio import op4_mpeg_audio
 
 QUERIES = {
+    "op4_mpeg_audio": op4_mpeg_audio,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_mixing": op7_mixing,
     "op9_exact_dedup": op9_exact_dedup,
