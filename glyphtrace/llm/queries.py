@@ -8,8 +8,10 @@ from .exact_dedup import op9_exact_dedup
 from .mixing import SQL as SQL7
 from .mixing import op7_mixing
 from .mpeg_audio import op4_mpeg_audio
+from .pii import op1_pii
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op4_mpeg_audio": op4_mpeg_audio,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_mixing": op7_mixing,
