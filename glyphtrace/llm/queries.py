@@ -5,6 +5,7 @@ from __future__ import annotations
 from .byte_bpe import op6_byte_bpe
 from .exact_dedup import SQL as SQL9
 from .exact_dedup import op9_exact_dedup
+from .minhash import op10_minhash
 from .mixing import SQL as SQL7
 from .mixing import op7_mixing
 from .mpeg_audio import op4_mpeg_audio
@@ -16,6 +17,7 @@ QUERIES = {
     "op6_byte_bpe": op6_byte_bpe,
     "op7_mixing": op7_mixing,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_minhash": op10_minhash,
 }
 
 ORACLE_SQL = {"op7_mixing": SQL7, "op9_exact_dedup": SQL9}
