@@ -10,9 +10,13 @@ from .mixing import SQL as SQL7
 from .mixing import op7_mixing
 from .mpeg_audio import op4_mpeg_audio
 from .pii import op1_pii
+from .quality import op3_quality
+from .toxicity import op2_toxicity
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_toxicity": op2_toxicity,
+    "op3_quality": op3_quality,
     "op4_mpeg_audio": op4_mpeg_audio,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_mixing": op7_mixing,
