@@ -5,6 +5,7 @@ from __future__ import annotations
 from .byte_bpe import op6_byte_bpe
 from .exact_dedup import SQL as SQL9
 from .exact_dedup import op9_exact_dedup
+from .language_id import op8_language_id
 from .minhash import op10_minhash
 from .mixing import SQL as SQL7
 from .mixing import op7_mixing
@@ -20,6 +21,7 @@ QUERIES = {
     "op4_mpeg_audio": op4_mpeg_audio,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_mixing": op7_mixing,
+    "op8_language_id": op8_language_id,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_minhash": op10_minhash,
 }
