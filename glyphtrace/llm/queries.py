@@ -13,12 +13,15 @@ from .mpeg_audio import op4_mpeg_audio
 from .pii import op1_pii
 from .quality import op3_quality
 from .toxicity import op2_toxicity
+from .url_filter import SQL as SQL5
+from .url_filter import op5_url_filter
 
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
     "op4_mpeg_audio": op4_mpeg_audio,
+    "op5_url_filter": op5_url_filter,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_mixing": op7_mixing,
     "op8_language_id": op8_language_id,
@@ -26,4 +29,4 @@ QUERIES = {
     "op10_minhash": op10_minhash,
 }
 
-ORACLE_SQL = {"op7_mixing": SQL7, "op9_exact_dedup": SQL9}
+ORACLE_SQL = {"op5_url_filter": SQL5, "op7_mixing": SQL7, "op9_exact_dedup": SQL9}
