@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .byte_bpe import op6_byte_bpe
 from .exact_dedup import SQL as SQL9
 from .exact_dedup import op9_exact_dedup
@@ -27,6 +29,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_minhash": op10_minhash,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {"op5_url_filter": SQL5, "op7_mixing": SQL7, "op9_exact_dedup": SQL9}
