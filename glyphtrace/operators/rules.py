@@ -1,0 +1,107 @@
+"""Artifact rules: marks that a text was machine-written, pasted or copied."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+
+# First-person frames of assistants, on the folded view with single spaces.
+FRAMES = {
+    "en": (
+        r"as an ai(?: language model| assistant)?,? i", r"as a large language model", r"i(?:'m| am) (?:just )?an ai(?: language model| assistant)?",
+        r"i(?:'m| am) a large language model", r"my (?:knowledge cutoff|training data)", r"as of my last (?:knowledge )?update",
+        r"i (?:cannot|can't) (?:fulfill|assist with) (?:that|this) request", r"i do(?:n't| not) have (?:access to )?real-time",
+        r"here(?:'s| is) a (?:revised|polished|rewritten) version", r"certainly! here(?:'s| is)",
+    ),
+    "tr": (r"bir yapay zeka(?: dil modeli| asistanı)? olarak", r"ben bir yapay zekayım", r"büyük bir dil modeliyim", r"işte (?:düzenlenmiş|yeniden yazılmış) (?:hali|metin)"),
+}
+REPORTING = r"(?:said|says|wrote|writes|replied|answered|told|quote[ds]?|according to)\b"
+THIRD_PERSON = r"\b(?:it|he|she|they|the (?:bot|model|assistant|ai)|chatgpt)\b"
+ZERO_WIDTH = r"[\x{200B}\x{200C}\x{2060}\x{FEFF}\x{00AD}]"
+BIDI_MARKS = r"[\x{200E}\x{200F}]"
+ODD_SPACES = r"[\x{00A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"
+ARABIC = r"[\x{0621}-\x{064A}\x{0671}-\x{06D3}]"
+RULE = "struct<name:string,direction:string,precision:string,matched:string,note:string,warning:string,count:int>"
+
+
+def rule(name: str, precision: str, matched: Column, warning: Column | None = None, count: Column | None = None, note: Column | None = None) -> Column:
+    null = F.lit(None).cast("string")
+    return F.struct(F.lit(name).alias("name"), F.lit("llm").alias("direction"), F.lit(precision).alias("precision"), matched.cast("string").alias("matched"), (null if note is None else note).alias("note"), (null if warning is None else warning).alias("warning"), (F.lit(None) if count is None else count).cast("int").alias("count"))
+
+
+def frame_leak(folded: Column) -> Column:
+    """The first frame that isn't quoted, reported or about a third person: value and whether it is suppressed. Null without a frame."""
+    pattern = rf"(?<![\p{{L}}\p{{M}}])(?:{'|'.join(p for some in FRAMES.values() for p in some)})(?![\p{{L}}\p{{M}}])"
+    flat = F.regexp_replace(folded, r"\s+", " ")
+
+    def judge(x: Column) -> Column:
+        before = F.substring(flat, F.lit(1), x["start"])
+        near = F.regexp_extract(before, r"((?:[^\s.!?]+ ){0,12})$", 1)
+        close = F.regexp_extract(before, r"((?:[^\s.!?]+ ){0,4})$", 1)
+        off = T.inside_quotes(before) | near.rlike(REPORTING) | (close.rlike(THIRD_PERSON) & ~x["value"].rlike(r"\bi\b|\bmy\b"))
+        return F.struct(off.alias("suppressed"), x["start"].alias("start"), x["value"].alias("value"))
+
+    return F.when(flat.rlike(pattern), F.array_min(F.transform(T.places(flat, pattern), judge)))
+
+
+def invisible(raw: Column) -> Column:
+    """How many invisible characters and odd spaces a text has."""
+    arabic = raw.rlike(ARABIC)
+    zero = F.regexp_count(raw, F.lit(ZERO_WIDTH)) - F.regexp_count(raw, F.lit(r"^\x{FEFF}")) - F.regexp_count(raw, F.lit(rf"(?<={ARABIC})\x{{200C}}|\x{{200C}}(?={ARABIC})"))
+    return zero + F.when(arabic, 0).otherwise(F.regexp_count(raw, F.lit(BIDI_MARKS))) + F.regexp_count(raw, F.lit(ODD_SPACES))
+
+
+def check_markers(markers: list[dict], spark) -> DataFrame:  # noqa: ANN001
+    """A table of markers (place, name, pattern); a pattern that isn't one raises before anything runs."""
+    import re
+
+    for m in markers:
+        if not isinstance(m.get("pattern"), str):
+            raise ValueError(f"marker {m.get('name')!r} has no pattern")
+        re.compile(m["pattern"])
+    rows = [(i, m.get("name") or f"marker {i}", m["pattern"]) for i, m in enumerate(markers)]
+    return spark.createDataFrame(rows, "place int, name string, pattern string")
+
+
+def marker_hits(texts: DataFrame, markers: DataFrame, key: str) -> DataFrame:
+    """key, marker: the first marker, in their order, that a text or its copy without look-alikes matches.
+
+    markers: a configured list of a few rows, one broadcast dimension.
+    """
+    plain = texts.select(key, "raw", T.fold_confusables(F.col("raw")).alias("_plain"))
+    met = plain.join(F.broadcast(markers), F.expr("raw RLIKE pattern OR _plain RLIKE pattern"))
+    return met.groupBy(key).agg(F.min_by("name", "place").alias("marker"))
+
+
+def with_rules(ctx: DataFrame, key: str, duplicates: DataFrame | None = None, markers: DataFrame | None = None) -> DataFrame:
+    """ctx with rules (in the order frame, markdown, marker, duplicate, invisible) and rule_notes.
+
+    duplicates: key, matched_id, jaccard of near_duplicate.nearest(). Invisible characters count only beside another rule.
+    """
+    if duplicates is not None:
+        ctx = ctx.join(duplicates.select(key, "matched_id", "jaccard"), key, "left")
+    if markers is not None:
+        ctx = ctx.join(marker_hits(ctx.select(key, "raw"), markers, key), key, "left")
+    null = F.lit(None).cast("string")
+    ctx = T.barrier(ctx.withColumns({"_frame": frame_leak(F.col("folded")), "_plain_frame": frame_leak(T.fold_confusables(F.col("folded"))), "_invisible": invisible(F.col("raw"))}))
+    frame = F.when(~F.col("_frame.suppressed"), F.col("_frame")).when(~F.col("_plain_frame.suppressed"), F.col("_plain_frame"))
+    told = (F.col("shape") == "chat") | (F.col("channel") == "whatsapp")
+    matched = F.col("matched_id").cast("string") if duplicates is not None else null
+    marker = F.col("marker") if markers is not None else null
+    strong = F.filter(F.array(
+        F.when(frame.isNotNull(), rule("assistant_frame_leak", "high", frame["value"])),
+        F.when(told & (F.size("markdown") > 0), rule("markdown_in_chat", "medium", F.array_join("markdown", ","))),
+        F.when(marker.isNotNull(), rule("known_machine_marker", "high", marker, warning=F.lit("pasted_machine_text"))),
+        F.when(matched.isNotNull(), rule("near_duplicate", "high", matched)),
+    ).cast(f"array<{RULE}>"), lambda r: r.isNotNull())
+    weak = F.filter(F.array(F.when(F.col("_invisible") > 0, rule("invisible_chars", "low", F.col("_invisible"), count=F.col("_invisible")))).cast(f"array<{RULE}>"), lambda r: r.isNotNull())
+    ctx = ctx.withColumn("_strong", strong)
+    ctx = ctx.withColumn("rules", F.when(F.size("_strong") > 0, F.concat("_strong", weak)).otherwise(F.col("_strong")))
+    held_back = F.array(
+        F.when(frame.isNull() & F.coalesce(F.col("_frame.suppressed"), F.lit(False)), F.lit("assistant_frame_quoted")),
+        F.when((F.size("_strong") == 0) & (F.col("_invisible") > 0), F.lit("invisible_chars_alone")),
+    )
+    ctx = ctx.withColumn("rule_notes", F.filter(held_back, lambda x: x.isNotNull()))
+    return T.barrier(ctx.drop("_frame", "_plain_frame", "_invisible", "_strong"))
