@@ -28,7 +28,7 @@ _STARTS = r"(?:^|[.!?\x{2026}\x{061F}\x{06D4}:\n])[\s\"'\x{201C}\x{2018}\x{00AB}
 
 def compile_lines(lines: DataFrame, lang: str, kind: str) -> DataFrame:
     """phrase, lang, kind, tag, domain, flag, problem of the rows `phrase | tag | domain | flags | note`; comments and blank lines go."""
-    parts = F.transform(F.split("value", r"\|", -1), F.trim)
+    parts = F.transform(F.split("value", r"\|", -1), lambda x: F.trim(x))
     rows = lines.where(~F.col("value").rlike(r"^\s*(#|$)")).select(parts.alias("p"))
     at = lambda i: F.get(F.col("p"), F.lit(i))
     rows = rows.select(T.folded(at(0), F.lit(lang)).alias("phrase"), F.lit(lang).alias("lang"), F.lit(kind).alias("kind"), at(1).alias("tag"), at(2).alias("domain"), F.coalesce(at(3), F.lit("-")).alias("flag"))
