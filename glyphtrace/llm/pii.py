@@ -33,7 +33,7 @@ PATTERNS = {
 }
 #: Cheap tests that a text with a match passes.
 HINTS = {"email": r"@[A-Za-z0-9-]++\.", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){11}", "phone": r"\+[0-9]"}
-PART = r"0*+(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
+PART = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 #: Code points on each side of a span that make its context.
 CONTEXT = 80
 MIN_SUPPORT, GENERALISE, REMOVE = 2, 0.6, 0.9
