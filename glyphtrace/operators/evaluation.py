@@ -7,6 +7,7 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import language as L
 from ..functions import text as T
 
 SIDES = (("fit", 0.6), ("val", 0.8))
@@ -188,3 +189,97 @@ def sign_flips(coefficients: DataFrame, least: float = 0.05) -> DataFrame:
     """Features whose coefficient points against their direction. coefficients: feature, direction, coef."""
     sign = F.when(F.col("direction") == "llm", 1).otherwise(-1)
     return coefficients.where((F.abs("coef") > least) & (F.signum("coef") != sign))
+
+
+def scrubbed(rows: DataFrame, key: str, least_rows: int = 15, allowed: tuple[str, ...] = ()) -> DataFrame:
+    """key, text: references as [REF], long numbers as [NUM], words that few rows use as [NAME], and any word after a cue.
+
+    A word is known if at least `least_rows` rows use it. Units of white space are posted, met with the known words
+    and put together again in order.
+    """
+    t = F.regexp_replace(F.coalesce("text", F.lit("")), r"\b[A-Z]{2,5}-?\d{4,}\b", "[REF]")
+    t = F.regexp_replace(t, r"\d[\d\s-]{5,}\d", "[NUM]")
+    units = rows.select(key, F.posexplode(F.split(t, r"(?<=\s)", -1)).alias("place", "unit"))
+    units = units.withColumn("word", F.lower(F.regexp_extract("unit", T.WORD, 0)))
+    known = units.where("word <> ''").groupBy("word").agg(F.count_distinct(key).alias("rows")).where(F.col("rows") >= least_rows).select("word", F.lit(True).alias("known"))
+    cue = F.lag("word").over(Window.partitionBy(key).orderBy("place")).isin("mr", "mrs", "ms", "dr", "dear", "sayın", "name")
+    met = units.join(known, "word", "left").withColumn("cued", F.coalesce(cue, F.lit(False)))
+    hide = (F.col("word") != "") & ~F.col("unit").rlike(r"\[(?:REF|NUM)\]|\p{Nd}") & (F.col("cued") | ~(F.coalesce("known", F.lit(False)) | F.col("word").isin(*L.EN_STOP, *L.TR_STOP, *allowed)))
+    shown = F.when(hide, F.regexp_replace("unit", T.WORD, "[NAME]")).otherwise(F.col("unit"))
+    return met.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", shown.alias("u")))).alias("s")).select(key, F.array_join(F.transform("s", lambda x: x["u"]), "").alias("text"))
+
+
+def left_numbers(rows: DataFrame) -> DataFrame:
+    """Rows in which a long number has survived scrubbing; there must be none."""
+    return rows.where(F.col("text").rlike(r"\d{10,15}"))
+
+
+def split_leaks(rows: DataFrame, key: str, side: str, group: str) -> DataFrame:
+    """What makes a split unsafe: keys, and groups, on more than one side (kind, n). A split with any is refused."""
+    n = lambda by, kind: straddling(rows.withColumnRenamed(side, "side"), by).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
+    return n(key, "key").unionByName(n(group, "group"))
+
+
+def without_format(features: DataFrame, dropped: tuple[str, ...]) -> DataFrame:
+    """The long table without features of format, for a harder fit."""
+    return features.where(~F.col("feature").isin(*dropped))
+
+
+def leave_one_out(rows: DataFrame, features: list[str], writer: str, tau: float, most: int = 50) -> DataFrame:
+    """writer, rows, flagged: each of the `most` largest writers judged by a model that never saw them.
+
+    A model is fitted for each of these writers in turn, each fit a job over all other rows.
+    """
+    names = [r[writer] for r in rows.groupBy(writer).count().orderBy(F.desc("count"), writer).limit(most).collect()]
+    out = None
+    for name in names:
+        model, _ = fit_logistic(rows.where(F.col(writer) != name), features)
+        if model is None:
+            continue
+        from pyspark.ml.feature import VectorAssembler
+        from pyspark.ml.functions import vector_to_array
+
+        held = VectorAssembler(inputCols=features, outputCol="_x").transform(rows.where(F.col(writer) == name).fillna(0.0, features))
+        p = model.transform(held).withColumn("p", vector_to_array("_p")[1])
+        one = p.groupBy(writer).agg(F.count("*").alias("rows"), F.count_if(F.col("p") >= tau).alias("flagged"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def shuffled_sentences(ctx: DataFrame, seed: int = 20260909) -> DataFrame:
+    """ctx with the text of each document's sentences in another order, a control that style features shouldn't notice."""
+    return ctx.withColumn("text", F.array_join(F.shuffle("sentences", seed), " "))
+
+
+def flag_rate(rows: DataFrame, tau: float) -> DataFrame:
+    """rows, flagged, bound: how many of rows that must not fire do; with none, 3 / n bounds the rate."""
+    f = rows.agg(F.count("p").alias("rows"), F.count_if(F.col("p") >= tau).alias("flagged"))
+    return f.withColumn("bound", F.when(F.col("flagged") == 0, 3.0 / F.nullif(F.col("rows"), F.lit(0))).otherwise(F.col("flagged") / F.nullif(F.col("rows"), F.lit(0))))
+
+
+def segmenter_difference(ctx: DataFrame, oracle: str) -> DataFrame:
+    """differ, mean_abs: how the number of sentences compares with a column of another segmenter's numbers."""
+    d = F.abs(F.size("sentences") - F.col(oracle))
+    return ctx.agg(F.avg((d > 0).cast("double")).alias("differ"), F.avg(d.cast("double")).alias("mean_abs"))
+
+
+def expectations(found: DataFrame, expected: DataFrame, key: str) -> DataFrame:
+    """key, passes, critical: verdicts and rules against what a fixture allows. expected: allowed, critical_failure, expect_rules (arrays)."""
+    met = expected.join(found, key, "left")
+    names = F.transform(F.coalesce("rules", F.array().cast("array<struct<name:string>>")), lambda r: r["name"])
+    ok = F.array_contains("allowed", F.coalesce("verdict", F.lit("insufficient_text"))) & (F.size(F.array_except(F.coalesce("expect_rules", F.array().cast("array<string>")), names)) == 0)
+    return met.select(key, ok.alias("passes"), F.coalesce(F.array_contains("critical_failure", F.col("verdict")), F.lit(False)).alias("critical"))
+
+
+def labels_by_truth(rows: DataFrame) -> DataFrame:
+    """bucket, truth and the number of rows under each label; `all` sums the buckets. rows: bucket, truth, label."""
+    each = rows.groupBy("bucket", "truth", "label").count()
+    whole = each.groupBy("truth", "label").agg(F.sum("count").alias("count")).select(F.lit("all").alias("bucket"), "truth", "label", "count")
+    return each.unionByName(whole)
+
+
+def only_side(rows: DataFrame, side: str = "test") -> DataFrame:
+    """rows, if all are of that side; metrics of any other side raise."""
+    if not rows.where(~F.col("side").eqNullSafe(F.lit(side))).isEmpty():
+        raise ValueError(f"rows of another side than {side}")
+    return rows

@@ -382,5 +382,21 @@ def side_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SIDE_AUDIT = rf"SELECT source, count(DISTINCT CASE WHEN s < 12 THEN 0 WHEN s < 16 THEN 1 ELSE 2 END) AS sides FROM (SELECT source, {_fnv("'shard|' || doc_id::VARCHAR")} % 20 AS s FROM documents) GROUP BY source HAVING sides > 1"
 
-QUERIES = {f.__name__: f for f in (near_duplicates, author_features, author_texts, history_profiles, history_shifts, scores, detect, corpus_splits, normal_key_duplicates, contaminated, source_crosstab, feature_statistics, auc_by_language, calibration_by_language, confusion_by_bucket, fair_threshold, stratum_rates, headlines, prior_precision, fitted_scores, corpus_digest, heads, sample, intake, pseudonyms, side_audit)}
+def scrubbed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations without names and numbers."""
+    c = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
+    return E.scrubbed(c, "id")
+
+
+def split_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("source", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("key"), E.side_of_shard(F.col("doc_id")).alias("side"))
+    return E.split_leaks(d, "key", "side", "source")
+
+
+SPLIT_LEAKS = rf"""
+WITH d AS (SELECT source, md5(coalesce(text, '')) AS key, CASE WHEN s < 12 THEN 0 WHEN s < 16 THEN 1 ELSE 2 END AS side FROM (SELECT *, {_fnv("'shard|' || doc_id::VARCHAR")} % 20 AS s FROM documents))
+SELECT 'key' AS kind, count(*) AS n FROM (SELECT key FROM d GROUP BY key HAVING count(DISTINCT side) > 1)
+UNION ALL SELECT 'group', count(*) FROM (SELECT source FROM d GROUP BY source HAVING count(DISTINCT side) > 1)"""
+
+QUERIES = {f.__name__: f for f in (scrubbed, split_leaks, near_duplicates, author_features, author_texts, history_profiles, history_shifts, scores, detect, corpus_splits, normal_key_duplicates, contaminated, source_crosstab, feature_statistics, auc_by_language, calibration_by_language, confusion_by_bucket, fair_threshold, stratum_rates, headlines, prior_precision, fitted_scores, corpus_digest, heads, sample, intake, pseudonyms, side_audit)}
 ORACLE_SQL = {n: globals()[n.upper()] for n in QUERIES if n.upper() in globals()}

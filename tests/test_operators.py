@@ -143,3 +143,25 @@ def test_stream(spark, tmp_path):
     q = stream.write(stream.feature_rows(stream.read(spark, str(tmp_path / "in"), "id long, text string"), "id"), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).where("feature = 'multi_exclam'").count() == 1
+
+
+def test_evaluation(spark):
+    from glyphtrace.operators import evaluation as E
+
+    rows = spark.createDataFrame([(i, f"common words here and number {i} 5551234567 mr {'smith' if i else 'zorro'}") for i in range(16)], "id long, text string")
+    got = {r["id"]: r["text"] for r in E.scrubbed(rows, "id").collect()}
+    assert got[0] == "common words here and number [NUM] mr [NAME]" and E.left_numbers(E.scrubbed(rows, "id")).isEmpty()
+    p = spark.createDataFrame([(0.9, 1, "a"), (0.4, 0, "a"), (0.6, 1, "a"), (None, 0, "a"), (0.6, 0, "a")], "p double, y int, w string")
+    assert E.auc(p.where("p IS NOT NULL"), ["w"]).first()["auc"] == pytest.approx(3.5 / 4)
+    c = E.confusion(p, ["w"], 0.5).first()
+    assert (c["tp"], c["fp"], c["neg"]) == (2, 1, 3) and E.flag_rate(p.where("y = 0"), 0.95).first()["bound"] == 1.5
+    fair = spark.createDataFrame([(i / 100, 0, "s") for i in range(100)], "p double, y int, stratum string")
+    assert E.fair_threshold(fair).first()["tau"] == pytest.approx(0.98)
+    with pytest.raises(ValueError):
+        E.only_side(spark.createDataFrame([("fit",)], "side string"))
+    e = spark.createDataFrame([("x", ["uncertain"], ["likely_llm"], ["r"])], "id string, allowed array<string>, critical_failure array<string>, expect_rules array<string>")
+    f = spark.createDataFrame([("x", "uncertain", [("r",)])], "id string, verdict string, rules array<struct<name:string>>")
+    assert E.expectations(f, e, "id").first()[1:] == (True, False)
+    assert {(r["bucket"], r["count"]) for r in E.labels_by_truth(spark.createDataFrame([("a", 1, "x"), ("b", 1, "x")], "bucket string, truth int, label string")).collect()} == {("a", 1), ("b", 1), ("all", 2)}
+    many = spark.createDataFrame([(i % 3, float(i % 7), i % 2) for i in range(90)], "w long, x double, y int")
+    assert E.leave_one_out(many, ["x"], "w", 0.5).count() == 3

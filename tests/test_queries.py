@@ -1,3 +1,4 @@
+import pandas as pd
 import pytest
 
 from glyphtrace.plans import corpus, text
@@ -7,7 +8,7 @@ QUERIES, SQL = {**text.QUERIES, **corpus.QUERIES}, {**text.ORACLE_SQL, **corpus.
 
 
 def plain(frame):
-    number = lambda v: None if v is None or v != v else float(v) if isinstance(v, int | float) and not isinstance(v, bool) else v
+    number = lambda v: None if pd.isna(v) else float(v) if isinstance(v, int | float) and not isinstance(v, bool) else v
     item = lambda v: number(v.item() if hasattr(v, "item") else v)
     return sorted(str(tuple(item(v) for v in r)) for r in zip(*(frame[c].tolist() for c in sorted(frame.columns)), strict=True))
 
