@@ -13,6 +13,10 @@ def _least(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
 
 
+#: Edges that a task of a round takes.
+TASK_EDGES = 100_000
+
+
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """node, label (the least node of its component) of every node of the edges (u, v).
 
@@ -21,15 +25,17 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     expected at most).
     """
     e = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    # neither step makes more edges than it gets; tasks are as many as these need
+    tasks = max(4, -(-e.count() // TASK_EDGES))
     state = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.where("v > u").join(_least(both), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut(large)
+        large = cut(large.coalesce(tasks))
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.withColumnRenamed("m", "v"))
-        e = cut(small.where("u <> v").distinct())
+        e = cut(small.where("u <> v").distinct().coalesce(tasks))
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

@@ -10,8 +10,9 @@ MATCHES is 36 of 64: at a similarity of 0.8 fewer are equal once in about a mill
 
 A posting list is never turned into all its pairs. Each list has a hub, its most central class (most frequent
 coordinates): all members are compared with the hub, the links found are merged into components, and this is done
-again with hubs of other components. After that only pairs of classes from different components matter. They are
-joined under a bound: a class whose shingles are shared outside its component in too small a number can't link
+again with hubs of other components. After that only pairs of classes from different components matter. The join of
+a list with itself has bounds in its condition, so that few pairs come out that aren't links: by parity sketches of
+the sets (their bits differ in no more places than the sets), and by what a component shares with others: a class whose shingles are shared outside its component in too small a number can't link
 there, whatever the partner (|x and y| >= 4/9 (|x| + |y|) at 0.8), so spread-out members of a large group, which
 have shingles of their own, leave before any pair is made. Both steps lose no link.
 
@@ -34,6 +35,10 @@ from .components import components
 
 COORDINATES, MATCHES = 64, 36
 HUB_ROUNDS = 2
+#: Classes whose rows a task of the later steps takes.
+TASK_CLASSES = 5_000
+#: Bits of a set's sketch by which most pairs that don't link are told without the sets.
+PARITY_BITS = 1024
 #: Bytes of text that are hashed at once in a task.
 SLICE = 2_000_000
 
@@ -146,21 +151,27 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, key binary, signature array<int>")
 
 
+def parity_bits(shingles: np.ndarray) -> np.ndarray:
+    """PARITY_BITS bits, each toggled by the shingles that fall on it. Two sets differ in at least as many shingles as bits."""
+    odd = np.bincount((shingles % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def sets_of(docs: DataFrame, words: int) -> DataFrame:
-    """key, shingles (sorted hashes) of every row with a set."""
+    """key, shingles (sorted hashes), bits (parity_bits()) of every row with a set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             with np.errstate(over="ignore"):
                 found = [s for data in _texts(batch.column(0)) if len(s := shingle_set(hashed_words(data), words))]
                 keys = [set_key(s) for s in found]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["key", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64())), pa.array([parity_bits(s) for s in found], pa.list_(pa.int64()))], names=["key", "shingles", "bits"])
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key binary, shingles array<long>")
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key binary, shingles array<long>, bits array<long>")
 
 
 def postings(classes: DataFrame, matches: int = MATCHES) -> tuple[DataFrame, DataFrame]:
-    """The posting lists of the prefixes (pair, key, central, n_shingles), and the signatures of the classes in them.
+    """The posting lists of the prefixes (pair, key, central, n_shingles), and the classes in them with signature and prefix.
 
     classes: key, rep, n_shingles, signature, one row for each distinct set.
     """
@@ -172,7 +183,7 @@ def postings(classes: DataFrame, matches: int = MATCHES) -> tuple[DataFrame, Dat
     prefix = F.slice("pairs", F.lit(1), F.size("pairs") - matches + 1)
     held = cut(held.join(classes.select("key", "rep", "n_shingles", "signature"), "key").select("key", "rep", "n_shingles", "signature", "central", prefix.alias("prefix")))
     lists = held.select("key", "central", "n_shingles", F.explode("prefix.pair").alias("pair"))
-    return lists, held.select("key", "signature", "n_shingles")
+    return lists, held.select("key", "signature", F.col("prefix.pair").alias("prefix"))
 
 
 def confirmed(pairs: DataFrame, signatures: DataFrame, sets: DataFrame, least: int, matches: int = MATCHES) -> DataFrame:
@@ -193,6 +204,8 @@ def _near_size(a: str, b: str, least: int) -> object:
 def links(docs: DataFrame, classes: DataFrame, words: int, least: int = 80, matches: int = MATCHES, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
     """Edges (u, v) between keys of classes, enough to connect all that the exact links connect."""
     lists, signatures = postings(classes, matches)
+    # what the rounds write is a few rows for each class in a list; tasks are as many as these need
+    tasks = max(8, -(-signatures.count() // TASK_CLASSES))
     reps = classes.join(signatures.select("key"), "key", "left_semi").select(F.col("rep").alias("doc_id"))
     # the texts of the classes that are left; a repeated id may bring others along, which the key drops
     some = docs.join(sized(cut(reps.distinct())), "doc_id", "left_semi")
@@ -205,36 +218,48 @@ def links(docs: DataFrame, classes: DataFrame, words: int, least: int = 80, matc
         hubs = open_lists.groupBy("pair").agg(F.max(F.struct("central", "key", "label", "n_shingles")).alias("hub"))
         tried = labelled.join(hubs, "pair").where((F.col("label") != F.col("hub.label")) & _near_size("n_shingles", "hub.n_shingles", least))
         tried = tried.select(F.col("hub.key").alias("u"), F.col("key").alias("v"), F.col("hub.label").alias("hub_label"))
-        tried = cut(tried.distinct())
-        found = cut(confirmed(tried.select("u", "v"), signatures, sets, least, matches))
+        tried = cut(tried.distinct().coalesce(tasks))
+        found = cut(confirmed(tried.select("u", "v"), signatures, sets, least, matches).coalesce(tasks))
         edges = found if edges is None else edges.unionByName(found)
-        names = cut(components(edges))
+        names = cut(components(edges).coalesce(tasks))
         hub_nodes = tried.select(F.col("u").alias("node")).distinct().join(names, "node", "left").select(F.coalesce("label", "node").alias("label")).distinct()
         labelled = lists.join(names.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-        labelled = cut(labelled)
-        done = cut(hub_nodes)
-    return edges.unionByName(across(labelled, signatures, sets, least, matches))
+        labelled = cut(labelled.coalesce(tasks))
+        done = cut(hub_nodes.coalesce(tasks))
+        # a component's edges are as good as those that were found
+        edges = names.where("node <> label").select(F.col("node").alias("u"), F.col("label").alias("v"))
+    return edges.unionByName(across(labelled, signatures, sets, least, matches, tasks))
 
 
-def across(labelled: DataFrame, signatures: DataFrame, sets: DataFrame, least: int, matches: int) -> DataFrame:
+def across(labelled: DataFrame, signatures: DataFrame, sets: DataFrame, least: int, matches: int, tasks: int) -> DataFrame:
     """The links between classes of different components. labelled: pair, key, label, n_shingles."""
     mixed = labelled.groupBy("pair").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("pair")
-    left = cut(labelled.join(mixed, "pair", "left_semi"))
-    nodes = cut(left.select("key", "label", "n_shingles").distinct())
+    left = cut(labelled.join(mixed, "pair", "left_semi").coalesce(tasks))
+    nodes = cut(left.select("key", "label", "n_shingles").distinct().coalesce(tasks))
     for _ in range(2):
         held = nodes.join(sets, "key").select("key", "label", "n_shingles", F.explode("shingles").alias("shingle"))
         outside = held.groupBy("shingle").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("shingle")
         counted = held.join(outside, "shingle").groupBy("key", "label", "n_shingles").agg(F.count("*").alias("outside"))
-        nodes = cut(counted.where(F.col("outside") * 100 >= F.col("n_shingles") * least))
+        nodes = cut(counted.where(F.col("outside") * 100 >= F.col("n_shingles") * least).coalesce(tasks))
+    # lists that still hold two components
     left = left.select("pair", "key").join(nodes, "key")
-    x = left.select("pair", *(F.col(c).alias(f"{c}_x") for c in ("key", "label", "n_shingles", "outside")))
-    y = left.select("pair", *(F.col(c).alias(f"{c}_y") for c in ("key", "label", "n_shingles", "outside")))
-    # common shingles are outside ones of both; at least `need` of them for a link
+    mixed = left.groupBy("pair").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("pair")
+    left = cut(left.join(mixed, "pair", "left_semi").join(signatures.select("key", "prefix"), "key").join(sets.select("key", "bits"), "key").coalesce(tasks))
+    # classes of a list's largest component meet only the list's other classes
+    largest = left.groupBy("pair", "label").agg(F.count("*").alias("n")).groupBy("pair").agg(F.max(F.struct("n", "label"))["label"].alias("largest"))
+    columns = ("key", "label", "n_shingles", "outside", "prefix", "bits")
+    x = left.join(largest, "pair").where("label <> largest").select("pair", "largest", *(F.col(c).alias(f"{c}_x") for c in columns))
+    y = left.select("pair", *(F.col(c).alias(f"{c}_y") for c in columns))
+    # common shingles are outside ones of both; at least `need` / (100 + least) of them for a link
     need = (F.col("n_shingles_x") + F.col("n_shingles_y")) * least
-    enough = (F.col("outside_x") * (100 + least) >= need) & (F.col("outside_y") * (100 + least) >= need)
-    pairs = x.join(y, (x["pair"] == y["pair"]) & (F.col("key_x") < F.col("key_y")) & (F.col("label_x") != F.col("label_y")) & enough & _near_size("n_shingles_x", "n_shingles_y", least))
-    pairs = cut(pairs.select(F.col("key_x").alias("u"), F.col("key_y").alias("v")).distinct())
-    return confirmed(pairs, signatures, sets, least, matches)
+    enough = (F.col("outside_x") * (100 + least) >= need) & (F.col("outside_y") * (100 + least) >= need) & _near_size("n_shingles_x", "n_shingles_y", least)
+    apart = (F.col("label_x") != F.col("label_y")) & ((F.col("label_y") == F.col("largest")) | (F.col("key_x") < F.col("key_y")))
+    # the sets differ in at least as many shingles as bits; a link has at most this share of both
+    differ = F.aggregate(F.zip_with("bits_x", "bits_y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, n: a + n)
+    close = differ * (100 + least) <= (F.col("n_shingles_x") + F.col("n_shingles_y")) * (100 - least)
+    once = F.element_at(F.array_intersect("prefix_x", "prefix_y"), 1) == x["pair"]  # of the lists with both, the first
+    pairs = x.join(y, (x["pair"] == y["pair"]) & apart & enough & close & once).select(F.col("key_x").alias("u"), F.col("key_y").alias("v"))
+    return confirmed(cut(pairs), signatures, sets, least, matches)
 
 
 def near_groups(docs: DataFrame, words: int = 5, least: int = 80) -> DataFrame:
