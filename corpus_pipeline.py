@@ -31,7 +31,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, and all that are in no group."""
+    """One document of each group of near-duplicates, and all that are in no group.
+
+    Documents are told by doc_id: rows that share one go or stay together, and rows without one stay.
+    """
     docs = docs.select(*COLUMNS)
     groups = minhash.near_groups(docs)
     lost = cut(groups.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct())
