@@ -5,15 +5,16 @@ anchors and possessive repeats added, which give the same leftmost matches in li
 
 Terms are sanitised by information content. An entity is the value of a base span; its information content is
 IC(e) = -log2 p(e), p by documents. A term of the words around it discloses the share PMI(t, e) / IC(e) of it, which
-is 1 if the term occurs with the entity only. Counts are over all rows of the corpus: n(e) and n(t, e) from the
-contexts of spans, n(t) over the words of every text. A pair seen in at least MIN_SUPPORT different texts with a
+is 1 if the term occurs with the entity only. Counts are over the different texts of the corpus, so copies count once:
+n(e) and n(t, e) from the contexts of spans, n(t) over the words of every text, where each of c equal rows adds 1/c
+and is summed before anything is shuffled. A pair seen in at least MIN_SUPPORT different texts with a
 share of REMOVE or more has its term removed, of GENERALISE or more replaced by a word class, wherever the term
 stands in a context of the entity. Base spans stay as they are.
 
 Everything is a DataFrame operation. The text is scanned once for base spans; only the few texts that have some are
 carried on; pairs are aggregated before they are joined.
 
-Cases: a null or empty text has no spans; a null doc_id is kept; repeated rows all count, but as one text; spans are in code
+Cases: a null or empty text has no spans; a null doc_id is kept; repeated texts count as one; spans are in code
 points; a match of two kinds is a span of each; an empty table gives an empty result; other columns are not read.
 """
 
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, table, text_of
+from .common import BROADCAST_ROWS, cut, sized, table, text_of
 
 KINDS = ("email", "ip", "card", "phone", "term")
 PATTERNS = {
@@ -91,31 +92,43 @@ def joined(spans: Column) -> Column:
 
 
 def contexts(found: DataFrame) -> DataFrame:
-    """A row for each word around each base span: row, rows, text_hash, entity, term, start, end. found: row, rows (equal ones), text, text_hash, spans."""
-    e = found.select("row", "rows", "text", "text_hash", "spans", F.explode("spans").alias("e"))
+    """A row for each word around each base span: row, text_hash, entity, term, start, end. found: row, text, text_hash, spans."""
+    e = found.select("row", "text", "text_hash", "spans", F.explode("spans").alias("e"))
     low = F.greatest(F.col("e.start") - CONTEXT, F.lit(0))
     high = F.least(F.col("e.end") + CONTEXT, F.length("text"))
     entity = F.concat_ws(":", F.col("e.kind").cast("string"), F.lower("e.value"))
-    e = e.select("row", "rows", "text_hash", "spans", entity.alias("entity"), low.alias("low"), F.substring(F.col("text"), low + 1, high - low).alias("near"), (low > 0).alias("cut_low"), (high < F.length("text")).alias("cut_high"), (high - low).alias("size"))
-    w = e.select("row", "rows", "text_hash", "spans", "entity", "low", "cut_low", "cut_high", "size", F.explode(_places(F.col("near"), WORD)).alias("w"))
+    e = e.select("row", "text_hash", "spans", entity.alias("entity"), low.alias("low"), F.substring(F.col("text"), low + 1, high - low).alias("near"), (low > 0).alias("cut_low"), (high < F.length("text")).alias("cut_high"), (high - low).alias("size"))
+    w = e.select("row", "text_hash", "spans", "entity", "low", "cut_low", "cut_high", "size", F.explode(_places(F.col("near"), WORD)).alias("w"))
     start, end = F.col("w.start"), F.col("w.start") + F.length("w.value")
     whole = ~(F.col("cut_low") & (start == 0)) & ~(F.col("cut_high") & (end == F.col("size")))
-    w = w.where(whole).select("row", "rows", "text_hash", "spans", "entity", F.lower("w.value").alias("term"), (F.col("low") + start).alias("start"), (F.col("low") + end).alias("end"))
+    w = w.where(whole).select("row", "text_hash", "spans", "entity", F.lower("w.value").alias("term"), (F.col("low") + start).alias("start"), (F.col("low") + end).alias("end"))
     return w.where(~F.exists("spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))).drop("spans")
 
 
+def copies_of(docs: DataFrame) -> DataFrame:
+    """text_hash, copies: a row for each different text."""
+    return cut(docs.select(F.xxhash64(text_of()).alias("text_hash")).groupBy("text_hash").agg(F.count("*").alias("copies")))
+
+
+def word_counts(docs: DataFrame, copies: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, n_t: in how many different texts each of the terms (term) stands. copies: copies_of(docs)."""
+    rows = docs.select(text_of().alias("text"), F.xxhash64(text_of()).alias("text_hash")).join(sized(copies.where("copies > 1")), "text_hash", "left")
+    each = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term")
+    words = rows.select(each, (1 / F.coalesce("copies", F.lit(1))).alias("part"))
+    n_t = F.round(F.sum("part")).cast("long").alias("n_t")
+    if terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return words.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(n_t)
+    return words.groupBy("term").agg(n_t).join(terms, "term", "left_semi")
+
+
 def disclosures(near: DataFrame, docs: DataFrame, min_support: int = MIN_SUPPORT, least: float = GENERALISE) -> DataFrame:
     """entity, term, share of the pairs that disclose at least the share `least`. near: contexts(); docs: all texts."""
-    pairs = near.select("entity", "term", "text_hash", "row", "rows").distinct().groupBy("entity", "term").agg(F.sum("rows").alias("n_te"), F.count_distinct("text_hash").alias("support"))
-    pairs = cut(pairs.where(F.col("support") >= min_support).drop("support"))
-    entities = near.select("entity", "row", "rows").distinct().groupBy("entity").agg(F.sum("rows").alias("n_e"))
-    terms = cut(pairs.select("term").distinct())
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_of()), F.lit(WORD), F.lit(0)))).alias("term"))
-    if terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        counts = words.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    else:
-        counts = words.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term", "left_semi")
-    total = docs.agg(F.count("*").alias("n"))
+    pairs = near.select("entity", "term", "text_hash").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te"))
+    pairs = cut(pairs.where(F.col("n_te") >= min_support))
+    entities = near.select("entity", "text_hash").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    copies = copies_of(docs)
+    counts = word_counts(docs, copies, cut(pairs.select("term").distinct()))
+    total = copies.agg(F.count("*").alias("n"))
     p = pairs.join(entities, "entity").join(counts, "term").crossJoin(F.broadcast(total))
     share = F.log2(F.col("n_te") * F.col("n") / (F.col("n_t") * F.col("n_e"))) / F.log2(F.col("n") / F.col("n_e"))
     return p.where(F.col("n") > F.col("n_e")).select("entity", "term", share.alias("share")).where(F.col("share") >= least)
@@ -130,7 +143,7 @@ def find(docs: DataFrame, min_support: int = MIN_SUPPORT, least: float = GENERAL
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), base_spans(text).alias("base"))
     some = F.size("base") > 0
     rows = cut(rows.select("doc_id", F.when(some, F.col("text")).alias("text"), "base", F.when(some, F.xxhash64(F.lit("row"), "doc_id", "text")).alias("row")))
-    found = rows.where("row IS NOT NULL").groupBy("row").agg(F.count("*").alias("rows"), F.first("text").alias("text"), F.first("base").alias("spans")).withColumn("text_hash", F.xxhash64("text"))
+    found = rows.where("row IS NOT NULL").groupBy("row").agg(F.first("text").alias("text"), F.first("base").alias("spans")).withColumn("text_hash", F.xxhash64("text"))
     near = cut(contexts(found))
     told = disclosures(near, docs, min_support, least)
     spans = near.join(told, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("share").alias("share"))

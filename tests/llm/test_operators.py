@@ -177,6 +177,17 @@ def test_pii_terms(spark, edges, nothing):
     assert pii.find(edges).count() == len(EDGES) and pii.find(nothing).count() == 0
 
 
+def test_pii_copies_count_once(spark):
+    from glyphtrace.llm import pii
+
+    filler = [(100 + i, f"plain words about number {i} and other things", "en", "a") for i in range(400)]
+    hot = [(i, f"write to zebulon at zq@mail.org about thing {i}", "en", "a") for i in range(2)]
+    copied = [(1000 + i, "a zebulon passage that is copied", "en", "a") for i in range(150)]
+    found = pii.find(frame(spark, filler + hot + copied))
+    terms = {r["doc_id"]: [x["start"] for x in r["terms"]] for r in found.where("terms IS NOT NULL").collect()}
+    assert 9 in terms[0] and 9 in terms[1]  # zebulon: in 3 different texts of 403, whatever the copies
+
+
 def brute_near(rows, k=4):
     sets = []
     for _, t in rows:
