@@ -4,15 +4,16 @@ Base spans are matches of fixed patterns (email, ip, card, phone). The patterns
 anchors and possessive repeats added, which give the same leftmost matches in linear time.
 
 Terms are sanitised by information content. An entity is the value of a base span; its information content is
-IC(e) = -log2 p(e), p by documents. A term of the words around it discloses the share PMI(t, e) / IC(e) of it, which
-is 1 if the term occurs with the entity only. Counts are over the different texts of the corpus, so copies count once:
-n(e) and n(t, e) from the contexts of spans, n(t) over the words of every text, where each of c equal rows adds 1/c
-and is summed before anything is shuffled. A pair seen in at least MIN_SUPPORT different texts with a
-share of REMOVE or more has its term removed, of GENERALISE or more replaced by a word class, wherever the term
-stands in a context of the entity. Base spans stay as they are.
+IC(e) = -log2 p(e), p by documents. A term discloses the share PMI(t, e) / IC(e) of it, which is 1 if the term stands
+in texts with the entity only. Counts are over the different texts of the corpus, so copies count once, and over whole
+texts: n(e), n(t, e) and n(t) are numbers of texts that hold the entity, both, and the term. The words of every text
+are counted with 1/c for each of c equal rows and summed before anything is shuffled. A pair counts if it stands in
+MIN_SUPPORT different texts; a term has its largest share over entities. A term with a share of REMOVE or more is
+removed, of GENERALISE or more replaced by a word class, wherever it stands in any text, with the entity or without.
+Base spans stay as they are, and so do words inside them.
 
-Everything is a DataFrame operation. The text is scanned once for base spans; only the few texts that have some are
-carried on; pairs are aggregated before they are joined.
+Everything is a DataFrame operation. Pairs are made only where the numbers of texts of both sides leave a share of
+GENERALISE possible (n(t, e) is at most the smaller one), which loses none.
 
 Cases: a null or empty text has no spans; a null doc_id is kept; repeated texts count as one; spans are in code
 points; a match of two kinds is a span of each; an empty table gives an empty result; other columns are not read.
@@ -35,8 +36,6 @@ PATTERNS = {
 #: Cheap tests that a text with a match passes.
 HINTS = {"email": r"@[A-Za-z0-9-]++\.", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){11}", "phone": r"\+[0-9]"}
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
-#: Code points on each side of a span that make its context.
-CONTEXT = 80
 MIN_SUPPORT, GENERALISE, REMOVE = 2, 0.6, 0.9
 WORD = r"(?<!\p{L})\p{L}{3,40}+(?!\p{L})"
 
@@ -61,9 +60,10 @@ PASSES = {
 }
 
 
-def _places(text: Column, pattern: str) -> Column:
+def _places(text: Column, pattern: str | Column) -> Column:
     """Start and value of each match: the lengths of what lies between matches add up to the starts."""
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("match"))
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("found"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -91,18 +91,29 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", name(x), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def contexts(found: DataFrame) -> DataFrame:
-    """A row for each word around each base span: row, text_hash, entity, term, start, end. found: row, text, text_hash, spans."""
-    e = found.select("row", "text", "text_hash", "spans", F.explode("spans").alias("e"))
-    low = F.greatest(F.col("e.start") - CONTEXT, F.lit(0))
-    high = F.least(F.col("e.end") + CONTEXT, F.length("text"))
-    entity = F.concat_ws(":", F.col("e.kind").cast("string"), F.lower("e.value"))
-    e = e.select("row", "text_hash", "spans", entity.alias("entity"), low.alias("low"), F.substring(F.col("text"), low + 1, high - low).alias("near"), (low > 0).alias("cut_low"), (high < F.length("text")).alias("cut_high"), (high - low).alias("size"))
-    w = e.select("row", "text_hash", "spans", "entity", "low", "cut_low", "cut_high", "size", F.explode(_places(F.col("near"), WORD)).alias("w"))
-    start, end = F.col("w.start"), F.col("w.start") + F.length("w.value")
-    whole = ~(F.col("cut_low") & (start == 0)) & ~(F.col("cut_high") & (end == F.col("size")))
-    w = w.where(whole).select("row", "text_hash", "spans", "entity", F.lower("w.value").alias("term"), (F.col("low") + start).alias("start"), (F.col("low") + end).alias("end"))
-    return w.where(~F.exists("spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))).drop("spans")
+def _words(text: Column) -> Column:
+    """The distinct words of a text, as they are written."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
+
+
+def _terms(text: Column) -> Column:
+    """The distinct words of a text in lower case."""
+    return F.array_distinct(F.transform(_words(text), F.lower))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(text_of().alias("text"), F.xxhash64(text_of()).alias("text_hash"))
+
+
+def entity_texts(docs: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
+    """text_hash, text, entities (entity, n_e) of each different text with entities that stand in min_support texts or more."""
+    hinted = _texts(docs).where(" OR ".join(f"text RLIKE r'{h}'" for h in HINTS.values()))
+    e = hinted.select("text_hash", F.explode(base_spans(F.col("text"))).alias("e"))
+    e = cut(e.select("text_hash", F.concat_ws(":", F.col("e.kind").cast("string"), F.lower("e.value")).alias("entity")).distinct())
+    n = e.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= min_support)
+    held = cut(e.join(n, "entity").select("text_hash", "entity", "n_e"))
+    texts = hinted.join(sized(cut(held.select("text_hash").distinct())), "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
+    return cut(texts.join(held.groupBy("text_hash").agg(F.collect_list(F.struct("entity", "n_e")).alias("entities")), "text_hash"))
 
 
 def copies_of(docs: DataFrame) -> DataFrame:
@@ -112,48 +123,53 @@ def copies_of(docs: DataFrame) -> DataFrame:
 
 def word_counts(docs: DataFrame, copies: DataFrame, terms: DataFrame) -> DataFrame:
     """term, n_t: in how many different texts each of the terms (term) stands. copies: copies_of(docs)."""
-    rows = docs.select(text_of().alias("text"), F.xxhash64(text_of()).alias("text_hash")).join(sized(copies.where("copies > 1")), "text_hash", "left")
-    each = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term")
-    words = rows.select(each, (1 / F.coalesce("copies", F.lit(1))).alias("part"))
+    rows = _texts(docs).join(sized(copies.where("copies > 1")), "text_hash", "left")
+    words = rows.select(F.explode(_terms(F.col("text"))).alias("term"), (1 / F.coalesce("copies", F.lit(1))).alias("part"))
     n_t = F.round(F.sum("part")).cast("long").alias("n_t")
     if terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return words.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(n_t)
     return words.groupBy("term").agg(n_t).join(terms, "term", "left_semi")
 
 
-def disclosures(near: DataFrame, docs: DataFrame, min_support: int = MIN_SUPPORT, least: float = GENERALISE) -> DataFrame:
-    """entity, term, share of the pairs that disclose at least the share `least`. near: contexts(); docs: all texts."""
-    pairs = near.select("entity", "term", "text_hash").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te"))
-    pairs = cut(pairs.where(F.col("n_te") >= min_support))
-    entities = near.select("entity", "text_hash").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    copies = copies_of(docs)
-    counts = word_counts(docs, copies, cut(pairs.select("term").distinct()))
-    total = copies.agg(F.count("*").alias("n"))
-    p = pairs.join(entities, "entity").join(counts, "term").crossJoin(F.broadcast(total))
-    share = F.log2(F.col("n_te") * F.col("n") / (F.col("n_t") * F.col("n_e"))) / F.log2(F.col("n") / F.col("n_e"))
-    return p.where(F.col("n") > F.col("n_e")).select("entity", "term", share.alias("share")).where(F.col("share") >= least)
+def disclosures(docs: DataFrame, min_support: int = MIN_SUPPORT, least: float = GENERALISE) -> DataFrame:
+    """term, share of the terms that disclose at least the share `least` of an entity: the largest one over entities."""
+    texts, copies = entity_texts(docs, min_support), copies_of(docs)
+    n = copies.count()
+    terms = texts.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("texts"))
+    n_t = sized(cut(word_counts(docs, copies, cut(terms.where(F.col("texts") >= min_support).select("term")))))
+    words = texts.select("entities", F.explode(_terms(F.col("text"))).alias("term")).join(n_t, "term")
+    possible = lambda e: (e["n_e"] < n) & (F.log2(n / F.col("n_t")) >= least * F.log2(n / e["n_e"]) - 1e-9)
+    pairs = words.select("term", "n_t", F.explode(F.filter("entities", possible)).alias("e")).groupBy("term", "n_t", "e.entity", "e.n_e").agg(F.count("*").alias("n_te"))
+    share = F.log2(F.col("n_te") * n / (F.col("n_t") * F.col("n_e"))) / F.log2(n / F.col("n_e"))
+    p = pairs.where(F.col("n_te") >= min_support).select("term", share.alias("share"))
+    return cut(p.where(F.col("share") >= least).groupBy("term").agg(F.max("share").alias("share")))
 
 
 def find(docs: DataFrame, min_support: int = MIN_SUPPORT, least: float = GENERALISE) -> DataFrame:
-    """row (a key of the row's content), doc_id, text (null without base spans), base, terms of every row.
+    """row (a key of the row's content), doc_id, text (null without spans), base, terms (null without) of every row.
 
     base: the base spans; terms: struct(start, end, share) of terms to sanitise, by start.
     """
+    told = sized(disclosures(docs, min_support, least))
+    words = _texts(docs).select("text_hash", F.explode(_words(F.col("text"))).alias("word"))
+    hits = words.join(told, F.lower("word") == F.col("term")).groupBy("text_hash").agg(F.collect_set(F.struct("word", "share")).alias("words"))
+    hits = cut(hits.select("text_hash", F.col("words.word").alias("words"), F.map_from_entries("words").alias("shares")))
+    # rows have many words: what is broadcast is counted by words
+    few = (hits.agg(F.sum(F.size("words"))).first()[0] or 0) <= BROADCAST_ROWS
     text = text_of()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), base_spans(text).alias("base"))
-    some = F.size("base") > 0
-    rows = cut(rows.select("doc_id", F.when(some, F.col("text")).alias("text"), "base", F.when(some, F.xxhash64(F.lit("row"), "doc_id", "text")).alias("row")))
-    found = rows.where("row IS NOT NULL").groupBy("row").agg(F.first("text").alias("text"), F.first("base").alias("spans")).withColumn("text_hash", F.xxhash64("text"))
-    near = cut(contexts(found))
-    told = disclosures(near, docs, min_support, least)
-    spans = near.join(told, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("share").alias("share"))
-    terms = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
-    found = rows.where("row IS NOT NULL").join(terms, "row", "left")
-    return found.unionByName(rows.where("row IS NULL"), allowMissingColumns=True)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"), base_spans(text).alias("base"))
+    rows = rows.join(F.broadcast(hits) if few else hits, "text_hash", "left")
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("words", "|"), F.lit(r")(?!\p{L})"))
+    every = F.transform(_places(F.col("text"), pattern), lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(x["value"])).alias("end"), F.element_at("shares", x["value"]).alias("share")))
+    free = F.filter(every, lambda x: ~F.exists("base", lambda s: (s["start"] < x["end"]) & (s["end"] > x["start"])))
+    rows = rows.select("doc_id", "text", "base", F.when(F.col("words").isNotNull(), free).alias("terms"))
+    rows = rows.withColumn("terms", F.when(F.size("terms") > 0, F.col("terms")))
+    some = (F.size("base") > 0) | F.col("terms").isNotNull()
+    return rows.select(F.when(some, F.xxhash64(F.lit("row"), "doc_id", "text")).alias("row"), "doc_id", F.when(some, F.col("text")).alias("text"), "base", "terms")
 
 
 def sanitised(found: DataFrame, remove: float = REMOVE) -> DataFrame:
-    """row, doc_id, text of find()'s rows that have base spans, with spans replaced: [KIND], [WORD] or nothing for terms."""
+    """row, doc_id, text of find()'s rows that have spans, with spans replaced: [KIND], [WORD] or nothing for terms."""
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     base = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.element_at(names, x["kind"] + 1).alias("by")))
     terms = F.transform(F.coalesce(F.col("terms"), F.array().cast("array<struct<start:int,end:int,share:double>>")), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(x["share"] >= remove, F.lit("")).otherwise(F.lit("[WORD]")).alias("by")))

@@ -188,6 +188,19 @@ def test_pii_copies_count_once(spark):
     assert 9 in terms[0] and 9 in terms[1]  # zebulon: in 3 different texts of 403, whatever the copies
 
 
+def test_pii_terms_everywhere(spark):
+    from glyphtrace.llm import pii
+
+    filler = [(100 + i, f"plain words about number {i} and other things", "en", "a") for i in range(400)]
+    far = "plain words about number and other things " * 5
+    hot = [(i, f"write to zq@mail.org {far} Zebulon {i}", "en", "a") for i in range(2)]
+    found = pii.find(frame(spark, filler + hot + [(9, "nobody but zebulon, Zebulon and zebulons", "en", "a")]))
+    terms = {r["doc_id"]: [x["start"] for x in r["terms"]] for r in found.where("terms IS NOT NULL").collect()}
+    assert hot[0][1].index("Zebulon") in terms[0] and terms[9] == [11, 20]  # far from the address, and without it
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(found).collect()}
+    assert clean[9] == "nobody but ,  and zebulons" and "Zebulon" not in clean[1]
+
+
 def brute_near(rows, k=4):
     sets = []
     for _, t in rows:
