@@ -6,8 +6,13 @@ anything is joined, so a hot host has at most a row for each other host.
 
 Trust starts at the hosts of pages that an allow rule fits, by their number, and follows the edges (personalised
 PageRank); distrust starts at the hosts of blocked pages and follows the edges backwards, to those who point there.
-Mass at a host without edges goes back to the seeds. After ROUNDS rounds a host is blocked if its distrust exceeds
-its trust by more than MARGIN, else allowed; hosts that nothing reaches are allowed.
+Mass at a host without edges goes back to the seeds, which only scales all masses alike, so it is done once at the
+end. Rounds go on until no host's mass changes by more than the part TOLERANCE of it in a round, so every host that a
+path joins to a seed is reached. A host is blocked if its distrust exceeds its trust by more than the part SHARE of
+their sum, whatever the size of the table, else allowed; hosts that nothing reaches are allowed.
+
+The SQL is of an older definition, with ROUNDS rounds and an absolute MARGIN: it gives the same verdicts only where
+hosts are near their seeds and the table is small.
 
 Everything is a DataFrame operation; tables are written every few rounds, so a lost executor costs little.
 
@@ -26,6 +31,7 @@ from .common import cut, sized, table
 #: verdict, host, path; the longest that fits wins.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 DAMPING, ROUNDS, CUT_EVERY, MARGIN = 0.8, 12, 4, 1e-9
+TOLERANCE, SHARE = 1e-7, 1e-6
 LINK = r"(?i)<(?:a|area|link|iframe|img|script)\b[^>]*?\s(?:href|src)\s*=\s*[\"']?(?:https?:)?//([^\"'\s>/?#]+)"
 OWNER = r"(?:&copy;|©)\s*([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -61,27 +67,33 @@ def edges_of(pages: DataFrame) -> DataFrame:
     return found.unionByName(site).where("src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
     """host, trust, distrust. seeds: host, t0, d0, each summing to 1 (or 0)."""
     out = edges.groupBy("src").agg(F.sum("w").alias("out"))
     into = edges.groupBy("dst").agg(F.sum("w").alias("into"))
     e = cut(edges.join(out, "src").join(into, "dst").select("src", "dst", (F.col("w") / F.col("out")).alias("forth"), (F.col("w") / F.col("into")).alias("back")))
-    # where a host's mass goes: along its edges, the rest of it back to the seeds
-    ends = e.select(F.col("src").alias("host"), F.lit(1).alias("has_out"), F.lit(0).alias("has_in")).unionByName(e.select(F.col("dst").alias("host"), F.lit(0).alias("has_out"), F.lit(1).alias("has_in")))
-    nodes = ends.unionByName(seeds.select("host", F.lit(0).alias("has_out"), F.lit(0).alias("has_in"))).groupBy("host").agg(F.max("has_out").alias("has_out"), F.max("has_in").alias("has_in"))
+    nodes = e.select(F.col("src").alias("host")).unionByName(e.select(F.col("dst").alias("host"))).unionByName(seeds.select("host")).distinct()
     nodes = cut(nodes.join(seeds, "host", "left").fillna(0.0, ["t0", "d0"]))
     r = nodes.select("host", F.col("t0").alias("trust"), F.col("d0").alias("distrust"))
-    for n in range(1, rounds + 1):
+    n, moves = 0, True
+    while moves:
+        n += 1
         forth = e.join(r, e["src"] == r["host"]).select(F.col("dst").alias("host"), (F.col("trust") * F.col("forth")).alias("t"), F.lit(0.0).alias("d"))
         back = e.join(r, e["dst"] == r["host"]).select(F.col("src").alias("host"), F.lit(0.0).alias("t"), (F.col("distrust") * F.col("back")).alias("d"))
         come = forth.unionByName(back).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
-        lost = nodes.join(r, "host").agg(F.coalesce(F.sum(F.when(F.col("has_out") == 0, F.col("trust"))), F.lit(0.0)).alias("lt"), F.coalesce(F.sum(F.when(F.col("has_in") == 0, F.col("distrust"))), F.lit(0.0)).alias("ld"))
-        step = nodes.join(come, "host", "left").crossJoin(F.broadcast(lost))
-        mass = lambda seed, lost, come: (1 - damping + damping * F.col(lost)) * F.col(seed) + damping * F.coalesce(F.col(come), F.lit(0.0))
-        r = step.select("host", mass("t0", "lt", "t").alias("trust"), mass("d0", "ld", "d").alias("distrust"))
-        if n % CUT_EVERY == 0 or n == rounds:
-            r = cut(r)
-    return r
+        mass = lambda seed, come: F.col(seed) + damping * F.coalesce(F.col(come), F.lit(0.0))
+        step = nodes.join(come, "host", "left").select("host", mass("t0", "t").alias("trust"), mass("d0", "d").alias("distrust"))
+        if n % CUT_EVERY:
+            r = step
+            continue
+        # masses only grow; the largest change of one round, as a part of the mass, never grows again
+        before = r.select("host", F.col("trust").alias("t1"), F.col("distrust").alias("d1"))
+        r = cut(step.join(before, "host"))
+        moves = r.where((F.col("trust") - F.col("t1") > tolerance * F.col("trust")) | (F.col("distrust") - F.col("d1") > tolerance * F.col("distrust"))).limit(1).count() > 0
+        r = r.select("host", "trust", "distrust")
+    total = r.agg(F.sum("trust").alias("all_t"), F.sum("distrust").alias("all_d"))
+    part = lambda m, of: F.coalesce(F.col(m) / F.nullif(F.col(of), F.lit(0.0)), F.lit(0.0)).alias(m)
+    return r.crossJoin(F.broadcast(total)).select("host", part("trust", "all_t"), part("distrust", "all_d"))
 
 
 def judged(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
@@ -99,7 +111,7 @@ def judged(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     ranks = propagate(cut(edges), seeds)
     names = F.array(*(F.lit(h + p) for _, h, p in rules))
     found = slim.join(sized(ranks), "host", "left").withColumn("rule", F.when(F.col("rule_no").isNotNull(), F.element_at(names, F.col("rule_no") + 1)))
-    by_graph = F.when(F.coalesce(F.col("distrust") - F.col("trust"), F.lit(0.0)) > MARGIN, "block").otherwise("allow")
+    by_graph = F.when(F.col("distrust") - F.col("trust") > SHARE * (F.col("distrust") + F.col("trust")), "block").otherwise("allow")
     return found.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_graph).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
 
 

@@ -297,6 +297,24 @@ def test_url_filter(spark):
     assert judged(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_url_filter_reaches_far_and_small(spark):
+    from glyphtrace.llm.url_filter import judged, propagate
+
+    link = lambda k: f'<a href="http://h{k}.biz/">'
+    chain = [(k, f"http://h{k}.biz/", link(k + 1), 0) for k in range(1, 15)] + [(15, "http://h15.biz/", '<a href="http://spam.net/">', 0), (16, "http://spam.net/", "", 0)]
+    got = {r["page_id"]: r["verdict"] for r in judged(spark.createDataFrame(chain, "page_id long, url string, html string, host long")).collect()}
+    assert set(got.values()) == {"block"}  # the first one is 15 edges from the blocked host
+    # a small part of all seeds, shared by many: less than any fixed margin, yet nothing but distrust
+    edges = spark.createDataFrame([(f"s{k}", "bad", 1.0) for k in range(100)], "src string, dst string, w double")
+    seeds = spark.createDataFrame([("bad", 0.0, 1e-8), ("worse", 0.0, 1 - 1e-8)], "host string, t0 double, d0 double")
+    r = propagate(edges, seeds).where("host = 's7'").first()
+    assert r["trust"] == 0 and 0 < r["distrust"] < 1e-9
+    many = [(0, "http://friend.biz/", '<a href="http://bad.net/">', 0), (1, "http://bad.net/", "", 0)]
+    rows = spark.createDataFrame(many, "page_id long, url string, html string, host long").unionByName(spark.range(2, 2_000_002).selectExpr("id AS page_id", "'http://worse.net/' AS url", "CAST(NULL AS STRING) AS html", "0L AS host"))
+    rows = rows.unionByName(spark.range(1000).selectExpr("-1 - id AS page_id", "concat('http://f', id, '.biz/') AS url", "'<a href=\"http://bad.net/\">' AS html", "0L AS host"))
+    assert judged(rows).where("page_id = 0").first()["verdict"] == "block"
+
+
 @pytest.mark.parametrize("name", ["op5_url_filter", "op7_mixing", "op9_exact_dedup"])
 def test_queries_against_sql(spark, name):
     from glyphtrace.llm.queries import ORACLE_SQL, QUERIES
