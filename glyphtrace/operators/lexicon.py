@@ -23,6 +23,8 @@ HIT = "array<struct<phrase:string,lang:string,kind:string,tag:string,domain:stri
 BROADCAST_ROWS = 100_000
 #: First words that are searched for by one pattern.
 MOST_HEADS = 2_000
+#: A first word, in phrases and texts alike; hyphens and apostrophes end it, the whole phrase is compared afterwards.
+HEAD = r"[\p{L}\p{M}]+"
 _STARTS = r"(?:^|[.!?\x{2026}\x{061F}\x{06D4}:\n])[\s\"'\x{201C}\x{2018}\x{00AB}*•-]*$"
 
 
@@ -49,9 +51,9 @@ def _sized(lexicon: DataFrame) -> DataFrame:
 
 def candidates(texts: DataFrame, lexicon: DataFrame, key: str) -> DataFrame:
     """key, phrase, lang, kind, tag, domain, start, end of each match. texts: key, folded."""
-    row = lexicon.withColumn("head", F.regexp_extract("phrase", T.WORD, 0))
+    row = lexicon.withColumn("head", F.regexp_extract("phrase", HEAD, 0))
     heads = [r["head"] for r in row.select("head").distinct().limit(MOST_HEADS + 1).collect()]
-    pattern = T.WORD
+    pattern = HEAD
     if len(heads) <= MOST_HEADS:
         one = "|".join(re.sub(r"([^\w\s])", r"\\\1", h) for h in sorted(heads, key=lambda h: (-len(h), h))) or "(?!)"
         pattern = rf"(?<![\p{{L}}\p{{M}}])(?:{one})(?![\p{{L}}\p{{M}}])"

@@ -50,6 +50,16 @@ def test_lexicon(spark):
     assert [h["phrase"] for h in lexicon.with_hits(served, lex.where("problem IS NULL").drop("problem"), "id").where("id = 1").first()["lexicon_hits"]] == ["i hope this helps"]
 
 
+def test_lexicon_size_changes_no_hit(spark, monkeypatch):
+    lines = spark.createDataFrame([("art | strong | general | -",), ("delve | weak | general | -",), ("state-of-the-art thing | weak | general | -",), ("don't … now | weak | general | -",)], "value string")
+    lex = lexicon.compile_lines(lines, "en", "llm").drop("problem")
+    texts = spark.createDataFrame([(1, "a state-of-the-art work"), (2, "'delve' or delve- or delved"), (3, "state-of-the-art things, state-of-the-art thing"), (4, "don't go now, party")], "id long, folded string")
+    hits = lambda: sorted((r["id"], r["phrase"], r["start"], r["end"]) for r in lexicon.candidates(texts, lex, "id").collect())
+    few = hits()
+    monkeypatch.setattr(lexicon, "MOST_HEADS", 0)
+    assert hits() == few == [(1, "art", 15, 18), (2, "delve", 1, 6), (2, "delve", 11, 16), (3, "art", 13, 16), (3, "art", 38, 41), (3, "state-of-the-art thing", 25, 47), (4, "don't … now", 0, 12)]
+
+
 def test_rules(spark):
     rows = [(1, "As an AI language model, I cannot."), (2, 'He said "as an ai language model, i cannot" to me'), (3, "# Head\ntext"), (4, "a​b"), (5, "Built by BOT-7"), (6, "# A\na​b")]
     ctx = documents.context(spark.createDataFrame(rows, "id long, text string"), {"shape": "chat", "lang": "en"})
