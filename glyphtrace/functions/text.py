@@ -151,18 +151,43 @@ def sentences(text: Column, shape: Column) -> Column:
     return F.filter(parts, lambda s: s.rlike(WORD))
 
 
-def places(text: Column, pattern: str) -> Column:
+def let(value: Column, body) -> Column:  # noqa: ANN001
+    """body(value), the value computed once: Spark folds an expression into each place of a lambda that uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(xs: Column, op, zero: Column) -> Column:  # noqa: ANN001
+    """For each element, op over the elements before it; zero for the first.
+
+    Two levels of blocks of about the cube root of the size, so that the work is n^(4/3) where a fold that appends to
+    an array copies n^2 elements.
+    """
+    over = lambda ys, first: F.aggregate(ys, first, op)
+    size = lambda v: F.greatest(F.lit(8), F.ceil(F.cbrt(F.size(v).cast("double")))).cast("int")
+
+    def blocks(v: Column) -> Column:
+        n = size(v)
+        return F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(v), F.lit(1)) - 1) / n).cast("int")), lambda i: F.slice(v, i * n + 1, n))
+
+    def joined(bs: Column) -> Column:
+        return let(F.transform(bs, lambda b: over(b, zero)), lambda sums: F.flatten(F.zip_with(bs, F.transform(sums, lambda _, i: over(F.slice(sums, F.lit(1), i), zero)), lambda b, first: F.transform(b, lambda _, j: over(F.slice(b, F.lit(1), j), first)))))
+
+    return let(xs, lambda v: let(blocks(v), joined))
+
+
+def places(text: Column, pattern: str | Column) -> Column:
     """start, end and value of each match, in code points: what lies between matches adds up to the starts."""
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("found"))
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    item = lambda start, m: F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("value"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["match"]), F.lit(0))
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["match"].alias("value")))
-        return F.struct(end.alias("at"), F.when(x["match"].isNull(), acc["found"]).otherwise(F.concat(acc["found"], one)).alias("found"))
+    def found(pair: Column) -> Column:
+        gaps, matches = pair["gaps"], pair["matches"]
+        # between two starts lie a match and the gap after it
+        steps = F.zip_with(matches, F.slice(gaps, 2, F.greatest(F.size(gaps) - 1, F.lit(0))), lambda m, g: F.length(m) + F.length(g))
+        return F.zip_with(running(steps, lambda a, x: a + x, F.lit(0)), matches, lambda at, m: item(F.length(gaps[0]) + at, m))
 
-    return F.aggregate(pairs, zero, step)["found"]
+    both = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("matches"))
+    return let(both, found)
 
 
 def inside_quotes(prefix: Column) -> Column:
