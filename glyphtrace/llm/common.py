@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only when it has at most this many rows of a few dozen bytes each.
-BROADCAST_ROWS = 500_000
+#: A side of a join is broadcast only when it has at most this many rows, and as JSON at most this many bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +28,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether df (a cut table) may be broadcast, by its counted rows and bytes."""
+    return df.count() <= rows and (df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0) <= BROADCAST_BYTES
+
+
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df (a cut table of narrow rows) with a broadcast hint if it is counted to be small; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """df (a cut table) with a broadcast hint if it is measured to be small; else as it is, for a shuffled join."""
+    return F.broadcast(df) if small(df, rows) else df
 
 
 def text_of(name: str = "text") -> Column:

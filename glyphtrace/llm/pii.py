@@ -3,20 +3,25 @@ r"""Personal data and the terms that give it away.
 Base spans are matches of fixed patterns (email, ip, card, phone). The patterns here are the plain ones with
 anchors and possessive repeats added, which give the same leftmost matches in linear time.
 
-Terms are sanitised by information content. An entity is the value of a base span; its information content is
-IC(e) = -log2 p(e), p by documents. A term discloses the share PMI(t, e) / IC(e) of it, which is 1 if the term stands
-in texts with the entity only. Counts are over the different texts of the corpus, so copies count once, and over whole
-texts: n(e), n(t, e) and n(t) are numbers of texts that hold the entity, both, and the term. The words of every text
-are counted with 1/c for each of c equal rows and summed before anything is shuffled. A pair counts if it stands in
-MIN_SUPPORT different texts; a term has its largest share over entities. A term with a share of REMOVE or more is
-removed, of GENERALISE or more replaced by a word class, wherever it stands in any text, with the entity or without.
-Base spans stay as they are, and so do words inside them.
+Terms are sanitised by information content. A protected entity is the value of a base span, the group that the value
+belongs to (mail domain, first half of an address, issuer digits of a card, area of a phone number), or its kind. Its
+information content is IC(e) = -log2 p(e), p by documents. A term t discloses the share PMI(t, e) / IC(e) of it, where
+PMI = log2(p(e|t) / p(e)) and p(e|t) = (n(t, e) + SMOOTHING p(e)) / (n(t) + SMOOTHING): 1 would be a term that stands
+in texts with the entity only, however many. Counts are over the different texts of the corpus, so copies count once,
+and over whole texts: n(e), n(t, e) and n(t) are numbers of texts that hold the entity, both, and the term. The words
+of every text are counted with 1/c for each of c equal rows and summed before anything is shuffled. A pair counts if
+it stands in MIN_SUPPORT different texts and n(t, e) log2(n(t, e) n / (n(t) n(e))), the bits by which these texts are
+less likely by chance, are EVIDENCE at least. A term has its largest share over entities. A term with a share of
+REMOVE or more is removed, of GENERALISE or more replaced by a word class, wherever it stands in any text, with the
+entity or without. Base spans stay as they are, and so do words inside them, which are no terms either.
 
 Everything is a DataFrame operation. Pairs are made only where the numbers of texts of both sides leave a share of
-GENERALISE possible (n(t, e) is at most the smaller one), which loses none.
+GENERALISE possible (n(t, e) is at most the smaller one), which loses none. Texts are told by 128 bits of MD5.
 
 Cases: a null or empty text has no spans; a null doc_id is kept; repeated texts count as one; spans are in code
-points; a match of two kinds is a span of each; an empty table gives an empty result; other columns are not read.
+points; a match of two kinds is a span of each; of equal shares any entity will do; a very long text takes time in
+proportion to its length, and to the 4/3rd power of its matches; an empty table gives an empty result; other columns
+are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +29,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, sized, table, text_of
+from ..functions.text import let, places, running
+from .common import cut, sized, small, table, text_of
 
 KINDS = ("email", "ip", "card", "phone", "term")
 PATTERNS = {
@@ -36,7 +42,9 @@ PATTERNS = {
 #: Cheap tests that a text with a match passes.
 HINTS = {"email": r"@[A-Za-z0-9-]++\.", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){11}", "phone": r"\+[0-9]"}
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
-MIN_SUPPORT, GENERALISE, REMOVE = 2, 0.6, 0.9
+#: The group of a value, by kind: what a pattern finds in it.
+GROUPS = {"email": "@.*$", "ip": r"^[0-9]+\.[0-9]+\.", "card": "^(?:[^0-9]*[0-9]){6}", "phone": r"^\+(?:[^0-9]*[0-9]){4}"}
+MIN_SUPPORT, GENERALISE, REMOVE, SMOOTHING, EVIDENCE = 3, 0.7, 0.9, 1.0, 15.0
 WORD = r"(?<!\p{L})\p{L}{3,40}+(?!\p{L})"
 
 SPAN = "struct<start:int,kind:int,end:int,value:string>"
@@ -60,27 +68,13 @@ PASSES = {
 }
 
 
-def _places(text: Column, pattern: str | Column) -> Column:
-    """Start and value of each match: the lengths of what lies between matches add up to the starts."""
-    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("match"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("found"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        more = F.array(F.struct(start.alias("start"), x["match"].alias("value")))
-        return F.struct((start + F.coalesce(F.length(x["match"]), F.lit(0))).alias("at"), F.when(x["match"].isNull(), acc["found"]).otherwise(F.concat(acc["found"], more)).alias("found"))
-
-    return F.aggregate(pairs, empty, step)["found"]
-
-
 def base_spans(text: Column) -> Column:
     """The base spans of a text, by start, then kind."""
     return F.array_sort(F.concat(*(_spans_of(text, n, kind) for n, kind in enumerate(PATTERNS))))
 
 
 def _spans_of(text: Column, n: int, kind: str) -> Column:
-    good = F.filter(_places(text, PATTERNS[kind]), lambda x: PASSES[kind](x["value"]))
+    good = F.filter(places(text, PATTERNS[kind]), lambda x: PASSES[kind](x["value"]))
     spans = F.transform(good, lambda x: F.struct(x["start"].alias("start"), F.lit(n).alias("kind"), (x["start"] + F.length(x["value"])).alias("end"), x["value"].alias("value")))
     return F.when(text.rlike(HINTS[kind]), spans.cast(f"array<{SPAN}>")).otherwise(F.array().cast(f"array<{SPAN}>"))
 
@@ -91,9 +85,18 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", name(x), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+def entities(spans: Column) -> Column:
+    """The protected entities of base spans: values, their groups, their kinds."""
+    kind, low = (lambda x: x["kind"].cast("string")), (lambda x: F.lower(x["value"]))
+    group = lambda x: F.call_function("regexp_extract", low(x), F.element_at(F.array(*map(F.lit, GROUPS.values())), x["kind"] + 1), F.lit(0))
+    each = F.transform(spans, lambda x: F.array(kind(x), F.concat(kind(x), F.lit(":"), low(x)), F.concat(kind(x), F.lit("/"), group(x))))
+    return F.array_distinct(F.flatten(each))
+
+
 def _words(text: Column) -> Column:
-    """The distinct words of a text, as they are written."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
+    """The distinct words of a text, as they are written, without those inside addresses (no other base span has letters)."""
+    bare = F.when(text.rlike(HINTS["email"]), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text)
+    return F.array_distinct(F.regexp_extract_all(bare, F.lit(WORD), F.lit(0)))
 
 
 def _terms(text: Column) -> Column:
@@ -101,93 +104,104 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(_words(text), F.lower))
 
 
+def _key(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(text_of().alias("text"), F.xxhash64(text_of()).alias("text_hash"))
+    return docs.select(text_of().alias("text"), _key(text_of()).alias("text_key"))
 
 
 def entity_texts(docs: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
-    """text_hash, text, entities (entity, n_e) of each different text with entities that stand in min_support texts or more."""
+    """text_key, entities (entity, n_e) of each different text with entities that stand in min_support texts or more."""
     hinted = _texts(docs).where(" OR ".join(f"text RLIKE r'{h}'" for h in HINTS.values()))
-    e = hinted.select("text_hash", F.explode(base_spans(F.col("text"))).alias("e"))
-    e = cut(e.select("text_hash", F.concat_ws(":", F.col("e.kind").cast("string"), F.lower("e.value")).alias("entity")).distinct())
+    e = cut(hinted.select("text_key", F.explode(entities(base_spans(F.col("text")))).alias("entity")).distinct())
     n = e.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= min_support)
-    held = cut(e.join(n, "entity").select("text_hash", "entity", "n_e"))
-    texts = hinted.join(sized(cut(held.select("text_hash").distinct())), "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
-    return cut(texts.join(held.groupBy("text_hash").agg(F.collect_list(F.struct("entity", "n_e")).alias("entities")), "text_hash"))
+    return cut(e.join(n, "entity").groupBy("text_key").agg(F.collect_list(F.struct("entity", "n_e")).alias("entities")))
 
 
 def copies_of(docs: DataFrame) -> DataFrame:
-    """text_hash, copies: a row for each different text."""
-    return cut(docs.select(F.xxhash64(text_of()).alias("text_hash")).groupBy("text_hash").agg(F.count("*").alias("copies")))
+    """text_key, copies: a row for each different text."""
+    return cut(docs.select(_key(text_of()).alias("text_key")).groupBy("text_key").agg(F.count("*").alias("copies")))
+
+
+def _parts(docs: DataFrame, copies: DataFrame) -> DataFrame:
+    """text, text_key, part: 1/c for each of c equal rows, so that sums are over different texts. copies: copies_of(docs)."""
+    rows = _texts(docs).join(sized(cut(copies.where("copies > 1"))), "text_key", "left")
+    return rows.select("text", "text_key", (1 / F.coalesce("copies", F.lit(1))).alias("part"))
+
+
+def _texts_with(name: str) -> Column:
+    return F.round(F.sum("part")).cast("long").alias(name)
 
 
-def word_counts(docs: DataFrame, copies: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, n_t: in how many different texts each of the terms (term) stands. copies: copies_of(docs)."""
-    rows = _texts(docs).join(sized(copies.where("copies > 1")), "text_hash", "left")
-    words = rows.select(F.explode(_terms(F.col("text"))).alias("term"), (1 / F.coalesce("copies", F.lit(1))).alias("part"))
-    n_t = F.round(F.sum("part")).cast("long").alias("n_t")
-    if terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return words.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(n_t)
-    return words.groupBy("term").agg(n_t).join(terms, "term", "left_semi")
+def word_counts(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, n_t: in how many different texts each of the terms (term, a cut table) stands. rows: _parts()."""
+    words = rows.select(F.explode(_terms(F.col("text"))).alias("term"), "part")
+    if small(terms):
+        return words.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(_texts_with("n_t"))
+    return words.groupBy("term").agg(_texts_with("n_t")).join(terms, "term", "left_semi")
 
 
-def disclosures(docs: DataFrame, min_support: int = MIN_SUPPORT, least: float = GENERALISE) -> DataFrame:
+def disclosures(docs: DataFrame, min_support: int = MIN_SUPPORT, least: float = GENERALISE, smoothing: float = SMOOTHING, evidence: float = EVIDENCE) -> DataFrame:
     """term, share of the terms that disclose at least the share `least` of an entity: the largest one over entities."""
-    texts, copies = entity_texts(docs, min_support), copies_of(docs)
-    n = copies.count()
-    terms = texts.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("texts"))
-    n_t = sized(cut(word_counts(docs, copies, cut(terms.where(F.col("texts") >= min_support).select("term")))))
-    words = texts.select("entities", F.explode(_terms(F.col("text"))).alias("term")).join(n_t, "term")
+    told, copies = entity_texts(docs, min_support), copies_of(docs)
+    n, rows = copies.count(), _parts(docs, copies)
+    held = rows.join(sized(told), "text_key")
+    terms = held.select(F.explode(_terms(F.col("text"))).alias("term"), "part").groupBy("term").agg(_texts_with("texts"))
+    n_t = sized(cut(word_counts(rows, cut(terms.where(F.col("texts") >= min_support).select("term")))))
+    words = held.select("entities", "part", F.explode(_terms(F.col("text"))).alias("term")).join(n_t, "term")
     possible = lambda e: (e["n_e"] < n) & (F.log2(n / F.col("n_t")) >= least * F.log2(n / e["n_e"]) - 1e-9)
-    pairs = words.select("term", "n_t", F.explode(F.filter("entities", possible)).alias("e")).groupBy("term", "n_t", "e.entity", "e.n_e").agg(F.count("*").alias("n_te"))
-    share = F.log2(F.col("n_te") * n / (F.col("n_t") * F.col("n_e"))) / F.log2(n / F.col("n_e"))
-    p = pairs.where(F.col("n_te") >= min_support).select("term", share.alias("share"))
-    return cut(p.where(F.col("share") >= least).groupBy("term").agg(F.max("share").alias("share")))
+    pairs = words.select("term", "n_t", "part", F.explode(F.filter("entities", possible)).alias("e")).groupBy("term", "n_t", "e.entity", "e.n_e").agg(_texts_with("n_te"))
+    p, n_te, t = F.col("n_e") / n, F.col("n_te"), F.col("n_t")
+    share = F.log2((n_te + smoothing * p) / (t + smoothing) / p) / -F.log2(p)
+    sure = (n_te >= min_support) & (n_te * F.log2(n_te / (t * p)) >= evidence)
+    found = pairs.where(sure).select("term", share.alias("share")).where(F.col("share") >= least)
+    return cut(found.groupBy("term").agg(F.max("share").alias("share")))
 
 
-def find(docs: DataFrame, min_support: int = MIN_SUPPORT, least: float = GENERALISE) -> DataFrame:
-    """row (a key of the row's content), doc_id, text (null without spans), base, terms (null without) of every row.
+def find(docs: DataFrame, **how) -> DataFrame:  # noqa: ANN003
+    """doc_id, text, base, terms of every row. how: parameters of disclosures().
 
     base: the base spans; terms: struct(start, end, share) of terms to sanitise, by start.
     """
-    told = sized(disclosures(docs, min_support, least))
-    words = _texts(docs).select("text_hash", F.explode(_words(F.col("text"))).alias("word"))
-    hits = words.join(told, F.lower("word") == F.col("term")).groupBy("text_hash").agg(F.collect_set(F.struct("word", "share")).alias("words"))
-    hits = cut(hits.select("text_hash", F.col("words.word").alias("words"), F.map_from_entries("words").alias("shares")))
-    # rows have many words: what is broadcast is counted by words
-    few = (hits.agg(F.sum(F.size("words"))).first()[0] or 0) <= BROADCAST_ROWS
+    told = sized(disclosures(docs, **how))
+    words = _texts(docs).select("text_key", F.explode(_words(F.col("text"))).alias("word"))
+    hits = words.join(told, F.lower("word") == F.col("term")).groupBy("text_key").agg(F.collect_set(F.struct("word", "share")).alias("words"))
+    hits = sized(cut(hits.select("text_key", F.col("words.word").alias("words"), F.map_from_entries("words").alias("shares"))))
     text = text_of()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"), base_spans(text).alias("base"))
-    rows = rows.join(F.broadcast(hits) if few else hits, "text_hash", "left")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), _key(text).alias("text_key"), base_spans(text).alias("base"))
+    rows = rows.join(hits, "text_key", "left")
     pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("words", "|"), F.lit(r")(?!\p{L})"))
-    every = F.transform(_places(F.col("text"), pattern), lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(x["value"])).alias("end"), F.element_at("shares", x["value"]).alias("share")))
+    every = F.transform(places(F.col("text"), pattern), lambda x: F.struct(x["start"], x["end"], F.element_at("shares", x["value"]).alias("share")))
     free = F.filter(every, lambda x: ~F.exists("base", lambda s: (s["start"] < x["end"]) & (s["end"] > x["start"])))
-    rows = rows.select("doc_id", "text", "base", F.when(F.col("words").isNotNull(), free).alias("terms"))
-    rows = rows.withColumn("terms", F.when(F.size("terms") > 0, F.col("terms")))
-    some = (F.size("base") > 0) | F.col("terms").isNotNull()
-    return rows.select(F.when(some, F.xxhash64(F.lit("row"), "doc_id", "text")).alias("row"), "doc_id", F.when(some, F.col("text")).alias("text"), "base", "terms")
+    none = F.array().cast("array<struct<start:int,end:int,share:double>>")
+    return rows.select("doc_id", "text", "base", F.when(F.col("words").isNotNull(), free).otherwise(none).alias("terms"))
 
 
-def sanitised(found: DataFrame, remove: float = REMOVE) -> DataFrame:
-    """row, doc_id, text of find()'s rows that have spans, with spans replaced: [KIND], [WORD] or nothing for terms."""
+def sanitised(base: Column, terms: Column, text: Column, remove: float = REMOVE) -> Column:
+    """The text with spans replaced: [KIND], [WORD] or nothing for terms. Of overlapping spans the first one is replaced, and all that they cover goes."""
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    base = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.element_at(names, x["kind"] + 1).alias("by")))
-    terms = F.transform(F.coalesce(F.col("terms"), F.array().cast("array<struct<start:int,end:int,share:double>>")), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(x["share"] >= remove, F.lit("")).otherwise(F.lit("[WORD]")).alias("by")))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    each = F.concat(
+        F.transform(base, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.element_at(names, x["kind"] + 1).alias("by"))),
+        F.transform(terms, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(x["share"] >= remove, F.lit("")).otherwise(F.lit("[WORD]")).alias("by"))),
+    )
 
-    def step(acc: Column, x: Column) -> Column:
-        between = F.substring(F.col("text"), acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
-        inside = x["start"] < acc["at"]  # overlaps the span before
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], between, x["by"])).alias("out"))
+    def replaced(spans: Column) -> Column:
+        covered = running(F.transform(spans, lambda x: x["end"]), lambda a, x: F.greatest(a, x), F.lit(0))
+        new = lambda x, at: F.concat(F.substring(text, at + 1, x["start"] - at), x["by"])
+        pieces = F.zip_with(spans, covered, lambda x, at: F.when(x["start"] >= at, new(x, at)).otherwise(F.lit("")))
+        return F.concat(F.array_join(pieces, ""), F.substring(text, F.coalesce(F.array_max(F.transform(spans, lambda x: x["end"])), F.lit(0)) + 1, F.length(text)))
 
-    done = F.aggregate(F.array_sort(F.concat(base, terms)), zero, step)
-    rest = F.substring(F.col("text"), done["at"] + 1, F.length("text"))
-    return found.where("text IS NOT NULL").select("row", "doc_id", F.concat(done["out"], rest).alias("text"))
+    return F.when(F.size(base) + F.size(terms) > 0, let(F.array_sort(each), replaced)).otherwise(text)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(table(spark, sf_dir, "documents"))
     count = lambda n: F.size(F.filter("base", lambda x: x["kind"] == n)).cast("long")
-    terms = F.transform(F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,share:double>>")), lambda x: F.struct(x["start"].alias("start"), F.lit(4).alias("kind"), x["end"].alias("end"), F.lit("").alias("value")))
+    terms = F.transform("terms", lambda x: F.struct(x["start"].alias("start"), F.lit(4).alias("kind"), x["end"].alias("end"), F.lit("").alias("value")))
     every = F.array_sort(F.concat("base", terms.cast(f"array<{SPAN}>")))
-    return found.select("doc_id", *(count(n).alias(f"n_{k}") for n, k in enumerate(KINDS[:4])), F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(every).alias("spans"), F.size(terms).cast("long").alias("n_term"))
+    removed = F.size(F.filter("terms", lambda x: x["share"] >= REMOVE)).cast("long")
+    counts = [count(n).alias(f"n_{k}") for n, k in enumerate(KINDS[:4])]
+    new = F.sha2(sanitised(F.col("base"), F.col("terms"), F.col("text")).cast("binary"), 256)
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(every).alias("spans"), F.size("terms").cast("long").alias("n_term"), removed.alias("n_removed"), (F.size("terms") - removed).alias("n_generalised"), new.alias("sanitised_sha256"))

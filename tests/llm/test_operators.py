@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -164,43 +165,83 @@ def test_pii_base_spans(spark):
     assert all(r["s"] == base(texts[r["doc_id"]]) for r in rows)
 
 
-def test_pii_terms(spark, edges, nothing):
+def brute_terms(texts, base_of, support=3, least=0.7, smoothing=1.0, evidence=15.0):
+    """term -> share, by loops over the different texts."""
+    different = sorted(set(texts))
+    n, holds, words = len(different), defaultdict(set), defaultdict(set)
+    group = {"email": lambda v: v[v.index("@") :], "ip": lambda v: re.match(r"[0-9]+\.[0-9]+\.", v)[0], "card": lambda v: re.match("(?:[^0-9]*[0-9]){6}", v)[0], "phone": lambda v: re.match(r"\+(?:[^0-9]*[0-9]){4}", v)[0]}
+    for i, t in enumerate(different):
+        spans = [x.split(":") for x in base_of(t).split(",") if x]
+        for k, a, b in spans:
+            v = t[int(a) : int(b)].lower()
+            for e in ((k,), (k, v), (k, group[k](v), "group")):
+                holds[e].add(i)
+        bare = t
+        for k, a, b in sorted(spans, key=lambda x: -int(x[1])):
+            if k == "email":
+                bare = bare[: int(a)] + " " + bare[int(b) :]
+        for w in re.findall(r"[^\W\d_]+", bare):
+            if 3 <= len(w) <= 40:
+                words[w.lower()].add(i)
+    out = {}
+    for e, own in holds.items():
+        p = len(own) / n
+        for w, where in words.items():
+            both = len(own & where)
+            if len(own) < support or both < support or p == 1 or both * math.log2(both / (len(where) * p)) < evidence:
+                continue
+            share = math.log2((both + smoothing * p) / (len(where) + smoothing) / p) / -math.log2(p)
+            if share >= least:
+                out[w] = max(out.get(w, 0), share)
+    return out
+
+
+def brute_sanitised(text, base_of, told, remove=0.9):
+    spans = [(int(a), int(b), f"[{k.upper()}]") for k, a, b in (x.split(":") for x in base_of(text).split(",") if x)]
+    held, n = list(spans), Counter()
+    for m in re.finditer(r"[^\W\d_]+", text):
+        share = told.get(m[0].lower())
+        if share is not None and not any(a < m.end() and b > m.start() for a, b, _ in held):
+            n["removed" if share >= remove else "generalised"] += 1
+            spans.append((m.start(), m.end(), "" if share >= remove else "[WORD]"))
+    out, at = "", 0
+    for a, b, by in sorted(spans):
+        if a >= at:
+            out += text[at:a] + by
+        at = max(at, b)
+    return out + text[at:], n["removed"], n["generalised"]
+
+
+def test_pii_terms_against_brute_force(spark, edges, nothing, tmp_path):
     from glyphtrace.llm import pii
 
-    filler = [(100 + i, f"plain words about number {i} and other things", "en", "a") for i in range(200)]
-    hot = [(i, f"write to zebulon quagmire at zq@mail.org about thing {i}", "en", "a") for i in range(3)]
-    found = pii.find(frame(spark, filler + hot))
-    terms = {r["doc_id"]: [x["start"] for x in r["terms"]] for r in found.where("terms IS NOT NULL").collect()}
-    assert set(terms) == {0, 1, 2} and {9, 17} <= set(terms[0])  # zebulon, quagmire
-    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(found).collect()}
-    assert "zebulon" not in clean[1] and "[EMAIL]" in clean[1] and clean[1].endswith(" 1")
+    draw = random.Random(11)
+    words = [f"{a}{b}" for a in ("kel", "mor", "tiv", "sun", "pra") for b in ("ano", "ith", "ula", "erd", "oss", "ent")]
+    texts = []
+    for i in range(500):
+        t = [draw.choice(words) for _ in range(draw.randint(5, 30))]
+        who = draw.randrange(60)
+        if who < 6:  # each person has a name, an address, a habit of words; in the text they stand anywhere
+            t.insert(draw.randrange(len(t)), ("Zebulon", "QUAGMIRE", "Öztürk", "wren", "Abacus", "lintel")[who])
+            t.insert(draw.randrange(len(t)), (f"p{who}@one.example", "10.20.30.40", "+49 30 123456 7", "4111 1111 1111 1111", f"q{i}@two.example", f"10.99.{i % 200}.7")[who])
+            if draw.random() < 0.4:
+                t.insert(draw.randrange(len(t)), "harbinger")
+        texts.append(" ".join(t))
+    texts += [f"Zebulon, zebulon and zebulons {w}" for w in words[:2]] + [texts[0]] * 40 + [next(t for t in texts if "Zebulon" in t)] * 30 + ["", None]
+    docs = frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    told = brute_terms([t or "" for t in texts], base)
+    got = {r["term"]: r["share"] for r in pii.disclosures(docs).collect()}
+    assert set(got) == set(told) and {"zebulon", "quagmire", "öztürk", "abacus"} <= set(got) and all(got[w] == pytest.approx(s) for w, s in told.items())
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = pii.op1_pii(spark, str(tmp_path)).collect()
+    assert len(rows) == len(texts) and sum(r["n_term"] for r in rows) > 40
+    for r in rows:
+        new, removed, generalised = brute_sanitised(texts[r["doc_id"]] or "", base, told)
+        assert (r["sanitised_sha256"], r["n_removed"], r["n_generalised"], r["n_term"]) == (hashlib.sha256(new.encode()).hexdigest(), removed, generalised, removed + generalised)
+        assert r["base_sha256"] == hashlib.sha256(base(texts[r["doc_id"]] or "").encode()).hexdigest()
     assert pii.find(edges).count() == len(EDGES) and pii.find(nothing).count() == 0
 
 
-def test_pii_copies_count_once(spark):
-    from glyphtrace.llm import pii
-
-    filler = [(100 + i, f"plain words about number {i} and other things", "en", "a") for i in range(400)]
-    hot = [(i, f"write to zebulon at zq@mail.org about thing {i}", "en", "a") for i in range(2)]
-    copied = [(1000 + i, "a zebulon passage that is copied", "en", "a") for i in range(150)]
-    found = pii.find(frame(spark, filler + hot + copied))
-    terms = {r["doc_id"]: [x["start"] for x in r["terms"]] for r in found.where("terms IS NOT NULL").collect()}
-    assert 9 in terms[0] and 9 in terms[1]  # zebulon: in 3 different texts of 403, whatever the copies
-
-
-def test_pii_terms_everywhere(spark):
-    from glyphtrace.llm import pii
-
-    filler = [(100 + i, f"plain words about number {i} and other things", "en", "a") for i in range(400)]
-    far = "plain words about number and other things " * 5
-    hot = [(i, f"write to zq@mail.org {far} Zebulon {i}", "en", "a") for i in range(2)]
-    found = pii.find(frame(spark, filler + hot + [(9, "nobody but zebulon, Zebulon and zebulons", "en", "a")]))
-    terms = {r["doc_id"]: [x["start"] for x in r["terms"]] for r in found.where("terms IS NOT NULL").collect()}
-    assert hot[0][1].index("Zebulon") in terms[0] and terms[9] == [11, 20]  # far from the address, and without it
-    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(found).collect()}
-    assert clean[9] == "nobody but ,  and zebulons" and "Zebulon" not in clean[1]
-
-
 def brute_near(rows, k=4):
     sets = []
     for _, t in rows:
