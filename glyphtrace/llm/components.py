@@ -1,4 +1,8 @@
-"""Connected components of a table of edges, by alternating large-star and small-star steps (Kiveris et al., 2014)."""
+"""Connected components of a table of edges, by alternating large-star and small-star steps (Kiveris et al., 2014).
+
+Cases: loops, repeated edges and edges given both ways count once; an edge with a null end is none; no edges give no
+rows; other columns are not read.
+"""
 
 from __future__ import annotations
 

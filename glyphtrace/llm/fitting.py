@@ -1,36 +1,45 @@
-"""Bounded labelled samples and a small logistic regression, for the classifiers that are fitted on the driver."""
+"""Bounded labelled samples and a small logistic regression, for the classifiers that are fitted on the driver.
+
+Cases: rows with a null label or a null or empty text are not sampled; equal texts of a label are one; a label on few
+rows gives as many as there are; an empty table gives no sample; other columns are not read.
+"""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_of
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: dict, longest: int, seed: int) -> tuple[list[tuple[str, object]], dict]:
-    """At most rows[label] texts of each label, as (text, label), and the number of labelled rows of each label.
+def label_counts(rows: DataFrame) -> dict:
+    """The number of rows of each label. rows: label."""
+    return {r["label"]: r["n"] for r in rows.where("label IS NOT NULL").groupBy("label").agg(F.count("*").alias("n")).collect()}
+
+
+def labelled_sample(rows: DataFrame, counts: dict, most: dict, longest: int, seed: int) -> list[tuple[str, object]]:
+    """At most most[label] different texts of each label, as (text, label). rows: text and label in one row.
 
-    labels: doc_id and label, only rows that may be learned from. The sample is drawn by a hash of the id; texts
-    over `longest` code points are left out of it. What comes to the driver is bounded by rows and longest.
+    The sample is drawn by a hash of the text, so neither ids nor copies matter; texts over `longest` code points are
+    left out of it. It is cut to size before it is collected: what comes to the driver is bounded by most and longest.
     """
-    labels = labels.where("label IS NOT NULL").dropDuplicates(["doc_id"])
-    counts = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count("*").alias("n")).where(F.col("label").isin(list(rows))).collect()}
     if not counts:
-        return [], {}
-    part = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)) / 1_000_000
-    share = F.coalesce(*(F.when(F.col("label") == k, F.lit(min(1.0, 1.3 * rows[k] / n))) for k, n in counts.items()))
-    some = labels.where(part < share).withColumn("part", part)
-    texts = docs.select("doc_id", text_of().alias("text")).where(F.length("text").between(1, longest))
-    found = texts.join(F.broadcast(some), "doc_id").select("text", "label", "part", "doc_id").collect()
-    found.sort(key=lambda r: (r["part"], r["doc_id"], r["text"]))
-    out, taken = [], dict.fromkeys(rows, 0)
-    for r in found:
-        if taken[r["label"]] < rows[r["label"]]:
-            taken[r["label"]] += 1
-            out.append((r["text"], r["label"]))
-    return out, counts
+        return []
+    part = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1_000_000)) / 1_000_000
+    share = F.coalesce(*(F.when(F.col("label") == k, F.lit(min(1.0, 1.3 * most[k] / n))) for k, n in counts.items()))
+    some = rows.select(text_of().alias("text"), "label").where(F.length("text").between(1, longest)).withColumn("part", part).where(F.col("part") < share)
+    first = Window.partitionBy("label").orderBy("part", "text")
+    ranked = some.groupBy("label", "text").agg(F.first("part").alias("part")).withColumn("n", F.row_number().over(first))
+    quota = F.coalesce(*(F.when(F.col("label") == k, F.lit(most[k])) for k in counts))
+    found = ranked.where(F.col("n") <= quota).select("text", "label", "part").collect()
+    return [(r["text"], r["label"]) for r in sorted(found, key=lambda r: (r["part"], r["text"], str(r["label"])))]
+
+
+def by_id(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """text, label of the rows of docs whose doc_id has a label; the least one where an id has several. labels: doc_id, label."""
+    one = labels.where("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.min("label").alias("label"))
+    return docs.select("doc_id", "text").join(one, "doc_id").select("text", "label")
 
 
 class Logistic:

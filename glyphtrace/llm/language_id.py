@@ -7,11 +7,13 @@ chance. A held-back part of the sample sets a temperature, and the level of conf
 rejected: at most REJECTED of the rightly labelled whole texts of that part fall below it.
 
 At prediction the embeddings and the softmax's weights are one table (BUCKETS x languages); scoring is a mean of its
-rows. The sample holds at most TRAIN_ROWS texts of each language, and of the MAX_LANGUAGES most frequent languages.
+rows. The sample holds at most TRAIN_ROWS texts of each language (fewer, LEAST_ROWS at least, where languages are so many
+that there would be more than TRAIN_ALL), of TRAIN_LONGEST code points at most. Every language of the table is learned.
 
 Cases: a null text, an empty one or one without a letter is `und` with score 0 and is rejected; nothing to learn from
-makes every text `und`; null ids are folded as the text 'null'; repeated rows get the same answer; an empty table
-gives an empty result; other columns are not read.
+makes every text `und`; of equally likely languages the first by code point; null ids are folded as the text 'null';
+repeated rows get the same answer; a very long text is scored whole, in slices; an empty table gives an empty result;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,10 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import fold, table
-from .fitting import labelled_sample
+from .fitting import label_counts, labelled_sample
 
 BUCKETS, WIDTH, NGRAMS = 1 << 15, 16, (1, 2, 3, 4)
-TRAIN_ROWS, TRAIN_LONGEST, MAX_LANGUAGES = 400, 20_000, 200
+TRAIN_ROWS, LEAST_ROWS, TRAIN_ALL, TRAIN_LONGEST = 400, 10, 80_000, 20_000
 EPOCHS, RATE = 6, 0.5
 #: Share of rightly labelled texts that calibration lets be rejected, and the level never exceeded.
 REJECTED, MOST = 0.001, 0.5
@@ -142,9 +144,10 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame) -> Model:
     """A model of the language column of docs, which has only rows that may be learned from."""
-    labels = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", F.col("lang").alias("label"))
-    top = [r["label"] for r in labels.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LANGUAGES).collect()]
-    return Model(labelled_sample(docs, labels, dict.fromkeys(top, TRAIN_ROWS), TRAIN_LONGEST, 8)[0])
+    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("text", F.col("lang").alias("label"))
+    counts = label_counts(rows)
+    each = max(LEAST_ROWS, min(TRAIN_ROWS, TRAIN_ALL // max(1, len(counts))))
+    return Model(labelled_sample(rows, counts, dict.fromkeys(counts, each), TRAIN_LONGEST, 8))
 
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:

@@ -12,9 +12,11 @@ A posting list is never turned into all its pairs. Each list has a hub, its most
 coordinates): all members are compared with the hub, the links found are merged into components, and this is done
 again with hubs of other components. After that only pairs of classes from different components matter. The join of
 a list with itself has bounds in its condition, so that few pairs come out that aren't links: by parity sketches of
-the sets (their bits differ in no more places than the sets), and by what a component shares with others: a class whose shingles are shared outside its component in too small a number can't link
-there, whatever the partner (|x and y| >= 4/9 (|x| + |y|) at 0.8), so spread-out members of a large group, which
-have shingles of their own, leave before any pair is made. Both steps lose no link.
+the sets (their bits differ in no more places than the sets), and by what a component shares with others: a class
+whose shingles are shared outside its component in too small a number can't link there, whatever the partner
+(|x and y| >= 4/9 (|x| + |y|) at 0.8), so spread-out members of a large group, which have shingles of their own, leave
+before any pair is made. Both steps lose no link. A list of many rows is joined in cells of BLOCK by BLOCK rows, so a
+hot list is many tasks' work.
 
 Cases: a null or empty text has an empty set and links with nothing; texts under the shingle length are one shingle;
 repeated rows and ids are of one class; null ids are kept, the smallest id of a component ignores them; a text of
@@ -37,6 +39,8 @@ COORDINATES, MATCHES = 64, 36
 HUB_ROUNDS = 2
 #: Classes whose rows a task of the later steps takes.
 TASK_CLASSES = 5_000
+#: Rows of a posting list that one block of its self-join holds.
+BLOCK = 512
 #: Bits of a set's sketch by which most pairs that don't link are told without the sets.
 PARITY_BITS = 1024
 #: Bytes of text that are hashed at once in a task.
@@ -135,20 +139,22 @@ def _texts(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def signed(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, key (of the set, null if empty), signature of every row."""
+    """doc_id, text_md5, n_shingles, key (of the set, null if empty), signature of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, keys, signatures = [], [], []
             with np.errstate(over="ignore"):
-                for data in _texts(batch.column(1)):
+                for data in _texts(batch.column(2)):
                     s = shingle_set(hashed_words(data), words)
                     sizes.append(len(s))
                     keys.append(set_key(s) if len(s) else None)
                     signatures.append(signature(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.list_(pa.int32()))], names=["doc_id", "n_shingles", "key", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.list_(pa.int32()))], names=["doc_id", "text_md5", "n_shingles", "key", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, key binary, signature array<int>")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("text_md5"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_md5 string, n_shingles long, key binary, signature array<int>")
 
 
 def parity_bits(shingles: np.ndarray) -> np.ndarray:
@@ -206,9 +212,9 @@ def links(docs: DataFrame, classes: DataFrame, words: int, least: int = 80, matc
     lists, signatures = postings(classes, matches)
     # what the rounds write is a few rows for each class in a list; tasks are as many as these need
     tasks = max(8, -(-signatures.count() // TASK_CLASSES))
-    reps = classes.join(signatures.select("key"), "key", "left_semi").select(F.col("rep").alias("doc_id"))
-    # the texts of the classes that are left; a repeated id may bring others along, which the key drops
-    some = docs.join(sized(cut(reps.distinct())), "doc_id", "left_semi")
+    reps = sized(cut(classes.join(signatures.select("key"), "key", "left_semi").select("rep").distinct()))
+    # the texts of the classes that are left; a repeated or null id may bring others along, which the key drops
+    some = docs.select("doc_id", "text").join(reps, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
     sets = cut(sets_of(some, words).join(signatures.select("key"), "key", "left_semi").dropDuplicates(["key"]))
     edges = None
     labelled = lists.withColumn("label", F.col("key"))
@@ -246,10 +252,13 @@ def across(labelled: DataFrame, signatures: DataFrame, sets: DataFrame, least: i
     mixed = left.groupBy("pair").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("pair")
     left = cut(left.join(mixed, "pair", "left_semi").join(signatures.select("key", "prefix"), "key").join(sets.select("key", "bits"), "key").coalesce(tasks))
     # classes of a list's largest component meet only the list's other classes
-    largest = left.groupBy("pair", "label").agg(F.count("*").alias("n")).groupBy("pair").agg(F.max(F.struct("n", "label"))["label"].alias("largest"))
+    largest = left.groupBy("pair", "label").agg(F.count("*").alias("n")).groupBy("pair").agg(F.max(F.struct("n", "label"))["label"].alias("largest"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
     columns = ("key", "label", "n_shingles", "outside", "prefix", "bits")
-    x = left.join(largest, "pair").where("label <> largest").select("pair", "largest", *(F.col(c).alias(f"{c}_x") for c in columns))
-    y = left.select("pair", *(F.col(c).alias(f"{c}_y") for c in columns))
+    rows = cut(left.join(largest, "pair").coalesce(tasks))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    x = rows.where("label <> largest").select("pair", "largest", block.alias("i"), every.alias("j"), *(F.col(c).alias(f"{c}_x") for c in columns))
+    y = rows.select("pair", every.alias("i"), block.alias("j"), *(F.col(c).alias(f"{c}_y") for c in columns))
     # common shingles are outside ones of both; at least `need` / (100 + least) of them for a link
     need = (F.col("n_shingles_x") + F.col("n_shingles_y")) * least
     enough = (F.col("outside_x") * (100 + least) >= need) & (F.col("outside_y") * (100 + least) >= need) & _near_size("n_shingles_x", "n_shingles_y", least)
@@ -258,21 +267,44 @@ def across(labelled: DataFrame, signatures: DataFrame, sets: DataFrame, least: i
     differ = F.aggregate(F.zip_with("bits_x", "bits_y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, n: a + n)
     close = differ * (100 + least) <= (F.col("n_shingles_x") + F.col("n_shingles_y")) * (100 - least)
     once = F.element_at(F.array_intersect("prefix_x", "prefix_y"), 1) == x["pair"]  # of the lists with both, the first
-    pairs = x.join(y, (x["pair"] == y["pair"]) & apart & enough & close & once).select(F.col("key_x").alias("u"), F.col("key_y").alias("v"))
+    cell = (x["pair"] == y["pair"]) & (x["i"] == y["i"]) & (x["j"] == y["j"])
+    pairs = x.join(y, cell & apart & enough & close & once).select(F.col("key_x").alias("u"), F.col("key_y").alias("v"))
     return confirmed(cut(pairs), signatures, sets, least, matches)
 
 
-def near_groups(docs: DataFrame, words: int = 5, least: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row; least: the similarity in hundredths."""
+def near_rows(docs: DataFrame, words: int = 5, least: int = 80) -> DataFrame:
+    """doc_id, text_md5, n_shingles, label (the component's, null for an empty set), component_id (its smallest doc_id) of every row; least: the similarity in hundredths."""
     rows = cut(signed(docs, words))
     classes = cut(rows.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")))
     names = components(links(docs, classes, words, least)).withColumnRenamed("node", "key")
     labelled = classes.select("key", "rep").join(names, "key", "left").withColumn("label", F.coalesce("label", "key"))
     least_id = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of_class = labelled.join(least_id, "label").select("key", "component_id")
-    out = rows.select("doc_id", "n_shingles", "key").join(of_class, "key", "left")
-    component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.col("key").isNull(), F.lit(False)).alias("kept"))
+    of_class = labelled.join(least_id, "label").select("key", "label", "component_id")
+    return rows.select("doc_id", "text_md5", "n_shingles", "key").join(of_class, "key", "left").select("doc_id", "text_md5", "n_shingles", "label", "component_id")
+
+
+def near_groups(docs: DataFrame, words: int = 5, least: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row; least: the similarity in hundredths."""
+    component = F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return near_rows(docs, words, least).select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.col("label").isNull(), F.lit(False)).alias("kept"))
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, least: int = 80) -> DataFrame:
+    """docs with one row of each component: the one of the smallest doc_id (null last), then text digest. Rows with an empty set stay."""
+    rows = cut(near_rows(docs, words, least).where("label IS NOT NULL"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_md5")
+    grouped = rows.groupBy("label").agg(F.min(first).alias("first"), F.count("*").alias("n")).where("n > 1")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_md5") == F.col("first.text_md5"))
+    met = rows.join(grouped, "label").withColumn("stays", stays)
+    lost = cut(met.where("NOT stays").select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5")).distinct())
+    again = cut(met.where("stays").groupBy(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5")).agg(F.count("*").alias("n")).where("n > 1").select("_id", "_md5"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")) == F.col("_md5"))
+    kept = docs.join(sized(lost), same, "left_anti")
+    if again.isEmpty():
+        return kept
+    # rows that are repeated whole are met by their content, one stays
+    some = kept.join(sized(again), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(sized(again), same, "left_anti").unionByName(some)
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,9 @@ the level L with sum(min(cap, L * weight)) = total, found with window sums over
 one row a source.
 
 Cases: null or empty texts have size 0 and take 0; null doc_ids and repeated rows get keys by their content, equal
-rows may change places with each other; a source without words has target 0; an empty table gives an empty result;
-other columns are not read.
+rows may change places with each other; ties of key and digest are rows that are equal; a very long text is one row
+with its count of words; a source without words has target 0; an empty table gives an empty result; other columns are
+not read.
 """
 
 from __future__ import annotations

@@ -243,14 +243,14 @@ def feature(parsed: dict) -> str:
     )
 
 
-STORE_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+STORE_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration_micros long, frame_offsets array<long>"
 PARSE_SCHEMA = "frames long, micros long, sample_rate int, vbr_table string, table_frames long, checked long, bad_crc long, resyncs long, skipped long, offsets array<long>, tags map<string,string>"
 
 
 def store_texts(docs: DataFrame, keep_media: bool = False) -> DataFrame:
     """Each text stored as a stream, read back and parsed; with keep_media=True also the stream (media binary)."""
     schema = STORE_SCHEMA + ", media binary" * keep_media
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()][: 8 if keep_media else 7]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), *([pa.binary()] if keep_media else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in schema.split(", ")]
@@ -261,7 +261,7 @@ def store_texts(docs: DataFrame, keep_media: bool = False) -> DataFrame:
                 media = write(raw + bytes(-len(raw) % PAD if raw else PAD))
                 parsed = parse(media)
                 back = payload_of(media, parsed)
-                rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), feature(parsed), media)[: len(types)])
+                rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), feature(parsed), parsed["micros"], parsed["offsets"], media)[: len(types)])
             if rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names=names)
 

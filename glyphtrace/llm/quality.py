@@ -4,7 +4,8 @@ Dictionaries are trained on pieces of good and of bad labelled texts. A text is
 compressed with both; the normalised difference of the compressed sizes (of all, and of the most extreme pieces) is
 calibrated to the probability of label 1 by a logistic regression on labelled texts that the dictionaries didn't see.
 
-Learning takes at most TRAIN_ROWS labelled texts of each class. Scoring is a pass over whole texts, a text at a time.
+Learning takes at most TRAIN_ROWS labelled texts of each class, of TRAIN_LONGEST code points at most. Scoring is a pass
+over whole texts, a text of any length at a time.
 
 Cases: null and empty texts are one empty piece and get its score; without labels of both classes the score is the
 share of good labels (1 if there are none, so that nothing is dropped unjudged); repeated rows and ids are scored
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, table
-from .fitting import Logistic, labelled_sample
+from .fitting import Logistic, by_id, label_counts, labelled_sample
 from .toxicity import scored
 
 TRAIN_ROWS = {1: 3_000, 0: 3_000}
@@ -100,7 +101,9 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """labels: doc_id, label (0 or 1), only rows that may be learned from."""
-    return Model(*labelled_sample(docs, labels, TRAIN_ROWS, TRAIN_LONGEST, 3))
+    rows = by_id(docs, labels.where(F.col("label").isin(0, 1)))
+    counts = label_counts(rows)
+    return Model(labelled_sample(rows, counts, TRAIN_ROWS, TRAIN_LONGEST, 3), counts)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

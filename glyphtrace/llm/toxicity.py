@@ -9,12 +9,13 @@ regression on labelled documents that the dictionaries didn't see calibrates the
 The dictionaries hold the words that set the classes apart, by document frequency, the most telling ones last, where
 zstandard reaches them cheapest; a dictionary trained on all text of a class holds what both classes share.
 
-Learning takes at most TRAIN_ROWS labelled texts of each class. Scoring is a pass over whole texts; compressed
-lengths are kept by window within a task.
+Learning takes at most TRAIN_ROWS labelled texts of each class, of TRAIN_LONGEST code points at most. Scoring is a
+pass over whole texts; compressed lengths are kept by window within a task.
 
 Cases: null and empty texts have one empty window and get its score; without labels of both classes the score is the
-share of toxic labels (0 if there are none); repeated rows and ids are scored alike; an empty table gives an empty
-result; other columns of documents are not read.
+share of toxic labels (0 if there are none); repeated rows and ids are scored alike; a very long text is scored whole,
+its windows' differences are held at once; of equal differences any will do; an empty table gives an empty result;
+other columns of documents are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, table
-from .fitting import Logistic, labelled_sample
+from .fitting import Logistic, by_id, label_counts, labelled_sample
 
 TRAIN_ROWS = {1: 2_000, 0: 4_000}
 TRAIN_LONGEST = 20_000
@@ -132,7 +133,9 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """labels: doc_id, label (0 or 1), only rows that may be learned from."""
-    return Model(*labelled_sample(docs, labels, TRAIN_ROWS, TRAIN_LONGEST, 2))
+    rows = by_id(docs, labels.where(F.col("label").isin(0, 1)))
+    counts = label_counts(rows)
+    return Model(labelled_sample(rows, counts, TRAIN_ROWS, TRAIN_LONGEST, 2), counts)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
