@@ -4,6 +4,11 @@ Each stage reads what the stage before it wrote (Parquet, with the columns of do
 languages that can't be told go, of equal texts one stays, of near-duplicates one stays, sources are mixed to their
 target weights (a row for each pass over it; the one row of a source at its cut has only the words up to the cut),
 and what is left is encoded.
+
+Cases, for every stage: a null text counts as empty, and texts without words, which have no language to tell, go with
+the first stage; null ids, sources and languages are values like others; repeated rows are copies, of which one stays;
+texts of any length are read whole; of equal candidates the one with the smallest id, then digest, stays; an empty
+table gives an empty one; columns other than those of documents are not carried on, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,12 +38,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, and all that are in no group.
 
-    Documents are told by doc_id: rows that share one go or stay together, and rows without one stay.
+    Rows are told by id and text, so an id on two texts and rows without an id are judged by themselves.
     """
-    docs = docs.select(*COLUMNS)
-    groups = minhash.near_groups(docs)
-    lost = cut(groups.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct())
-    return docs.join(sized(lost), "doc_id", "left_anti").select(*COLUMNS)
+    return minhash.drop_near_copies(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
