@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Code points of a block; the block ends with the text that reaches it.
-BLOCK_POINTS = 16_000_000
+BLOCK_POINTS = 4_000_000
 #: A task forgets the tokens of words between blocks when it knows more words than this.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
 #: Bytes of a word up to which all words are merged together, as arrays.
 SHORT_WORD = 128
 
@@ -316,7 +316,7 @@ def encode(docs: DataFrame, path: str, pattern: str, ids: bool = False) -> DataF
         encoder = Encoder(Merges(ranks), pattern, classes)
         for batch in batches:
             rows = []
-            for texts in blocks(t or "" for t in batch.column(1).to_pylist()):
+            for texts in blocks(t.as_py() or "" for t in batch.column(1)):
                 for n, joined, decoded in encoder.block(texts):
                     row = (n, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest())
                     rows.append(row + ([int(x) for x in joined.split(",") if x], decoded.decode("utf-8", "replace")) if ids else row)
