@@ -46,8 +46,7 @@ def share_of(tokens: Column, some: tuple[str, ...]) -> Column:
 
 
 def hits(tokens: Column, some: tuple[str, ...]) -> Column:
-    known = F.array(*map(F.lit, some))
-    return F.size(F.filter(tokens, lambda t: F.array_contains(known, t)))
+    return F.size(F.filter(tokens, lambda t: t.isin(*some)))
 
 
 def scripts(nfc: Column) -> dict[str, Column]:

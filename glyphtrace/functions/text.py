@@ -191,12 +191,17 @@ def places(text: Column, pattern: str | Column) -> Column:
 
 
 def inside_quotes(prefix: Column) -> Column:
-    """Whether the text before a place leaves a quotation open; an apostrophe between letters is none."""
+    """Whether the text before its last character leaves a quotation open; an apostrophe between letters is none."""
     bare = F.regexp_replace(prefix, r"(?<=\p{L})['\x{2019}](?=\p{L})", "")
-    straight = F.regexp_count(bare, F.lit('"')) % 2 == 1
-    single = F.regexp_count(bare, F.lit("'")) % 2 == 1
-    paired = lambda a, b: F.regexp_count(bare, F.lit(a)) > F.regexp_count(bare, F.lit(b))
-    return straight | single | paired("“", "”") | paired("‘", "’") | paired("«", "»")
+    marks = F.regexp_extract_all(F.substring(bare, F.lit(1), F.greatest(F.length(bare) - 1, F.lit(0))), F.lit("[\"'\u201c\u201d\u00ab\u00bb\u2018\u2019]"), F.lit(0))
+
+    def step(open_: Column, m: Column) -> Column:
+        double = F.when(m == '"', ~open_["double"]).when(m.isin("\u201c", "\u00ab"), True).when(m.isin("\u201d", "\u00bb"), False).otherwise(open_["double"])
+        single = F.when(m == "'", ~open_["single"]).when(m == "\u2018", True).when(m == "\u2019", False).otherwise(open_["single"])
+        return F.struct(double.alias("double"), single.alias("single"))
+
+    state = F.aggregate(marks, F.struct(F.lit(False).alias("double"), F.lit(False).alias("single")), step)
+    return state["double"] | state["single"]
 
 
 def one_space(text: Column, lang: Column | None = None) -> Column:

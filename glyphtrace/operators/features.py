@@ -23,7 +23,7 @@ PLAIN_LEAD = r"^\s*[-*•]\s*\p{Lu}[^:\n]{2,40}:\s+\S"
 AFTER, BEFORE = r"(?![\p{L}\p{M}\p{Nd}_])", r"(?<![\p{L}\p{M}\p{Nd}_])"
 ENUMERATED = {"en": rf"^(?:first,|second(?:ly)?,|third(?:ly)?,|finally,|lastly,)", "tr": rf"^(?:öncelikle|[iı]lk olarak|[iı]kinci olarak|ardından|son olarak){AFTER}"}
 FUNCTION_OPENERS = {
-    "en": ("the", "a", "an", "i", "it", "this", "that", "he", "she", "they", "we", "you", "as", "then"),
+    "en": ("the", "a", "an", "i", "it", "this", "that", "he", "she", "they", "we", "you", "there", "my", "his", "her", "our", "in", "on", "at", "when", "but", "and", "so", "if", "as", "then"),
     "tr": ("bu", "o", "ben", "biz", "bir", "ve", "ama", "sonra", "çünkü", "hem", "de", "da"),
 }
 CONNECTORS = {"en": ("furthermore", "moreover", "additionally"), "tr": ("ayrıca", r"bunun\s+yanı\s+sıra", r"ek\s+olarak")}
@@ -42,13 +42,28 @@ HEDGES = {
     "en": "may|might|could|tends to|generally|typically|it is worth noting|that said",
     "tr": "olabilir|genellikle|çoğunlukla|nispeten|unutulmamalıdır|görünmektedir",
 }
-CONTRACTIONS = ("dont", "cant", "wont", "im", "ive", "id", "youre", "theyre", "couldnt", "shouldnt", "lets", "aint", "yall", "gonna", "wanna", "gotta", "kinda", "dunno")
+CONTRACTIONS = (
+    "dont", "cant", "wont", "im", "ive", "id", "youre", "theyre", "doesnt", "didnt", "wasnt", "isnt", "thats", "theres", "whats", "hes", "shes", "wouldnt",
+    "couldnt", "shouldnt", "lets", "aint", "yall", "gonna", "wanna", "gotta", "kinda", "dunno",
+)
 SELF_CORRECTIONS = (
     r"(?m)^\*\s*\S", rf"(?i){BEFORE}i meant{AFTER}", rf"(?i){BEFORE}sorry,? typo{AFTER}", rf"(?i){BEFORE}edit:", rf"(?i){BEFORE}nvm{AFTER}",
     rf"(?i){BEFORE}pardon{AFTER}", rf"(?i){BEFORE}yok yani{AFTER}", rf"(?i){BEFORE}düzelt(?:me|iyorum){AFTER}", rf"(?i){BEFORE}yok\s+pardon{AFTER}",
 )
-FORMAL_COPULA = r"(?:maktadır|mektedir|mıştır|miştir|muştur|müştür)$"
-CHAT_FORMS = r"(?:[ıiuü]cam|[ıiuü]caz|[ae]cam|[ae]caz|[ıiuü]yom|[ıiuü]yoz)$"
+FORMAL_COPULA = r"(?:(?:makta|mekte)(?:dır|dir)|(?:malı|meli)dır)$"
+# Turkish words typed without their marks, and with them.
+TR_PLAIN = (
+    ("icin", "için"), ("cok", "çok"), ("degil", "değil"), ("gecen", "geçen"), ("yasinda", "yaşında"), ("cocuk", "çocuk"), ("buyuk", "büyük"), ("kucuk", "küçük"), ("sey", "şey"), ("oyle", "öyle"),
+    ("boyle", "böyle"), ("tesekkurler", "teşekkürler"), ("gunaydin", "günaydın"), ("gorusuruz", "görüşürüz"), ("ogrenci", "öğrenci"), ("dogru", "doğru"), ("yarin", "yarın"), ("bugun", "bugün"),
+    ("aksam", "akşam"), ("ucret", "ücret"), ("ucus", "uçuş"), ("gelecegim", "geleceğim"), ("gidecegim", "gideceğim"), ("yapacagim", "yapacağım"), ("olacagim", "olacağım"), ("kalacagiz", "kalacağız"),
+    ("calisiyorum", "çalışıyorum"), ("guzel", "güzel"), ("kotu", "kötü"), ("insallah", "inşallah"), ("nasilsin", "nasılsın"), ("tamamdir", "tamamdır"), ("sagol", "sağol"), ("oncelikle", "öncelikle"),
+    ("ozellikle", "özellikle"), ("sonrasinda", "sonrasında"), ("kisiyiz", "kişiyiz"), ("giris", "giriş"),
+)
+# Cities in both spellings, endings of cases, reduced futures, chat words.
+TR_CITIES = ("istanbul", "ıstanbul", "ankara", "izmir", "ızmir", "antalya", "turkiye", "türkiye", "trabzon", "bursa", "konya", "kapadokya", "taksim")
+TR_CASES = r"(da|de|ta|te|dan|den|tan|ten|a|e|ya|ye|ı|i|u|ü|yı|yi|yu|yü|ın|in|un|ün|nın|nin|nun|nün)$"
+TR_FUTURES = r"(?i)\p{L}+(?:cam|cem|cak|cek|caz|cez|ceksin|caksin|icem|icam|icez|icaz)$"
+TR_CHAT = rf"(?iu){BEFORE}(?:bi|bii|napıyon|napiyon|valla|aynen|hadi|abi|abicim|reis|hocam|kanka|eyvallah|tmm|slm|mrb|nbr|sagol|sağol){AFTER}"
 
 
 @dataclass(frozen=True)
@@ -67,9 +82,10 @@ def _mean(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / F.size(xs)
 
 
-def _sd(xs: Column, mean: Column) -> Column:
-    """Sample standard deviation."""
-    return F.sqrt(F.aggregate(xs, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / (F.size(xs) - 1))
+def _variation(xs: Column) -> Column:
+    """Sample standard deviation over mean; null for a mean of 0. Numbers and mean are computed once."""
+    of = lambda v, m: F.when(m > 0, F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / (F.size(v) - 1)) / m)
+    return T.let(xs, lambda v: T.let(_mean(v), lambda m: of(v, m)))
 
 
 def _count(c: Column, pattern: str) -> Column:
@@ -97,9 +113,7 @@ def catalogue() -> dict[str, Feature]:
     n_sents = F.size(sents)
     listed = F.size(F.filter(sents, lambda s: s.rlike(r"^\s*(?:[-*•]|\p{Nd}{1,3}[.)])\s"))) / n_sents
     steady = (n_sents >= 8) & (F.coalesce(F.array_max("sentence_words"), F.lit(0)) <= 120)
-    m = _mean(lens)
     para = F.transform("paragraphs", lambda p: F.regexp_count(p, F.lit(T.WORD)).cast("double"))
-    pm = _mean(para)
     stop = F.when(F.col("language") == "tr", F.array(*map(F.lit, L.TR_STOP))).otherwise(F.array(*map(F.lit, L.EN_STOP)))
     content = F.filter(lower, lambda t: (F.length(t) >= 4) & ~F.array_contains(stop, t))
     key = F.transform(content, lambda t: F.when(F.col("language") == "tr", F.substring(t, F.lit(1), F.least(F.lit(6), F.greatest(F.lit(1), F.length(t) - 2)))).otherwise(t))
@@ -124,9 +138,11 @@ def catalogue() -> dict[str, Feature]:
     last = T.case_fold(F.ltrim(F.element_at("paragraphs", -1)), F.col("language"))
     balanced = F.when(F.col("language") == "en", sum((_count(folded, p) for p in BALANCED["en"]), F.lit(0))).when(F.col("language") == "tr", sum((_count(folded, p) for p in BALANCED["tr"]), F.lit(0)))
     framed = _by_lang(OPENERS, lambda p: F.ltrim(folded).rlike(rf"^(?:{p}){AFTER}")) & _by_lang(SIGN_OFFS, lambda p: folded.rlike(p))
-    diacritic = _count(nfc, L.TR_LETTERS)
-    ascii_form = L.hits(lower, L.TR_PROBE)
-    proper = L.hits(lower, tuple(w for w in L.TR_STOP if any(c in "çğıöşü" for c in w)))
+    turkish = F.transform("tokens", lambda t: T.case_fold(t, F.lit("tr")))
+    ascii_form, proper = L.hits(turkish, tuple(a for a, _ in TR_PLAIN)), L.hits(turkish, tuple(b for _, b in TR_PLAIN))
+    stem = lambda t: F.regexp_replace(T.case_fold(t, F.lit("tr")), TR_CASES, "")
+    cased = lambda t: t.rlike(r"^\p{Lu}") & (F.length(t) >= 6) & ~t.rlike("['\u2019]") & T.case_fold(t, F.lit("tr")).rlike(TR_CASES) & (F.length(stem(t)) >= 4)
+    bare_names = T.let(turkish, lambda bag: F.size(F.filter("tokens", lambda t: cased(t) & (stem(t).isin(*TR_CITIES) | F.array_contains(bag, stem(t))))))
     corrections = sum((raw.rlike(p).cast("int") for p in SELF_CORRECTIONS), F.lit(0))
     per_100 = lambda c: c * 100.0 / n
     flag = lambda c: F.when(c, F.lit(1.0))
@@ -135,9 +151,9 @@ def catalogue() -> dict[str, Feature]:
     polite = F.size(F.filter(_by_lang({k: f"(?:{v}){AFTER}" for k, v in POLITE.items()}, lambda p: T.places(folded, p)), lambda x: ~F.exists("lexicon_hits", lambda h: (h["start"] < x["end"]) & (h["end"] > x["start"]))))
     f = Feature
     return {
-        "sentence_len_cv": f("rhythm", "human", "continuous", "MED", "prose", (), 120, F.when(steady & (listed <= 0.6) & (m > 0), _sd(lens, m) / m)),
+        "sentence_len_cv": f("rhythm", "human", "continuous", "MED", "prose", (), 120, F.when(steady & (listed <= 0.6), _variation(lens))),
         "sentence_len_mode_mass": f("rhythm", "llm", "continuous", "LOW", "prose", (), 120, F.when(n_sents >= 8, _share(F.filter("sentence_words", lambda x: x.between(12, 22)), sents))),
-        "paragraph_uniformity": f("rhythm", "llm", "continuous", "LOW", "prose", (), 250, F.when((F.size("paragraphs") >= 4) & (pm > 0), 1 - F.least(F.lit(1.0), _sd(para, pm) / pm))),
+        "paragraph_uniformity": f("rhythm", "llm", "continuous", "LOW", "prose", (), 250, F.when(F.size("paragraphs") >= 4, 1 - F.least(F.lit(1.0), _variation(para)))),
         "content_word_repeat": f("rhythm", "human", "continuous", "LOW", "prose", (), 150, F.when(F.size(content) >= 20, 1 - F.size(F.array_distinct(key)) / F.size(content))),
         "terminal_punct_ratio": f("punctuation", "llm", "continuous", "MED", "any", (), 20, F.when(F.size(units) >= 2, _share(ended, units))),
         "sentence_initial_caps": f("punctuation", "llm", "continuous", "LOW", "chat", both, 20, F.when((n_sents >= 3) & (F.size(firsts) >= 3), _share(F.filter(firsts, lambda w: w.rlike(r"^\p{Lu}")), firsts))),
@@ -153,11 +169,11 @@ def catalogue() -> dict[str, Feature]:
         "emoji_repeat_run": f("punctuation", "human", "binary", "MED", "any", (), 0, flag(raw.rlike(rf"({EMOJI})\1|[\x{{1F3FB}}-\x{{1F3FF}}]"))),
         "emoji_bullet_led": f("structure", "llm", "binary", "MED", "any", (), 0, flag(F.size(F.filter(lines, lambda x: x.rlike(rf"^\s*{EMOJI}{EMOJI_MARKS}*\s+\p{{Lu}}"))) >= 2)),
         "tr_asciified_probe": f("orthography", "human", "continuous", "HIGH", "any", ("tr",), 8, F.when((ascii_form >= 2) & (ascii_form / (ascii_form + proper + 1) > 0.5), ascii_form / (ascii_form + proper + 1))),
-        "tr_mixed_orthography": f("orthography", "human", "binary", "MED", "any", ("tr",), 8, flag((ascii_form > 0) & ((proper > 0) | (diacritic > 0)))),
-        "tr_bare_capital_i": f("orthography", "human", "rate", "MED", "any", ("tr",), 8, _positive(F.size(F.filter("tokens", lambda t: t.rlike("^I(?=[a-zçğıöşü])"))))),
-        "tr_apostrophe_absent": f("orthography", "human", "rate", "LOW", "any", ("tr",), 12, F.when(F.size(F.filter("tokens", lambda t: t.rlike(r"^\p{Lu}\p{L}{3,}(?:da|de|dan|den|ya|ye|nın|nin)$") & (F.length(t) >= 6))) >= 2, F.size(F.filter("tokens", lambda t: t.rlike(r"^\p{Lu}\p{L}{3,}(?:da|de|dan|den|ya|ye|nın|nin)$") & (F.length(t) >= 6))).cast("double"))),
-        "tr_chat_morphology": f("orthography", "human", "rate", "HIGH", "chat", ("tr",), 3, _positive(F.size(F.filter(lower, lambda t: t.rlike(CHAT_FORMS))) + L.hits(lower, L.TR_SLANG))),
-        "tr_formal_copula": f("register", "llm", "rate", "LOW", "prose", ("tr",), 100, F.when(F.col("genre") != "formal_letter", per_100(F.size(F.filter(lower, lambda t: t.rlike(FORMAL_COPULA)))))),
+        "tr_mixed_orthography": f("orthography", "human", "binary", "MED", "any", ("tr",), 8, flag((ascii_form > 0) & (proper > 0))),
+        "tr_bare_capital_I": f("orthography", "human", "rate", "MED", "any", ("tr",), 8, _positive(F.size(F.filter("tokens", lambda t: t.rlike("^I(?=[a-zçğıöşü])"))))),
+        "tr_apostrophe_absent": f("orthography", "human", "rate", "LOW", "any", ("tr",), 12, F.when(bare_names >= 2, bare_names.cast("double"))),
+        "tr_chat_morphology": f("orthography", "human", "rate", "HIGH", "chat", ("tr",), 3, _positive(F.size(F.filter("tokens", lambda t: t.rlike(TR_FUTURES))) + _count(nfc, TR_CHAT))),
+        "tr_formal_copula": f("register", "llm", "rate", "LOW", "prose", ("tr",), 100, F.when(F.col("genre") != "formal_letter", per_100(F.size(F.filter(turkish, lambda t: t.rlike(FORMAL_COPULA)))))),
         "bold_lead_in_list": f("structure", "llm", "rate", "HIGH", "any", (), 20, _positive(F.size(F.filter(lines, bold)))),
         "colon_led_list": f("structure", "llm", "rate", "LOW", "any", (), 20, _positive(led + plain)),
         "enumerated_openers": f("structure", "llm", "binary", "MED", "prose", both, 0, flag((n_sents >= 6) & (enumerated >= 3))),

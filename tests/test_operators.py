@@ -65,7 +65,7 @@ def test_rules(spark):
     ctx = documents.context(spark.createDataFrame(rows, "id long, text string"), {"shape": "chat", "lang": "en"})
     marks = rules.check_markers([{"name": "bot", "pattern": "BOT-[0-9]"}], spark)
     got = {r["id"]: ([x["name"] for x in r["rules"]], r["rule_notes"]) for r in rules.with_rules(ctx, "id", markers=marks).collect()}
-    assert got[1][0] == ["assistant_frame_leak"] and got[2] == ([], ["assistant_frame_quoted"]) and got[3][0] == ["markdown_in_chat"]
+    assert got[1][0] == ["assistant_frame_leak"] and got[2] == ([], ["assistant_frame_suppressed:quotation"]) and got[3][0] == ["markdown_in_chat"]
     assert got[4] == ([], ["invisible_chars_alone"]) and got[5][0] == ["known_machine_marker"] and got[6][0] == ["markdown_in_chat", "invisible_chars"]
     with pytest.raises(ValueError):
         rules.check_markers([{"name": "x"}], spark)
