@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import language as L
 from ..functions import text as T
-from ..functions.tables import written
+from ..functions.tables import sized, written
 from .features import EMOJI
 
 UNKNOWN = "(unknown)"
@@ -56,7 +56,7 @@ def idiolect(m: DataFrame, phrases: DataFrame | None = None) -> DataFrame:
     """author, idiolect_stability: the longer words that come back in two or more messages, but not in most. phrases: phrase."""
     words = m.select("author", "message", F.explode_outer(F.array_distinct("tokens")).alias("word")).where((F.length("word") >= 5) & ~F.col("word").isin(*L.EN_STOP))
     if phrases is not None:
-        words = words.join(F.broadcast(phrases.select(F.col("phrase").alias("word"))), "word", "left_anti")
+        words = words.join(sized(phrases.select(F.col("phrase").alias("word")).distinct()), "word", "left_anti")
     counts = words.groupBy("author", "word").agg(F.count_distinct("message").alias("c"))
     most = m.groupBy("author").agg(F.greatest(F.lit(2), F.ceil(F.count("*") * 0.4)).alias("most"))
     return counts.join(most, "author").where((F.col("c") >= 2) & (F.col("c") <= F.col("most"))).groupBy("author").agg(F.count("*").alias("idiolect_stability"))

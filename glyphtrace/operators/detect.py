@@ -8,7 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import authors, documents, features, lexicon, near_duplicate, rules, scoring
+from ..functions.tables import sized, written
+from . import authors, documents, features, history, lexicon, near_duplicate, rules, scoring
+
+#: What rules, near duplicates and scores need of a document's context.
+BASE = ("raw", "folded", "markdown", "channel", "shape", "genre", "language", "domain", "cell", "n_tokens", "chars")
 
 
 def detect(
@@ -24,27 +28,48 @@ def detect(
     provenance: str = "prior",
     expires_at: str | None = None,
     now: datetime.datetime | None = None,
+    profiles: DataFrame | None = None,
 ) -> DataFrame:
     """A row for each row of `rows` (key, text, and author for the index) with context, rules, score, verdict.
 
     weights: the table that scoring.load_weights() makes; weights_from makes one from the long table of features
     instead. index: key, author, text of a corpus in which near duplicates are looked up. phrases: a compiled lexicon.
+    profiles: history.profiles() of the rows' authors.
     """
     ctx = documents.context(rows, (options or {}) | ({"shape": "prose"} if aggregate else {}))
     ctx = lexicon.without_hits(ctx) if phrases is None else lexicon.with_hits(ctx, phrases, key)
+    by = ["author"] if "author" in ctx.columns and key != "author" else []
+    # what the texts are read for is written once; rules, near duplicates and scores take it from there
+    base = written(features.with_features(ctx).select(key, *by, *BASE, *features.catalogue()))
     found = None
     if index is not None:
-        by = "author" if "author" in index.columns else None
-        probe = near_duplicate.shingled(ctx, key, "author" if "author" in ctx.columns else None)
-        found = near_duplicate.nearest(probe, near_duplicate.shingled(documents.context(index), key, by), key)
-    wide = rules.with_rules(features.with_features(ctx), key, found, markers)
-    long = features.long_table(wide, [key, "cell", "language", "domain"])
+        probe = near_duplicate.shingled(base, key, "author" if by else None)
+        views = documents.context(index).select(*(c for c in (key, "author") if c in index.columns), "folded")
+        found = near_duplicate.nearest(probe, near_duplicate.shingled(views, key, "author" if "author" in index.columns else None), key)
+    wide = rules.with_rules(base, key, found, markers)
+    long = features.long_table(base, [key, *by, "cell", "language", "domain"])
     if aggregate:
         long = long.where(~F.col("feature").isin(*scoring.AGGREGATE_DISABLED))
-        long = long.unionByName(author_rows(rows, wide, key), allowMissingColumns=True)
-    contributed = scoring.contributions(long, weights if weights is not None else weights_from(long))
-    docs = wide.select(key, "n_tokens", "chars", "shape", "genre", "language", "rules", F.lit(aggregate).alias("aggregate"))
-    return scoring.verdicts(scoring.sums(contributed, docs, [key]), provenance, expires_at, now)
+        long = long.unionByName(author_rows(rows, base, key), allowMissingColumns=True)
+    weights = weights if weights is not None else weights_from(long)
+    contributed = written(scoring.contributions(long, weights))
+    b0 = sized(weights.groupBy("cell").agg(F.first("b0").alias("b0")))
+    docs = wide.join(b0, "cell", "left").select(key, *by, "n_tokens", "chars", "shape", "genre", "language", "rules", "rule_notes", "invisible", "b0", F.lit(aggregate).alias("aggregate"))
+    scored = scoring.sums(contributed, docs, [key])
+    if profiles is not None and by:
+        scored = with_history(scored, contributed, docs, profiles, key)
+    return scoring.verdicts(rules.with_signal_count(scored), provenance, expires_at, now)
+
+
+def with_history(scored: DataFrame, contributed: DataFrame, docs: DataFrame, profiles: DataFrame, key: str) -> DataFrame:
+    """scored again with the signal of a steady author, and history (features, shifted, declared) of rows that have a profile."""
+    scored = written(scored.withColumn("gate", scoring.gate(F.col("shape"), F.col("aggregate"))))
+    compared = written(history.compared(contributed.select(key, "author", "feature", "z"), profiles, key))
+    extra = history.consistency_signal(scored, compared, key).select("*", F.lit("history").alias("feature_group"), F.lit("MED").alias("confidence"))
+    again = scoring.sums(contributed.unionByName(extra, allowMissingColumns=True), docs, [key])
+    # the gates are those of the document without its history
+    again = again.drop("active", "firm").join(scored.select(key, "active", "firm"), key)
+    return again.join(compared.select(key, F.struct("features", "shifted", "declared").alias("history")), key, "left")
 
 
 def author_rows(rows: DataFrame, wide: DataFrame, key: str) -> DataFrame:

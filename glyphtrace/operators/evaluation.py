@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import language as L
 from ..functions import text as T
+from ..functions.tables import written
 
 SIDES = (("fit", 0.6), ("val", 0.8))
 PRIORS = (0.01, 0.05, 0.10, 0.20, 0.35, 0.50)
@@ -159,30 +160,44 @@ def paired_delta(rows: DataFrame, pair: str, variant: str, value: str, base: str
     return a.join(b, pair).withColumn("delta", F.col("after") - F.col("before"))
 
 
-def fit_logistic(rows: DataFrame, features: list[str], label: str = "y"):  # noqa: ANN201
-    """An L2 logistic model on standardised columns, and rows with p; None if there are too few of either label."""
+def standard_columns(rows: DataFrame, features: list[str], reference: Column, label: str = "y") -> DataFrame:
+    """rows with each feature as (x - mu) / sigma within 3, of the human reference rows that have it; a missing value is 0."""
+    ref = reference & (F.col(label) == 0)
+    stats = rows.agg(*(F.avg(F.when(ref, F.col(f))).alias(f"mu_{f}") for f in features), *(F.stddev_samp(F.when(ref, F.col(f))).alias(f"sd_{f}") for f in features)).first()
+    number = lambda x, otherwise: otherwise if x is None or x != x else float(x)
+    each = {f: (number(stats[f"mu_{f}"], 0.0), sd if (sd := number(stats[f"sd_{f}"], 0.0)) > 1e-9 else 1.0) for f in features}
+    return rows.withColumns({f: F.coalesce(F.greatest(F.lit(-3.0), F.least(F.lit(3.0), (F.col(f) - mu) / sd)), F.lit(0.0)) for f, (mu, sd) in each.items()})
+
+
+def fitted(rows: DataFrame, features: list[str], fit: Column, label: str = "y", dropped: tuple[str, ...] = ()) -> DataFrame:
+    """rows with p by an L2 logistic model on columns standardised by the human rows of the fit side, fitted on that side.
+
+    p is null if it has fewer than 30 rows or 10 human ones. dropped: features that the harder fit does without.
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    n = rows.agg(F.count("*").alias("n"), F.count_if(F.col(label) == 0).alias("human")).first()
-    if n["n"] < 30 or n["human"] < 10:
-        return None, rows.withColumn("p", F.lit(None).cast("double"))
-    wide = VectorAssembler(inputCols=features, outputCol="_x").transform(rows.fillna(0.0, features))
-    model = LogisticRegression(featuresCol="_x", labelCol=label, regParam=1.0 / n["n"], elasticNetParam=0.0, standardization=False, probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_pred", maxIter=100).fit(wide)
-    return model, model.transform(wide).withColumn("p", vector_to_array("_p")[1]).drop("_x", "_p", "_raw", "_pred")
+    names = [f for f in features if f not in dropped]
+    n = rows.where(fit).agg(F.count("*").alias("n"), F.count_if(F.col(label) == 0).alias("human"), F.count_if(F.col(label) == 1).alias("machine")).first()
+    if n["n"] < 30 or n["human"] < 10 or not n["machine"]:
+        return rows.withColumn("p", F.lit(None).cast("double"))
+    wide = VectorAssembler(inputCols=names, outputCol="_x").transform(standard_columns(rows, names, fit, label))
+    model = LogisticRegression(featuresCol="_x", labelCol=label, regParam=1.0 / n["n"], elasticNetParam=0.0, standardization=False, probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_pred", maxIter=100).fit(wide.where(fit))
+    return model.transform(wide).withColumn("p", vector_to_array("_p")[1]).drop("_x", "_p", "_raw", "_pred")
 
 
-def fit_isotonic(rows: DataFrame, least: int = 20):  # noqa: ANN201
-    """rows (p, y) with calibrated, rising with p; unchanged if there are too few."""
+def calibrated(rows: DataFrame, fit: Column, label: str = "y", least: int = 20) -> DataFrame:
+    """rows (p, label) with calibrated, rising with p, fitted on the rows of `fit` that have a p; p itself if they are too few."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import IsotonicRegression
 
-    if rows.limit(least).count() < least:
+    some = rows.where(fit & F.col("p").isNotNull())
+    if some.limit(least).count() < least:
         return rows.withColumn("calibrated", F.col("p"))
-    wide = VectorAssembler(inputCols=["p"], outputCol="_x").transform(rows)
-    model = IsotonicRegression(featuresCol="_x", labelCol="y", predictionCol="calibrated").fit(wide)
-    return model.transform(wide).drop("_x")
+    wide = lambda x: VectorAssembler(inputCols=["_q"], outputCol="_x").transform(x.withColumn("_q", F.coalesce("p", F.lit(0.0))))
+    model = IsotonicRegression(featuresCol="_x", labelCol=label, predictionCol="_c").fit(wide(some))
+    return model.transform(wide(rows)).withColumn("calibrated", F.when(F.col("p").isNotNull(), F.col("_c"))).drop("_x", "_q", "_c")
 
 
 def sign_flips(coefficients: DataFrame, least: float = 0.05) -> DataFrame:
@@ -225,25 +240,24 @@ def without_format(features: DataFrame, dropped: tuple[str, ...]) -> DataFrame:
     return features.where(~F.col("feature").isin(*dropped))
 
 
-def leave_one_out(rows: DataFrame, features: list[str], writer: str, tau: float, most: int = 50) -> DataFrame:
-    """writer, rows, flagged: each of the `most` largest writers judged by a model that never saw them.
+def leave_one_out(rows: DataFrame, features: list[str], writer: str, tau: float, folds: int = 50) -> DataFrame:
+    """writer, rows, flagged of every writer, each judged by a model that never saw them.
 
-    A model is fitted for each of these writers in turn, each fit a job over all other rows.
+    Writers are dealt to `folds` folds by hash, and a model is fitted for each fold on the rows of all others: as many
+    jobs as folds, whatever the number of writers. Up to `folds` writers, each has a fold of their own.
     """
-    names = [r[writer] for r in rows.groupBy(writer).count().orderBy(F.desc("count"), writer).limit(most).collect()]
-    out = None
-    for name in names:
-        model, _ = fit_logistic(rows.where(F.col(writer) != name), features)
-        if model is None:
-            continue
-        from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.functions import vector_to_array
-
-        held = VectorAssembler(inputCols=features, outputCol="_x").transform(rows.where(F.col(writer) == name).fillna(0.0, features))
-        p = model.transform(held).withColumn("p", vector_to_array("_p")[1])
-        one = p.groupBy(writer).agg(F.count("*").alias("rows"), F.count_if(F.col("p") >= tau).alias("flagged"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    number = F.pmod(F.xxhash64(F.col(writer)), F.lit(folds))
+    names = rows.select(writer).distinct().limit(folds + 1).collect()
+    if len(names) <= folds:
+        ranks = {r[writer]: i for i, r in enumerate(sorted(names, key=lambda r: (r[writer] is None, str(r[writer]))))}
+        number = F.coalesce(*(F.when(F.col(writer).eqNullSafe(F.lit(k)), F.lit(i)) for k, i in ranks.items())) if ranks else F.lit(0)
+        folds = max(1, len(ranks))
+    dealt = written(rows.withColumn("_fold", number.cast("int")))
+    out = [fitted(dealt, features, F.col("_fold") != k).where(F.col("_fold") == k).select(writer, "p") for k in range(folds)]
+    each = out[0]
+    for one in out[1:]:
+        each = each.unionByName(one)
+    return each.groupBy(writer).agg(F.count("*").alias("rows"), F.count_if(F.col("p") >= tau).alias("flagged"))
 
 
 def shuffled_sentences(ctx: DataFrame, seed: int = 20260909) -> DataFrame:

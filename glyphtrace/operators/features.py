@@ -114,9 +114,10 @@ def catalogue() -> dict[str, Feature]:
     listed = F.size(F.filter(sents, lambda s: s.rlike(r"^\s*(?:[-*•]|\p{Nd}{1,3}[.)])\s"))) / n_sents
     steady = (n_sents >= 8) & (F.coalesce(F.array_max("sentence_words"), F.lit(0)) <= 120)
     para = F.transform("paragraphs", lambda p: F.regexp_count(p, F.lit(T.WORD)).cast("double"))
-    stop = F.when(F.col("language") == "tr", F.array(*map(F.lit, L.TR_STOP))).otherwise(F.array(*map(F.lit, L.EN_STOP)))
-    content = F.filter(lower, lambda t: (F.length(t) >= 4) & ~F.array_contains(stop, t))
-    key = F.transform(content, lambda t: F.when(F.col("language") == "tr", F.substring(t, F.lit(1), F.least(F.lit(6), F.greatest(F.lit(1), F.length(t) - 2)))).otherwise(t))
+    turkish_doc = F.col("language") == "tr"
+    content = F.filter(lower, lambda t: (F.length(t) >= 4) & ~F.when(turkish_doc, t.isin(*L.TR_STOP)).otherwise(t.isin(*L.EN_STOP)))
+    stem_of = lambda t: F.when(turkish_doc, F.substring(t, F.lit(1), F.least(F.lit(6), F.greatest(F.lit(1), F.length(t) - 2)))).otherwise(t)
+    repeat = T.let(content, lambda c: F.when(F.size(c) >= 20, 1 - F.size(F.array_distinct(F.transform(c, stem_of))) / F.size(c)))
     trailing = rf"[\s\x{{200B}}-\x{{200D}}\x{{FEFF}}]*(?:{EMOJI}{EMOJI_MARKS}*[\s\x{{200B}}-\x{{200D}}\x{{FEFF}}]*)*$"
     units = F.when(F.size("lines_with_words") >= 2, F.col("lines_with_words")).otherwise(sents)
     ended = F.filter(units, lambda u: u.rlike(T.TERMINALS + trailing))
@@ -154,7 +155,7 @@ def catalogue() -> dict[str, Feature]:
         "sentence_len_cv": f("rhythm", "human", "continuous", "MED", "prose", (), 120, F.when(steady & (listed <= 0.6), _variation(lens))),
         "sentence_len_mode_mass": f("rhythm", "llm", "continuous", "LOW", "prose", (), 120, F.when(n_sents >= 8, _share(F.filter("sentence_words", lambda x: x.between(12, 22)), sents))),
         "paragraph_uniformity": f("rhythm", "llm", "continuous", "LOW", "prose", (), 250, F.when(F.size("paragraphs") >= 4, 1 - F.least(F.lit(1.0), _variation(para)))),
-        "content_word_repeat": f("rhythm", "human", "continuous", "LOW", "prose", (), 150, F.when(F.size(content) >= 20, 1 - F.size(F.array_distinct(key)) / F.size(content))),
+        "content_word_repeat": f("rhythm", "human", "continuous", "LOW", "prose", (), 150, repeat),
         "terminal_punct_ratio": f("punctuation", "llm", "continuous", "MED", "any", (), 20, F.when(F.size(units) >= 2, _share(ended, units))),
         "sentence_initial_caps": f("punctuation", "llm", "continuous", "LOW", "chat", both, 20, F.when((n_sents >= 3) & (F.size(firsts) >= 3), _share(F.filter(firsts, lambda w: w.rlike(r"^\p{Lu}")), firsts))),
         "all_lowercase": f("punctuation", "human", "binary", "MED", "chat", both, 20, F.when(letters >= 20, F.when((letters - _count(nfc, r"[\p{Lu}\p{Lt}]")) / letters > 0.98, 1.0).otherwise(0.0))),

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.tables import sized
 
 # What a row of a lexicon may say.
 TAGS = ("strong", "weak")
@@ -20,7 +21,6 @@ DOMAINS = ("general", "cs", "travel", "email", "marketing", "essay", "content",
 FLAGS = ("-", "initial")
 GAP, GAP_MOST = "…", 60
 HIT = "array<struct<phrase:string,lang:string,kind:string,tag:string,domain:string,start:int,end:int>>"
-BROADCAST_ROWS = 100_000
 #: First words that are searched for by one pattern.
 MOST_HEADS = 2_000
 #: A first word, in phrases and texts alike; hyphens and apostrophes end it, the whole phrase is compared afterwards.
@@ -45,10 +45,6 @@ def repeated(lexicon: DataFrame) -> DataFrame:
     return lexicon.groupBy("lang", "kind", "phrase").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def _sized(lexicon: DataFrame) -> DataFrame:
-    return F.broadcast(lexicon) if lexicon.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else lexicon
-
-
 def candidates(texts: DataFrame, lexicon: DataFrame, key: str) -> DataFrame:
     """key, phrase, lang, kind, tag, domain, start, end of each match. texts: key, folded."""
     row = lexicon.withColumn("head", F.regexp_extract("phrase", HEAD, 0))
@@ -58,7 +54,7 @@ def candidates(texts: DataFrame, lexicon: DataFrame, key: str) -> DataFrame:
         one = "|".join(re.sub(r"([^\w\s])", r"\\\1", h) for h in sorted(heads, key=lambda h: (-len(h), h))) or "(?!)"
         pattern = rf"(?<![\p{{L}}\p{{M}}])(?:{one})(?![\p{{L}}\p{{M}}])"
     word = texts.select(key, "folded", F.explode_outer(T.places(F.col("folded"), pattern)).alias("w")).where("w IS NOT NULL")
-    found = word.join(_sized(row), F.col("w.value") == F.col("head"))
+    found = word.join(sized(row), F.col("w.value") == F.col("head"))
     tail = F.substring(F.col("folded"), F.col("w.start") + 1, F.length("phrase") + GAP_MOST)
     # the phrase's parts around a gap may be up to GAP_MOST characters apart
     exact = tail.startswith(F.col("phrase"))

@@ -12,6 +12,9 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..functions.tables import sized
+
 # The verdicts, and the thresholds of the scoring rules.
 VERDICTS = ("insufficient_text", "likely_human", "leaning_human", "uncertain", "leaning_llm", "likely_llm")
 EXPENSIVE = ("self_correction_marker", "idiolect_stability", "letter_elongation")
@@ -63,7 +66,7 @@ def contributions(features: DataFrame, weights: DataFrame) -> DataFrame:
     features: cell, feature, value, direction, and language and domain if weights depend on them: halved where the
     language is not certain, none for politeness in customer service.
     """
-    rows = features.join(F.broadcast(weights), ["cell", "feature"]) if "kind" not in features.columns else features.drop("kind").join(F.broadcast(weights), ["cell", "feature"])
+    rows = features.drop("kind").join(sized(weights), ["cell", "feature"])
     w = F.col("w")
     if "language" in features.columns:
         w = F.when(F.col("language").isin("mixed", "unknown", "unsupported"), w / 2).otherwise(w)
@@ -95,25 +98,31 @@ def capping(logit: Column, n_tokens: Column) -> Column:
 
 
 def sums(rows: DataFrame, docs: DataFrame, key: list[str]) -> DataFrame:
-    """docs (key, n_tokens, ...) with logit, factor, score and what the verdict needs of the contributions."""
-    base = rows.groupBy(*key).agg((F.first("b0") + F.sum("raw")).alias("logit"))
-    docs = docs.join(base, key, "left").withColumn("logit", F.coalesce("logit", F.lit(0.0))).withColumn("factor", capping(F.col("logit"), F.col("n_tokens")))
-    r = rows.join(docs.select(*key, "factor"), key).withColumn("capped", F.col("raw") * F.col("factor"))
-    toward = F.greatest(F.lit(0.0), F.col("w") * F.col("z"))
-    llm, human, fires = F.col("direction") == "llm", F.col("direction") == "human", F.abs("raw") > 1e-12
-    mine = fires & (F.col("w") * F.col("z") > 0)
-    proxy = F.col("feature").isin(*REGISTER_PROXIES)
-    solid = llm & ~proxy & (F.col("capped") >= MATERIAL)
-    groups = lambda c: F.count_distinct(F.when(c, F.col("feature_group")))
-    found = r.groupBy(*key).agg(
-        F.count("*").alias("active"), F.count_if(F.col("confidence").isin("HIGH", "MED")).alias("firm"),
-        F.sum(F.when(llm, toward).otherwise(0.0)).alias("llm_sum"), F.sum(F.when(human, toward).otherwise(0.0)).alias("human_sum"),
-        F.count_if(llm & mine).alias("n_llm"), groups(llm & mine).alias("g_llm"), F.count_if(human & mine).alias("n_human"), groups(human & mine).alias("g_human"),
-        F.count_if(solid).alias("n_solid"), groups(solid).alias("g_solid"), F.count_if(human & mine & (F.col("confidence") == "HIGH")).alias("n_strong_human"),
-        F.count_if(human & mine & F.col("feature").isin(*EXPENSIVE)).alias("n_expensive"), F.count_if(human & mine & (F.col("feature") != "history_consistency")).alias("n_human_own"),
-    )
-    docs = docs.join(found, key, "left").fillna(0)
-    return docs.withColumns({
+    """docs (key, n_tokens, b0, ...) with logit, factor, score and what the verdict needs of the contributions.
+
+    A document's contributions (no more than there are features) meet in one array, in the order of the features, so
+    one shuffle is enough and sums don't depend on the order of rows. Without any, the logit is b0.
+    """
+    item = F.struct("feature", "raw", "w", "z", "direction", "feature_group", "confidence")
+    found = rows.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("_c"))
+    docs = docs.join(found, key, "left").withColumn("_c", F.coalesce("_c", F.array().cast(found.schema["_c"].dataType)))
+    total = lambda of: F.aggregate("_c", F.lit(0.0), lambda a, x: a + of(x))
+    docs = T.barrier(docs.withColumn("logit", F.coalesce("b0", F.lit(0.0)) + total(lambda x: x["raw"])))
+    docs = T.barrier(docs.withColumn("factor", capping(F.col("logit"), F.col("n_tokens"))))
+    llm, human = (lambda x: x["direction"] == "llm"), (lambda x: x["direction"] == "human")
+    toward = lambda x: F.greatest(F.lit(0.0), x["w"] * x["z"])
+    mine = lambda x: (F.abs(x["raw"]) > 1e-12) & (x["w"] * x["z"] > 0)
+    solid = lambda x: llm(x) & ~x["feature"].isin(*REGISTER_PROXIES) & (x["raw"] * F.col("factor") >= MATERIAL)
+    count = lambda test: F.size(F.filter("_c", test)).cast("long")
+    groups = lambda test: F.size(F.array_distinct(F.transform(F.filter("_c", test), lambda x: x["feature_group"]))).cast("long")
+    docs = docs.withColumns({
+        "active": count(lambda x: F.lit(True)), "firm": count(lambda x: x["confidence"].isin("HIGH", "MED")),
+        "llm_sum": total(lambda x: F.when(llm(x), toward(x)).otherwise(0.0)), "human_sum": total(lambda x: F.when(human(x), toward(x)).otherwise(0.0)),
+        "n_llm": count(lambda x: llm(x) & mine(x)), "g_llm": groups(lambda x: llm(x) & mine(x)), "n_human": count(lambda x: human(x) & mine(x)), "g_human": groups(lambda x: human(x) & mine(x)),
+        "n_solid": count(solid), "g_solid": groups(solid), "n_strong_human": count(lambda x: human(x) & mine(x) & (x["confidence"] == "HIGH")),
+        "n_expensive": count(lambda x: human(x) & mine(x) & x["feature"].isin(*EXPENSIVE)), "n_human_own": count(lambda x: human(x) & mine(x) & (x["feature"] != "history_consistency")),
+    })
+    return T.barrier(docs.drop("_c")).withColumns({
         "score": 1 / (1 + F.exp(-F.col("logit") * F.col("factor"))),
         "llm_channel": 1 - F.exp(-F.col("llm_sum") / K), "human_channel": 1 - F.exp(-F.col("human_sum") / K), "band": band(F.col("n_tokens")),
     })

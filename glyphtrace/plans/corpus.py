@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.tables import written
 from ..operators import authors as A
 from ..operators import evaluation as E
 from ..operators import history as H
@@ -13,7 +14,7 @@ from ..operators import near_duplicate as N
 from ..operators import scoring as S
 from ..sources import batch as B
 from .common import table
-from .text import _sql_words
+from .text import PROSE, PROSE_ROWS, _sql_words, prose_rows
 
 
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,25 +71,11 @@ AUTHOR_TEXTS = rf"SELECT author, length(t) AS chars, md5(t) AS text_md5 FROM (SE
 
 
 def _long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A long table of simple features of documents, for the queries about features' statistics."""
-    d = table(spark, sf_dir, "documents").withColumn("raw", F.coalesce("text", F.lit("")))
-    n = F.regexp_count("raw", F.lit(T.WORD))
-    rate = lambda p: F.regexp_count("raw", F.lit(p)).cast("double")
-    row = lambda f, v, g, k, c, way: F.struct(F.lit(f).alias("feature"), v.cast("double").alias("value"), F.lit(g).alias("feature_group"), F.lit(k).alias("kind"), F.lit(c).alias("confidence"), F.lit(way).alias("direction"))
-    each = F.array(
-        row("commas", rate(","), "punctuation", "rate", "LOW", "llm"), row("stops", rate(r"\."), "punctuation", "rate", "MED", "llm"),
-        row("exclaimed", rate("!"), "human_marker", "rate", "HIGH", "human"), row("lines", rate("\n"), "structure", "rate", "LOW", "llm"),
-        row("digits", F.when(rate("[0-9]") > 0, 1.0).otherwise(0.0), "structure", "binary", "MED", "human"),
-    )
-    return d.select("doc_id", "source", n.alias("n_tokens"), F.char_length("raw").alias("chars"), F.explode(each).alias("f")).select("doc_id", "source", "n_tokens", "chars", "f.*")
-
-
-def _sql_long() -> str:
-    rate = lambda p: f"len(regexp_extract_all(raw, '{p}'))::DOUBLE"
-    rows = (("commas", rate(","), "punctuation", "rate", "LOW", "llm"), ("stops", rate("[.]"), "punctuation", "rate", "MED", "llm"), ("exclaimed", rate("!"), "human_marker", "rate", "HIGH", "human"), ("lines", rate("\\n"), "structure", "rate", "LOW", "llm"), ("digits", f"({rate('[0-9]')} > 0)::INT::DOUBLE", "structure", "binary", "MED", "human"))
-    return " UNION ALL ".join(f"SELECT doc_id, source, {_words_n} AS n_tokens, length(raw) AS chars, '{f}' AS feature, {v} AS value, '{g}' AS feature_group, '{k}' AS kind, '{c}' AS confidence, '{w}' AS direction FROM (SELECT *, coalesce(text, '') AS raw FROM documents)" for f, v, g, k, c, w in rows)
+    """The catalogue's features of documents that SQL can give too, in a table that is written once."""
+    return written(prose_rows(spark, sf_dir))
 
 
+_SQL_LONG = f"SELECT r.*, c.feature_group, c.direction, c.kind, c.confidence FROM ({PROSE_ROWS}) r JOIN (VALUES {', '.join(str((n, *about)) for n, about in PROSE.items())}) AS c(feature, feature_group, direction, kind, confidence) USING (feature)"
 _words_n = f"len({_sql_words('raw')})"
 
 
@@ -99,7 +86,7 @@ def history_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 HISTORY_PROFILES = rf"""
 SELECT source AS author, feature, round(avg(ln(1 + value)), 6) AS mean, round(stddev_samp(ln(1 + value)), 6) AS sd, count(*) AS docs
-FROM ({_sql_long()}) WHERE n_tokens >= 150 GROUP BY source, feature HAVING count(*) >= 2"""
+FROM ({_SQL_LONG}) WHERE n_tokens >= 150 GROUP BY source, feature HAVING count(*) >= 2"""
 
 
 def history_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +96,7 @@ def history_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 HISTORY_SHIFTS = rf"""
-WITH l AS (SELECT *, ln(1 + value) AS z FROM ({_sql_long()})),
+WITH l AS (SELECT *, ln(1 + value) AS z FROM ({_SQL_LONG})),
 p AS (SELECT source, feature, avg(z) AS mean, stddev_samp(z) AS sd FROM l WHERE n_tokens >= 150 GROUP BY ALL HAVING count(*) >= 2)
 SELECT doc_id, count(*) AS features, count(*) FILTER (abs((z - mean) / greatest(sd, 0.25)) > 2) AS shifted, count(*) FILTER (abs((z - mean) / greatest(sd, 0.25)) > 2) >= 3 AS declared
 FROM l JOIN p ON l.source IS NOT DISTINCT FROM p.source AND l.feature = p.feature GROUP BY doc_id"""
@@ -118,26 +105,27 @@ FROM l JOIN p ON l.source IS NOT DISTINCT FROM p.source AND l.feature = p.featur
 def _weights(rows: DataFrame) -> DataFrame:
     """Weights by rule: every feature weighs 0.4, standardised by its own mean and spread over the table."""
     v = rows.withColumn("value", F.when(F.col("kind") == "rate", F.log1p("value")).otherwise(F.col("value")))
-    w = E.standardised(v, F.lit(True))
-    return w.select(F.lit("en:prose").alias("cell"), "feature", F.lit(0.4).alias("w"), "mu", "sigma", F.lit(-0.4).alias("b0")).join(rows.select("feature", "kind").distinct(), "feature")
+    kind = v.groupBy("feature").agg(F.first("kind").alias("kind"))
+    return E.standardised(v, F.lit(True)).join(kind, "feature").select(F.lit("en:prose").alias("cell"), "feature", F.lit(0.4).alias("w"), "mu", "sigma", "kind", F.lit(-0.4).alias("b0"))
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logit, capped score and channels of documents, from the simple features and weights by rule."""
+    """Logit, capped score and channels of documents, from features of the catalogue and weights by rule."""
     rows = _long(spark, sf_dir).withColumn("cell", F.lit("en:prose"))
-    r = S.contributions(rows, _weights(rows))
-    docs = rows.select("doc_id", "n_tokens", "chars").distinct()
-    s = S.sums(r, docs, ["doc_id"])
+    text = T.nfc(F.coalesce("text", F.lit("")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_count(text, F.lit(T.WORD)).alias("n_tokens"), F.lit(-0.4).alias("b0"))
+    s = S.sums(S.contributions(rows, _weights(rows)).drop("n_tokens"), docs, ["doc_id"])
     s = s.withColumn("table_verdict", S.table_verdict(F.round("llm_channel", 6), F.round("human_channel", 6)))
     return s.select("doc_id", F.round("logit", 6).alias("logit"), F.round("score", 6).alias("score"), F.round("llm_channel", 6).alias("llm_channel"), F.round("human_channel", 6).alias("human_channel"), "band", "table_verdict")
 
 
 SCORES = rf"""
-WITH l AS (SELECT *, CASE WHEN kind = 'rate' THEN ln(1 + value) ELSE value END AS v FROM ({_sql_long()})),
+WITH l AS (SELECT *, CASE WHEN kind = 'rate' THEN ln(1 + value) ELSE value END AS v FROM ({_SQL_LONG})),
 w AS (SELECT feature, avg(v) AS mu, CASE WHEN stddev_samp(v) > 1e-9 THEN stddev_samp(v) ELSE 1 END AS sigma FROM l GROUP BY feature),
 z AS (SELECT l.*, CASE WHEN kind = 'binary' THEN (value <> 0)::INT ELSE greatest(-3.0, least(3.0, (v - mu) / sigma)) END AS z FROM l JOIN w USING (feature)),
-s AS (SELECT doc_id, any_value(n_tokens) AS n, -0.4 + sum(CASE direction WHEN 'llm' THEN 1 ELSE -1 END * 0.4 * z) AS logit,
+t AS (SELECT doc_id, sum(CASE direction WHEN 'llm' THEN 1 ELSE -1 END * 0.4 * z) AS raw,
         sum(CASE WHEN direction = 'llm' THEN greatest(0, 0.4 * z) ELSE 0 END) AS a, sum(CASE WHEN direction = 'human' THEN greatest(0, 0.4 * z) ELSE 0 END) AS b FROM z GROUP BY doc_id),
+s AS (SELECT d.doc_id, len({_sql_words("nfc_normalize(coalesce(text, ''))")}) AS n, -0.4 + coalesce(raw, 0) AS logit, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM documents d LEFT JOIN t USING (doc_id)),
 c AS (SELECT *, CASE WHEN n <= 19 THEN '<20_tokens' WHEN n <= 49 THEN '20-49_tokens' WHEN n <= 149 THEN '50-149_tokens' WHEN n <= 499 THEN '150-499_tokens' ELSE '500+_tokens' END AS band,
         CASE WHEN n <= 19 THEN NULL WHEN n <= 49 THEN 0.15 WHEN n <= 149 THEN 0.30 WHEN n <= 499 THEN 0.45 END::DOUBLE AS cap FROM s),
 f AS (SELECT *, CASE WHEN cap IS NULL OR abs(logit) <= ln((0.5 + cap) / (0.5 - cap)) THEN 1.0 ELSE ln((0.5 + cap) / (0.5 - cap)) / abs(logit) END AS factor,
@@ -222,7 +210,7 @@ def feature_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("feature", F.round("mu", 6).alias("mu"), F.round("sigma", 6).alias("sigma"))
 
 
-FEATURE_STATISTICS = rf"SELECT feature, round(avg(value), 6) AS mu, round(CASE WHEN stddev_samp(value) > 1e-9 THEN stddev_samp(value) ELSE 1 END, 6) AS sigma FROM ({_sql_long()}) WHERE n_tokens >= 50 GROUP BY feature"
+FEATURE_STATISTICS = rf"SELECT feature, round(avg(value), 6) AS mu, round(CASE WHEN stddev_samp(value) > 1e-9 THEN stddev_samp(value) ELSE 1 END, 6) AS sigma FROM ({_SQL_LONG}) WHERE n_tokens >= 50 GROUP BY feature"
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -317,19 +305,12 @@ SELECT prior, round(prior * tpr / (prior * tpr + (1 - prior) * fpr), 6) AS preci
 
 
 def fitted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A logistic model of the simple features on the fit side, isotonic calibration on the others."""
-    wide = _long(spark, sf_dir).groupBy("doc_id").pivot("feature", ["commas", "stops", "exclaimed", "lines", "digits"]).agg(F.first("value"))
-    rows = wide.join(_judged(spark, sf_dir).select("doc_id", "y"), "doc_id").withColumn("side", E.side_of_shard(F.col("doc_id")))
-    names = ["commas", "stops", "exclaimed", "lines", "digits"]
-    rows = rows.withColumns({n: F.log1p(n) for n in names})
-    model, _ = E.fit_logistic(rows.where("side = 'fit'"), names)
-    if model is None:
-        return rows.select("doc_id", "side", F.lit(None).cast("double").alias("p"), F.lit(None).cast("double").alias("calibrated"))
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    scored = model.transform(VectorAssembler(inputCols=names, outputCol="_x").transform(rows)).withColumn("p", vector_to_array("_p")[1])
-    return E.fit_isotonic(scored.select("doc_id", "side", "y", "p")).select("doc_id", "side", "p", "calibrated")
+    """A logistic model of standardised features, fitted on the fit side, with isotonic calibration fitted on the validation side."""
+    value = F.when(F.col("kind") == "rate", F.log1p("value")).otherwise(F.col("value"))
+    wide = _long(spark, sf_dir).withColumn("value", value).groupBy("doc_id").pivot("feature", list(PROSE)).agg(F.first("value"))
+    rows = written(_judged(spark, sf_dir).select("doc_id", "y").join(wide, "doc_id", "left").withColumn("side", E.side_of_shard(F.col("doc_id"))))
+    scored = E.fitted(rows, list(PROSE), F.col("side") == "fit")
+    return E.calibrated(scored, F.col("side") == "val").select("doc_id", "side", "p", "calibrated")
 
 
 def corpus_digest(spark: SparkSession, sf_dir: str) -> DataFrame:

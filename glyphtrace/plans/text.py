@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import language as L
 from ..functions import text as T
 from ..operators import documents as D
 from ..operators import features as FE
@@ -18,6 +19,14 @@ def _sql_words(x: str) -> str:
     return f"regexp_extract_all({x}, '[\\p{{L}}\\p{{M}}][\\p{{L}}\\p{{M}}''’-]*')"
 
 
+def _some(words) -> str:  # noqa: ANN001
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
 def text_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").withColumn("raw", F.coalesce("text", F.lit("")))
     return d.select("doc_id", F.char_length("raw").cast("long").alias("chars"), F.octet_length("raw").cast("long").alias("bytes"), F.sha2(F.col("raw").cast("binary"), 256).alias("sha256"), F.md5(T.folded(T.nfc(F.col("raw"))).cast("binary")).alias("folded_md5"), F.size(T.homoglyph_units(F.col("raw"))).cast("long").alias("homoglyph_units"))
@@ -77,16 +86,12 @@ SELECT conv_id, turn, shape, CASE WHEN shape = 'chat' THEN 'chat' ELSE 'unspecif
 
 
 def language_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions import language as L
-
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("raw")).withColumn("nfc", T.nfc(F.col("raw")))
     d = T.barrier(d.withColumn("lower", F.transform(T.words(F.col("nfc")), F.lower)))
     return L.identify(d).select("doc_id", "language", F.round("language_confidence", 6).alias("language_confidence"))
 
 
 def _language_sql() -> str:
-    from ..functions import language as L
-
     some = lambda ws: "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in ws) + "]"
     hits = lambda ws: f"len(list_filter(w, lambda t: list_contains({some(ws)}, t)))"
     other = ", ".join(hits(ws) for ws in L.OTHERS.values())
@@ -132,13 +137,13 @@ def punctuation_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PUNCTUATION_FEATURES = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS raw, {_sql_words("nfc_normalize(coalesce(text, ''))")} AS w, string_split_regex(coalesce(text, ''), '\r?\n') AS ls FROM documents),
-c AS (SELECT *, len(w) AS n, list_filter(list_transform(w, lambda t: lower(t)), lambda t: length(t) >= 4 AND NOT list_contains(['the', 'and', 'is', 'are', 'was', 'were', 'to', 'of', 'in', 'for', 'with', 'that', 'this', 'it', 'on', 'at', 'as', 'but', 'not', 'have', 'has', 'had', 'be', 'been', 'will', 'would', 'can', 'could', 'from', 'they', 'we', 'you', 'your', 'our', 'my', 'me', 'i', 'a', 'an', 'or', 'if', 'so', 'all', 'about', 'just', 'very', 'more', 'most'], t)) AS cw,
+c AS (SELECT *, len(w) AS n, list_filter(list_transform(w, lambda t: lower(t)), lambda t: length(t) >= 4 AND NOT list_contains({_some(L.EN_STOP)}, t)) AS cw,
         list_transform(list_filter(string_split_regex(raw, '\r?\n(?:[\t\f\r ]*\r?\n)+'), lambda x: regexp_matches(x, '\S')), lambda p: len({_sql_words("p")})) AS ps,
         len(regexp_extract_all(raw, '[!?]{{2,}}')) + len(regexp_extract_all(raw, ':\)|:\(|:D|:''\(|<3|xD|:-\)|:-\(|;\)')) AS rp,
         len(regexp_extract_all(raw, '!{{2,}}')) AS me,
         len(list_filter(ls, lambda x: regexp_matches(x, '^\s*[-*•\p{{Nd}}.)]+\s*\*\*[^*\n]{{2,40}}\*\*\s*[:：-]') OR regexp_matches(x, '^\s*[-*•\p{{Nd}}.)]+\s*\*\*[^*\n]{{2,40}}:\s*\*\*'))) AS bl,
         len(list_filter(range(1, len(ls)), lambda i: regexp_matches(ls[i], ':\s*$') AND regexp_matches(ls[i + 1], '^\s*[-*•\p{{Nd}}]'))) + len(list_filter(ls, lambda x: regexp_matches(x, '^\s*[-*•]\s*\p{{Lu}}[^:\n]{{2,40}}:\s+\S'))) AS cl,
-        len(list_filter(w, lambda t: list_contains(['dont', 'cant', 'wont', 'im', 'ive', 'id', 'youre', 'theyre', 'couldnt', 'shouldnt', 'lets', 'aint', 'yall', 'gonna', 'wanna', 'gotta', 'kinda', 'dunno'], lower(t)))) AS co
+        len(list_filter(w, lambda t: list_contains({_some(FE.CONTRACTIONS)}, lower(t)))) AS co
       FROM d)
 SELECT doc_id,
   CASE WHEN n >= 250 AND len(ps) >= 4 AND list_avg(ps) > 0 THEN round(1 - least(1.0, list_stddev_samp(ps) / list_avg(ps)), 6) END::DOUBLE AS paragraph_uniformity,
@@ -149,6 +154,82 @@ SELECT doc_id,
 FROM c"""
 
 
+#: Features whose values SQL can give too, over prose and over chat in English: group, direction, kind, confidence.
+PROSE = {
+    "paragraph_uniformity": ("rhythm", "llm", "continuous", "LOW"), "content_word_repeat": ("rhythm", "human", "continuous", "LOW"), "ellipsis_hand_typed": ("punctuation", "human", "rate", "MED"),
+    "repeated_punct_emoticon": ("punctuation", "human", "rate", "HIGH"), "space_hygiene": ("punctuation", "human", "rate", "LOW"), "multi_exclam": ("punctuation", "human", "rate", "MED"),
+    "emoji_bullet_led": ("structure", "llm", "binary", "MED"), "bold_lead_in_list": ("structure", "llm", "rate", "HIGH"), "colon_led_list": ("structure", "llm", "rate", "LOW"),
+    "closing_summary_move": ("structure", "llm", "binary", "MED"), "llm_lexicon_weak": ("register", "llm", "rate", "LOW"), "politeness_formula": ("register", "llm", "rate", "MED"),
+    "hedge_density": ("register", "llm", "rate", "LOW"), "contraction_apostrophe_drop": ("human_marker", "human", "rate", "MED"),
+}
+CHAT = ("all_lowercase", "ellipsis_hand_typed", "repeated_punct_emoticon", "space_hygiene", "multi_exclam", "em_dash_in_chat", "emoji_bullet_led", "bold_lead_in_list", "colon_led_list", "greeting_signoff_frame", "llm_lexicon_weak", "politeness_formula", "contraction_apostrophe_drop", "self_correction_marker")
+
+
+def _features_sql(rows: str, key: str, names) -> str:  # noqa: ANN001
+    """key, n_tokens, chars, feature, value of the named features over rows (key, raw), from the lists and patterns that the catalogue has."""
+    edge, end = r"(?:^|[^\p{L}\p{M}\p{Nd}_])", r"(?:[^\p{L}\p{M}\p{Nd}_]|$)"
+    n_of = lambda pattern, x="raw": f"len(regexp_extract_all({x}, {_quoted(pattern)}))"
+    # on a copy with its separators doubled, matches that take one on each side don't get in each other's way
+    phrases = lambda some: f"len(regexp_extract_all(pad, {_quoted(f'(?:{some})'.replace(' ', '  ') + end)}))"
+    whole = lambda some: f"len(regexp_extract_all(pad, {_quoted(edge + f'(?:{some})'.replace(' ', '  ') + end)}))"
+    lines = lambda test: f"len(list_filter(ls, lambda x: {test}))"
+    at = lambda pattern, x="x": f"regexp_matches({x}, {_quoted(pattern)})"
+    plain = lambda p: p.replace(FE.BEFORE, edge).replace(FE.AFTER, end)
+    bold = f"({at(FE.BOLD_LEAD)} OR {at(FE.BOLD_LEAD_INSIDE)})"
+    slips = rf"""{n_of(r"\S {2,}\S")} + {n_of(r"\s+[,.;:!?\x{060C}\x{061B}\x{061F}]")} + greatest(0, {n_of(r"[,.;:\x{060C}\x{061B}]\p{L}")} - {n_of(r"\p{Nd}[.,]\p{Nd}")} - 2 * {n_of(r"(?:https?://|www\.)\S+")} - {n_of("(?i)" + edge + r"(?:e\.g|i\.e|vs|etc|vb|bkz)\.")}) + {lines(at(r"[ \t\f\r]$") + " AND " + at(r"\S"))}"""
+    led = f"len(list_filter(range(1, len(ls)), lambda i: {at(r':\s*$', 'ls[i]')} AND {at(r'^\s*[-*•\p{Nd}]', 'ls[i + 1]')})) + {lines(at(FE.PLAIN_LEAD) + ' AND NOT ' + bold)}"
+    positive = lambda x: f"nullif({x}, 0)"
+    opener, sign = rf"^(?:{FE.OPENERS['en']})" + end, FE.SIGN_OFFS["en"]
+    values = {
+        "paragraph_uniformity": (250, "CASE WHEN len(ps) >= 4 AND list_avg(ps) > 0 THEN 1 - least(1.0, list_stddev_samp(ps) / list_avg(ps)) END"),
+        "content_word_repeat": (150, "CASE WHEN len(cw) >= 20 THEN 1 - len(list_distinct(cw)) / len(cw) END"),
+        "all_lowercase": (20, f"CASE WHEN letters >= 20 THEN ((letters - {n_of(r'[\p{Lu}\p{Lt}]', 'nfc')}) / letters > 0.98)::INT END"),
+        "ellipsis_hand_typed": (0, positive(r"coalesce(list_sum(list_transform(regexp_extract_all(raw, '\.{2,}'), lambda x: 1 + (length(x) >= 4)::INT)), 0)")),
+        "repeated_punct_emoticon": (0, positive(f"{n_of(r'[!?\x{061F}]{2,}')} + {n_of(FE.EMOTICON)}")),
+        "space_hygiene": (20, f"({slips}) * 100.0 / n"), "multi_exclam": (0, positive(n_of("!{2,}"))),
+        "em_dash_in_chat": (0, "(contains(raw, '—') AND NOT contains(raw, ' - '))::INT"),
+        "emoji_bullet_led": (0, f"CASE WHEN {lines(at(rf'^\s*{FE.EMOJI}{FE.EMOJI_MARKS}*\s+\p{{Lu}}'))} >= 2 THEN 1 END"),
+        "bold_lead_in_list": (20, positive(lines(bold))), "colon_led_list": (20, positive(led)),
+        "closing_summary_move": (120, f"CASE WHEN {at('^(?:' + FE.CLOSERS['en'] + ')' + end, 'lower(ltrim(pt[len(pt)]))')} THEN 1 END"),
+        "greeting_signoff_frame": (30, f"CASE WHEN {at(opener, 'ltrim(folded)')} AND {at(sign, 'folded')} THEN 1 END"),
+        "llm_lexicon_weak": (40, "0"), "politeness_formula": (0, positive(phrases(FE.POLITE["en"]))), "hedge_density": (100, f"{whole(FE.HEDGES['en'])} * 100.0 / n"),
+        "contraction_apostrophe_drop": (5, positive(f"len(list_filter(w, lambda t: list_contains({_some(FE.CONTRACTIONS)}, lower(t))))")),
+        "self_correction_marker": (2, positive(" + ".join(f"{at(plain(p), 'raw')}::INT" for p in FE.SELF_CORRECTIONS))),
+    }
+    each = " UNION ALL ".join(f"SELECT {key}, n AS n_tokens, chars, '{f}' AS feature, ({values[f][1]})::DOUBLE AS value FROM feature_rows WHERE n >= {values[f][0]}" for f in names)
+    return rf"""
+WITH feature_base AS MATERIALIZED (SELECT *, nfc_normalize(raw) AS nfc, {_sql_words("nfc_normalize(raw)")} AS w, string_split_regex(raw, '\r?\n') AS ls, length(raw) AS chars,
+    list_filter(string_split_regex(raw, '\r?\n(?:[\t\f\r ]*\r?\n)+'), lambda x: regexp_matches(x, '\S')) AS pt,
+    replace(translate(lower(nfc_normalize(raw)), '’‘ʼ´`', repeat(chr(39), 5)), 'i̇', 'i') AS folded FROM ({rows})),
+feature_rows AS MATERIALIZED (SELECT *, len(w) AS n, {n_of(r"\p{L}", "nfc")} AS letters, regexp_replace(folded, '([^\p{{L}}\p{{M}}\p{{Nd}}_])', '\1\1', 'g') AS pad,
+    list_filter(list_transform(w, lambda t: lower(t)), lambda t: length(t) >= 4 AND NOT list_contains({_some(L.EN_STOP)}, t)) AS cw, list_transform(pt, lambda p: len({_sql_words("p")})) AS ps FROM feature_base)
+SELECT * FROM ({each}) WHERE value IS NOT NULL"""
+
+
+def prose_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source, n_tokens, chars, feature, value and what the catalogue says of the feature, of the features in PROSE over documents."""
+    ctx = X.without_hits(D.context(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), {"shape": "prose", "lang": "en"}))
+    return FE.long_table(FE.with_features(ctx, tuple(PROSE)), ["doc_id", "source", "n_tokens", "chars"])
+
+
+def prose_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of documents, a row for each value."""
+    return prose_rows(spark, sf_dir).select("doc_id", "feature", F.round("value", 6).alias("value"))
+
+
+PROSE_ROWS = _features_sql("SELECT doc_id, source, coalesce(text, '') AS raw FROM documents", "doc_id, source", PROSE)
+PROSE_FEATURES = f"SELECT doc_id, feature, round(value, 6) AS value FROM ({PROSE_ROWS})"
+
+
+def chat_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of turns of conversations, judged as chat in English."""
+    ctx = X.without_hits(D.context(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), {"shape": "chat", "lang": "en"}))
+    return FE.long_table(FE.with_features(ctx, CHAT), ["conv_id", "turn"]).select("conv_id", "turn", "feature", F.round("value", 6).alias("value"))
+
+
+CHAT_FEATURES = f"SELECT conv_id, turn, feature, round(value, 6) AS value FROM ({_features_sql('SELECT conv_id, turn, coalesce(text, repeat(chr(32), 0)) AS raw FROM conversations', 'conv_id, turn', CHAT)})"
+
+
 def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All features of all turns of conversations, a row for each value."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
@@ -180,5 +261,5 @@ SELECT doc_id, (len(regexp_extract_all(coalesce(text, ''), '[\x{200B}\x{200C}\x{
     CASE WHEN len(regexp_extract_all(coalesce(text, ''), '(?m)^\s{0,3}[-*+]\s+\S')) >= 2 AND regexp_matches(text, '(?m)^\s{0,3}[-*+]\s*\*\*[^*\n]{2,60}\*\*') THEN 'bullets_with_bold_lead_in' END) AS markdown
 FROM documents"""
 
-QUERIES = {f.__name__: f for f in (text_views, token_counts, shingle_counts, shape_genre, language_votes, diagnostics, punctuation_features, feature_table, lexicon_matches, rule_marks)}
-ORACLE_SQL = {"text_views": TEXT_VIEWS, "token_counts": TOKEN_COUNTS, "shingle_counts": SHINGLE_COUNTS, "shape_genre": SHAPE_GENRE, "language_votes": _language_sql(), "diagnostics": DIAGNOSTICS, "punctuation_features": PUNCTUATION_FEATURES, "rule_marks": RULE_MARKS}
+QUERIES = {f.__name__: f for f in (prose_features, chat_features, text_views, token_counts, shingle_counts, shape_genre, language_votes, diagnostics, punctuation_features, feature_table, lexicon_matches, rule_marks)}
+ORACLE_SQL = {"text_views": TEXT_VIEWS, "token_counts": TOKEN_COUNTS, "shingle_counts": SHINGLE_COUNTS, "shape_genre": SHAPE_GENRE, "language_votes": _language_sql(), "diagnostics": DIAGNOSTICS, "punctuation_features": PUNCTUATION_FEATURES, "rule_marks": RULE_MARKS, "prose_features": PROSE_FEATURES, "chat_features": CHAT_FEATURES}
