@@ -69,6 +69,14 @@ def folded(text: Column, lang: Column | None = None) -> Column:
     return case_fold(matching_marks(text), lang)
 
 
+def fold_map(text: Column, lang: Column | None = None) -> Column:
+    """For each code point of folded(text, lang), the place of the one in text that it comes from; null if folding one by one gives another text."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    each = lambda cs: F.transform(cs, lambda c: folded(c, lang))
+    places_ = lambda cs: F.flatten(F.transform(each(cs), lambda f, i: F.array_repeat(i, F.length(f))))
+    return let(chars, lambda cs: F.when(F.array_join(each(cs), "") == folded(text, lang), places_(cs)))
+
+
 def fold_confusables(text: Column) -> Column:
     """Look-alikes, full-width ASCII and mathematical letters as plain ones."""
     wide = "".join(map(chr, range(0xFF01, 0xFF5F)))

@@ -2,31 +2,80 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import language as L
 from ..functions import text as T
-from ..functions.tables import written
+from ..functions.tables import sized, written
 
 SIDES = (("fit", 0.6), ("val", 0.8))
 PRIORS = (0.01, 0.05, 0.10, 0.20, 0.35, 0.50)
 MOST_FPR, MIN_STRATUM = 0.02, 20
 
 
+# What a key folds beside case: letters of Arabic script, digits, Turkish letters, and emoji, which go.
+ARABIC_FROM, ARABIC_TO = "آأإٱىة٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "ااااي" + "ه" + "01234567890123456789"
+TURKISH_FROM, TURKISH_TO = "çğıöşüâîû", "cgiosuaiu"
+# Words that scrubbing never hides: dates, places, rooms, booking.
+ALLOWED = (
+    "ocak", "subat", "mart", "nisan", "mayis", "haziran", "temmuz", "agustos", "eylul", "ekim", "kasim", "aralik",
+    "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december",
+    "pazartesi", "sali", "carsamba", "persembe", "cuma", "cumartesi", "pazar", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday",
+    "istanbul", "ankara", "izmir", "antalya", "kapadokya", "cappadocia", "trabzon", "bursa", "konya", "taksim",
+    "sultanahmet", "kadikoy", "urgup", "goreme", "nevsehir", "bodrum", "fethiye", "turkiye", "turkey", "alanya", "side", "kemer", "belek",
+    "hotel", "otel", "oda", "odalar", "room", "rooms", "suite", "standart", "standard", "deluxe", "superior", "family",
+    "aile", "twin", "double", "single", "triple", "sea", "view", "garden", "cave", "magara", "spa", "resort", "palace",
+    "grand", "central", "old", "town", "beach", "boutique", "inn", "plaza", "park", "terrace", "bosphorus", "marina",
+    "classic", "economy", "balkon", "balcony", "kahvalti", "breakfast", "transfer", "check", "in", "out",
+    "gece", "gun", "gunluk", "gecelik", "giris", "cikis", "kisi", "kisilik", "kisiyiz", "yetiskin", "cocuk", "cocuklar",
+    "bebek", "yasinda", "yas", "fiyat", "fiyati", "ucret", "toplam", "rezervasyon", "tur", "turu", "program", "tarih",
+    "adult", "adults", "child", "children", "night", "nights", "price", "total", "booking", "reservation", "trip", "tour", "date", "dates",
+)
+# The words of both languages that every scrubbed row may have.
+SCRUB_STOP = (
+    "ve", "ile", "bir", "bu", "su", "o", "da", "de", "ki", "mi", "mu", "ama", "icin", "gibi", "daha", "cok", "az", "var", "yok", "evet", "hayir", "tamam", "olsun", "olacak", "lazim", "istiyorum", "merhaba", "selam", "naber", "reis", "abi",
+    "sonra", "once", "simdi", "yine", "ayni", "diger", "birinci", "ikinci", "ucuncu", "sadece", "bize", "bana", "sana", "biz", "ben", "sen", "hangi", "kac", "ne", "nasil", "nerede", "lutfen", "tesekkurler", "sagol", "iyi", "gunler", "peki", "yani", "pardon",
+    "the", "and", "is", "are", "of", "to", "we", "you", "a", "an", "in", "for", "it", "was", "this", "that", "with", "on", "at", "from", "i", "my", "our", "want", "need", "please", "thanks", "thank", "hello", "hi", "yes", "no", "ok", "okay", "have", "has",
+    "be", "will", "would", "can", "could", "do", "does", "lets",
+)
+NAME_CUE = r"\b(?:isim|isimler|isimleri|adi|adı|adlari|adları|names?)\b\s*:?"
+REFERENCE, LONG_NUMBER = r"\b[A-Z]{2,5}-?[0-9]{4,8}\b", r"\+?[0-9\x{0660}-\x{0669}\x{06F0}-\x{06F9}]{7,}"
+
+
+def plain_key(text: Column) -> Column:
+    """norm_key() of a text that is in NFKC already."""
+    t = F.translate(F.regexp_replace(text, T.TASHKEEL, ""), ARABIC_FROM + T.TATWEEL, ARABIC_TO)
+    t = F.regexp_replace(t, r"[\x{2600}-\x{27BF}\x{1F000}-\x{1FAFF}\x{FE0F}]", "")
+    t = F.lower(F.translate(T.case_fold(t, F.lit("tr")), TURKISH_FROM, TURKISH_TO))
+    return F.trim(F.regexp_replace(t, r"[^\p{L}\p{Nd}]+", " "))
+
+
 def norm_key(text: Column) -> Column:
-    """What two texts have in common when only letters and digits count: no case, accents, marks or spaces between."""
-    base = F.lower(T.nfkc(text))
-    plain = "".join(unicodedata.normalize("NFD", c)[0] for c in "àáâãäåçèéêëìíîïñòóôõöùúûüýÿğış")
-    base = F.translate(base, "àáâãäåçèéêëìíîïñòóôõöùúûüýÿğış", plain)
-    return F.trim(F.regexp_replace(base, r"[^\p{L}\p{Nd}]+", " "))
+    """What two texts have in common when only letters and digits count: no case, marks, emoji or spaces between; Turkish and Arabic letters folded."""
+    return plain_key(T.nfkc(text))
 
 
 def first_of_key(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_n = 1").drop("_n")
+    """The first row of each key, and repeats, the number of its rows. Rows meet as their least one, never all of a key in a task."""
+    rest = [c for c in rows.columns if c not in (key, order)]
+    return rows.groupBy(key).agg(F.min(F.struct(order, *rest)).alias("_r"), F.count("*").alias("repeats")).select(key, "_r.*", "repeats")
+
+
+def in_scope(rows: DataFrame) -> DataFrame:
+    """rows (label, text, lang) with excluded: label, blank, language or script, why a row is not used; null where it is."""
+    arabic = F.regexp_count("text", F.lit(r"[\x{0600}-\x{06FF}]")) / F.greatest(F.regexp_count("text", F.lit(r"\p{L}")), F.lit(1))
+    why = (
+        F.when(~F.coalesce(F.col("label").isin("REAL", "SYNTH"), F.lit(False)), "label").when(F.trim(F.coalesce("text", F.lit(""))) == "", "blank")
+        .when(~F.coalesce(F.col("lang").isin("en", "tr", "ar"), F.lit(True)), "language").when(arabic >= 0.2, "script")
+    )
+    return rows.withColumn("excluded", why)
+
+
+def paired(rows: DataFrame, pair: str = "pair", source: str = "source") -> DataFrame:
+    """rows whose pair key is null where it names fewer than two rows of its source: such a key says nothing about siblings."""
+    n = rows.where(F.col(pair).isNotNull()).groupBy(pair, source).agg(F.count("*").alias("_n")).where("_n >= 2")
+    met = rows.join(n.select(F.col(pair).alias("_p"), F.col(source).alias("_s"), "_n"), (F.col(pair) == F.col("_p")) & F.col(source).eqNullSafe(F.col("_s")), "left")
+    return met.withColumn(pair, F.when(F.col("_n").isNotNull(), F.col(pair))).drop("_p", "_s", "_n")
 
 
 def cross_label(rows: DataFrame, key: str, label: str) -> DataFrame:
@@ -125,12 +174,13 @@ def stratum_rates(rows: DataFrame, tau: float) -> DataFrame:
     return confusion(each, ["stratum"], tau).select("stratum", "neg", "fp", "fpr")
 
 
-def corpus_hash(rows: DataFrame, key: str, side: str, text_key: str, parts: int = 4096) -> DataFrame:
-    """One digest of the rows, whatever their order: digests of sorted parts, dealt by the key's hash, then of the parts' digests."""
+def corpus_hash(rows: DataFrame, key: str, side: str, text_key: str) -> DataFrame:
+    """One digest of the rows, whatever their order: rows are dealt to 16^5 parts by the key's hash; digests of sorted parts, of 256 groups of these, then of all."""
     line = F.concat_ws("|", F.col(key).cast("string"), side, F.sha2(F.col(text_key).cast("binary"), 256))
-    p = rows.select(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 3).alias("part"), line.alias("line"))
-    each = p.groupBy("part").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n").cast("binary"), 256).alias("h"))
-    return each.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "part", "h"))), "\n").cast("binary"), 256).alias("corpus_hash"), F.lit(parts).alias("parts"))
+    digest = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n").cast("binary"), 256)
+    p = rows.select(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 5).alias("part"), line.alias("line")).groupBy("part").agg(digest("line").alias("h"))
+    q = p.groupBy(F.substring("part", 1, 2).alias("part2")).agg(digest(F.concat_ws(":", "part", "h")).alias("h"))
+    return q.agg(digest(F.concat_ws(":", "part2", "h")).alias("corpus_hash"))
 
 
 def head_by(rows: DataFrame, by: list[str], order: list[str], most: int) -> DataFrame:
@@ -207,21 +257,27 @@ def sign_flips(coefficients: DataFrame, least: float = 0.05) -> DataFrame:
 
 
 def scrubbed(rows: DataFrame, key: str, least_rows: int = 15, allowed: tuple[str, ...] = ()) -> DataFrame:
-    """key, text: references as [REF], long numbers as [NUM], words that few rows use as [NAME], and any word after a cue.
+    """key, text: references as [REF], long numbers as [NUM], words that few rows use as [NAME], and every word of a line after a cue.
 
-    A word is known if at least `least_rows` rows use it. Units of white space are posted, met with the known words
-    and put together again in order.
+    A word is known if at least `least_rows` rows use it, or by the fixed lists. Only the words that aren't known
+    travel, to the row that has them.
     """
-    t = F.regexp_replace(F.coalesce("text", F.lit("")), r"\b[A-Z]{2,5}-?\d{4,}\b", "[REF]")
-    t = F.regexp_replace(t, r"\d[\d\s-]{5,}\d", "[NUM]")
-    units = rows.select(key, F.posexplode(F.split(t, r"(?<=\s)", -1)).alias("place", "unit"))
-    units = units.withColumn("word", F.lower(F.regexp_extract("unit", T.WORD, 0)))
-    known = units.where("word <> ''").groupBy("word").agg(F.count_distinct(key).alias("rows")).where(F.col("rows") >= least_rows).select("word", F.lit(True).alias("known"))
-    cue = F.lag("word").over(Window.partitionBy(key).orderBy("place")).isin("mr", "mrs", "ms", "dr", "dear", "sayın", "name")
-    met = units.join(known, "word", "left").withColumn("cued", F.coalesce(cue, F.lit(False)))
-    hide = (F.col("word") != "") & ~F.col("unit").rlike(r"\[(?:REF|NUM)\]|\p{Nd}") & (F.col("cued") | ~(F.coalesce("known", F.lit(False)) | F.col("word").isin(*L.EN_STOP, *L.TR_STOP, *allowed)))
-    shown = F.when(hide, F.regexp_replace("unit", T.WORD, "[NAME]")).otherwise(F.col("unit"))
-    return met.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", shown.alias("u")))).alias("s")).select(key, F.array_join(F.transform("s", lambda x: x["u"]), "").alias("text"))
+    t = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), REFERENCE, "[REF]"), LONG_NUMBER, "[NUM]")
+    rows = T.barrier(rows.select(key, t.alias("text")))
+    bare = F.regexp_replace("text", r"\[(?:REF|NUM)\]", " ")
+    words = rows.select(key, F.explode(F.array_distinct(F.transform(F.regexp_extract_all(bare, F.lit(r"\p{L}+"), F.lit(0)), plain_key))).alias("word")).where(~F.col("word").isin("", *ALLOWED, *SCRUB_STOP, *allowed))
+    words = written(words)
+    known = words.groupBy("word").agg(F.count_distinct(key).alias("n")).where(F.col("n") >= least_rows).select("word")
+    unknown = words.join(sized(written(known)), "word", "left_anti").groupBy(key).agg(F.collect_set("word").alias("unknown"))
+    met = rows.join(unknown, key, "left").withColumn("unknown", F.coalesce("unknown", F.array().cast("array<string>")))
+    units = lambda x: F.regexp_extract_all(x, F.lit(r"\[(?:REF|NUM)\]|\p{L}+|[^\p{L}\[]+|\["), F.lit(0))
+    hide = lambda x, always: F.array_join(F.transform(units(x), lambda u: F.when(u.rlike(r"^\p{L}") & (F.array_contains("unknown", plain_key(u)) | F.lit(always)), "[NAME]").otherwise(u)), "")
+
+    def line(x: Column) -> Column:
+        head = F.regexp_extract(x, rf"(?i)^(.*?{NAME_CUE})", 1)
+        return F.when(head == "", hide(x, False)).otherwise(F.concat(hide(head, False), hide(F.substring(x, F.length(head) + 1, F.length(x)), True)))
+
+    return met.select(key, F.array_join(F.transform(F.split("text", "\n", -1), line), "\n").alias("text"))
 
 
 def left_numbers(rows: DataFrame) -> DataFrame:
@@ -297,3 +353,10 @@ def only_side(rows: DataFrame, side: str = "test") -> DataFrame:
     if not rows.where(~F.col("side").eqNullSafe(F.lit(side))).isEmpty():
         raise ValueError(f"rows of another side than {side}")
     return rows
+
+
+def genre_slice(rows: DataFrame, genre: str, validation: Column, judged: Column) -> DataFrame:
+    """tau, picked again on the validation rows of a genre, and the confusion of the judged rows at it. rows: genre, p, y, stratum."""
+    some = written(rows.where(F.col("genre") == genre))
+    tau = fair_threshold(some.where(validation)).first()["tau"]
+    return confusion(some.where(judged).withColumn("genre", F.lit(genre)), ["genre"], tau).withColumn("tau", F.lit(tau))

@@ -212,3 +212,29 @@ def long_table(wide: DataFrame, key: list[str]) -> DataFrame:
     """key, feature, value, direction, feature_group, kind, confidence: a row for each value that isn't null."""
     rows = F.array(*(F.struct(F.lit(n).alias("feature"), F.col(n).alias("value"), F.lit(f.direction).alias("direction"), F.lit(f.group).alias("feature_group"), F.lit(f.kind).alias("kind"), F.lit(f.confidence).alias("confidence")) for n, f in catalogue().items() if n in wide.columns))
     return wide.select(*key, F.explode_outer(F.filter(rows, lambda r: r["value"].isNotNull())).alias("_f")).select(*key, "_f.*").where("feature IS NOT NULL")
+
+
+#: Features that are matches of a pattern in the text itself.
+SPAN_PATTERNS = {
+    "ellipsis_hand_typed": r"\.{2}(?!\.)|\.{4,}", "repeated_punct_emoticon": rf"[!?\x{{061F}}]{{2,}}|{EMOTICON}", "letter_elongation": r"(?:(\p{L})\1{2,})|\x{0640}{2,}",
+    "multi_exclam": "!{2,}", "em_dash_in_chat": "—", "wa_single_asterisk": r"(?<!\*)\*[^*\n]{2,60}\*(?!\*)", "bold_lead_in_list": "(?m)" + BOLD_LEAD + "|(?m)" + BOLD_LEAD_INSIDE,
+}
+
+
+def evidence(wide: DataFrame, most: int = 200, longest: int = 80) -> DataFrame:
+    """wide (raw, folded, language, lexicon_hits, features) with evidence_spans (start, end, source, name, text), in order, each once, and spanless.
+
+    Places on the folded view are taken back to the text by fold_map(); where that has none, or the NFC form is
+    another text, the match is told as spanless. Blank spans go; at most `most` spans of `longest` characters of text.
+    """
+    kind = "array<struct<start:int,end:int,source:string,name:string,text:string>>"
+    span = lambda start, end, source, name: F.struct(start.alias("start"), end.alias("end"), F.lit(source).alias("source"), name.alias("name"), F.substring(F.col("raw"), start + 1, F.least(end - start, F.lit(longest))).alias("text"))
+    features = [n for n in SPAN_PATTERNS if n in wide.columns]
+    of = lambda n: F.when(F.col(n) > 0, F.transform(T.places(F.col("raw"), SPAN_PATTERNS[n]), lambda x: span(x["start"], x["end"], "signal", F.lit(n)))).otherwise(F.array().cast(kind))
+    place = F.when(F.col("nfc") == F.col("raw"), T.fold_map(F.col("nfc"), F.col("language")))
+    wide = T.barrier(wide.withColumn("_map", F.when(F.size("lexicon_hits") > 0, place)))
+    hits = F.when(F.col("_map").isNotNull(), F.transform("lexicon_hits", lambda h: span(F.get(F.col("_map"), h["start"]), F.get(F.col("_map"), h["end"] - 1) + 1, "lexicon", h["phrase"]))).otherwise(F.array().cast(kind))
+    every = F.filter(F.concat(hits.cast(kind), *(of(n).cast(kind) for n in features)), lambda x: F.trim(x["text"]) != "")
+    silent = F.array(*(F.when(F.col(n).isNotNull(), F.lit(n)) for n in catalogue() if n in wide.columns and n not in features))
+    lost = F.when(F.col("_map").isNull(), F.transform("lexicon_hits", lambda h: h["phrase"])).otherwise(F.array().cast("array<string>"))
+    return wide.withColumns({"evidence_spans": F.slice(F.array_sort(F.array_distinct(every)), 1, most), "spanless": F.array_sort(F.array_distinct(F.filter(F.concat(silent, lost), lambda x: x.isNotNull())))}).drop("_map")

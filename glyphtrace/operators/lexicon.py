@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.tables import sized
+from ..functions.tables import sized, written
 
 # What a row of a lexicon may say.
 TAGS = ("strong", "weak")
@@ -22,7 +22,7 @@ FLAGS = ("-", "initial")
 GAP, GAP_MOST = "…", 60
 HIT = "array<struct<phrase:string,lang:string,kind:string,tag:string,domain:string,start:int,end:int>>"
 #: First words that are searched for by one pattern.
-MOST_HEADS = 2_000
+MOST_HEADS = 64
 #: A first word, in phrases and texts alike; hyphens and apostrophes end it, the whole phrase is compared afterwards.
 HEAD = r"[\p{L}\p{M}]+"
 _STARTS = r"(?:^|[.!?\x{2026}\x{061F}\x{06D4}:\n])[\s\"'\x{201C}\x{2018}\x{00AB}*•-]*$"
@@ -49,25 +49,44 @@ def candidates(texts: DataFrame, lexicon: DataFrame, key: str) -> DataFrame:
     """key, phrase, lang, kind, tag, domain, start, end of each match. texts: key, folded."""
     row = lexicon.withColumn("head", F.regexp_extract("phrase", HEAD, 0))
     heads = [r["head"] for r in row.select("head").distinct().limit(MOST_HEADS + 1).collect()]
+    few = len(heads) <= MOST_HEADS
     pattern = HEAD
-    if len(heads) <= MOST_HEADS:
+    if few:
         one = "|".join(re.sub(r"([^\w\s])", r"\\\1", h) for h in sorted(heads, key=lambda h: (-len(h), h))) or "(?!)"
         pattern = rf"(?<![\p{{L}}\p{{M}}])(?:{one})(?![\p{{L}}\p{{M}}])"
-    word = texts.select(key, "folded", F.explode_outer(T.places(F.col("folded"), pattern)).alias("w")).where("w IS NOT NULL")
-    found = word.join(sized(row), F.col("w.value") == F.col("head"))
-    tail = F.substring(F.col("folded"), F.col("w.start") + 1, F.length("phrase") + GAP_MOST)
-    # the phrase's parts around a gap may be up to GAP_MOST characters apart
-    exact = tail.startswith(F.col("phrase"))
-    left, right = F.trim(F.substring_index("phrase", GAP, 1)), F.trim(F.substring_index("phrase", GAP, -1))
-    rest = F.substring(tail, F.length(left) + 1, GAP_MOST + F.length(right))
-    at = F.call_function("locate", right, rest)
-    gap = F.col("phrase").contains(GAP)
-    end = F.when(gap & tail.startswith(left) & (at > 0) & (at <= GAP_MOST + 1), F.col("w.start") + F.length(left) + at - 1 + F.length(right)).when(~gap & exact, F.col("w.start") + F.length("phrase"))
-    found = found.withColumn("start", F.col("w.start")).withColumn("end", end).where("end IS NOT NULL")
-    bounded = ~F.substring(F.col("folded"), F.col("end") + 1, F.lit(1)).rlike(r"[\p{L}\p{M}\p{Nd}_]")
-    before = F.substring(F.col("folded"), F.greatest(F.col("start") - 40, F.lit(0)) + 1, F.least(F.col("start"), F.lit(40)))
-    first = (F.col("flag") != "initial") | gap | before.rlike(_STARTS)
-    return found.where(bounded & first).select(key, "phrase", "lang", "kind", "tag", "domain", "start", "end")
+    else:  # the words that stand next to each other in a phrase's beginning and in the text meet, not every use of a common word
+        two = F.regexp_extract("phrase", rf"^{HEAD}[^\p{{L}}\p{{M}}{GAP}]{HEAD}", 0)
+        row = row.withColumn("head", F.when(two != "", F.regexp_replace(two, r"[^\p{L}\p{M}]", " ")).otherwise(F.col("head")))
+
+    def keyed(ws: Column) -> Column:
+        each = lambda w, i: F.struct(w["start"].alias("start"), w["value"].alias("value"), F.get(ws, i + 1).alias("next"))
+        pair = lambda w: F.when(w["next"]["start"] == w["start"] + F.length(w["value"]) + 1, F.concat(w["value"], F.lit(" "), w["next"]["value"]))
+        items = F.transform(F.transform(ws, each), lambda w: F.array(F.struct(w["start"].alias("start"), w["value"].alias("value")), F.struct(w["start"].alias("start"), pair(w).alias("value"))))
+        return F.filter(F.flatten(items), lambda w: w["value"].isNotNull())
+
+    at = T.places(F.col("folded"), pattern)
+    # words and candidates travel without their texts, which the candidates then meet once
+    word = texts.select(key, F.explode_outer(at if few else T.let(at, keyed)).alias("w")).select(key, "w.start", "w.value").where("value IS NOT NULL")
+    met = word.join(sized(row), F.col("value") == F.col("head"))
+    some = written(met.groupBy(key).agg(F.collect_list(F.struct("start", "phrase", "lang", "kind", "tag", "domain", "flag")).alias("_some")))
+    folded = F.col("folded")
+
+    def end_of(c: Column) -> Column:
+        tail = F.substring(folded, c["start"] + 1, F.length(c["phrase"]) + GAP_MOST)
+        # the phrase's parts around a gap may be up to GAP_MOST characters apart
+        left, right = F.trim(F.substring_index(c["phrase"], GAP, 1)), F.trim(F.substring_index(c["phrase"], GAP, -1))
+        gap = F.call_function("locate", right, F.substring(tail, F.length(left) + 1, GAP_MOST + F.length(right)))
+        split = F.when(tail.startswith(left) & (gap > 0) & (gap <= GAP_MOST + 1), c["start"] + F.length(left) + gap - 1 + F.length(right))
+        return F.when(c["phrase"].contains(GAP), split).when(tail.startswith(c["phrase"]), c["start"] + F.length(c["phrase"]))
+
+    def good(c: Column) -> Column:
+        before = F.substring(folded, F.greatest(c["start"] - 40, F.lit(0)) + 1, F.least(c["start"], F.lit(40)))
+        bounded = ~F.substring(folded, c["end"] + 1, F.lit(1)).rlike(r"[\p{L}\p{M}\p{Nd}_]")
+        return c["end"].isNotNull() & bounded & ((c["flag"] != "initial") | c["phrase"].contains(GAP) | before.rlike(_STARTS))
+
+    ended = F.transform("_some", lambda c: c.withField("end", end_of(c)))
+    hits = texts.select(key, "folded").join(sized(some), key).select(key, F.filter(ended, good).alias("_hits"))
+    return hits.select(key, F.explode_outer("_hits").alias("h")).where("h IS NOT NULL").select(key, "h.phrase", "h.lang", "h.kind", "h.tag", "h.domain", "h.start", "h.end")
 
 
 def kept(hits: DataFrame, key: str) -> DataFrame:

@@ -48,6 +48,44 @@ def weight_problems(doc: dict) -> list[str]:
     return out[:8]
 
 
+def weights_document(weights: DataFrame, provenance: str, weights_id: str, generated_at: str, expires_at: str, k: float = K) -> dict:
+    """The JSON document of a weights table (cell, feature, w, mu, sigma, kind, b0), as load_weights() reads it; raises on what is wrong with it."""
+    cells: dict = {}
+    for r in weights.orderBy("cell", "feature").collect():
+        c = cells.setdefault(r["cell"], {"b0": r["b0"], "w": {}, "mu": {}, "sigma": {}, "kind": {}})
+        for name in ("w", "mu", "sigma", "kind"):
+            c[name][r["feature"]] = r[name]
+    doc = {"provenance": provenance, "weightsId": weights_id, "generatedAt": generated_at, "expiresAt": expires_at, "K": k, "cells": cells}
+    if problems := weight_problems(doc):
+        raise ValueError("; ".join(problems))
+    return doc
+
+
+def combined(cli: Column, judge: Column) -> Column:
+    """struct(verdict, conflict): the verdict of the scores and a judge's together, by the fixed matrix; null for other words."""
+    order = ("likely_llm", "leaning_llm", "uncertain", "leaning_human", "likely_human", "insufficient_text")
+    # A row for each verdict of the scores, a column for each of the judge, both in that order.
+    matrix = {
+        "likely_llm": ("likely_llm", "leaning_llm", "leaning_llm", "uncertain", "uncertain", "uncertain"), "leaning_llm": ("leaning_llm", "leaning_llm", "uncertain", "uncertain", "uncertain", "uncertain"),
+        "uncertain": ("leaning_llm", "uncertain", "uncertain", "uncertain", "leaning_human", "uncertain"), "leaning_human": ("uncertain", "uncertain", "uncertain", "leaning_human", "leaning_human", "uncertain"),
+        "likely_human": ("uncertain", "uncertain", "leaning_human", "leaning_human", "likely_human", "leaning_human"), "insufficient_text": ("insufficient_text",) * 6,
+    }
+    both = F.concat_ws("|", cli, judge)
+    table = F.create_map(*(F.lit(x) for a in order for b, v in zip(order, matrix[a], strict=True) for x in (f"{a}|{b}", v)))
+    conflict = (cli.isin("likely_llm", "leaning_llm") & judge.isin("leaning_human", "likely_human")) | (cli.isin("leaning_human", "likely_human") & (judge == "likely_llm"))
+    return F.struct(table[both].alias("verdict"), conflict.alias("conflict"))
+
+
+def caveats(verdict: Column, provenance: str, n_tokens: Column, language: Column) -> Column:
+    """The names of what a reader must be told beside a verdict."""
+    leans = verdict.isin("leaning_llm", "likely_llm")
+    told = F.array(
+        F.when(verdict != "insufficient_text", F.lit("base_rate")), F.when(F.lit(provenance == "prior"), F.lit("uncalibrated")), F.when(n_tokens < 150, F.lit("short_text")),
+        F.when(language == "tr", F.lit("turkish")), F.when(leans, F.lit("non_native_writers")), F.when(leans, F.lit("few_calibration_writers")),
+    )
+    return F.filter(told, lambda x: x.isNotNull())
+
+
 def with_fallback(weights: DataFrame, prior: DataFrame) -> DataFrame:
     """weights with the cells of prior that it lacks; column fallback tells them."""
     lacking = prior.join(weights.select("cell").distinct(), "cell", "left_anti")
@@ -152,7 +190,7 @@ def toward_uncertain(v: Column) -> Column:
 
 
 def verdicts(scored: DataFrame, provenance: str = "prior", expires_at: str | None = None, now: datetime.datetime | None = None) -> DataFrame:
-    """scored with gate, verdict, warnings and label. scored: sums() with shape, genre, language, chars, rules and aggregate."""
+    """scored with gate, verdict, caveats, warnings and label. scored: sums() with shape, genre, language, chars, rules and aggregate."""
     c = F.col
     d = scored.withColumns({"gate": gate(c("shape"), c("aggregate")), "_rules": F.filter("rules", lambda r: r["direction"] == "llm")})
     prints = F.size(F.filter("_rules", lambda r: (r["precision"] == "high") & (r["name"] != "near_duplicate")))
@@ -188,6 +226,7 @@ def verdicts(scored: DataFrame, provenance: str = "prior", expires_at: str | Non
     )
     names = F.create_map(*(F.lit(x) for p in LABELS.items() for x in p))
     copied = (c("_n") == 1) & F.exists("_rules", lambda r: r["name"] == "near_duplicate")
+    d = d.withColumn("caveats", caveats(c("verdict"), provenance, c("n_tokens"), c("language")))
     d = d.withColumns({"warnings": F.filter(told, lambda x: x.isNotNull()), "label": F.when(copied, "not_independently_authored").otherwise(names[c("verdict")]), "score": F.when(c("verdict") != "insufficient_text", F.round("score", 12))})
     return d.drop("_rules", "_prints", "_n", "_marker", "_v0", "_v1", "_proxy", "_hybrid", "_v5")
 

@@ -172,10 +172,17 @@ FROM (SELECT doc_id, {_fnv("'split|' || source")} / 4294967295 AS g, {_fnv("'sha
 
 def normal_key_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of documents that stand more than once, with their first document and their languages."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", E.norm_key(F.coalesce("text", F.lit(""))).alias("key"))
-    first = E.first_of_key(d, "key", "doc_id").select(F.md5(F.col("key").cast("binary")).alias("key_md5"), F.col("doc_id").alias("first_id"))
-    n = d.groupBy(F.md5(F.col("key").cast("binary")).alias("key_md5")).agg(F.count("*").alias("rows"), F.count_distinct("lang").alias("languages"))
-    return n.where("rows > 1").join(first, "key_md5")
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.md5(E.norm_key(F.coalesce("text", F.lit(""))).cast("binary")).alias("key_md5"))
+    first = E.first_of_key(d.select("doc_id", "key_md5"), "key_md5", "doc_id").where("repeats > 1").withColumnsRenamed({"doc_id": "first_id", "repeats": "rows"})
+    return first.join(d.groupBy("key_md5").agg(F.count_distinct("lang").alias("languages")), "key_md5").select("key_md5", "rows", "languages", "first_id")
+
+
+def _sql_key(x: str) -> str:
+    return f"trim(regexp_replace(lower(translate(lower(translate({x}, 'Iİ', 'ıi')), '{E.TURKISH_FROM}', '{E.TURKISH_TO}')), '[^\\p{{L}}\\p{{Nd}}]+', ' ', 'g'))"
+
+
+#: Texts in the compatibility form are the same as in the composed one in this table.
+NORMAL_KEY_DUPLICATES = f"SELECT md5(key) AS key_md5, count(*) AS rows, count(DISTINCT lang) AS languages, min(doc_id) AS first_id FROM (SELECT *, {_sql_key(chr(110) + 'fc_normalize(coalesce(text, repeat(chr(32), 0)))')} AS key FROM documents) GROUP BY key HAVING count(*) > 1"
 
 
 def contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -319,8 +326,9 @@ def corpus_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CORPUS_DIGEST = r"""
-WITH p AS (SELECT substr(md5(doc_id::VARCHAR), 1, 3) AS part, sha256(string_agg(doc_id || '|fit|' || sha256(coalesce(text, '')), chr(10) ORDER BY doc_id || '|fit|' || sha256(coalesce(text, '')))) AS h FROM documents GROUP BY part)
-SELECT sha256(string_agg(part || ':' || h, chr(10) ORDER BY part || ':' || h)) AS corpus_hash FROM p"""
+WITH p AS (SELECT substr(md5(doc_id::VARCHAR), 1, 5) AS part, sha256(string_agg(doc_id || '|fit|' || sha256(coalesce(text, '')), chr(10) ORDER BY doc_id || '|fit|' || sha256(coalesce(text, '')))) AS h FROM documents GROUP BY part),
+q AS (SELECT substr(part, 1, 2) AS part2, sha256(string_agg(part || ':' || h, chr(10) ORDER BY part || ':' || h)) AS h FROM p GROUP BY part2)
+SELECT sha256(string_agg(part2 || ':' || h, chr(10) ORDER BY part2 || ':' || h)) AS corpus_hash FROM q"""
 
 
 def heads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -341,10 +349,12 @@ SAMPLE = rf"SELECT doc_id FROM documents ORDER BY {_fnv("'sample|' || doc_id::VA
 
 def intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    return B.intake(d, "source", "lang", "doc_id", cap=1_000_000_000, dedup=False).select("doc_id", F.char_length("text").cast("long").alias("chars"))
+    return B.intake(d, "source", "lang", "doc_id").select("doc_id", F.char_length("text").cast("long").alias("chars"))
 
 
-INTAKE = r"SELECT doc_id, length(t)::BIGINT AS chars FROM (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '^\s+', ''), '\s+$', '') AS t FROM documents) WHERE length(t) >= 20"
+INTAKE = rf"""
+WITH t AS (SELECT doc_id, source, regexp_replace(regexp_replace(coalesce(text, ''), '^\s+', ''), '\s+$', '') AS t FROM documents)
+SELECT min(doc_id) AS doc_id, arg_min(length(t)::BIGINT, doc_id) AS chars FROM (SELECT *, {_sql_key("nfc_normalize(t)")} AS key FROM t WHERE length(t) >= 20) GROUP BY source, key"""
 
 
 def pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -369,6 +379,65 @@ def scrubbed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.scrubbed(c, "id")
 
 
+_SCRUB_UNITS = r"\[(?:REF|NUM)\]|\p{L}+|[^\p{L}\[]+|\["
+SCRUBBED = rf"""
+WITH c AS (SELECT conv_id || '-' || turn AS id, regexp_replace(regexp_replace(coalesce(text, ''), '{E.REFERENCE}', '[REF]', 'g'), '{E.LONG_NUMBER}', '[NUM]', 'g') AS t FROM conversations),
+w AS (SELECT DISTINCT id, unnest(list_transform(regexp_extract_all(regexp_replace(t, '\[(?:REF|NUM)\]', ' ', 'g'), '\p{{L}}+'), lambda u: {_sql_key("u")})) AS word FROM c),
+known AS (SELECT word FROM w GROUP BY word HAVING count(DISTINCT id) >= 15),
+hidden AS (SELECT id, list(word) AS words FROM w WHERE word NOT IN ({", ".join(f"'{x}'" for x in ("", *E.ALLOWED, *E.SCRUB_STOP))}) AND word NOT IN (SELECT word FROM known) GROUP BY id),
+l AS (SELECT c.id, coalesce(words, []) AS words, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM c LEFT JOIN hidden ON c.id = hidden.id),
+h AS (SELECT *, regexp_extract(line, '(?i)^(.*?{E.NAME_CUE})', 1) AS head FROM l),
+s AS (SELECT id, i, array_to_string(list_transform(regexp_extract_all(CASE WHEN head = '' THEN line ELSE head END, '{_SCRUB_UNITS}'), lambda u: CASE WHEN regexp_matches(u, '^\p{{L}}') AND list_contains(words, {_sql_key("u")}) THEN '[NAME]' ELSE u END), '') AS a,
+        CASE WHEN head = '' THEN '' ELSE array_to_string(list_transform(regexp_extract_all(substr(line, length(head) + 1), '{_SCRUB_UNITS}'), lambda u: CASE WHEN regexp_matches(u, '^\p{{L}}') THEN '[NAME]' ELSE u END), '') END AS b FROM h)
+SELECT id, string_agg(a || b, chr(10) ORDER BY i) AS text FROM s GROUP BY id"""
+
+
+def scope_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many turns of each role are out of a corpus' scope, and why; assistants stand for the machine side."""
+    label = F.when(F.col("role") == "user", "REAL").when(F.col("role") == "assistant", "SYNTH").otherwise("OTHER")
+    rows = table(spark, sf_dir, "conversations").select("role", label.alias("label"), "text", F.lit(None).cast("string").alias("lang"))
+    return E.in_scope(rows).groupBy("role", "excluded").agg(F.count("*").alias("rows"))
+
+
+SCOPE_COUNTS = r"""
+SELECT role, CASE WHEN role NOT IN ('user', 'assistant') OR role IS NULL THEN 'label' WHEN trim(coalesce(text, '')) = '' THEN 'blank'
+  WHEN len(regexp_extract_all(text, '[\x{0600}-\x{06FF}]')) / greatest(len(regexp_extract_all(text, '\p{L}')), 1) >= 0.2 THEN 'script' END AS excluded, count(*) AS rows FROM conversations GROUP BY ALL"""
+
+
+def pair_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversation as the pair key of its turns, dropped where a role has one turn only in it."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.col("conv_id").alias("pair"))
+    return E.paired(c, "pair", "role")
+
+
+PAIR_KEYS = "SELECT conv_id, turn, role, CASE WHEN count(*) OVER (PARTITION BY conv_id, role) >= 2 THEN conv_id END AS pair FROM conversations"
+
+
+def combined_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict of the channels met with that of a judge who goes by the capped score alone."""
+    s = scores(spark, sf_dir)
+    judge = F.when(F.col("band") == "<20_tokens", "insufficient_text").when(F.col("score") >= 0.8, "likely_llm").when(F.col("score") >= 0.6, "leaning_llm").when(F.col("score") > 0.4, "uncertain").when(F.col("score") > 0.2, "leaning_human").otherwise("likely_human")
+    return s.select("doc_id", judge.alias("judge"), S.combined(F.col("table_verdict"), judge).alias("c")).select("doc_id", "judge", "c.verdict", "c.conflict")
+
+
+COMBINED_VERDICTS = rf"""
+WITH s AS (SELECT *, CASE WHEN band = '<20_tokens' THEN 'insufficient_text' WHEN score >= 0.8 THEN 'likely_llm' WHEN score >= 0.6 THEN 'leaning_llm' WHEN score > 0.4 THEN 'uncertain' WHEN score > 0.2 THEN 'leaning_human' ELSE 'likely_human' END AS judge FROM ({SCORES}))
+SELECT doc_id, judge, CASE table_verdict
+    WHEN 'leaning_llm' THEN CASE WHEN judge IN ('likely_llm', 'leaning_llm') THEN 'leaning_llm' ELSE 'uncertain' END
+    WHEN 'uncertain' THEN CASE judge WHEN 'likely_llm' THEN 'leaning_llm' WHEN 'likely_human' THEN 'leaning_human' ELSE 'uncertain' END
+    WHEN 'leaning_human' THEN CASE WHEN judge IN ('leaning_human', 'likely_human') THEN 'leaning_human' ELSE 'uncertain' END
+    ELSE 'insufficient_text' END AS verdict,
+  (table_verdict = 'leaning_llm' AND judge IN ('leaning_human', 'likely_human')) OR (table_verdict = 'leaning_human' AND judge = 'likely_llm') AS conflict FROM s"""
+
+
+def author_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Authors judged over all of their messages: joined texts with the features over messages, refused under the floor."""
+    from ..operators.detect import detect_authors
+
+    out = detect_authors(_messages(spark, sf_dir), weights_from=_rule_weights)
+    return out.select("author", "gate", F.round("score", 6).alias("score"), "verdict", "label")
+
+
 def split_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("source", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("key"), E.side_of_shard(F.col("doc_id")).alias("side"))
     return E.split_leaks(d, "key", "side", "source")
@@ -379,5 +448,5 @@ WITH d AS (SELECT source, md5(coalesce(text, '')) AS key, CASE WHEN s < 12 THEN
 SELECT 'key' AS kind, count(*) AS n FROM (SELECT key FROM d GROUP BY key HAVING count(DISTINCT side) > 1)
 UNION ALL SELECT 'group', count(*) FROM (SELECT source FROM d GROUP BY source HAVING count(DISTINCT side) > 1)"""
 
-QUERIES = {f.__name__: f for f in (scrubbed, split_leaks, near_duplicates, author_features, author_texts, history_profiles, history_shifts, scores, detect, corpus_splits, normal_key_duplicates, contaminated, source_crosstab, feature_statistics, auc_by_language, calibration_by_language, confusion_by_bucket, fair_threshold, stratum_rates, headlines, prior_precision, fitted_scores, corpus_digest, heads, sample, intake, pseudonyms, side_audit)}
+QUERIES = {f.__name__: f for f in (scrubbed, scope_counts, pair_keys, combined_verdicts, author_verdicts, split_leaks, near_duplicates, author_features, author_texts, history_profiles, history_shifts, scores, detect, corpus_splits, normal_key_duplicates, contaminated, source_crosstab, feature_statistics, auc_by_language, calibration_by_language, confusion_by_bucket, fair_threshold, stratum_rates, headlines, prior_precision, fitted_scores, corpus_digest, heads, sample, intake, pseudonyms, side_audit)}
 ORACLE_SQL = {n: globals()[n.upper()] for n in QUERIES if n.upper() in globals()}

@@ -237,18 +237,64 @@ def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A lexicon from a table: the first three words of each benchmark item."""
-    w = T.words(T.folded(F.col("text")))
-    rows = table(spark, sf_dir, "benchmark").select(F.array_join(F.slice(w, 1, 3), " ").alias("phrase")).distinct()
-    return rows.where("phrase <> ''").select("phrase", F.lit("en").alias("lang"), F.lit("llm").alias("kind"), F.lit("strong").alias("tag"), F.lit("general").alias("domain"), F.lit("-").alias("flag"))
+    """A lexicon from a table: every run of four words of the benchmark's items."""
+    w = T.barrier(table(spark, sf_dir, "benchmark").select(T.words(T.folded(T.nfc(F.coalesce("text", F.lit(""))))).alias("w")))
+    rows = w.select(F.explode(T.shingles(F.col("w"), 4)).alias("phrase")).distinct()
+    return rows.select("phrase", F.lit("en").alias("lang"), F.lit("llm").alias("kind"), F.lit("strong").alias("tag"), F.lit("general").alias("domain"), F.lit("-").alias("flag"))
+
+
+def lexicon_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place of every phrase in documents, before overlaps are resolved."""
+    d = table(spark, sf_dir, "documents").select("doc_id", T.folded(T.nfc(F.coalesce("text", F.lit("")))).alias("folded"))
+    return X.candidates(T.barrier(d), _phrases(spark, sf_dir), "doc_id").select("doc_id", "phrase", "start", "end")
+
+
+_FOLDED = "replace(translate(lower(nfc_normalize(coalesce(text, ''))), '’‘ʼ´`', repeat(chr(39), 5)), 'i̇', 'i')"
+LEXICON_CANDIDATES = rf"""
+WITH b AS (SELECT {_sql_words(_FOLDED)} AS w FROM benchmark),
+p AS (SELECT DISTINCT unnest(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) AS phrase FROM b WHERE len(w) >= 4),
+d AS (SELECT doc_id, {_FOLDED} AS t FROM documents),
+h AS (SELECT doc_id, phrase, t, string_split(t, phrase) AS gaps FROM d JOIN p ON contains(t, phrase)),
+s AS (SELECT doc_id, phrase, t, unnest(list_transform(range(1, len(gaps)), lambda i: list_sum(list_transform(gaps[1:i], lambda g: length(g))) + (i - 1) * length(phrase)))::BIGINT AS start FROM h)
+SELECT doc_id, phrase, start, start + length(phrase) AS "end" FROM s
+WHERE (start = 0 OR NOT regexp_matches(substr(t, start, 1), '[\p{{L}}\p{{M}}]')) AND NOT regexp_matches(substr(t, start + length(phrase) + 1, 1), '[\p{{L}}\p{{M}}\p{{Nd}}_]')"""
 
 
 def lexicon_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of documents, of overlapping ones the longest, then leftmost, then least."""
     d = table(spark, sf_dir, "documents").select("doc_id", T.folded(T.nfc(F.coalesce("text", F.lit("")))).alias("folded"))
     hits = X.kept(X.candidates(T.barrier(d), _phrases(spark, sf_dir), "doc_id"), "doc_id")
     return hits.select("doc_id", F.explode("lexicon_hits").alias("h")).select("doc_id", "h.phrase", "h.start", "h.end")
 
 
+def fold_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The map from documents' folded view back to the text: how many places it has and their sum; null where there is none."""
+    d = table(spark, sf_dir, "documents").select("doc_id", T.nfc(F.coalesce("text", F.lit(""))).alias("nfc"))
+    m = T.barrier(T.barrier(d).select("doc_id", T.fold_map(F.col("nfc")).alias("m")))
+    return m.select("doc_id", F.when(F.col("m").isNotNull(), F.size("m")).cast("long").alias("places"), F.aggregate("m", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+FOLD_PLACES = f"SELECT doc_id, length({_FOLDED}) AS places, length({_FOLDED}) * (length({_FOLDED}) - 1) // 2 AS total FROM documents"
+
+
+def evidence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the punctuation signals of documents stand."""
+    names = ("repeated_punct_emoticon", "multi_exclam", "em_dash_in_chat")
+    ctx = X.without_hits(D.context(table(spark, sf_dir, "documents").select("doc_id", "text"), {"shape": "chat", "lang": "en"}))
+    rows = FE.evidence(FE.with_features(ctx, names), most=1_000_000)
+    return rows.select("doc_id", F.explode("evidence_spans").alias("s")).select("doc_id", "s.name", "s.start", "s.end", "s.text")
+
+
+def _spans_sql(name: str, pattern: str) -> str:
+    return rf"""
+SELECT doc_id, '{name}' AS name, start, start + length(m) AS "end", m AS text FROM (
+  SELECT doc_id, unnest(ms) AS m, unnest(list_transform(range(1, len(ms) + 1), lambda i: list_sum(list_transform(gs[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1 : i - 1], lambda g: length(g))), 0)))::BIGINT AS start
+  FROM (SELECT doc_id, regexp_extract_all(text, {_quoted(pattern)}) AS ms, string_split_regex(text, {_quoted(pattern)}) AS gs FROM documents WHERE text IS NOT NULL AND regexp_matches(text, {_quoted(pattern)})))"""
+
+
+EVIDENCE_SPANS = _spans_sql("repeated_punct_emoticon", FE.SPAN_PATTERNS["repeated_punct_emoticon"]) + " UNION ALL " + _spans_sql("multi_exclam", "!{2,}") + " UNION ALL SELECT * FROM (" + _spans_sql("em_dash_in_chat", "—") + ") WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE contains(text, ' - '))"
+
+
 def rule_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("raw"))
     return d.select("doc_id", R.invisible(F.col("raw")).cast("long").alias("invisible"), F.array_join(D.markdown_kinds(F.col("raw")), ",").alias("markdown"))
@@ -261,5 +307,5 @@ SELECT doc_id, (len(regexp_extract_all(coalesce(text, ''), '[\x{200B}\x{200C}\x{
     CASE WHEN len(regexp_extract_all(coalesce(text, ''), '(?m)^\s{0,3}[-*+]\s+\S')) >= 2 AND regexp_matches(text, '(?m)^\s{0,3}[-*+]\s*\*\*[^*\n]{2,60}\*\*') THEN 'bullets_with_bold_lead_in' END) AS markdown
 FROM documents"""
 
-QUERIES = {f.__name__: f for f in (prose_features, chat_features, text_views, token_counts, shingle_counts, shape_genre, language_votes, diagnostics, punctuation_features, feature_table, lexicon_matches, rule_marks)}
-ORACLE_SQL = {"text_views": TEXT_VIEWS, "token_counts": TOKEN_COUNTS, "shingle_counts": SHINGLE_COUNTS, "shape_genre": SHAPE_GENRE, "language_votes": _language_sql(), "diagnostics": DIAGNOSTICS, "punctuation_features": PUNCTUATION_FEATURES, "rule_marks": RULE_MARKS, "prose_features": PROSE_FEATURES, "chat_features": CHAT_FEATURES}
+QUERIES = {f.__name__: f for f in (prose_features, chat_features, lexicon_candidates, fold_places, evidence_spans, text_views, token_counts, shingle_counts, shape_genre, language_votes, diagnostics, punctuation_features, feature_table, lexicon_matches, rule_marks)}
+ORACLE_SQL = {"text_views": TEXT_VIEWS, "token_counts": TOKEN_COUNTS, "shingle_counts": SHINGLE_COUNTS, "shape_genre": SHAPE_GENRE, "language_votes": _language_sql(), "diagnostics": DIAGNOSTICS, "punctuation_features": PUNCTUATION_FEATURES, "rule_marks": RULE_MARKS, "prose_features": PROSE_FEATURES, "chat_features": CHAT_FEATURES, "lexicon_candidates": LEXICON_CANDIDATES, "fold_places": FOLD_PLACES, "evidence_spans": EVIDENCE_SPANS}

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import written
+
 ROW = "id string, text string, lang string, context string, sender string, student string, ts string, history array<struct<id:string,text:string>>, historyProfile string"
 LEAST_CHARS = 20
 
@@ -63,13 +65,16 @@ def _labelled(rows: DataFrame, column: str, label: str) -> Column:
     return F.transform(texts, lambda t: F.struct(t.alias("text"), F.lit(label).alias("label")))
 
 
-def intake(rows: DataFrame, source: str, label: str, order: str, cap: int, dedup: bool = True, least: int = LEAST_CHARS) -> DataFrame:
-    """Trimmed texts of enough length, the first of each key within a source if dedup, the first `cap` for each source and label."""
+def intake(rows: DataFrame, source: str, label: str, order: str, cap: int | None = None, dedup: bool = True, least: int = LEAST_CHARS) -> DataFrame:
+    """Trimmed texts of enough length, the first of each key within a source if dedup, the first `cap` (if any) for each source and label."""
     from ..operators.evaluation import norm_key
 
     t = rows.withColumn("text", F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+", ""), r"\s+$", "")).where(F.char_length("text") >= least)
-    if dedup:
-        t = t.withColumn("_k", norm_key(F.col("text"))).withColumn("_n", F.row_number().over(Window.partitionBy(source, "_k").orderBy(order))).where("_n = 1").drop("_k", "_n")
+    if dedup:  # the least row of a key, summed before the shuffle: a hot key is no hot task
+        rest = [c for c in t.columns if c not in (source, order)]
+        t = t.groupBy(source, F.md5(norm_key(F.col("text")).cast("binary")).alias("_k")).agg(F.min(F.struct(order, *rest)).alias("_r")).select(source, "_r.*").select(*t.columns)
+    if cap is None:
+        return t
     return t.withColumn("_n", F.row_number().over(Window.partitionBy(source, label).orderBy(order))).where(F.col("_n") <= cap).drop("_n")
 
 
@@ -84,12 +89,21 @@ def inconsistent(rows: DataFrame, holds: Column) -> DataFrame:
     return rows.where(~F.coalesce(holds, F.lit(False)))
 
 
+def numbered(rows: DataFrame, order: str) -> DataFrame:
+    """rows with _i, their place in the order from 0: sorted in ranges and counted by range, never all in one task."""
+    placed = written(rows.orderBy(order).withColumn("_m", F.monotonically_increasing_id()))
+    part = F.shiftright("_m", 33)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    offsets = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    met = placed.join(F.broadcast(offsets), part == F.col("_part"))
+    return met.withColumn("_i", F.col("_o") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m", "_part", "_o")
+
+
 def strided(rows: DataFrame, order: str, pages: int, size: int) -> DataFrame:
     """`pages` evenly spaced pages of rows."""
     n = rows.count()
     step = max(size, n // max(1, pages))
-    i = F.row_number().over(Window.orderBy(order)) - 1
-    return rows.withColumn("_i", i).where((F.col("_i") % step < size) & (F.col("_i") < step * pages)).drop("_i")
+    return numbered(rows, order).where((F.col("_i") % step < size) & (F.col("_i") < step * pages)).drop("_i")
 
 
 def manifest(rows: DataFrame, text: str) -> DataFrame:
@@ -105,3 +119,23 @@ def pseudonym(ident: Column, salt: str) -> Column:
 def without_numbers(text: Column) -> Column:
     """Long digit runs as [NUM]."""
     return F.regexp_replace(text, r"\d{10,15}", "[NUM]")
+
+
+def read_stdin(spark: SparkSession, stream=None) -> DataFrame:  # noqa: ANN001
+    """id, text of what stands on the standard input, one row; an empty input raises."""
+    import sys
+
+    text = (stream or sys.stdin).read()
+    if not text:
+        raise ValueError("no text on the standard input")
+    return spark.createDataFrame([("stdin", text)], "id string, text string")
+
+
+def pretty(reports: DataFrame, key: str, signals: str | None = None, most: int = 12) -> DataFrame:
+    """key, report: a few lines for people: verdict, score, channels, rules, warnings and the first signals (of scoring.signals())."""
+    number = lambda c: F.coalesce(F.format_number(F.col(c).cast("double"), 3), F.lit("-"))
+    names = F.array_join(F.transform("rules", lambda r: F.concat(r["name"], F.lit(" ("), F.coalesce(r["matched"], F.lit("")), F.lit(")"))), ", ")
+    lines = [F.concat(F.lit("verdict: "), "verdict"), F.concat(F.lit("score: "), number("score")), F.concat(F.lit("channels: machine "), number("llm_channel"), F.lit(", human "), number("human_channel")), F.concat(F.lit("rules: "), names), F.concat(F.lit("warnings: "), F.array_join("warnings", ", "))]
+    if signals:
+        lines += [F.array_join(F.transform(F.slice(signals, 1, most), lambda s: F.concat(F.lit("  "), s["feature"], F.lit(" "), F.format_number(s["contribution"], 3))), "\n")]
+    return reports.select(key, F.concat_ws("\n", *lines).alias("report"))
