@@ -1,8 +1,8 @@
 """URL filters: rules by host and path, and link-graph propagation for what no rule fits.
 
 Host edges come from the pages: absolute links (a relative one stays on its host), the host named in a page's
-copyright line, and a host's parent where that is a host of pages itself. They are counted by (from, to) before
-anything is joined, so a hot host has at most a row for each other host.
+copyright line (if `owners`), and a host's parent where that is a host of pages itself (if `parents`). They are
+counted by (from, to) before anything is joined, so a hot host has at most a row for each other host.
 
 Trust starts at the hosts of pages that an allow rule fits, by their number, and follows the edges (personalised
 PageRank); distrust starts at the hosts of blocked pages and follows the edges backwards, to those who point there.
@@ -11,10 +11,10 @@ end. Rounds go on until no host's mass changes by more than the part TOLERANCE o
 path joins to a seed is reached. A host is blocked if its distrust exceeds its trust by more than the part SHARE of
 their sum, whatever the size of the table, else allowed; hosts that nothing reaches are allowed.
 
-The SQL is of an older definition, with ROUNDS rounds and an absolute MARGIN: it gives the same verdicts only where
-hosts are near their seeds and the table is small.
+The SQL is of the same definition; it goes on for SQL_ROUNDS rounds, by when the masses of its tables have settled.
 
-Everything is a DataFrame operation; tables are written every few rounds, so a lost executor costs little.
+Everything is a DataFrame operation; the masses are written in every round, so a plan is one round long and a lost
+executor costs little.
 
 Cases: a null url, or one without ://, has an empty host and path and the verdict allow; null html has no links;
 repeated pages count again; without rules that fit, nothing is blocked; an empty table gives an empty result; other
@@ -30,8 +30,8 @@ from .common import cut, sized, table
 
 #: verdict, host, path; the longest that fits wins.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-DAMPING, ROUNDS, CUT_EVERY, MARGIN = 0.8, 12, 4, 1e-9
-TOLERANCE, SHARE = 1e-7, 1e-6
+DAMPING, TOLERANCE, SHARE = 0.8, 1e-7, 1e-6
+SQL_ROUNDS = 128
 LINK = r"(?i)<(?:a|area|link|iframe|img|script)\b[^>]*?\s(?:href|src)\s*=\s*[\"']?(?:https?:)?//([^\"'\s>/?#]+)"
 OWNER = r"(?:&copy;|©)\s*([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -56,15 +56,19 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> Column:
     return F.coalesce(*(F.when(fits(*rules[k][1:]), F.lit(k)) for k in order), F.lit(None).cast("int"))
 
 
-def edges_of(pages: DataFrame) -> DataFrame:
+def edges_of(pages: DataFrame, owners: bool = True, parents: bool = True) -> DataFrame:
     """src, dst, w: how many pages of src point to another host dst. pages: host, html."""
     html = F.coalesce("html", F.lit(""))
-    named = F.concat(F.regexp_extract_all(html, F.lit(LINK), F.lit(1)), F.regexp_extract_all(html, F.lit(OWNER), F.lit(1)))
+    named = F.regexp_extract_all(html, F.lit(LINK), F.lit(1))
+    if owners:
+        named = F.concat(named, F.regexp_extract_all(html, F.lit(OWNER), F.lit(1)))
     found = pages.where("host <> ''").select(F.col("host").alias("src"), F.explode(F.array_distinct(F.transform(named, _lower))).alias("dst"))
-    hosts = pages.select("host").where("host <> ''").distinct()
-    parent = F.regexp_replace("src", r"^[^.]*\.?", "")
-    site = hosts.select(F.col("host").alias("src")).withColumn("dst", parent).join(hosts.withColumnRenamed("host", "dst"), "dst", "left_semi").select("src", "dst")
-    return found.unionByName(site).where("src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
+    if parents:
+        hosts = pages.select("host").where("host <> ''").distinct()
+        parent = F.regexp_replace("src", r"^[^.]*\.?", "")
+        site = hosts.select(F.col("host").alias("src")).withColumn("dst", parent).join(hosts.withColumnRenamed("host", "dst"), "dst", "left_semi").select("src", "dst")
+        found = found.unionByName(site)
+    return found.where("src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
@@ -73,37 +77,32 @@ def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE,
     into = edges.groupBy("dst").agg(F.sum("w").alias("into"))
     e = cut(edges.join(out, "src").join(into, "dst").select("src", "dst", (F.col("w") / F.col("out")).alias("forth"), (F.col("w") / F.col("into")).alias("back")))
     nodes = e.select(F.col("src").alias("host")).unionByName(e.select(F.col("dst").alias("host"))).unionByName(seeds.select("host")).distinct()
-    nodes = cut(nodes.join(seeds, "host", "left").fillna(0.0, ["t0", "d0"]))
-    r = nodes.select("host", F.col("t0").alias("trust"), F.col("d0").alias("distrust"))
-    n, moves = 0, True
+    r = cut(nodes.join(seeds, "host", "left").fillna(0.0, ["t0", "d0"]).select("host", "t0", "d0", F.col("t0").alias("trust"), F.col("d0").alias("distrust")))
+    zero = lambda *names: [F.lit(0.0).alias(x) for x in names]
+    # masses only grow, and once all that can be reached is, the largest change of a round, as a part of the mass, shrinks
+    grew = lambda now, was: F.col(now) - F.col(was) > tolerance * F.col(now)
+    moves = True
     while moves:
-        n += 1
-        forth = e.join(r, e["src"] == r["host"]).select(F.col("dst").alias("host"), (F.col("trust") * F.col("forth")).alias("t"), F.lit(0.0).alias("d"))
-        back = e.join(r, e["dst"] == r["host"]).select(F.col("src").alias("host"), F.lit(0.0).alias("t"), (F.col("distrust") * F.col("back")).alias("d"))
-        come = forth.unionByName(back).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
-        mass = lambda seed, come: F.col(seed) + damping * F.coalesce(F.col(come), F.lit(0.0))
-        step = nodes.join(come, "host", "left").select("host", mass("t0", "t").alias("trust"), mass("d0", "d").alias("distrust"))
-        if n % CUT_EVERY:
-            r = step
-            continue
-        # masses only grow; the largest change of one round, as a part of the mass, never grows again
-        before = r.select("host", F.col("trust").alias("t1"), F.col("distrust").alias("d1"))
-        r = cut(step.join(before, "host"))
-        moves = r.where((F.col("trust") - F.col("t1") > tolerance * F.col("trust")) | (F.col("distrust") - F.col("d1") > tolerance * F.col("distrust"))).limit(1).count() > 0
-        r = r.select("host", "trust", "distrust")
+        forth = e.join(r, e["src"] == r["host"]).select(F.col("dst").alias("host"), (F.col("trust") * F.col("forth")).alias("t"), *zero("d", "t0", "d0", "t1", "d1"))
+        back = e.join(r, e["dst"] == r["host"]).select(F.col("src").alias("host"), (F.col("distrust") * F.col("back")).alias("d"), *zero("t", "t0", "d0", "t1", "d1"))
+        own = r.select("host", "t0", "d0", F.col("trust").alias("t1"), F.col("distrust").alias("d1"), *zero("t", "d"))
+        come = own.unionByName(forth).unionByName(back).groupBy("host").agg(*(F.sum(x).alias(x) for x in ("t0", "d0", "t1", "d1", "t", "d")))
+        step = cut(come.select("host", "t0", "d0", "t1", "d1", (F.col("t0") + damping * F.col("t")).alias("trust"), (F.col("d0") + damping * F.col("d")).alias("distrust")))
+        moves = step.where(grew("trust", "t1") | grew("distrust", "d1")).limit(1).count() > 0
+        r = step.select("host", "t0", "d0", "trust", "distrust")
     total = r.agg(F.sum("trust").alias("all_t"), F.sum("distrust").alias("all_d"))
     part = lambda m, of: F.coalesce(F.col(m) / F.nullif(F.col(of), F.lit(0.0)), F.lit(0.0)).alias(m)
     return r.crossJoin(F.broadcast(total)).select("host", part("trust", "all_t"), part("distrust", "all_d"))
 
 
-def judged(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
+def judged(pages: DataFrame, rules: tuple = RULES, owners: bool = True, parents: bool = True) -> DataFrame:
     """page_id, host, path, rule, verdict, trust and distrust (of the host) of every page (page_id, url, html)."""
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"), "html").withColumn("rule_no", rule_of(F.col("host"), F.col("path"), rules))
     verdicts = F.array(*(F.lit(r[0]) for r in rules))
     by_rule = F.when(F.col("rule_no").isNotNull(), F.element_at(verdicts, F.col("rule_no") + 1))
     slim = cut(rows.select("page_id", "host", "path", "rule_no", by_rule.alias("by_rule")))
-    edges = edges_of(rows.select("host", "html"))
+    edges = edges_of(rows.select("host", "html"), owners, parents)
     counts = slim.where("host <> ''").groupBy("host").agg(F.count_if(F.col("by_rule") == "allow").alias("allowed"), F.count_if(F.col("by_rule") == "block").alias("blocked"))
     total = counts.agg(F.sum("allowed").alias("all_allowed"), F.sum("blocked").alias("all_blocked"))
     part = lambda n, of: F.coalesce(F.col(n) / F.nullif(F.col(of), F.lit(0)), F.lit(0.0))
@@ -120,21 +119,15 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """The same in SQL, a table expression for each round."""
+    """The same in SQL, the rounds as a recursive table."""
     order = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
     fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
     rule = " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for _, h, p in order)
     says = " ".join(f"WHEN '{h}{p}' THEN '{v}'" for v, h, p in order)
     low = lambda x: f"translate({x}, '{_UPPER}', '{_UPPER.lower()}')"
     link, owner = LINK.replace("'", "''"), OWNER
-    rounds = "".join(f""",
-r{n} AS MATERIALIZED (
-  SELECT n.host,
-    ({1 - DAMPING} + {DAMPING} * (SELECT coalesce(sum(r.trust), 0) FROM r{n - 1} r WHERE r.host NOT IN (SELECT src FROM e))) * n.t0 + {DAMPING} * coalesce((SELECT sum(r.trust * e.forth) FROM e JOIN r{n - 1} r ON e.src = r.host WHERE e.dst = n.host), 0) AS trust,
-    ({1 - DAMPING} + {DAMPING} * (SELECT coalesce(sum(r.distrust), 0) FROM r{n - 1} r WHERE r.host NOT IN (SELECT dst FROM e))) * n.d0 + {DAMPING} * coalesce((SELECT sum(r.distrust * e.back) FROM e JOIN r{n - 1} r ON e.dst = r.host WHERE e.src = n.host), 0) AS distrust
-  FROM n)""" for n in range(1, ROUNDS + 1))
     return f"""
-WITH p AS MATERIALIZED (
+WITH RECURSIVE p AS MATERIALIZED (
   SELECT page_id, {low("regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1)")} AS host,
          regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path, coalesce(html, '') AS html FROM pages),
 q AS MATERIALIZED (SELECT *, CASE {rule} END AS rule, CASE (CASE {rule} END) {says} END AS by_rule FROM p),
@@ -151,10 +144,19 @@ s AS (SELECT host, count(*) FILTER (by_rule = 'allow') AS a, count(*) FILTER (by
 n AS MATERIALIZED (
   SELECT h.host, coalesce(s.a / nullif((SELECT sum(a) FROM s), 0), 0)::DOUBLE AS t0, coalesce(s.b / nullif((SELECT sum(b) FROM s), 0), 0)::DOUBLE AS d0
   FROM (SELECT host FROM hosts UNION SELECT src FROM e UNION SELECT dst FROM e) h LEFT JOIN s ON s.host = h.host),
-r0 AS MATERIALIZED (SELECT host, t0 AS trust, d0 AS distrust FROM n){rounds}
+r AS (
+  SELECT 0 AS k, host, t0, d0, t0 AS trust, d0 AS distrust FROM n
+  UNION ALL
+  SELECT any_value(k) + 1, host, sum(t0), sum(d0), sum(t0) + {DAMPING} * sum(t), sum(d0) + {DAMPING} * sum(d) FROM (
+    SELECT k, host, t0, d0, 0.0 AS t, 0.0 AS d FROM r
+    UNION ALL SELECT k, e.dst, 0, 0, trust * forth, 0 FROM r JOIN e ON e.src = r.host
+    UNION ALL SELECT k, e.src, 0, 0, 0, distrust * back FROM r JOIN e ON e.dst = r.host)
+  GROUP BY host HAVING any_value(k) < {SQL_ROUNDS}),
+m AS MATERIALIZED (
+  SELECT host, coalesce(trust / nullif(sum(trust) OVER (), 0), 0) AS trust, coalesce(distrust / nullif(sum(distrust) OVER (), 0), 0) AS distrust FROM r WHERE k = {SQL_ROUNDS})
 SELECT q.page_id, q.host, q.path, q.rule,
-       coalesce(by_rule, CASE WHEN coalesce(r.distrust - r.trust, 0) > {MARGIN} THEN 'block' ELSE 'allow' END) AS verdict
-FROM q LEFT JOIN r{ROUNDS} r ON r.host = q.host
+       coalesce(by_rule, CASE WHEN coalesce(m.distrust - m.trust > {SHARE} * (m.distrust + m.trust), false) THEN 'block' ELSE 'allow' END) AS verdict
+FROM q LEFT JOIN m ON m.host = q.host
 """
 
 

@@ -338,6 +338,15 @@ def test_url_filter(spark):
     assert judged(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_url_filter_without_invented_edges(spark):
+    from glyphtrace.llm.url_filter import edges_of
+
+    rows = spark.createDataFrame([("a.b.biz", "&copy; owner.biz"), ("b.biz", '<a href="http://c.biz/">'), ("b.biz", None)], "host string, html string")
+    found = lambda **k: {(r["src"], r["dst"]) for r in edges_of(rows, **k).collect()}
+    link, owner, parent = ("b.biz", "c.biz"), ("a.b.biz", "owner.biz"), ("a.b.biz", "b.biz")
+    assert found() == {link, owner, parent} and found(owners=False) == {link, parent} and found(parents=False) == {link, owner} and found(owners=False, parents=False) == {link}
+
+
 def test_url_filter_reaches_far_and_small(spark):
     from glyphtrace.llm.url_filter import judged, propagate
 
