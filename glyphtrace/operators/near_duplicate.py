@@ -26,20 +26,28 @@ def shingled(ctx: DataFrame, key: str, author: str | None = None, n: int = SHING
 
 
 def _prefixes(sets: DataFrame, df: DataFrame, least: float) -> DataFrame:
-    """set_id, shingle of each set's prefix."""
+    """set_id, n (its size), i (place of the shingle), shingle of each set's prefix."""
     ranked = sets.select("set_id", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")).join(df, "shingle")
-    prefix = F.slice(F.array_sort(F.collect_list(F.struct("df", "shingle"))), F.lit(1), F.first("n") - F.ceil(F.first("n") * F.lit(least)).cast("int") + 1)
-    return ranked.groupBy("set_id").agg(prefix.alias("p")).select("set_id", F.explode("p.shingle").alias("shingle"))
+    some = F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9).cast("int") + 1
+    lists = ranked.groupBy("set_id").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("p"))
+    return lists.select("set_id", "n", F.posexplode(F.slice("p.shingle", F.lit(1), some)).alias("i", "shingle"))
 
 
 def similar_sets(probe: DataFrame, build: DataFrame, least: float = LEAST) -> DataFrame:
-    """a, b, jaccard of the pairs of distinct shingle sets (set_id, shingles) with at least that similarity."""
+    """a, b, jaccard of the pairs of distinct shingle sets (set_id, shingles) with at least that similarity.
+
+    Sizes and places travel with the postings, so sets that can't be similar enough, judged by their sizes or by what
+    is left behind a shared place, are dropped inside the join. A similar pair passes at its first shared shingle.
+    """
     df = probe.unionByName(build).dropDuplicates(["set_id"]).select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("df"))
     df = written(df)
-    left, right = _prefixes(probe, df, least), _prefixes(build, df, least)
-    pairs = left.withColumnRenamed("set_id", "a").join(right.withColumnRenamed("set_id", "b"), "shingle").where("a <> b").select("a", "b").distinct()
+    side = lambda x, i: _prefixes(x, df, least).select("shingle", F.col("set_id").alias(i), F.col("n").alias(f"n_{i}"), F.col("i").alias(f"i_{i}"))
+    left, right = side(probe, "a"), side(build, "b")
+    sizes = (F.col("n_a") >= F.col("n_b") * least - 1e-9) & (F.col("n_b") >= F.col("n_a") * least - 1e-9)
+    ahead = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
+    pairs = left.join(right, "shingle").where((F.col("a") != F.col("b")) & sizes & (ahead * (1 + least) >= (F.col("n_a") + F.col("n_b")) * least - 1e-9)).select("a", "b").distinct()
     met = pairs.join(probe.select(F.col("set_id").alias("a"), F.col("shingles").alias("x")), "a").join(build.select(F.col("set_id").alias("b"), F.col("shingles").alias("y")), "b")
-    met = met.where((F.size("x") >= F.size("y") * least) & (F.size("y") >= F.size("x") * least)).withColumn("common", F.size(F.array_intersect("x", "y")))
+    met = met.withColumn("common", F.size(F.array_intersect("x", "y")))
     return met.select("a", "b", (F.col("common") / (F.size("x") + F.size("y") - F.col("common"))).alias("jaccard")).where(F.col("jaccard") >= least)
 
 

@@ -89,9 +89,9 @@ def inconsistent(rows: DataFrame, holds: Column) -> DataFrame:
     return rows.where(~F.coalesce(holds, F.lit(False)))
 
 
-def numbered(rows: DataFrame, order: str) -> DataFrame:
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
     """rows with _i, their place in the order from 0: sorted in ranges and counted by range, never all in one task."""
-    placed = written(rows.orderBy(order).withColumn("_m", F.monotonically_increasing_id()))
+    placed = written(rows.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()))
     part = F.shiftright("_m", 33)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     offsets = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
@@ -107,8 +107,9 @@ def strided(rows: DataFrame, order: str, pages: int, size: int) -> DataFrame:
 
 
 def manifest(rows: DataFrame, text: str) -> DataFrame:
-    """rows, characters and an order-free digest of a table's texts."""
-    return rows.agg(F.count("*").alias("rows"), F.sum(F.char_length(text)).alias("chars"), F.hex(F.bit_xor(F.xxhash64(text))).alias("digest"))
+    """rows, characters and an order-free digest of a table's texts: the sum of their hashes, in which repeated rows count."""
+    h = F.conv(F.substring(F.md5(F.coalesce(text, F.lit("")).cast("binary")), 1, 12), 16, 10).cast("decimal(38,0)")
+    return rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.char_length(text)), F.lit(0)).alias("chars"), F.coalesce(F.sum(h), F.lit(0)).cast("string").alias("digest"))
 
 
 def pseudonym(ident: Column, salt: str) -> Column:
