@@ -247,6 +247,6 @@ def broken_sums(rows: DataFrame, scored: DataFrame, key: list[str]) -> DataFrame
 
 def triage(scored: DataFrame, key: str, most: int = 40, audit: float = 0.1) -> DataFrame:
     """What people look at first: uncertain and leaning rows and a tenth of the confident ones, nearest to one half, at most 40."""
-    sample = F.pmod(F.xxhash64(key), F.lit(1000)) < int(audit * 1000)
-    near = F.abs(F.col("score") - 0.5)
+    sample = T.fnv1a_32(F.concat(F.lit("triage|"), F.col(key).cast("string"))) % 1000 < int(audit * 1000)
+    near = F.round(F.abs(F.col("score") - 0.5), 9)
     return scored.where(F.col("verdict").isin("uncertain", "leaning_llm", "leaning_human") | (F.col("verdict").startswith("likely") & sample)).orderBy(near.asc_nulls_last(), key).limit(most)

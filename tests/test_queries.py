@@ -1,10 +1,10 @@
 import pandas as pd
 import pytest
 
-from glyphtrace.plans import corpus, text
+from glyphtrace.plans import audits, corpus, text
 from tests.conftest import DATA, duck
 
-QUERIES, SQL = {**text.QUERIES, **corpus.QUERIES}, {**text.ORACLE_SQL, **corpus.ORACLE_SQL}
+QUERIES, SQL = {**text.QUERIES, **corpus.QUERIES, **audits.QUERIES}, {**text.ORACLE_SQL, **corpus.ORACLE_SQL, **audits.ORACLE_SQL}
 
 
 def plain(frame):
