@@ -14,7 +14,7 @@ LEAST_CHARS = 20
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """path, text, problem of whole files; a file that isn't UTF-8 has a problem and no text."""
+    """path, text, problem of whole files; a file that isn't UTF-8 has a problem and no text. Spark passes over empty files."""
     files = spark.read.format("binaryFile").load(path)
     good = F.call_function("is_valid_utf8", F.col("content").cast("string"))
     return files.select("path", F.when(good, F.col("content").cast("string")).alias("text"), F.when(~good, "not UTF-8").alias("problem"))
