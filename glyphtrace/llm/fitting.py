@@ -7,7 +7,7 @@ rows gives as many as there are; an empty table gives no sample; other columns a
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_of
@@ -36,10 +36,33 @@ def labelled_sample(rows: DataFrame, counts: dict, most: dict, longest: int, see
     return [(r["text"], r["label"]) for r in sorted(found, key=lambda r: (r["part"], r["text"], str(r["label"])))]
 
 
-def by_id(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text, label of the rows of docs whose doc_id has a label; the least one where an id has several. labels: doc_id, label."""
+def by_id(docs: DataFrame, labels: DataFrame, *columns: str | Column) -> DataFrame:
+    """The columns (text, if none is named) and label of the rows of docs whose doc_id has a label; the least one where an id has several. labels: doc_id, label."""
     one = labels.where("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.min("label").alias("label"))
-    return docs.select("doc_id", "text").join(one, "doc_id").select("text", "label")
+    slim = docs.select("doc_id", *(columns or ("text",))).join(one, "doc_id")
+    return slim if columns else slim.drop("doc_id")
+
+
+def sample_by_id(docs: DataFrame, labels: DataFrame, most: dict, longest: int, seed: int) -> tuple[list[tuple[str, object]], dict]:
+    """The sample of labelled_sample() for labels that stand in a table of their own, and the number of rows of each label.
+
+    Labels meet ids, hashes and lengths, never texts; the texts of what is picked, at most the sum of `most` rows, which
+    are broadcast, are then read in a second scan.
+    """
+    key = F.xxhash64(F.lit(seed), text_of())
+    slim = by_id(docs, labels, key.alias("h"), F.length(text_of()).alias("len"))
+    counts = label_counts(slim)
+    if not counts:
+        return [], counts
+    part = F.pmod("h", F.lit(1_000_000)) / 1_000_000
+    by_label = lambda of: F.coalesce(*(F.when(F.col("label") == k, F.lit(of(k, n))) for k, n in counts.items()))
+    some = slim.withColumn("part", part).where(F.col("len").between(1, longest) & (F.col("part") < by_label(lambda k, n: min(1.0, 1.3 * most[k] / n))))
+    each = some.groupBy("label", "h", "part").agg(F.min("doc_id").alias("doc_id"))
+    first = Window.partitionBy("label").orderBy("part", "h")
+    picked = each.withColumn("n", F.row_number().over(first)).where(F.col("n") <= by_label(lambda k, n: most[k])).select("doc_id", "h", "label", "part")
+    texts = docs.select("doc_id", key.alias("h"), text_of().alias("text"))
+    found = texts.join(F.broadcast(picked), ["doc_id", "h"]).groupBy("label", "text").agg(F.first("part").alias("part")).collect()
+    return [(r["text"], r["label"]) for r in sorted(found, key=lambda r: (r["part"], r["text"], str(r["label"])))], counts
 
 
 class Logistic:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, table
-from .fitting import Logistic, by_id, label_counts, labelled_sample
+from .fitting import Logistic, sample_by_id
 from .toxicity import scored
 
 TRAIN_ROWS = {1: 3_000, 0: 3_000}
@@ -101,9 +101,7 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """labels: doc_id, label (0 or 1), only rows that may be learned from."""
-    rows = by_id(docs, labels.where(F.col("label").isin(0, 1)))
-    counts = label_counts(rows)
-    return Model(labelled_sample(rows, counts, TRAIN_ROWS, TRAIN_LONGEST, 3), counts)
+    return Model(*sample_by_id(docs, labels.where(F.col("label").isin(0, 1)), TRAIN_ROWS, TRAIN_LONGEST, 3))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

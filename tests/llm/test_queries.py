@@ -282,3 +282,20 @@ def test_recall_against_all_pairs(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     got = {r["doc_id"]: r["component_id"] for r in op10_minhash(spark, f"{DATA}/sf0.001").collect()}
     assert all(got[i] == (c if n else i) for (i, _), (n, c) in zip(rows, brute_near(rows), strict=True))
+
+
+def test_sample_of_labels_by_id(spark):
+    """The same as joining texts with labels first: ids that repeat, copies, nulls, long and empty texts."""
+    from glyphtrace.llm.fitting import by_id, label_counts, sample_by_id
+
+    docs = [(k, f"text {k}", 9) for k in range(60)] + [(k, "same", 9) for k in range(60, 90)] + [(7, "other text of 7", 9), (None, "no id", 9), (90, None, 9), (91, "", 9), (92, "x" * 50, 9)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, label long")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(95)] + [(3, 0), (5, None), (None, 1)], "doc_id long, label int")
+    rows = by_id(docs, labels)
+    got, counts = sample_by_id(docs, labels, {0: 1000, 1: 1000}, 40, 1)
+    assert counts == label_counts(rows)
+    want = {(r["text"], r["label"]) for r in rows.where("length(text) BETWEEN 1 AND 40").collect()}
+    assert set(got) == want and len(got) == len(want) and ("other text of 7", 1) in want and ("text 3", 0) in want
+    few, _ = sample_by_id(docs.repartition(7), labels, {0: 5, 1: 8}, 40, 1)
+    assert set(few) <= want and 0 < sum(y == 0 for _, y in few) <= 5 and sum(y == 1 for _, y in few) <= 8
+    assert few == sample_by_id(docs, labels, {0: 5, 1: 8}, 40, 1)[0] and sample_by_id(docs.limit(0), labels, {0: 5, 1: 8}, 40, 1) == ([], {})
