@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when it has at most this many rows, and as JSON at most this many bytes.
@@ -46,3 +46,20 @@ def text_of(name: str = "text") -> Column:
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo parts; null ids count as the text 'null'."""
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("null")), "utf-8")) % parts
+
+
+def ranked(df: DataFrame, groups: list[str], order: list[str | Column]) -> DataFrame:
+    """df, written, with a column slot: a row's number from 0 among the rows of its groups in the given order; ties in any order, but fixed.
+
+    One sort by ranges over all groups, so neither a large group nor rows that tie in all keys (these also go by their
+    place in the input) become one task's work. What a group has in the partitions before is summed over a table
+    with one row for each partition and group. df must not have columns named slot, at__, part__, tie__ or first__.
+    """
+    rows = cut(df.withColumn("tie__", F.monotonically_increasing_id()))
+    rows = cut(rows.orderBy(*(F.col(g).asc_nulls_first() for g in groups), *order, "tie__").drop("tie__").withColumn("at__", F.monotonically_increasing_id()))
+    rows = rows.withColumn("part__", F.shiftright("at__", 33))
+    parts = rows.groupBy("part__", *groups).agg(F.min("at__").alias("first__"), F.count("*").alias("n"))
+    before = Window.partitionBy(*groups).orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)
+    parts = cut(parts.select(F.col("part__").alias("p"), F.struct(*groups).alias("g"), (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first__")).alias("first__")))
+    met = rows.join(sized(parts), (F.col("part__") == F.col("p")) & F.struct(*groups).eqNullSafe(F.col("g")))
+    return met.withColumn("slot", F.col("at__") + F.col("first__")).drop("at__", "part__", "p", "g", "first__")
