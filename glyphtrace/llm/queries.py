@@ -16,6 +16,8 @@ from .pii import op1_pii
 from .quality import op3_quality
 from .sharding import SQL as SQL13
 from .sharding import op13_sharding
+from .source_divergence import SQL as SQL12
+from .source_divergence import op12_source_divergence
 from .toxicity import op2_toxicity
 from .url_filter import SQL as SQL5
 from .url_filter import op5_url_filter
@@ -31,8 +33,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_minhash": op10_minhash,
+    "op12_source_divergence": op12_source_divergence,
     "op13_sharding": op13_sharding,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL = {"op5_url_filter": SQL5, "op7_mixing": SQL7, "op9_exact_dedup": SQL9, "op13_sharding": SQL13}
+ORACLE_SQL = {"op5_url_filter": SQL5, "op7_mixing": SQL7, "op9_exact_dedup": SQL9, "op12_source_divergence": SQL12, "op13_sharding": SQL13}
