@@ -5,6 +5,8 @@ from __future__ import annotations
 import corpus_pipeline
 
 from .byte_bpe import op6_byte_bpe
+from .conversation_repair import SQL as SQL11
+from .conversation_repair import op11_conversation_repair
 from .exact_dedup import SQL as SQL9
 from .exact_dedup import op9_exact_dedup
 from .language_id import op8_language_id
@@ -33,9 +35,10 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_minhash": op10_minhash,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_source_divergence": op12_source_divergence,
     "op13_sharding": op13_sharding,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL = {"op5_url_filter": SQL5, "op7_mixing": SQL7, "op9_exact_dedup": SQL9, "op12_source_divergence": SQL12, "op13_sharding": SQL13}
+ORACLE_SQL = {"op5_url_filter": SQL5, "op7_mixing": SQL7, "op9_exact_dedup": SQL9, "op11_conversation_repair": SQL11, "op12_source_divergence": SQL12, "op13_sharding": SQL13}
