@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphtrace.llm import byte_bpe, exact_dedup, language_id, minhash, mixing
-from glyphtrace.llm.common import cut, fold, shared_dir, sized
+from glyphtrace.llm.common import cut, fold, ranked, shared_dir, sized
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -45,15 +45,18 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as the mix takes them."""
-    docs = docs.select(*COLUMNS)
-    plan = cut(mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5"), F.col("source").alias("_source"), "size", "taken"))
-    rows = docs.withColumn("_text_md5", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_text_md5") == F.col("_md5"))
-    # equal rows are one row with a number, so that the join makes no pairs of them
-    once = plan.groupBy("_id", "_md5", "_source", "size").agg(F.sum("taken").alias("taken"))
-    first = rows if once.count() == plan.count() else rows.dropDuplicates(["doc_id", "source", "_text_md5"])
-    met = first.join(sized(cut(once)), same)
-    passes = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    rows = docs.select(*COLUMNS)
+    key = F.struct("doc_id", "source", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
+    taken = cut(mixing.mix(rows).select(F.struct("doc_id", "source", "text_md5").alias("key"), "size", "taken"))
+    # equal rows share what is taken of them: the first ones take as much as a row may, by their number
+    plan = cut(taken.groupBy("key", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("n")).where("taken > 0"))
+    most = mixing.MOST * F.col("size")
+    met = rows.withColumn("own", key).join(sized(plan), F.col("own") == F.col("key"))
+    numbered = met.where("n = 1").drop("key").withColumn("slot", F.lit(0).cast("long"))
+    if plan.where("n > 1").limit(1).count():
+        numbered = numbered.unionByName(ranked(met.where("n > 1").drop("key"), ["own"], ["size"]))
+    met = numbered.withColumn("taken", F.least(most, F.col("taken") - F.col("slot") * most)).where("taken > 0")
+    passes = F.ceil(F.col("taken") / F.col("size")).cast("int")  # at most MOST
     each = met.withColumn("_pass", F.explode(F.sequence(F.lit(1), passes)))
     words = F.least(F.col("size"), F.col("taken") - (F.col("_pass") - 1) * F.col("size"))
     whole = words == F.col("size")

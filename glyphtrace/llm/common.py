@@ -1,4 +1,8 @@
-"""What the operators share: reading tables, cutting lineage, joins whose broadcast side is checked."""
+"""What the operators share: reading tables, cutting lineage, joins whose broadcast side is checked, numbers within groups.
+
+Cases: an empty table is written and read like any other, is small, and gives no numbers; nulls in keys are values of
+their own; rows that tie get different numbers; texts of any length pass unread.
+"""
 
 from __future__ import annotations
 
@@ -43,6 +47,14 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many _ before it as make it none of df's columns."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo parts; null ids count as the text 'null'."""
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("null")), "utf-8")) % parts

@@ -7,9 +7,13 @@ first, are looked up in their shard and compared byte by byte: members merge wit
 stay groups of their own. Shards are bounded, so no task ever holds more than a few hundred kB at once, and a
 hot digest is one row after the map-side aggregation.
 
+A locator is the winner's id and its row number in the written table of keys, so of rows that are equal in everything
+one is the winner, and no step makes an array of them.
+
 Cases: a null text is an empty text, and all empty or blank texts are one group; rows repeated with the same
-doc_id and text stay once (one of the repeats has kept = true); a null doc_id loses against any other; an empty
-table gives an empty result; other columns are not read.
+doc_id and text stay once (one of the repeats has kept = true); a null doc_id loses against any other; a text of any
+length is hashed whole and is not carried on; an empty table gives an empty result; other columns are not read, and
+what returns the caller's rows leaves all of them as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, sized, table, text_of
+from .common import cut, free_name, sized, table, text_of
 
 #: Mean number of keys of a shard.
 SHARD_KEYS = 512
@@ -29,8 +33,8 @@ SHARD_KEYS = 512
 GAMMA = 2.0
 DIGEST = 32
 
-INDEX_SCHEMA = "shard long, sizes array<int>, bits binary, digests binary, keep_ids array<long>, n_points array<long>, counts array<long>"
-GROUP_SCHEMA = "digest binary, keep_id long, n_points long, group_size long"
+INDEX_SCHEMA = "shard long, sizes array<int>, bits binary, digests binary, keep_ids array<long>, keep_rows array<long>, n_points array<long>, counts array<long>"
+GROUP_SCHEMA = "digest binary, keep_id long, keep_row long, n_points long, group_size long"
 
 
 def digest_of(text: Column) -> Column:
@@ -39,14 +43,15 @@ def digest_of(text: Column) -> Column:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, digest, n_points (code points of the original text) of every row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of(text_of()).alias("digest"), F.char_length(text_of()).cast("long").alias("n_points"))
+    """doc_id, digest, n_points (code points of the original text), row (a number that no other row has) of every row. To be written before it is used twice."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of(text_of()).alias("digest"), F.char_length(text_of()).cast("long").alias("n_points"), F.monotonically_increasing_id().alias("row"))
 
 
 def grouped(rows: DataFrame) -> DataFrame:
-    """A row for each digest: the winner has the most code points, then the smallest doc_id."""
-    best = F.max(F.struct("n_points", (-F.col("doc_id")).alias("neg_id")))
-    return rows.groupBy("digest").agg(best.alias("best"), F.count("*").alias("group_size")).select("digest", (-F.col("best.neg_id")).alias("keep_id"), F.col("best.n_points").alias("n_points"), "group_size")
+    """A row for each digest: the winner has the most code points, then the smallest doc_id, then the least row number."""
+    best = F.max(F.struct("n_points", (-F.col("doc_id")).alias("neg_id"), (-F.col("row")).alias("neg_row")))
+    found = rows.groupBy("digest").agg(best.alias("best"), F.count("*").alias("group_size"))
+    return found.select("digest", (-F.col("best.neg_id")).alias("keep_id"), (-F.col("best.neg_row")).alias("keep_row"), F.col("best.n_points").alias("n_points"), "group_size")
 
 
 def _words(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +112,7 @@ def _shard_index(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     order = np.argsort(slots)
     rows = pdf.iloc[order]
     ids = [None if pd.isna(x) else int(x) for x in rows["keep_id"]]
-    return pd.DataFrame([{"shard": key[0], "sizes": sizes, "bits": np.packbits(bits).tobytes(), "digests": keys[order].tobytes(), "keep_ids": ids, "n_points": rows["n_points"].tolist(), "counts": rows["group_size"].tolist()}])
+    return pd.DataFrame([{"shard": key[0], "sizes": sizes, "bits": np.packbits(bits).tobytes(), "digests": keys[order].tobytes(), "keep_ids": ids, "keep_rows": rows["keep_row"].tolist(), "n_points": rows["n_points"].tolist(), "counts": rows["group_size"].tolist()}])
 
 
 def _better(n: int, i: int | None, m: int, j: int | None) -> bool:
@@ -117,25 +122,27 @@ def _better(n: int, i: int | None, m: int, j: int | None) -> bool:
 
 def _merge(key: tuple, new: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     """The groups of a shard: each slot of the index merged with the new group of the same digest, then the nonmembers."""
-    fresh = list(zip(new["digest"], (None if pd.isna(x) else int(x) for x in new["keep_id"]), new["n_points"].tolist(), new["group_size"].tolist(), strict=True))
+    columns = ["digest", "keep_id", "keep_row", "n_points", "group_size"]
+    fresh = list(zip(new["digest"], (None if pd.isna(x) else int(x) for x in new["keep_id"]), *(new[c].tolist() for c in columns[2:]), strict=True))
     if not len(index):
-        return pd.DataFrame(fresh, columns=["digest", "keep_id", "n_points", "group_size"]).astype({"keep_id": "Int64"})
+        return pd.DataFrame(fresh, columns=columns).astype({"keep_id": "Int64"})
     r = index.iloc[0]
     sizes, total = [int(x) for x in r["sizes"]], sum(map(int, r["sizes"]))
     held = [r["digests"][i : i + DIGEST] for i in range(0, len(r["digests"]), DIGEST)]
-    out = [[d, None if i is None or pd.isna(i) else int(i), int(n), int(c)] for d, i, n, c in zip(held, r["keep_ids"], r["n_points"], r["counts"], strict=True)]
+    slot_rows = zip(held, r["keep_ids"], r["keep_rows"], r["n_points"], r["counts"], strict=True)
+    out = [[d, None if i is None or pd.isna(i) else int(i), int(at), int(n), int(c)] for d, i, at, n, c in slot_rows]
     bits = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=total).astype(bool)
     slots = lookup_mph(sizes, bits, _matrix(new["digest"])) if len(new) else []
     apart = []
-    for slot, (d, i, n, c) in zip(slots, fresh, strict=True):
+    for slot, (d, i, at, n, c) in zip(slots, fresh, strict=True):
         if slot >= 0 and held[slot] == d:
             o = out[slot]
-            if _better(n, i, o[2], o[1]):
-                o[1], o[2] = i, n
-            o[3] += c
+            if _better(n, i, o[3], o[1]):
+                o[1:4] = i, at, n
+            o[4] += c
         else:
-            apart.append([d, i, n, c])
-    return pd.DataFrame(out + apart, columns=["digest", "keep_id", "n_points", "group_size"]).astype({"keep_id": "Int64"})
+            apart.append([d, i, at, n, c])
+    return pd.DataFrame(out + apart, columns=columns).astype({"keep_id": "Int64"})
 
 
 def _shard(n: int) -> Column:
@@ -150,15 +157,16 @@ def build_index(history: DataFrame, shards: int | None = None) -> tuple[DataFram
 
 
 def merge_with_index(rows: DataFrame, index: DataFrame, shards: int) -> DataFrame:
-    """All groups of history and keyed new rows: digest, keep_id, n_points, group_size."""
+    """All groups of history and keyed new rows: digest, keep_id, keep_row (in the table that it is of), n_points, group_size."""
     new = grouped(rows).withColumn("shard", _shard(shards))
     return new.groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(_merge, GROUP_SCHEMA)
 
 
 def repeats_of_history(docs: DataFrame, index: DataFrame, shards: int) -> DataFrame:
-    """Rows of docs with keep_id and group_size of their group over history and docs; for a corpus that arrives in batches."""
-    with_key = docs.withColumn("digest", digest_of(text_of()))
-    return with_key.join(merge_with_index(keyed(docs), index, shards).select("digest", "keep_id", "group_size"), "digest")
+    """Rows of docs with keep_id and group_size of their group over history and docs (`_keep_id`, ... where docs has such columns); for a corpus that arrives in batches."""
+    groups = cut(merge_with_index(cut(keyed(docs)), index, shards))
+    added = [groups[n].alias(free_name(docs, n)) for n in ("keep_id", "group_size")]
+    return docs.join(groups, digest_of(F.coalesce(docs["text"], F.lit(""))) == groups["digest"]).select(*(docs[c] for c in docs.columns), *added)
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
@@ -170,12 +178,12 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     rows = cut(keyed(docs))
     old = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
     index, shards = build_index(rows.where(old))
-    groups = merge_with_index(rows.where(~old), index, shards)
-    same = rows.groupBy("digest", "doc_id", "n_points").agg(F.count("*").cast("int").alias("rows"))
-    met = same.join(groups.select("digest", "keep_id", F.col("n_points").alias("most"), "group_size"), "digest")
-    wins = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("most"))
-    each = met.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("rows"))))
-    return each.select("doc_id", "digest", "n_points", "keep_id", "group_size", (wins & (F.col("nth") == 1)).alias("kept"))
+    groups = cut(merge_with_index(rows.where(~old), index, shards).where("group_size > 1"))
+    # rows of a digest of their own need no partner; each of the others meets one row, by broadcast while these are few
+    met = rows.join(sized(groups.select(F.col("digest").alias("same"), "keep_id", "keep_row", "group_size")), F.col("digest") == F.col("same"), "left")
+    alone = F.col("same").isNull()
+    keep_id = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
+    return met.select("doc_id", "digest", "n_points", keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (alone | (F.col("row") == F.col("keep_row"))).alias("kept"))
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
@@ -183,21 +191,19 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
 
     The losers' keys are joined by broadcast while they are few, else by a shuffle.
     """
-    found = cut(exact_groups(docs))
-    lost = found.where(~F.col("kept")).groupBy("doc_id", "digest", "n_points").count()
-    won = found.where("kept").select("doc_id", "digest", "n_points")
-    key = ["_id", "_digest", "_points"]
-    as_key = lambda x: x.select(F.col("doc_id").alias("_id2"), F.col("digest").alias("_digest2"), F.col("n_points").alias("_points2"))
-    same = F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_digest") == F.col("_digest2")) & (F.col("_points") == F.col("_points2"))
-    rows = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_digest": digest_of(text_of()), "_points": F.char_length(text_of()).cast("long")})
+    key = F.struct("doc_id", "digest", "n_points").alias("key")
+    found = cut(exact_groups(docs).where("group_size > 1"))
+    lost, won = cut(found.where("NOT kept").select(key).distinct()), found.where("kept").select(key)
     # a key that has both a kept and a dropped row is a repeated row: of these one stays
-    lost = cut(lost.select("doc_id", "digest", "n_points"))
-    repeated = cut(lost.join(won, (lost.doc_id.eqNullSafe(won.doc_id)) & (lost.digest == won.digest) & (lost.n_points == won.n_points), "left_semi"))
-    kept = rows.join(sized(as_key(lost)), same, "left_anti")
+    repeated = cut(lost.join(won, "key", "left_semi"))
+    text = F.coalesce(docs["text"], F.lit(""))
+    own = F.struct(docs["doc_id"].cast("long").alias("doc_id"), digest_of(text).alias("digest"), F.char_length(text).cast("long").alias("n_points"))
+    kept = docs.join(sized(lost), own == lost["key"], "left_anti")
     if not repeated.isEmpty():
-        once = rows.join(sized(as_key(repeated)), same, "left_semi").dropDuplicates(key)
+        name = free_name(docs, "key")
+        once = docs.join(sized(repeated), own == repeated["key"], "left_semi").withColumn(name, own).dropDuplicates([name]).drop(name)
         kept = kept.unionByName(once)
-    return kept.drop(*key)
+    return kept
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ rejected: at most REJECTED of the rightly labelled whole texts of that part fall
 
 At prediction the embeddings and the softmax's weights are one table (BUCKETS x languages); scoring is a mean of its
 rows. The sample holds at most TRAIN_ROWS texts of each language (fewer, LEAST_ROWS at least, where languages are so many
-that there would be more than TRAIN_ALL), of TRAIN_LONGEST code points at most. Every language of the table is learned.
+that there would be more than TRAIN_ALL), a window of TRAIN_WINDOW code points of a longer one. Every language of the table is learned.
 
 Cases: a null text, an empty one or one without a letter is `und` with score 0 and is rejected; nothing to learn from
 makes every text `und`; of equally likely languages the first by code point; null ids are folded as the text 'null';
@@ -31,7 +31,7 @@ from .common import fold, table
 from .fitting import label_counts, labelled_sample
 
 BUCKETS, WIDTH, NGRAMS = 1 << 15, 16, (1, 2, 3, 4)
-TRAIN_ROWS, LEAST_ROWS, TRAIN_ALL, TRAIN_LONGEST = 400, 10, 80_000, 20_000
+TRAIN_ROWS, LEAST_ROWS, TRAIN_ALL, TRAIN_WINDOW = 400, 10, 80_000, 20_000
 EPOCHS, RATE = 6, 0.5
 #: Share of rightly labelled texts that calibration lets be rejected, and the level never exceeded.
 REJECTED, MOST = 0.001, 0.5
@@ -147,7 +147,7 @@ def fit(docs: DataFrame) -> Model:
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("text", F.col("lang").alias("label"))
     counts = label_counts(rows)
     each = max(LEAST_ROWS, min(TRAIN_ROWS, TRAIN_ALL // max(1, len(counts))))
-    return Model(labelled_sample(rows, counts, dict.fromkeys(counts, each), TRAIN_LONGEST, 8))
+    return Model(labelled_sample(rows, counts, dict.fromkeys(counts, each), TRAIN_WINDOW, 8))
 
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:

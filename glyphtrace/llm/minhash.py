@@ -6,7 +6,7 @@ they are skipped, and so are classes with fewer than MATCHES shared pairs left.
 rarest first, and only the prefix is posted: two classes with at least MATCHES common pairs share one within their
 first (pairs - MATCHES + 1). Retained pairs have at least MATCHES equal coordinates; then the full sets decide.
 
-MATCHES is 36 of 64: at a similarity of 0.8 fewer are equal once in about a million.
+MATCHES is 36 of 64: at a similarity of 0.8 fewer are equal once in about 240,000 links (binomial; 4.2e-6), fewer above it.
 
 A posting list is never turned into all its pairs. Each list has a hub, its most central class (most frequent
 coordinates): all members are compared with the hub, the links found are merged into components, and this is done
@@ -20,7 +20,8 @@ hot list is many tasks' work.
 
 Cases: a null or empty text has an empty set and links with nothing; texts under the shingle length are one shingle;
 repeated rows and ids are of one class; null ids are kept, the smallest id of a component ignores them; a text of
-any length is cut into words in blocks; an empty table gives an empty result; other columns are not read.
+any length is cut into words in blocks; an empty table gives an empty result; other columns are not read, and
+drop_near_copies() returns them as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -290,21 +291,21 @@ def near_groups(docs: DataFrame, words: int = 5, least: int = 80) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, least: int = 80) -> DataFrame:
-    """docs with one row of each component: the one of the smallest doc_id (null last), then text digest. Rows with an empty set stay."""
+    """docs with one row of each component: the one of the smallest doc_id (null last), then text digest. Rows with an empty set stay; the columns stay as they are."""
     rows = cut(near_rows(docs, words, least).where("label IS NOT NULL"))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_md5")
     grouped = rows.groupBy("label").agg(F.min(first).alias("first"), F.count("*").alias("n")).where("n > 1")
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_md5") == F.col("first.text_md5"))
-    met = rows.join(grouped, "label").withColumn("stays", stays)
-    lost = cut(met.where("NOT stays").select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5")).distinct())
-    again = cut(met.where("stays").groupBy(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5")).agg(F.count("*").alias("n")).where("n > 1").select("_id", "_md5"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")) == F.col("_md5"))
-    kept = docs.join(sized(lost), same, "left_anti")
+    met = rows.join(grouped, "label").select(F.struct("doc_id", "text_md5").alias("key"), stays.alias("stays"))
+    lost = cut(met.where("NOT stays").select("key").distinct())
+    again = cut(met.where("stays").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    key = lambda x: F.struct(x["doc_id"].cast("long").alias("doc_id"), F.md5(F.coalesce(x["text"].cast("string"), F.lit("")).cast("binary")).alias("text_md5"))
+    kept = docs.join(sized(lost), key(docs) == lost["key"], "left_anti")
     if again.isEmpty():
         return kept
     # rows that are repeated whole are met by their content, one stays
-    some = kept.join(sized(again), same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(sized(again), same, "left_anti").unionByName(some)
+    some = kept.join(sized(again), key(kept) == again["key"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(sized(again), key(kept) == again["key"], "left_anti").unionByName(some)
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

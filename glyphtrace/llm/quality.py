@@ -4,7 +4,7 @@ Dictionaries are trained on pieces of good and of bad labelled texts. A text is
 compressed with both; the normalised difference of the compressed sizes (of all, and of the most extreme pieces) is
 calibrated to the probability of label 1 by a logistic regression on labelled texts that the dictionaries didn't see.
 
-Learning takes at most TRAIN_ROWS labelled texts of each class, of TRAIN_LONGEST code points at most. Scoring is a pass
+Learning takes at most TRAIN_ROWS labelled texts of each class, a window of TRAIN_WINDOW code points of a longer one. Scoring is a pass
 over whole texts, a text of any length at a time.
 
 Cases: null and empty texts are one empty piece and get its score; without labels of both classes the score is the
@@ -28,11 +28,13 @@ from .fitting import Logistic, sample_by_id
 from .toxicity import scored
 
 TRAIN_ROWS = {1: 3_000, 0: 3_000}
-TRAIN_LONGEST = 20_000
+TRAIN_WINDOW = 20_000
 PIECE, DICTIONARY, LEVEL = 512, 32_768, 3
-#: Pieces of a text that a dictionary learns from, of good and of bad texts; bad ones are fewer.
-PIECES = {1: 2, 0: 12}
+#: Pieces of a text that a dictionary learns from, of good and of bad texts (bad ones are fewer), and of all texts of a class together.
+PIECES, ALL_PIECES = {1: 2, 0: 12}, 12_000
 THRESHOLD = 0.3
+#: Least scales of the features, of which the length is the last but one.
+SCALES = [0.0] * 5 + [0.5, 0.0]
 
 
 def pieces(text: str) -> list[bytes]:
@@ -41,13 +43,12 @@ def pieces(text: str) -> list[bytes]:
 
 
 def trained(texts: list[str], each: int) -> bytes:
-    """A dictionary of DICTIONARY bytes at most, trained on pieces of the texts; raw text where there is too little."""
+    """A dictionary of DICTIONARY bytes at most, trained on pieces of all texts, fewer of each where these are many; raw text where there is too little."""
     draw = random.Random(2)
-    some = []
+    each, some = max(1, min(each, ALL_PIECES // max(1, len(texts)))), []
     for ps in map(pieces, texts):
         some += draw.sample(ps, min(each, len(ps)))
     draw.shuffle(some)
-    some = some[:12_000]
     try:
         return zstandard.train_dictionary(min(DICTIONARY, max(1024, sum(map(len, some)) // 8)), some).as_bytes()
     except zstandard.ZstdError:
@@ -90,7 +91,7 @@ class Model:
         sizes = Sizes(*self.contents)
         y = np.array([y for _, y in second])
         weight = np.array([counts[k] / have[k] for k in y.tolist()])
-        self.logistic = Logistic(np.array([sizes.features(t) for t, _ in second]), y, weight, squares=True)
+        self.logistic = Logistic(np.array([sizes.features(t) for t, _ in second]), y, weight, squares=True, least=SCALES)
 
     def scorer(self):  # noqa: ANN201
         if self.logistic is None:
@@ -101,7 +102,7 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """labels: doc_id, label (0 or 1), only rows that may be learned from."""
-    return Model(*sample_by_id(docs, labels.where(F.col("label").isin(0, 1)), TRAIN_ROWS, TRAIN_LONGEST, 3))
+    return Model(*sample_by_id(docs, labels.where(F.col("label").isin(0, 1)), TRAIN_ROWS, TRAIN_WINDOW, 3))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

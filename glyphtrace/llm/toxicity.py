@@ -9,7 +9,7 @@ regression on labelled documents that the dictionaries didn't see calibrates the
 The dictionaries hold the words that set the classes apart, by document frequency, the most telling ones last, where
 zstandard reaches them cheapest; a dictionary trained on all text of a class holds what both classes share.
 
-Learning takes at most TRAIN_ROWS labelled texts of each class, of TRAIN_LONGEST code points at most. Scoring is a
+Learning takes at most TRAIN_ROWS labelled texts of each class, a window of TRAIN_WINDOW code points of a longer one. Scoring is a
 pass over whole texts; compressed lengths are kept by window within a task.
 
 Cases: null and empty texts have one empty window and get its score; without labels of both classes the score is the
@@ -35,7 +35,7 @@ from .common import fold, table
 from .fitting import Logistic, sample_by_id
 
 TRAIN_ROWS = {1: 2_000, 0: 4_000}
-TRAIN_LONGEST = 20_000
+TRAIN_WINDOW = 20_000
 WINDOW_WORDS = 1
 TOXIC_BYTES, ORDINARY_BYTES, LEVEL = 1024, 8192, 9
 #: Bytes that no text has in a row.
@@ -43,6 +43,8 @@ ANCHOR = bytes([*range(1, 8), *range(14, 31)])
 WORD = r"[^\s.,!?|;:()$%&*#\"]+"
 STEPS = (2, 3, 4, 5, 6, 7)
 KEPT_WINDOWS = 400_000
+#: Least scales of the features, of which the length is the last.
+SCALES = [0.0] * (7 + len(STEPS)) + [0.5]
 THRESHOLD = 0.3
 
 
@@ -122,7 +124,7 @@ class Model:
         distance = Distance(*self.contents)
         y = np.array([y for _, y in second])
         weight = np.array([counts[k] / have[k] for k in y.tolist()])
-        self.logistic = Logistic(np.array([distance.features(t) for t, _ in second]), y, weight, squares=False)
+        self.logistic = Logistic(np.array([distance.features(t) for t, _ in second]), y, weight, squares=False, least=SCALES)
 
     def scorer(self):  # noqa: ANN201
         if self.logistic is None:
@@ -133,7 +135,7 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """labels: doc_id, label (0 or 1), only rows that may be learned from."""
-    return Model(*sample_by_id(docs, labels.where(F.col("label").isin(0, 1)), TRAIN_ROWS, TRAIN_LONGEST, 2))
+    return Model(*sample_by_id(docs, labels.where(F.col("label").isin(0, 1)), TRAIN_ROWS, TRAIN_WINDOW, 2))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
