@@ -26,8 +26,6 @@ ABBREVIATIONS = (
     "jan", "feb", "mar", "apr", "jun", "jul", "aug", "sep", "sept", "oct", "nov", "dec", "mon", "tue", "wed", "thu", "fri", "sat", "sun",
     "doç", "doc", "sn", "av", "vb", "örn", "orn", "bkz", "yy", "tl", "cad", "sok", "mah", "apt", "bl", "tel", "fax", "faks",
 )
-#: Stands for a full stop that ends nothing.
-MASK = ""
 
 
 @F.pandas_udf(StringType())
@@ -138,27 +136,6 @@ def fnv1a_32(text: Column) -> Column:
     return F.aggregate(codes, F.lit(2166136261).cast("long"), lambda h, c: ((h.bitwiseXOR(c)) * 16777619).bitwiseAND(F.lit(4294967295).cast("long")))
 
 
-def _masked(text: Column) -> Column:
-    """text with MASK for full stops in decimals, ordinals, abbreviations, initials, urls and addresses."""
-    t = F.regexp_replace(text, r"(?<=\p{Nd})\.(?=\p{Nd})", MASK)
-    t = F.regexp_replace(t, r"(?<![\p{L}\p{Nd}])(\p{Nd}{1,2})\.(?=[^\S\n]*\p{Ll})", f"$1{MASK}")
-    t = F.regexp_replace(t, rf"(?i)(?<!\p{{L}})({'|'.join(ABBREVIATIONS)})\.", f"$1{MASK}")
-    t = F.regexp_replace(t, r"(?<!\p{L})(\p{Lu})\.", f"$1{MASK}")
-    web = r"://|@|(?i)\.(?:com|net|org|edu|gov|info|io|co|tr|de|uk|fr|nl|ru)\b"
-    keep = F.transform(F.split(t, r"(?<=\s)", -1), lambda u: F.when(u.rlike(web), F.regexp_replace(u, r"\.(?=\S)", MASK)).otherwise(u))
-    return F.array_join(keep, "")
-
-
-def sentences(text: Column, shape: Column) -> Column:
-    """The sentences of a text. Prose: lines that go on in lower case join; chat: each line stands alone."""
-    joined = F.regexp_replace(text, r"(?<=\S)[^\S\n]*\r?\n(?=[^\S\n]*\p{Ll})", " ")
-    unit = F.when(shape == "prose", joined).otherwise(text)
-    soft = F.when(shape == "prose", F.regexp_replace(_masked(unit), r"[;\x{061B}]", "$0\n")).otherwise(_masked(unit))
-    cut = F.regexp_replace(soft, r"([.!?\x{061F}\x{06D4}\x{203C}\x{2049}\x{FF01}\x{FF1F}\x{3002}\x{2026}]+[\"\x{201D}\x{2019}')\]\x{00BB}\x{203A}]*)", "$1\n")
-    parts = F.transform(F.split(cut, r"\r?\n", -1), lambda s: F.trim(F.translate(s, MASK, ".")))
-    return F.filter(parts, lambda s: s.rlike(WORD))
-
-
 def let(value: Column, body) -> Column:  # noqa: ANN001
     """body(value), the value computed once: Spark folds an expression into each place of a lambda that uses it."""
     return F.transform(F.array(value), body)[0]

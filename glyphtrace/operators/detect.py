@@ -40,7 +40,7 @@ def detect(
     ctx = lexicon.without_hits(ctx) if phrases is None else lexicon.with_hits(ctx, phrases, key)
     by = ["author"] if "author" in ctx.columns and key != "author" else []
     # what the texts are read for is written once; rules, near duplicates and scores take it from there
-    base = written(features.with_features(ctx).select(key, *by, *BASE, *features.catalogue()))
+    base = written(features.with_features(ctx).select(key, *by, *BASE, *features.FEATURES))
     found = None
     if index is not None:
         probe = near_duplicate.shingled(base, key, "author" if by else None)

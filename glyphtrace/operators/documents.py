@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import language as L
 from ..functions import text as T
+from ..functions.segment import segmented
 
 # The closed sets of the options.
 OPTIONS = {
@@ -84,8 +85,8 @@ def context(df: DataFrame, options: dict[str, str] | None = None, text: str = "t
     df = T.barrier(df).withColumn("lines_with_words", F.filter("lines", lambda x: x.rlike(T.WORD)))
     df = df.withColumn("shape", shape_of(F.col("_shape"), F.col("_channel"), F.col("chars"), F.size("lines"), F.col("markdown")))
     df = df.withColumn("genre", genre_of(F.col("_genre"), F.col("shape"), F.col("_channel")))
-    df = T.barrier(T.barrier(df).withColumn("sentences", T.sentences(F.col("raw"), F.col("shape"))))
-    df = df.withColumn("sentence_words", F.transform("sentences", lambda s: F.regexp_count(s, F.lit(T.WORD))))
+    df = T.barrier(df).withColumn("segmented", segmented(F.col("nfc"), F.col("shape")))
+    df = df.withColumns({"sentences": F.col("segmented.text"), "sentence_words": F.col("segmented.words"), "listed": F.col("segmented.listed")})
     return T.barrier(df.withColumn("cell", cell_of(F.col("language"), F.col("shape"))).drop("_shape", "_channel", "_genre", "_domain"))
 
 

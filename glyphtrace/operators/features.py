@@ -6,12 +6,14 @@ A feature is computed only for its shape, its languages and from its least numbe
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache, cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import language as L
 from ..functions import text as T
+from ..functions.segment import SUSPECT
 
 # Word lists and patterns of the features.
 EMOJI = r"[\x{00A9}\x{00AE}\x{203C}\x{2049}\x{2122}\x{2139}\x{2194}-\x{21AA}\x{231A}-\x{23FF}\x{24C2}\x{25AA}-\x{27BF}\x{2934}-\x{2B55}\x{3030}-\x{3299}\x{1F000}-\x{1FAFF}]"
@@ -75,7 +77,50 @@ class Feature:
     shape: str  # any, chat or prose
     langs: tuple[str, ...]  # () is any
     least: int
-    value: Column
+
+
+_BOTH = ("en", "tr")
+#: All features by name; their values are columns over documents.context() and lexicon.with_hits(), see value_of().
+FEATURES = {n: Feature(*about) for n, about in {
+    "sentence_len_cv": ("rhythm", "human", "continuous", "MED", "prose", (), 120),
+    "sentence_len_mode_mass": ("rhythm", "llm", "continuous", "LOW", "prose", (), 120),
+    "paragraph_uniformity": ("rhythm", "llm", "continuous", "LOW", "prose", (), 250),
+    "content_word_repeat": ("rhythm", "human", "continuous", "LOW", "prose", (), 150),
+    "terminal_punct_ratio": ("punctuation", "llm", "continuous", "MED", "any", (), 20),
+    "sentence_initial_caps": ("punctuation", "llm", "continuous", "LOW", "chat", _BOTH, 20),
+    "all_lowercase": ("punctuation", "human", "binary", "MED", "chat", _BOTH, 20),
+    "ellipsis_hand_typed": ("punctuation", "human", "rate", "MED", "any", (), 0),
+    "repeated_punct_emoticon": ("punctuation", "human", "rate", "HIGH", "any", (), 0),
+    "letter_elongation": ("punctuation", "human", "rate", "HIGH", "any", (), 3),
+    "space_hygiene": ("punctuation", "human", "rate", "LOW", "any", (), 20),
+    "multi_exclam": ("punctuation", "human", "rate", "MED", "any", (), 0),
+    "exclam_single_regular": ("punctuation", "llm", "binary", "LOW", "prose", (), 0),
+    "em_dash_in_chat": ("punctuation", "llm", "binary", "LOW", "chat", _BOTH, 0),
+    "wa_single_asterisk": ("punctuation", "human", "binary", "MED", "chat", (), 0),
+    "emoji_repeat_run": ("punctuation", "human", "binary", "MED", "any", (), 0),
+    "emoji_bullet_led": ("structure", "llm", "binary", "MED", "any", (), 0),
+    "tr_asciified_probe": ("orthography", "human", "continuous", "HIGH", "any", ("tr",), 8),
+    "tr_mixed_orthography": ("orthography", "human", "binary", "MED", "any", ("tr",), 8),
+    "tr_bare_capital_I": ("orthography", "human", "rate", "MED", "any", ("tr",), 8),
+    "tr_apostrophe_absent": ("orthography", "human", "rate", "LOW", "any", ("tr",), 12),
+    "tr_chat_morphology": ("orthography", "human", "rate", "HIGH", "chat", ("tr",), 3),
+    "tr_formal_copula": ("register", "llm", "rate", "LOW", "prose", ("tr",), 100),
+    "bold_lead_in_list": ("structure", "llm", "rate", "HIGH", "any", (), 20),
+    "colon_led_list": ("structure", "llm", "rate", "LOW", "any", (), 20),
+    "enumerated_openers": ("structure", "llm", "binary", "MED", "prose", _BOTH, 0),
+    "parallel_openers": ("structure", "llm", "continuous", "LOW", "prose", _BOTH, 120),
+    "closing_summary_move": ("structure", "llm", "binary", "MED", "prose", _BOTH, 120),
+    "balanced_contrast_frame": ("structure", "llm", "rate", "MED", "any", _BOTH, 100),
+    "out_of_channel_register": ("structure", "llm", "binary", "MED", "any", (), 0),
+    "greeting_signoff_frame": ("structure", "llm", "binary", "LOW", "any", _BOTH, 30),
+    "llm_lexicon_strong": ("register", "llm", "rate", "HIGH", "any", _BOTH, 0),
+    "llm_lexicon_weak": ("register", "llm", "rate", "LOW", "any", _BOTH, 40),
+    "politeness_formula": ("register", "llm", "rate", "MED", "any", _BOTH, 0),
+    "hedge_density": ("register", "llm", "rate", "LOW", "prose", _BOTH, 100),
+    "human_lexicon": ("human_marker", "human", "rate", "HIGH", "any", _BOTH, 1),
+    "contraction_apostrophe_drop": ("human_marker", "human", "rate", "MED", "any", ("en",), 5),
+    "self_correction_marker": ("human_marker", "human", "rate", "HIGH", "chat", (), 2),
+}.items()}
 
 
 def _mean(xs: Column) -> Column:
@@ -102,95 +147,162 @@ def _by_lang(patterns: dict[str, str], make) -> Column:  # noqa: ANN001
     return F.when(lang == "en", make(patterns["en"])).when(lang == "tr", make(patterns["tr"]))
 
 
+def _bold(line: Column) -> Column:
+    return line.rlike(BOLD_LEAD) | line.rlike(BOLD_LEAD_INSIDE)
+
+
 def _share(some: Column, every: Column) -> Column:
     return F.size(some) / F.size(every)
 
 
-def catalogue() -> dict[str, Feature]:
-    """All features by name, over the columns of documents.context() and lexicon.with_hits()."""
-    raw, nfc, folded, lower, lines = (F.col(c) for c in ("raw", "nfc", "folded", "lower", "lines"))
-    sents, lens, n = F.col("sentences"), F.transform("sentence_words", lambda x: x.cast("double")), F.col("n_tokens")
-    n_sents = F.size(sents)
-    listed = F.size(F.filter(sents, lambda s: s.rlike(r"^\s*(?:[-*•]|\p{Nd}{1,3}[.)])\s"))) / n_sents
-    steady = (n_sents >= 8) & (F.coalesce(F.array_max("sentence_words"), F.lit(0)) <= 120)
-    para = F.transform("paragraphs", lambda p: F.regexp_count(p, F.lit(T.WORD)).cast("double"))
-    turkish_doc = F.col("language") == "tr"
-    content = F.filter(lower, lambda t: (F.length(t) >= 4) & ~F.when(turkish_doc, t.isin(*L.TR_STOP)).otherwise(t.isin(*L.EN_STOP)))
-    stem_of = lambda t: F.when(turkish_doc, F.substring(t, F.lit(1), F.least(F.lit(6), F.greatest(F.lit(1), F.length(t) - 2)))).otherwise(t)
-    repeat = T.let(content, lambda c: F.when(F.size(c) >= 20, 1 - F.size(F.array_distinct(F.transform(c, stem_of))) / F.size(c)))
-    trailing = rf"[\s\x{{200B}}-\x{{200D}}\x{{FEFF}}]*(?:{EMOJI}{EMOJI_MARKS}*[\s\x{{200B}}-\x{{200D}}\x{{FEFF}}]*)*$"
-    units = F.when(F.size("lines_with_words") >= 2, F.col("lines_with_words")).otherwise(sents)
-    ended = F.filter(units, lambda u: u.rlike(T.TERMINALS + trailing))
-    firsts = F.filter(F.transform(sents, lambda s: F.regexp_extract(s, T.WORD, 0)), lambda w: w.rlike(r"^\p{L}"))
-    letters = _count(nfc, r"\p{L}")
-    urls = _count(raw, r"(?:https?://|www\.)\S+")
-    after = _count(raw, r"[,.;:\x{060C}\x{061B}](?=\p{L})") - _count(raw, r"\p{Nd}[.,]\p{Nd}") - 2 * urls - _count(raw, rf"(?i){BEFORE}(?:e\.g|i\.e|vs|etc|vb|bkz)\.")
-    slips = _count(raw, r"\S {2,}\S") + _count(raw, r"\s+[,.;:!?\x{060C}\x{061B}\x{061F}]") + F.greatest(F.lit(0), after) + F.size(F.filter(lines, lambda x: x.rlike(r"[^\S\n]$") & x.rlike(r"\S")))
-    singles = _count(raw, r"(?<!!)!(?!!)") / n_sents
-    bold = lambda x: x.rlike(BOLD_LEAD) | x.rlike(BOLD_LEAD_INSIDE)
-    led = F.size(F.filter(F.arrays_zip(lines.alias("a"), F.slice(lines, 2, F.size(lines)).alias("b")), lambda p: p["a"].rlike(r":\s*$") & F.coalesce(p["b"].rlike(r"^\s*[-*•\p{Nd}]"), F.lit(False))))
-    plain = F.size(F.filter(lines, lambda x: x.rlike(PLAIN_LEAD) & ~bold(x)))
-    low_sents = F.transform(sents, lambda s: T.case_fold(F.ltrim(s), F.col("language")))
-    enumerated = _by_lang(ENUMERATED, lambda p: F.size(F.filter(low_sents, lambda s: s.rlike(p))))
-    starts = lambda lang: F.filter(F.transform(low_sents, lambda s: F.regexp_extract(s, T.WORD, 0)), lambda t: (t != "") & ~t.isin(*FUNCTION_OPENERS[lang]))
-    opens = F.when(F.col("language") == "tr", starts("tr")).otherwise(starts("en"))
-    links = _by_lang({k: rf"{BEFORE}(?:{'|'.join(v)}){AFTER}" for k, v in CONNECTORS.items()}, lambda p: _count(folded, p))
-    repeats = F.when(F.size(opens) >= 2, 1 - F.size(F.array_distinct(opens)) / F.size(opens)).otherwise(0.0)
-    last = T.case_fold(F.ltrim(F.element_at("paragraphs", -1)), F.col("language"))
-    balanced = F.when(F.col("language") == "en", sum((_count(folded, p) for p in BALANCED["en"]), F.lit(0))).when(F.col("language") == "tr", sum((_count(folded, p) for p in BALANCED["tr"]), F.lit(0)))
-    framed = _by_lang(OPENERS, lambda p: F.ltrim(folded).rlike(rf"^(?:{p}){AFTER}")) & _by_lang(SIGN_OFFS, lambda p: folded.rlike(p))
-    turkish = F.transform("tokens", lambda t: T.case_fold(t, F.lit("tr")))
-    ascii_form, proper = L.hits(turkish, tuple(a for a, _ in TR_PLAIN)), L.hits(turkish, tuple(b for _, b in TR_PLAIN))
-    stem = lambda t: F.regexp_replace(T.case_fold(t, F.lit("tr")), TR_CASES, "")
-    cased = lambda t: t.rlike(r"^\p{Lu}") & (F.length(t) >= 6) & ~t.rlike("['\u2019]") & T.case_fold(t, F.lit("tr")).rlike(TR_CASES) & (F.length(stem(t)) >= 4)
-    bare_names = T.let(turkish, lambda bag: F.size(F.filter("tokens", lambda t: cased(t) & (stem(t).isin(*TR_CITIES) | F.array_contains(bag, stem(t))))))
-    corrections = sum((raw.rlike(p).cast("int") for p in SELF_CORRECTIONS), F.lit(0))
-    per_100 = lambda c: c * 100.0 / n
-    flag = lambda c: F.when(c, F.lit(1.0))
-    both = ("en", "tr")
-    hit = lambda kind, tag: F.size(F.filter("lexicon_hits", lambda h: (h["kind"] == kind) & (h["tag"] == tag)))
-    polite = F.size(F.filter(_by_lang({k: f"(?:{v}){AFTER}" for k, v in POLITE.items()}, lambda p: T.places(folded, p)), lambda x: ~F.exists("lexicon_hits", lambda h: (h["start"] < x["end"]) & (h["end"] > x["start"]))))
-    f = Feature
-    return {
-        "sentence_len_cv": f("rhythm", "human", "continuous", "MED", "prose", (), 120, F.when(steady & (listed <= 0.6), _variation(lens))),
-        "sentence_len_mode_mass": f("rhythm", "llm", "continuous", "LOW", "prose", (), 120, F.when(n_sents >= 8, _share(F.filter("sentence_words", lambda x: x.between(12, 22)), sents))),
-        "paragraph_uniformity": f("rhythm", "llm", "continuous", "LOW", "prose", (), 250, F.when(F.size("paragraphs") >= 4, 1 - F.least(F.lit(1.0), _variation(para)))),
-        "content_word_repeat": f("rhythm", "human", "continuous", "LOW", "prose", (), 150, repeat),
-        "terminal_punct_ratio": f("punctuation", "llm", "continuous", "MED", "any", (), 20, F.when(F.size(units) >= 2, _share(ended, units))),
-        "sentence_initial_caps": f("punctuation", "llm", "continuous", "LOW", "chat", both, 20, F.when((n_sents >= 3) & (F.size(firsts) >= 3), _share(F.filter(firsts, lambda w: w.rlike(r"^\p{Lu}")), firsts))),
-        "all_lowercase": f("punctuation", "human", "binary", "MED", "chat", both, 20, F.when(letters >= 20, F.when((letters - _count(nfc, r"[\p{Lu}\p{Lt}]")) / letters > 0.98, 1.0).otherwise(0.0))),
-        "ellipsis_hand_typed": f("punctuation", "human", "rate", "MED", "any", (), 0, _positive(_count(raw, r"\.{2}(?!\.)") + _count(raw, r"\.{4,}"))),
-        "repeated_punct_emoticon": f("punctuation", "human", "rate", "HIGH", "any", (), 0, _positive(_count(raw, r"[!?\x{061F}]{2,}") + _count(raw, EMOTICON))),
-        "letter_elongation": f("punctuation", "human", "rate", "HIGH", "any", (), 3, _positive(_count(nfc, r"(\p{L})\1{2,}") + _count(raw, r"\x{0640}{2,}"))),
-        "space_hygiene": f("punctuation", "human", "rate", "LOW", "any", (), 20, per_100(slips)),
-        "multi_exclam": f("punctuation", "human", "rate", "MED", "any", (), 0, _positive(_count(raw, r"!{2,}"))),
-        "exclam_single_regular": f("punctuation", "llm", "binary", "LOW", "prose", (), 0, F.when(n_sents >= 4, F.when(raw.contains("!!"), 0.0).when(singles.between(0.25, 0.75), 1.0).otherwise(0.0))),
-        "em_dash_in_chat": f("punctuation", "llm", "binary", "LOW", "chat", both, 0, F.when(raw.contains("—") & ~raw.contains(" - "), 1.0).otherwise(0.0)),
-        "wa_single_asterisk": f("punctuation", "human", "binary", "MED", "chat", (), 0, flag(raw.rlike(r"(?<!\*)\*[^*\n]{2,60}\*(?!\*)"))),
-        "emoji_repeat_run": f("punctuation", "human", "binary", "MED", "any", (), 0, flag(raw.rlike(rf"({EMOJI})\1|[\x{{1F3FB}}-\x{{1F3FF}}]"))),
-        "emoji_bullet_led": f("structure", "llm", "binary", "MED", "any", (), 0, flag(F.size(F.filter(lines, lambda x: x.rlike(rf"^\s*{EMOJI}{EMOJI_MARKS}*\s+\p{{Lu}}"))) >= 2)),
-        "tr_asciified_probe": f("orthography", "human", "continuous", "HIGH", "any", ("tr",), 8, F.when((ascii_form >= 2) & (ascii_form / (ascii_form + proper + 1) > 0.5), ascii_form / (ascii_form + proper + 1))),
-        "tr_mixed_orthography": f("orthography", "human", "binary", "MED", "any", ("tr",), 8, flag((ascii_form > 0) & (proper > 0))),
-        "tr_bare_capital_I": f("orthography", "human", "rate", "MED", "any", ("tr",), 8, _positive(F.size(F.filter("tokens", lambda t: t.rlike("^I(?=[a-zçğıöşü])"))))),
-        "tr_apostrophe_absent": f("orthography", "human", "rate", "LOW", "any", ("tr",), 12, F.when(bare_names >= 2, bare_names.cast("double"))),
-        "tr_chat_morphology": f("orthography", "human", "rate", "HIGH", "chat", ("tr",), 3, _positive(F.size(F.filter("tokens", lambda t: t.rlike(TR_FUTURES))) + _count(nfc, TR_CHAT))),
-        "tr_formal_copula": f("register", "llm", "rate", "LOW", "prose", ("tr",), 100, F.when(F.col("genre") != "formal_letter", per_100(F.size(F.filter(turkish, lambda t: t.rlike(FORMAL_COPULA)))))),
-        "bold_lead_in_list": f("structure", "llm", "rate", "HIGH", "any", (), 20, _positive(F.size(F.filter(lines, bold)))),
-        "colon_led_list": f("structure", "llm", "rate", "LOW", "any", (), 20, _positive(led + plain)),
-        "enumerated_openers": f("structure", "llm", "binary", "MED", "prose", both, 0, flag((n_sents >= 6) & (enumerated >= 3))),
-        "parallel_openers": f("structure", "llm", "continuous", "LOW", "prose", both, 120, F.when((n_sents >= 6) & ((F.size(opens) >= 2) | (links >= 3)), F.least(F.lit(1.0), repeats + F.when(links >= 3, 0.15).otherwise(0.0)))),
-        "closing_summary_move": f("structure", "llm", "binary", "MED", "prose", both, 120, flag(_by_lang(CLOSERS, lambda p: last.rlike(rf"^(?:{p}){AFTER}")))),
-        "balanced_contrast_frame": f("structure", "llm", "rate", "MED", "any", both, 100, _positive(balanced)),
-        "out_of_channel_register": f("structure", "llm", "binary", "MED", "any", (), 0, flag((F.col("channel") == "whatsapp") & (F.col("chars") > 400) & (F.size("paragraphs") >= 2))),
-        "greeting_signoff_frame": f("structure", "llm", "binary", "LOW", "any", both, 30, flag(((F.col("genre") == "review") | (F.col("shape") == "chat")) & framed)),
-        "llm_lexicon_strong": f("register", "llm", "rate", "HIGH", "any", both, 0, _positive(hit("llm", "strong"))),
-        "llm_lexicon_weak": f("register", "llm", "rate", "LOW", "any", both, 40, per_100(hit("llm", "weak"))),
-        "politeness_formula": f("register", "llm", "rate", "MED", "any", both, 0, _positive(polite)),
-        "hedge_density": f("register", "llm", "rate", "LOW", "prose", both, 100, _by_lang({k: f"{BEFORE}(?:{v}){AFTER}" for k, v in HEDGES.items()}, lambda p: per_100(_count(folded, p)))),
-        "human_lexicon": f("human_marker", "human", "rate", "HIGH", "any", both, 1, _positive(3 * hit("human", "strong") + hit("human", "weak"))),
-        "contraction_apostrophe_drop": f("human_marker", "human", "rate", "MED", "any", ("en",), 5, _positive(L.hits(lower, CONTRACTIONS))),
-        "self_correction_marker": f("human_marker", "human", "rate", "HIGH", "chat", (), 2, _positive(corrections)),
-    }
+def _per_100(n: Column) -> Column:
+    return n * 100.0 / F.col("n_tokens")
+
+
+def _flag(c: Column) -> Column:
+    return F.when(c, F.lit(1.0))
+
+
+def _hits(kind: str, tag: str) -> Column:
+    return F.size(F.filter("lexicon_hits", lambda h: (h["kind"] == kind) & (h["tag"] == tag)))
+
+
+def _counts(patterns: tuple[str, ...]) -> Column:
+    return sum((_count(F.col("folded"), p) for p in patterns), F.lit(0))
+
+
+class _Values:
+    """The features' values, and what several of them use; each is built when it is first asked for."""
+
+    def __init__(self) -> None:
+        self.raw, self.nfc, self.folded, self.lower, self.lines, self.sents = (F.col(c) for c in ("raw", "nfc", "folded", "lower", "lines", "sentences"))
+
+    n_sents = cached_property(lambda v: F.size(v.sents))
+    turkish = cached_property(lambda v: F.transform("tokens", lambda t: T.case_fold(t, F.lit("tr"))))
+    ascii_form = cached_property(lambda v: L.hits(v.turkish, tuple(a for a, _ in TR_PLAIN)))
+    proper = cached_property(lambda v: L.hits(v.turkish, tuple(b for _, b in TR_PLAIN)))
+    low_sents = cached_property(lambda v: F.transform(v.sents, lambda s: T.case_fold(F.ltrim(s), F.col("language"))))
+
+    @cached_property
+    def sentence_len_cv(self) -> Column:
+        steady = (self.n_sents >= 8) & (F.coalesce(F.array_max("sentence_words"), F.lit(0)) <= SUSPECT)
+        listed = F.size(F.filter("listed", lambda x: x)) / self.n_sents
+        return F.when(steady & (listed <= 0.6), _variation(F.transform("sentence_words", lambda x: x.cast("double"))))
+
+    sentence_len_mode_mass = cached_property(lambda v: F.when(v.n_sents >= 8, _share(F.filter("sentence_words", lambda x: x.between(12, 22)), v.sents)))
+    paragraph_uniformity = cached_property(lambda v: F.when(F.size("paragraphs") >= 4, 1 - F.least(F.lit(1.0), _variation(F.transform("paragraphs", lambda p: F.regexp_count(p, F.lit(T.WORD)).cast("double"))))))
+
+    @cached_property
+    def content_word_repeat(self) -> Column:
+        turkish = F.col("language") == "tr"
+        content = F.filter(self.lower, lambda t: (F.length(t) >= 4) & ~F.when(turkish, t.isin(*L.TR_STOP)).otherwise(t.isin(*L.EN_STOP)))
+        stem = lambda t: F.when(turkish, F.substring(t, F.lit(1), F.least(F.lit(6), F.greatest(F.lit(1), F.length(t) - 2)))).otherwise(t)
+        return T.let(content, lambda c: F.when(F.size(c) >= 20, 1 - F.size(F.array_distinct(F.transform(c, stem))) / F.size(c)))
+
+    @cached_property
+    def terminal_punct_ratio(self) -> Column:
+        trailing = rf"[\s\x{{200B}}-\x{{200D}}\x{{FEFF}}]*(?:{EMOJI}{EMOJI_MARKS}*[\s\x{{200B}}-\x{{200D}}\x{{FEFF}}]*)*$"
+        units = F.when(F.size("lines_with_words") >= 2, F.col("lines_with_words")).otherwise(self.sents)
+        return F.when(F.size(units) >= 2, _share(F.filter(units, lambda u: u.rlike(T.TERMINALS + trailing)), units))
+
+    @cached_property
+    def sentence_initial_caps(self) -> Column:
+        firsts = F.filter(F.transform(self.sents, lambda s: F.regexp_extract(s, T.WORD, 0)), lambda w: w.rlike(r"^\p{L}"))
+        return F.when((self.n_sents >= 3) & (F.size(firsts) >= 3), _share(F.filter(firsts, lambda w: w.rlike(r"^\p{Lu}")), firsts))
+
+    @cached_property
+    def all_lowercase(self) -> Column:
+        letters = _count(self.nfc, r"\p{L}")
+        return F.when(letters >= 20, F.when((letters - _count(self.nfc, r"[\p{Lu}\p{Lt}]")) / letters > 0.98, 1.0).otherwise(0.0))
+
+    ellipsis_hand_typed = cached_property(lambda v: _positive(_count(v.raw, r"\.{2}(?!\.)") + _count(v.raw, r"\.{4,}")))
+    repeated_punct_emoticon = cached_property(lambda v: _positive(_count(v.raw, r"[!?\x{061F}]{2,}") + _count(v.raw, EMOTICON)))
+    letter_elongation = cached_property(lambda v: _positive(_count(v.nfc, r"(\p{L})\1{2,}") + _count(v.raw, r"\x{0640}{2,}")))
+
+    @cached_property
+    def space_hygiene(self) -> Column:
+        raw, urls = self.raw, _count(self.raw, r"(?:https?://|www\.)\S+")
+        after = _count(raw, r"[,.;:\x{060C}\x{061B}](?=\p{L})") - _count(raw, r"\p{Nd}[.,]\p{Nd}") - 2 * urls - _count(raw, rf"(?i){BEFORE}(?:e\.g|i\.e|vs|etc|vb|bkz)\.")
+        ends = F.size(F.filter(self.lines, lambda x: x.rlike(r"[^\S\n]$") & x.rlike(r"\S")))
+        return _per_100(_count(raw, r"\S {2,}\S") + _count(raw, r"\s+[,.;:!?\x{060C}\x{061B}\x{061F}]") + F.greatest(F.lit(0), after) + ends)
+
+    multi_exclam = cached_property(lambda v: _positive(_count(v.raw, r"!{2,}")))
+
+    @cached_property
+    def exclam_single_regular(self) -> Column:
+        singles = _count(self.raw, r"(?<!!)!(?!!)") / self.n_sents
+        return F.when(self.n_sents >= 4, F.when(self.raw.contains("!!"), 0.0).when(singles.between(0.25, 0.75), 1.0).otherwise(0.0))
+
+    em_dash_in_chat = cached_property(lambda v: F.when(v.raw.contains("—") & ~v.raw.contains(" - "), 1.0).otherwise(0.0))
+    wa_single_asterisk = cached_property(lambda v: _flag(v.raw.rlike(r"(?<!\*)\*[^*\n]{2,60}\*(?!\*)")))
+    emoji_repeat_run = cached_property(lambda v: _flag(v.raw.rlike(rf"({EMOJI})\1|[\x{{1F3FB}}-\x{{1F3FF}}]")))
+    emoji_bullet_led = cached_property(lambda v: _flag(F.size(F.filter(v.lines, lambda x: x.rlike(rf"^\s*{EMOJI}{EMOJI_MARKS}*\s+\p{{Lu}}"))) >= 2))
+    tr_asciified_probe = cached_property(lambda v: T.let(F.struct(v.ascii_form.alias("a"), v.proper.alias("p")), lambda x: F.when((x["a"] >= 2) & (x["a"] / (x["a"] + x["p"] + 1) > 0.5), x["a"] / (x["a"] + x["p"] + 1))))
+    tr_mixed_orthography = cached_property(lambda v: _flag((v.ascii_form > 0) & (v.proper > 0)))
+    tr_bare_capital_I = cached_property(lambda v: _positive(F.size(F.filter("tokens", lambda t: t.rlike("^I(?=[a-zçğıöşü])")))))
+
+    @cached_property
+    def tr_apostrophe_absent(self) -> Column:
+        stem = lambda t: F.regexp_replace(T.case_fold(t, F.lit("tr")), TR_CASES, "")
+        cased = lambda t: t.rlike(r"^\p{Lu}") & (F.length(t) >= 6) & ~t.rlike("['\u2019]") & T.case_fold(t, F.lit("tr")).rlike(TR_CASES) & (F.length(stem(t)) >= 4)
+        names = T.let(self.turkish, lambda bag: F.size(F.filter("tokens", lambda t: cased(t) & (stem(t).isin(*TR_CITIES) | F.array_contains(bag, stem(t))))))
+        return T.let(names, lambda n: F.when(n >= 2, n.cast("double")))
+
+    tr_chat_morphology = cached_property(lambda v: _positive(F.size(F.filter("tokens", lambda t: t.rlike(TR_FUTURES))) + _count(v.nfc, TR_CHAT)))
+    tr_formal_copula = cached_property(lambda v: F.when(F.col("genre") != "formal_letter", _per_100(F.size(F.filter(v.turkish, lambda t: t.rlike(FORMAL_COPULA))))))
+    bold_lead_in_list = cached_property(lambda v: _positive(F.size(F.filter(v.lines, _bold))))
+
+    @cached_property
+    def colon_led_list(self) -> Column:
+        pairs = F.arrays_zip(self.lines.alias("a"), F.slice(self.lines, 2, F.size(self.lines)).alias("b"))
+        led = F.size(F.filter(pairs, lambda p: p["a"].rlike(r":\s*$") & F.coalesce(p["b"].rlike(r"^\s*[-*•\p{Nd}]"), F.lit(False))))
+        return _positive(led + F.size(F.filter(self.lines, lambda x: x.rlike(PLAIN_LEAD) & ~_bold(x))))
+
+    enumerated_openers = cached_property(lambda v: _flag((v.n_sents >= 6) & (_by_lang(ENUMERATED, lambda p: F.size(F.filter(v.low_sents, lambda s: s.rlike(p)))) >= 3)))
+
+    @cached_property
+    def parallel_openers(self) -> Column:
+        starts = lambda lang: F.filter(F.transform(self.low_sents, lambda s: F.regexp_extract(s, T.WORD, 0)), lambda t: (t != "") & ~t.isin(*FUNCTION_OPENERS[lang]))
+        opens = F.when(F.col("language") == "tr", starts("tr")).otherwise(starts("en"))
+        links = _by_lang({k: rf"{BEFORE}(?:{'|'.join(v)}){AFTER}" for k, v in CONNECTORS.items()}, lambda p: _count(self.folded, p))
+
+        def value(x: Column) -> Column:
+            repeats = F.when(F.size(x["opens"]) >= 2, 1 - F.size(F.array_distinct(x["opens"])) / F.size(x["opens"])).otherwise(0.0)
+            return F.when((self.n_sents >= 6) & ((F.size(x["opens"]) >= 2) | (x["links"] >= 3)), F.least(F.lit(1.0), repeats + F.when(x["links"] >= 3, 0.15).otherwise(0.0)))
+
+        return T.let(F.struct(opens.alias("opens"), links.alias("links")), value)
+
+    closing_summary_move = cached_property(lambda v: _flag(_by_lang(CLOSERS, lambda p: T.case_fold(F.ltrim(F.element_at("paragraphs", -1)), F.col("language")).rlike(rf"^(?:{p}){AFTER}"))))
+    balanced_contrast_frame = cached_property(lambda v: _positive(F.when(F.col("language") == "en", _counts(BALANCED["en"])).when(F.col("language") == "tr", _counts(BALANCED["tr"]))))
+    out_of_channel_register = cached_property(lambda v: _flag((F.col("channel") == "whatsapp") & (F.col("chars") > 400) & (F.size("paragraphs") >= 2)))
+
+    @cached_property
+    def greeting_signoff_frame(self) -> Column:
+        framed = _by_lang(OPENERS, lambda p: F.ltrim(self.folded).rlike(rf"^(?:{p}){AFTER}")) & _by_lang(SIGN_OFFS, lambda p: self.folded.rlike(p))
+        return _flag(((F.col("genre") == "review") | (F.col("shape") == "chat")) & framed)
+
+    llm_lexicon_strong = cached_property(lambda v: _positive(_hits("llm", "strong")))
+    llm_lexicon_weak = cached_property(lambda v: _per_100(_hits("llm", "weak")))
+
+    @cached_property
+    def politeness_formula(self) -> Column:
+        found = _by_lang({k: f"(?:{v}){AFTER}" for k, v in POLITE.items()}, lambda p: T.places(self.folded, p))
+        return _positive(F.size(F.filter(found, lambda x: ~F.exists("lexicon_hits", lambda h: (h["start"] < x["end"]) & (h["end"] > x["start"])))))
+
+    hedge_density = cached_property(lambda v: _by_lang({k: f"{BEFORE}(?:{p}){AFTER}" for k, p in HEDGES.items()}, lambda p: _per_100(_count(v.folded, p))))
+    human_lexicon = cached_property(lambda v: _positive(3 * _hits("human", "strong") + _hits("human", "weak")))
+    contraction_apostrophe_drop = cached_property(lambda v: _positive(L.hits(v.lower, CONTRACTIONS)))
+    self_correction_marker = cached_property(lambda v: _positive(sum((v.raw.rlike(p).cast("int") for p in SELF_CORRECTIONS), F.lit(0))))
+
+
+@cache
+def _values(application: str) -> _Values:
+    return _Values()
+
+
+def value_of(name: str) -> Column:
+    """The value of a feature, without regard to where it applies; built once in an application."""
+    return getattr(_values(SparkSession.active().sparkContext.applicationId), name)
 
 
 def applies(f: Feature) -> Column:
@@ -204,13 +316,12 @@ def applies(f: Feature) -> Column:
 
 def with_features(ctx: DataFrame, only: tuple[str, ...] | None = None) -> DataFrame:
     """ctx with a column for each feature, null where it doesn't apply or can't be computed."""
-    every = catalogue()
-    return T.barrier(ctx.withColumns({n: F.when(applies(f), f.value.cast("double")) for n, f in every.items() if only is None or n in only}))
+    return T.barrier(ctx.withColumns({n: F.when(applies(f), value_of(n).cast("double")) for n, f in FEATURES.items() if only is None or n in only}))
 
 
 def long_table(wide: DataFrame, key: list[str]) -> DataFrame:
     """key, feature, value, direction, feature_group, kind, confidence: a row for each value that isn't null."""
-    rows = F.array(*(F.struct(F.lit(n).alias("feature"), F.col(n).alias("value"), F.lit(f.direction).alias("direction"), F.lit(f.group).alias("feature_group"), F.lit(f.kind).alias("kind"), F.lit(f.confidence).alias("confidence")) for n, f in catalogue().items() if n in wide.columns))
+    rows = F.array(*(F.struct(F.lit(n).alias("feature"), F.col(n).alias("value"), F.lit(f.direction).alias("direction"), F.lit(f.group).alias("feature_group"), F.lit(f.kind).alias("kind"), F.lit(f.confidence).alias("confidence")) for n, f in FEATURES.items() if n in wide.columns))
     return wide.select(*key, F.explode_outer(F.filter(rows, lambda r: r["value"].isNotNull())).alias("_f")).select(*key, "_f.*").where("feature IS NOT NULL")
 
 
@@ -235,6 +346,6 @@ def evidence(wide: DataFrame, most: int = 200, longest: int = 80) -> DataFrame:
     wide = T.barrier(wide.withColumn("_map", F.when(F.size("lexicon_hits") > 0, place)))
     hits = F.when(F.col("_map").isNotNull(), F.transform("lexicon_hits", lambda h: span(F.get(F.col("_map"), h["start"]), F.get(F.col("_map"), h["end"] - 1) + 1, "lexicon", h["phrase"]))).otherwise(F.array().cast(kind))
     every = F.filter(F.concat(hits.cast(kind), *(of(n).cast(kind) for n in features)), lambda x: F.trim(x["text"]) != "")
-    silent = F.array(*(F.when(F.col(n).isNotNull(), F.lit(n)) for n in catalogue() if n in wide.columns and n not in features))
+    silent = F.array(*(F.when(F.col(n).isNotNull(), F.lit(n)) for n in FEATURES if n in wide.columns and n not in features))
     lost = F.when(F.col("_map").isNull(), F.transform("lexicon_hits", lambda h: h["phrase"])).otherwise(F.array().cast("array<string>"))
     return wide.withColumns({"evidence_spans": F.slice(F.array_sort(F.array_distinct(every)), 1, most), "spanless": F.array_sort(F.array_distinct(F.filter(F.concat(silent, lost), lambda x: x.isNotNull())))}).drop("_map")

@@ -1,14 +1,17 @@
 """Phrase lexicons: compiling, matching, and which of overlapping matches count.
 
-Matching is a join: the places of phrases' first words in a text meet the phrases by that word, and a candidate is
-then compared with the text itself. A lexicon is a dimension table, broadcast if it is counted to be small; the first
-words of a small one are searched for directly, of a large one all words of the texts are posted.
+The places of phrases' first words in a text meet the phrases by that word, and a candidate is then compared with the
+text itself. A lexicon that is counted to be small is a map in the plan, so that matching is a column; a large one is
+a table, joined with the words of the texts (by broadcast if it is counted to be small enough for that).
 """
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +26,8 @@ GAP, GAP_MOST = "…", 60
 HIT = "array<struct<phrase:string,lang:string,kind:string,tag:string,domain:string,start:int,end:int>>"
 #: First words that are searched for by one pattern.
 MOST_HEADS = 64
+#: Phrases of a lexicon that is put into the plan.
+MOST_PHRASES = 1_000
 #: A first word, in phrases and texts alike; hyphens and apostrophes end it, the whole phrase is compared afterwards.
 HEAD = r"[\p{L}\p{M}]+"
 _STARTS = r"(?:^|[.!?\x{2026}\x{061F}\x{06D4}:\n])[\s\"'\x{201C}\x{2018}\x{00AB}*•-]*$"
@@ -45,16 +50,63 @@ def repeated(lexicon: DataFrame) -> DataFrame:
     return lexicon.groupBy("lang", "kind", "phrase").agg(F.count("*").alias("n")).where("n > 1")
 
 
+def _end_of(folded: Column, c: Column) -> Column:
+    tail = F.substring(folded, c["start"] + 1, F.length(c["phrase"]) + GAP_MOST)
+    # the phrase's parts around a gap may be up to GAP_MOST characters apart
+    left, right = F.trim(F.substring_index(c["phrase"], GAP, 1)), F.trim(F.substring_index(c["phrase"], GAP, -1))
+    gap = F.call_function("locate", right, F.substring(tail, F.length(left) + 1, GAP_MOST + F.length(right)))
+    split = F.when(tail.startswith(left) & (gap > 0) & (gap <= GAP_MOST + 1), c["start"] + F.length(left) + gap - 1 + F.length(right))
+    return F.when(c["phrase"].contains(GAP), split).when(tail.startswith(c["phrase"]), c["start"] + F.length(c["phrase"]))
+
+
+def _matched(folded: Column, some: Column) -> Column:
+    """HIT of the candidates (start, phrase, lang, kind, tag, domain, flag) that the text has there."""
+
+    def good(c: Column) -> Column:
+        before = F.substring(folded, F.greatest(c["start"] - 40, F.lit(0)) + 1, F.least(c["start"], F.lit(40)))
+        bounded = ~F.substring(folded, c["end"] + 1, F.lit(1)).rlike(r"[\p{L}\p{M}\p{Nd}_]")
+        return c["end"].isNotNull() & bounded & ((c["flag"] != "initial") | c["phrase"].contains(GAP) | before.rlike(_STARTS))
+
+    ended = F.transform(some, lambda c: c.withField("end", _end_of(folded, c)))
+    return F.transform(F.filter(ended, good), lambda c: F.struct(*(c[n].alias(n) for n in ("phrase", "lang", "kind", "tag", "domain", "start", "end")))).cast(HIT)
+
+
+def _headed(lexicon: DataFrame) -> DataFrame:
+    """lexicon with head, the phrase's first word; phrases without a letter have none and go."""
+    return lexicon.withColumn("head", F.regexp_extract("phrase", HEAD, 0)).where("head <> ''")
+
+
+def _pattern(heads: list[str]) -> str:
+    one = "|".join(re.sub(r"([^\w\s])", r"\\\1", h) for h in sorted(heads, key=lambda h: (-len(h), h))) or "(?!)"
+    return rf"(?<![\p{{L}}\p{{M}}])(?:{one})(?![\p{{L}}\p{{M}}])"
+
+
+def in_columns(lexicon: DataFrame) -> Callable[[Column], Column] | None:
+    """A function from a folded text to its matches (array of HIT), all in columns; null for a lexicon that is counted to be larger than MOST_PHRASES or MOST_HEADS."""
+    fields = ("phrase", "lang", "kind", "tag", "domain", "flag")
+    by_head: dict[str, list] = {}
+    rows = _headed(lexicon).select("head", *fields).limit(MOST_PHRASES + 1).collect()
+    for r in rows:
+        by_head.setdefault(r["head"], []).append({n: r[n] for n in fields})
+    if len(rows) > MOST_PHRASES or len(by_head) > MOST_HEADS:
+        return None
+    pattern, held = _pattern(list(by_head)), json.dumps(by_head)
+
+    def hits(folded: Column) -> Column:
+        known = F.from_json(F.lit(held), f"map<string,array<struct<{','.join(f'{n}:string' for n in fields)}>>>")
+        each = lambda w: F.transform(F.element_at(known, w["value"]), lambda c: F.struct(w["start"].alias("start"), *(c[n].alias(n) for n in fields)))
+        return _matched(folded, F.flatten(F.transform(T.places(folded, pattern), each)))
+
+    return hits
+
+
 def candidates(texts: DataFrame, lexicon: DataFrame, key: str) -> DataFrame:
     """key, phrase, lang, kind, tag, domain, start, end of each match. texts: key, folded."""
-    row = lexicon.withColumn("head", F.regexp_extract("phrase", HEAD, 0))
+    row = _headed(lexicon)
     heads = [r["head"] for r in row.select("head").distinct().limit(MOST_HEADS + 1).collect()]
     few = len(heads) <= MOST_HEADS
-    pattern = HEAD
-    if few:
-        one = "|".join(re.sub(r"([^\w\s])", r"\\\1", h) for h in sorted(heads, key=lambda h: (-len(h), h))) or "(?!)"
-        pattern = rf"(?<![\p{{L}}\p{{M}}])(?:{one})(?![\p{{L}}\p{{M}}])"
-    else:  # the words that stand next to each other in a phrase's beginning and in the text meet, not every use of a common word
+    pattern = _pattern(heads) if few else HEAD
+    if not few:  # the words that stand next to each other in a phrase's beginning and in the text meet, not every use of a common word
         two = F.regexp_extract("phrase", rf"^{HEAD}[^\p{{L}}\p{{M}}{GAP}]{HEAD}", 0)
         row = row.withColumn("head", F.when(two != "", F.regexp_replace(two, r"[^\p{L}\p{M}]", " ")).otherwise(F.col("head")))
 
@@ -69,34 +121,47 @@ def candidates(texts: DataFrame, lexicon: DataFrame, key: str) -> DataFrame:
     word = texts.select(key, F.explode_outer(at if few else T.let(at, keyed)).alias("w")).select(key, "w.start", "w.value").where("value IS NOT NULL")
     met = word.join(sized(row), F.col("value") == F.col("head"))
     some = written(met.groupBy(key).agg(F.collect_list(F.struct("start", "phrase", "lang", "kind", "tag", "domain", "flag")).alias("_some")))
-    folded = F.col("folded")
+    hits = texts.select(key, "folded").join(sized(some), key).select(key, _matched(F.col("folded"), F.col("_some")).alias("_hits"))
+    return hits.select(key, F.explode_outer("_hits").alias("h")).where("h IS NOT NULL").select(key, "h.*")
 
-    def end_of(c: Column) -> Column:
-        tail = F.substring(folded, c["start"] + 1, F.length(c["phrase"]) + GAP_MOST)
-        # the phrase's parts around a gap may be up to GAP_MOST characters apart
-        left, right = F.trim(F.substring_index(c["phrase"], GAP, 1)), F.trim(F.substring_index(c["phrase"], GAP, -1))
-        gap = F.call_function("locate", right, F.substring(tail, F.length(left) + 1, GAP_MOST + F.length(right)))
-        split = F.when(tail.startswith(left) & (gap > 0) & (gap <= GAP_MOST + 1), c["start"] + F.length(left) + gap - 1 + F.length(right))
-        return F.when(c["phrase"].contains(GAP), split).when(tail.startswith(c["phrase"]), c["start"] + F.length(c["phrase"]))
 
-    def good(c: Column) -> Column:
-        before = F.substring(folded, F.greatest(c["start"] - 40, F.lit(0)) + 1, F.least(c["start"], F.lit(40)))
-        bounded = ~F.substring(folded, c["end"] + 1, F.lit(1)).rlike(r"[\p{L}\p{M}\p{Nd}_]")
-        return c["end"].isNotNull() & bounded & ((c["flag"] != "initial") | c["phrase"].contains(GAP) | before.rlike(_STARTS))
+@F.pandas_udf("array<boolean>")
+def _free(starts: pd.Series, ends: pd.Series) -> pd.Series:
+    """Which of the spans, in their order, meet none that was kept before: a byte for each place of the text that is taken."""
+
+    def of(a, b) -> list[bool] | None:  # noqa: ANN001
+        if a is None:
+            return None
+        taken, out = bytearray(max(b, default=0)), []
+        for s, e in zip(a.tolist(), b.tolist(), strict=True):
+            out.append(taken.find(1, s, e) < 0)
+            if out[-1]:
+                taken[s:e] = b"\1" * (e - s)
+        return out
+
+    return pd.Series([of(a, b) for a, b in zip(starts, ends, strict=True)])
 
-    ended = F.transform("_some", lambda c: c.withField("end", end_of(c)))
-    hits = texts.select(key, "folded").join(sized(some), key).select(key, F.filter(ended, good).alias("_hits"))
-    return hits.select(key, F.explode_outer("_hits").alias("h")).where("h IS NOT NULL").select(key, "h.phrase", "h.lang", "h.kind", "h.tag", "h.domain", "h.start", "h.end")
+
+def resolved(hits: Column) -> Column:
+    """The hits that count, of an array of HIT: longest first, then leftmost, then by phrase; what overlaps a kept one goes.
+
+    Only arrays in which neighbours overlap, in the order of their starts, go through Python.
+    """
+    item = lambda x: F.struct((x["start"] - x["end"]).alias("neg"), x["start"].alias("start"), x["end"].alias("end"), *(x[n].alias(n) for n in ("phrase", "lang", "kind", "tag", "domain")))
+    ordered = F.array_sort(F.array_distinct(F.transform(hits, item)))
+    bare = lambda xs: F.transform(xs, lambda x: F.struct(x["phrase"], x["lang"], x["kind"], x["tag"], x["domain"], x["start"], x["end"])).cast(HIT)
+    by_start = F.array_sort(F.transform(hits, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
+    meets = T.let(by_start, lambda xs: F.exists(F.zip_with(xs, F.slice(xs, 2, F.greatest(F.size(xs) - 1, F.lit(0))), lambda a, b: a["end"] > b["start"]), lambda x: F.coalesce(x, F.lit(False))))
+    some = F.when(meets, ordered)
+    free = _free(F.transform(some, lambda x: x["start"]), F.transform(some, lambda x: x["end"]))
+    return T.let(F.struct(ordered.alias("o"), free.alias("f")), lambda v: bare(F.when(v["f"].isNull(), v["o"]).otherwise(F.filter(v["o"], lambda x, i: F.get(v["f"], i)))))
 
 
 def kept(hits: DataFrame, key: str) -> DataFrame:
-    """key, lexicon_hits: longest first, then leftmost, then by phrase; what overlaps a kept one goes."""
-    item = F.struct((F.col("start") - F.col("end")).alias("neg"), "start", "end", "phrase", "lang", "kind", "tag", "domain")
-    every = hits.groupBy(key).agg(F.array_sort(F.collect_set(item)).alias("h"))
-    bare = F.transform("h", lambda x: F.struct(x["phrase"], x["lang"], x["kind"], x["tag"], x["domain"], x["start"], x["end"]))
-    names = HIT
-    keep = F.aggregate(bare.cast(names), F.array().cast(names), lambda out, x: F.when(F.exists(out, lambda y: (y["start"] < x["end"]) & (y["end"] > x["start"])), out).otherwise(F.concat(out, F.array(x))))
-    return every.select(key, keep.alias("lexicon_hits"))
+    """key, lexicon_hits: those of resolved()."""
+    item = F.struct("phrase", "lang", "kind", "tag", "domain", "start", "end")
+    every = written(hits.groupBy(key).agg(F.collect_set(item).cast(HIT).alias("h")))
+    return every.select(key, resolved(F.col("h")).alias("lexicon_hits"))
 
 
 def with_hits(ctx: DataFrame, lexicon: DataFrame, key: str) -> DataFrame:
@@ -104,10 +169,16 @@ def with_hits(ctx: DataFrame, lexicon: DataFrame, key: str) -> DataFrame:
 
     Overlaps are resolved before other languages' hits go. In customer service, machine phrases of that domain go.
     """
-    texts = ctx.select(key, "folded")
-    plain = texts.withColumn("_plain", T.fold_confusables(F.col("folded"))).where("_plain <> folded").select(key, F.col("_plain").alias("folded"))
-    found = kept(candidates(texts, lexicon, key).unionByName(candidates(plain, lexicon, key)), key)
-    out = ctx.join(found, key, "left")
+    inline, plain = in_columns(lexicon), T.fold_confusables(F.col("folded"))
+    if inline is not None:
+        ctx = T.barrier(ctx.withColumn("_plain", F.when(F.col("folded").rlike(r"[^\x00-\x7F]"), plain)))
+        both = F.concat(inline(F.col("folded")), F.coalesce(F.when(F.col("_plain") != F.col("folded"), inline(F.col("_plain"))), F.array().cast(HIT)))
+        ctx = T.barrier(ctx.withColumn("_all", F.array_distinct(both)))
+        out = T.barrier(ctx.withColumn("lexicon_hits", resolved(F.col("_all"))).drop("_plain", "_all"))
+    else:
+        texts = ctx.select(key, "folded")
+        others = texts.withColumn("_plain", plain).where("_plain <> folded").select(key, F.col("_plain").alias("folded"))
+        out = ctx.join(kept(candidates(texts, lexicon, key).unionByName(candidates(others, lexicon, key)), key), key, "left")
     hits = F.coalesce("lexicon_hits", F.array().cast(HIT))
     lang = F.when(F.col("language") == "tr", "tr").otherwise("en")
     served = F.col("domain") == "customer_service"

@@ -25,12 +25,17 @@ def shingled(ctx: DataFrame, key: str, author: str | None = None, n: int = SHING
     return T.barrier(rows.where(F.col("n_tokens") >= n)).select(key, "author", "n_tokens", F.array_sort(F.array_distinct(F.transform("s", lambda x: F.xxhash64(x)))).alias("shingles"))
 
 
-def _prefixes(sets: DataFrame, df: DataFrame, least: float) -> DataFrame:
-    """set_id, n (its size), i (place of the shingle), shingle of each set's prefix."""
-    ranked = sets.select("set_id", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")).join(df, "shingle")
-    some = F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9).cast("int") + 1
-    lists = ranked.groupBy("set_id").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("p"))
-    return lists.select("set_id", "n", F.posexplode(F.slice("p.shingle", F.lit(1), some)).alias("i", "shingle"))
+def _prefixes(sets: DataFrame, shared: DataFrame, least: float) -> DataFrame:
+    """set_id, n (its size), i (place of the shingle), shingle of each set's prefix, as far as other sets hold its shingles.
+
+    Shingles that no other set holds come first in the order; they are counted, not carried.
+    """
+    held = sets.select("set_id", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")).join(shared, "shingle")
+    lists = held.groupBy("set_id").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("p"))
+    alone = F.col("n") - F.size("p")
+    some = F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9).cast("int") + 1 - alone
+    lists = lists.where(some > 0).select("set_id", "n", alone.alias("alone"), F.posexplode(F.slice("p.shingle", F.lit(1), some)).alias("i", "shingle"))
+    return lists.select("set_id", "n", (F.col("i") + F.col("alone")).alias("i"), "shingle")
 
 
 def similar_sets(probe: DataFrame, build: DataFrame, least: float = LEAST) -> DataFrame:
@@ -40,7 +45,7 @@ def similar_sets(probe: DataFrame, build: DataFrame, least: float = LEAST) -> Da
     is left behind a shared place, are dropped inside the join. A similar pair passes at its first shared shingle.
     """
     df = probe.unionByName(build).dropDuplicates(["set_id"]).select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("df"))
-    df = written(df)
+    df = written(df.where("df > 1"))
     side = lambda x, i: _prefixes(x, df, least).select("shingle", F.col("set_id").alias(i), F.col("n").alias(f"n_{i}"), F.col("i").alias(f"i_{i}"))
     left, right = side(probe, "a"), side(build, "b")
     sizes = (F.col("n_a") >= F.col("n_b") * least - 1e-9) & (F.col("n_b") >= F.col("n_a") * least - 1e-9)
@@ -60,7 +65,7 @@ def nearest(probe: DataFrame, build: DataFrame, key: str, least: float = LEAST,
     b = written(by_set(build))
     p = (b if probe is build else written(by_set(probe))).where(F.col("n_tokens") >= min_tokens)
     sets = lambda x: x.select("set_id", "shingles").dropDuplicates(["set_id"])
-    near = written(similar_sets(sets(p), sets(b), least))
+    near = similar_sets(sets(p), sets(b), least)
     every = near.unionByName(sets(p).select(F.col("set_id").alias("a"), F.col("set_id").alias("b"), F.lit(1.0).alias("jaccard")))
     return _best(p, b, every, key)
 

@@ -178,9 +178,11 @@ def with_rules(ctx: DataFrame, key: str, duplicates: DataFrame | None = None, ma
     if markers is not None:
         ctx = ctx.join(marker_hits(ctx.select(key, "raw"), markers, key), key, "left")
     null = F.lit(None).cast("string")
-    ctx = T.barrier(ctx.withColumns({"_first": frame_leak(F.col("raw")), "_plain": T.fold_confusables(F.col("raw")), "invisible": invisible(F.col("raw"))}))
-    # a copy without look-alikes is tried where the text itself has no frame
-    ctx = T.barrier(ctx.withColumn("_second", F.when(F.col("_first").isNull() & (F.col("_plain") != F.col("raw")), frame_leak(F.col("_plain")))))
+    # a copy without look-alikes is tried where it is another text; the expression is built once for both
+    ctx = T.barrier(ctx.withColumns({"_plain": F.when(F.col("raw").rlike(r"[^\x00-\x7F]"), T.fold_confusables(F.col("raw"))), "invisible": invisible(F.col("raw"))}))
+    views = F.array("raw", F.when(F.col("_plain") != F.col("raw"), F.col("_plain")))
+    ctx = T.barrier(ctx.withColumn("_frames", F.transform(views, lambda v: F.when(v.isNotNull(), frame_leak(v)))))
+    ctx = ctx.withColumns({"_first": F.col("_frames")[0], "_second": F.col("_frames")[1]})
     ctx = ctx.withColumn("_frame", F.coalesce("_first", "_second"))
     frame = F.when(~F.col("_frame.suppressed"), F.col("_frame"))
     swapped = F.when(F.col("_first").isNull(), F.lit("homoglyph_suspect"))
@@ -200,7 +202,7 @@ def with_rules(ctx: DataFrame, key: str, duplicates: DataFrame | None = None, ma
         F.when((F.size("_strong") == 0) & (F.col("invisible") > 0), F.lit("invisible_chars_alone")),
     )
     ctx = ctx.withColumn("rule_notes", F.filter(held_back, lambda x: x.isNotNull()))
-    return T.barrier(ctx.drop("_frame", "_first", "_second", "_plain", "_strong"))
+    return T.barrier(ctx.drop("_frame", "_frames", "_first", "_second", "_plain", "_strong"))
 
 
 def weak_rules() -> Column:

@@ -14,7 +14,8 @@ from ..operators import near_duplicate as N
 from ..operators import scoring as S
 from ..sources import batch as B
 from .common import table
-from .text import PROSE, PROSE_ROWS, _sql_words, prose_rows
+from ..operators import rules as R
+from .text import MARKERS, PROSE, PROSE_ROWS, _sql_words, lexicon_by_rule, prose_rows
 
 
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +143,7 @@ def detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.detect import detect as run
 
     c = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("role").alias("author"), "text")
-    out = run(c, "id", weights_from=_rule_weights, index=c)
+    out = run(c, "id", weights_from=_rule_weights, index=c, phrases=lexicon_by_rule(spark, sf_dir), markers=R.check_markers(MARKERS, spark))
     return out.select("id", "shape", "language", F.round("score", 6).alias("score"), "verdict", "label", F.array_join("warnings", ",").alias("warnings"), F.size("rules").alias("n_rules"))
 
 
@@ -434,7 +435,7 @@ def author_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Authors judged over all of their messages: joined texts with the features over messages, refused under the floor."""
     from ..operators.detect import detect_authors
 
-    out = detect_authors(_messages(spark, sf_dir), weights_from=_rule_weights)
+    out = detect_authors(_messages(spark, sf_dir), weights_from=_rule_weights, phrases=lexicon_by_rule(spark, sf_dir), markers=R.check_markers(MARKERS, spark))
     return out.select("author", "gate", F.round("score", 6).alias("score"), "verdict", "label")
 
 

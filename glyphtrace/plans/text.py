@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import language as L
+from ..functions import segment as G
 from ..functions import text as T
 from ..operators import documents as D
 from ..operators import features as FE
@@ -155,14 +156,57 @@ FROM c"""
 
 
 #: Features whose values SQL can give too, over prose and over chat in English: group, direction, kind, confidence.
-PROSE = {
-    "paragraph_uniformity": ("rhythm", "llm", "continuous", "LOW"), "content_word_repeat": ("rhythm", "human", "continuous", "LOW"), "ellipsis_hand_typed": ("punctuation", "human", "rate", "MED"),
-    "repeated_punct_emoticon": ("punctuation", "human", "rate", "HIGH"), "space_hygiene": ("punctuation", "human", "rate", "LOW"), "multi_exclam": ("punctuation", "human", "rate", "MED"),
-    "emoji_bullet_led": ("structure", "llm", "binary", "MED"), "bold_lead_in_list": ("structure", "llm", "rate", "HIGH"), "colon_led_list": ("structure", "llm", "rate", "LOW"),
-    "closing_summary_move": ("structure", "llm", "binary", "MED"), "llm_lexicon_weak": ("register", "llm", "rate", "LOW"), "politeness_formula": ("register", "llm", "rate", "MED"),
-    "hedge_density": ("register", "llm", "rate", "LOW"), "contraction_apostrophe_drop": ("human_marker", "human", "rate", "MED"),
-}
-CHAT = ("all_lowercase", "ellipsis_hand_typed", "repeated_punct_emoticon", "space_hygiene", "multi_exclam", "em_dash_in_chat", "emoji_bullet_led", "bold_lead_in_list", "colon_led_list", "greeting_signoff_frame", "llm_lexicon_weak", "politeness_formula", "contraction_apostrophe_drop", "self_correction_marker")
+PROSE = {n: (FE.FEATURES[n].group, FE.FEATURES[n].direction, FE.FEATURES[n].kind, FE.FEATURES[n].confidence) for n in (
+    "paragraph_uniformity", "content_word_repeat", "ellipsis_hand_typed", "repeated_punct_emoticon", "space_hygiene", "multi_exclam", "emoji_bullet_led", "bold_lead_in_list", "colon_led_list",
+    "closing_summary_move", "llm_lexicon_strong", "llm_lexicon_weak", "politeness_formula", "hedge_density", "human_lexicon", "contraction_apostrophe_drop",
+)}
+CHAT = ("all_lowercase", "ellipsis_hand_typed", "repeated_punct_emoticon", "space_hygiene", "multi_exclam", "em_dash_in_chat", "emoji_bullet_led", "bold_lead_in_list", "colon_led_list", "greeting_signoff_frame", "llm_lexicon_strong", "llm_lexicon_weak", "politeness_formula", "human_lexicon", "contraction_apostrophe_drop", "self_correction_marker")
+
+
+#: What a word of the lexicon by rule is, by its place modulo 4.
+KINDS = (("llm", "strong"), ("llm", "weak"), ("human", "strong"), ("human", "weak"))
+LEXICON_WORDS = 48
+
+
+def lexicon_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lexicon from a table: the words of four letters or more that most of the benchmark's items have, dealt to kinds and tags."""
+    words = T.barrier(table(spark, sf_dir, "benchmark").select(F.regexp_extract_all(T.folded(T.nfc(F.coalesce("text", F.lit("")))), F.lit(X.HEAD), F.lit(0)).alias("w")))
+    each = words.select(F.explode(F.array_distinct("w")).alias("phrase")).where(F.length("phrase") >= 4).groupBy("phrase").agg(F.count("*").alias("n"))
+    first = Window.orderBy(F.col("n").desc(), "phrase")
+    rows = each.orderBy(F.col("n").desc(), "phrase").limit(LEXICON_WORDS).withColumn("place", (F.row_number().over(first) - 1) % len(KINDS))
+    of = lambda i: F.element_at(F.array(*(F.lit(k[i]) for k in KINDS)), F.col("place") + 1)
+    return rows.select("phrase", F.lit("en").alias("lang"), of(0).alias("kind"), of(1).alias("tag"), F.lit("general").alias("domain"), F.lit("-").alias("flag"))
+
+
+_FOLDED = "replace(translate(lower(nfc_normalize(coalesce(text, ''))), '’‘ʼ´`', repeat(chr(39), 5)), 'i̇', 'i')"
+LEXICON_SQL = rf"""SELECT word, (row_number() OVER (ORDER BY n DESC, word) - 1) % {len(KINDS)} AS kind FROM (
+  SELECT word, count(*) AS n FROM (SELECT unnest(list_distinct(regexp_extract_all({_FOLDED}, '[\p{{L}}\p{{M}}]+'))) AS word FROM benchmark)
+  WHERE length(word) >= 4 GROUP BY word ORDER BY n DESC, word LIMIT {LEXICON_WORDS})"""
+
+#: Markers of the queries: a name and a pattern, the first that matches is told.
+MARKERS = [{"name": "license line", "pattern": r"(?i)released under the [A-Z]+ license"}, {"name": "rights", "pattern": r"(?i)all rights reserved"}]
+
+
+def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first marker that a document has."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("raw"))
+    return R.marker_hits(d, R.check_markers(MARKERS, spark), "doc_id")
+
+
+MARKED = "SELECT * FROM (SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(coalesce(text, ''), '{m['pattern']}') THEN '{m['name']}'" for m in MARKERS) + " END AS marker FROM documents) WHERE marker IS NOT NULL"
+
+
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of documents as prose, a row for each."""
+    d = table(spark, sf_dir, "documents").select("doc_id", G.segmented(T.nfc(F.coalesce("text", F.lit(""))), F.lit("prose")).alias("s"))
+    return d.select("doc_id", F.posexplode("s").alias("number", "s")).select("doc_id", "number", F.md5(F.col("s.text").cast("binary")).alias("text_md5"), "s.words", "s.listed", "s.terminator", "s.run")
+
+
+def chat_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of conversations' turns as chat, by the table function in SQL."""
+    G.register(spark)
+    table(spark, sf_dir, "conversations").createOrReplaceTempView("segmented_turns")
+    return spark.sql("SELECT conv_id, turn, number, md5(sentence) AS text_md5, words, listed, terminator, run FROM sentences(TABLE(SELECT conv_id, turn, text, 'chat' AS shape FROM segmented_turns))")
 
 
 def _features_sql(rows: str, key: str, names) -> str:  # noqa: ANN001
@@ -179,6 +223,7 @@ def _features_sql(rows: str, key: str, names) -> str:  # noqa: ANN001
     slips = rf"""{n_of(r"\S {2,}\S")} + {n_of(r"\s+[,.;:!?\x{060C}\x{061B}\x{061F}]")} + greatest(0, {n_of(r"[,.;:\x{060C}\x{061B}]\p{L}")} - {n_of(r"\p{Nd}[.,]\p{Nd}")} - 2 * {n_of(r"(?:https?://|www\.)\S+")} - {n_of("(?i)" + edge + r"(?:e\.g|i\.e|vs|etc|vb|bkz)\.")}) + {lines(at(r"[ \t\f\r]$") + " AND " + at(r"\S"))}"""
     led = f"len(list_filter(range(1, len(ls)), lambda i: {at(r':\s*$', 'ls[i]')} AND {at(r'^\s*[-*•\p{Nd}]', 'ls[i + 1]')})) + {lines(at(FE.PLAIN_LEAD) + ' AND NOT ' + bold)}"
     positive = lambda x: f"nullif({x}, 0)"
+    listed = lambda kind: f"len(list_filter(heads, lambda x: list_contains(kind{kind}, x)))"
     opener, sign = rf"^(?:{FE.OPENERS['en']})" + end, FE.SIGN_OFFS["en"]
     values = {
         "paragraph_uniformity": (250, "CASE WHEN len(ps) >= 4 AND list_avg(ps) > 0 THEN 1 - least(1.0, list_stddev_samp(ps) / list_avg(ps)) END"),
@@ -192,23 +237,24 @@ def _features_sql(rows: str, key: str, names) -> str:  # noqa: ANN001
         "bold_lead_in_list": (20, positive(lines(bold))), "colon_led_list": (20, positive(led)),
         "closing_summary_move": (120, f"CASE WHEN {at('^(?:' + FE.CLOSERS['en'] + ')' + end, 'lower(ltrim(pt[len(pt)]))')} THEN 1 END"),
         "greeting_signoff_frame": (30, f"CASE WHEN {at(opener, 'ltrim(folded)')} AND {at(sign, 'folded')} THEN 1 END"),
-        "llm_lexicon_weak": (40, "0"), "politeness_formula": (0, positive(phrases(FE.POLITE["en"]))), "hedge_density": (100, f"{whole(FE.HEDGES['en'])} * 100.0 / n"),
+        "llm_lexicon_strong": (0, positive(listed(0))), "llm_lexicon_weak": (40, f"{listed(1)} * 100.0 / n"), "human_lexicon": (1, positive(f"(3 * {listed(2)} + {listed(3)})")), "politeness_formula": (0, positive(phrases(FE.POLITE["en"]))), "hedge_density": (100, f"{whole(FE.HEDGES['en'])} * 100.0 / n"),
         "contraction_apostrophe_drop": (5, positive(f"len(list_filter(w, lambda t: list_contains({_some(FE.CONTRACTIONS)}, lower(t))))")),
         "self_correction_marker": (2, positive(" + ".join(f"{at(plain(p), 'raw')}::INT" for p in FE.SELF_CORRECTIONS))),
     }
     each = " UNION ALL ".join(f"SELECT {key}, n AS n_tokens, chars, '{f}' AS feature, ({values[f][1]})::DOUBLE AS value FROM feature_rows WHERE n >= {values[f][0]}" for f in names)
     return rf"""
-WITH feature_base AS MATERIALIZED (SELECT *, nfc_normalize(raw) AS nfc, {_sql_words("nfc_normalize(raw)")} AS w, string_split_regex(raw, '\r?\n') AS ls, length(raw) AS chars,
+WITH feature_lexicon AS MATERIALIZED (SELECT {", ".join(f"coalesce(list(word) FILTER (kind = {k}), []) AS kind{k}" for k in range(len(KINDS)))} FROM ({LEXICON_SQL})),
+feature_base AS MATERIALIZED (SELECT *, nfc_normalize(raw) AS nfc, {_sql_words("nfc_normalize(raw)")} AS w, string_split_regex(raw, '\r?\n') AS ls, length(raw) AS chars,
     list_filter(string_split_regex(raw, '\r?\n(?:[\t\f\r ]*\r?\n)+'), lambda x: regexp_matches(x, '\S')) AS pt,
     replace(translate(lower(nfc_normalize(raw)), '’‘ʼ´`', repeat(chr(39), 5)), 'i̇', 'i') AS folded FROM ({rows})),
-feature_rows AS MATERIALIZED (SELECT *, len(w) AS n, {n_of(r"\p{L}", "nfc")} AS letters, regexp_replace(folded, '([^\p{{L}}\p{{M}}\p{{Nd}}_])', '\1\1', 'g') AS pad,
-    list_filter(list_transform(w, lambda t: lower(t)), lambda t: length(t) >= 4 AND NOT list_contains({_some(L.EN_STOP)}, t)) AS cw, list_transform(pt, lambda p: len({_sql_words("p")})) AS ps FROM feature_base)
+feature_rows AS MATERIALIZED (SELECT *, len(w) AS n, {n_of(r"\p{L}", "nfc")} AS letters, regexp_extract_all(folded, '[\p{{L}}\p{{M}}]+[\p{{Nd}}_]?') AS heads, regexp_replace(folded, '([^\p{{L}}\p{{M}}\p{{Nd}}_])', '\1\1', 'g') AS pad,
+    list_filter(list_transform(w, lambda t: lower(t)), lambda t: length(t) >= 4 AND NOT list_contains({_some(L.EN_STOP)}, t)) AS cw, list_transform(pt, lambda p: len({_sql_words("p")})) AS ps FROM feature_base, feature_lexicon)
 SELECT * FROM ({each}) WHERE value IS NOT NULL"""
 
 
 def prose_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, chars, feature, value and what the catalogue says of the feature, of the features in PROSE over documents."""
-    ctx = X.without_hits(D.context(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), {"shape": "prose", "lang": "en"}))
+    ctx = X.with_hits(D.context(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), {"shape": "prose", "lang": "en"}), lexicon_by_rule(spark, sf_dir), "doc_id")
     return FE.long_table(FE.with_features(ctx, tuple(PROSE)), ["doc_id", "source", "n_tokens", "chars"])
 
 
@@ -223,7 +269,7 @@ PROSE_FEATURES = f"SELECT doc_id, feature, round(value, 6) AS value FROM ({PROSE
 
 def chat_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features of turns of conversations, judged as chat in English."""
-    ctx = X.without_hits(D.context(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), {"shape": "chat", "lang": "en"}))
+    ctx = X.with_hits(D.context(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), {"shape": "chat", "lang": "en"}), lexicon_by_rule(spark, sf_dir), "conv_id")
     return FE.long_table(FE.with_features(ctx, CHAT), ["conv_id", "turn"]).select("conv_id", "turn", "feature", F.round("value", 6).alias("value"))
 
 
@@ -233,7 +279,8 @@ CHAT_FEATURES = f"SELECT conv_id, turn, feature, round(value, 6) AS value FROM (
 def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All features of all turns of conversations, a row for each value."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    return FE.long_table(FE.with_features(X.without_hits(D.context(c))), ["conv_id", "turn"]).select("conv_id", "turn", "feature", F.round("value", 6).alias("value"))
+    ctx = X.with_hits(D.context(c), lexicon_by_rule(spark, sf_dir), "conv_id")
+    return FE.long_table(FE.with_features(ctx), ["conv_id", "turn"]).select("conv_id", "turn", "feature", F.round("value", 6).alias("value"))
 
 
 def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,7 +296,6 @@ def lexicon_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.candidates(T.barrier(d), _phrases(spark, sf_dir), "doc_id").select("doc_id", "phrase", "start", "end")
 
 
-_FOLDED = "replace(translate(lower(nfc_normalize(coalesce(text, ''))), '’‘ʼ´`', repeat(chr(39), 5)), 'i̇', 'i')"
 LEXICON_CANDIDATES = rf"""
 WITH b AS (SELECT {_sql_words(_FOLDED)} AS w FROM benchmark),
 p AS (SELECT DISTINCT unnest(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) AS phrase FROM b WHERE len(w) >= 4),
@@ -307,5 +353,5 @@ SELECT doc_id, (len(regexp_extract_all(coalesce(text, ''), '[\x{200B}\x{200C}\x{
     CASE WHEN len(regexp_extract_all(coalesce(text, ''), '(?m)^\s{0,3}[-*+]\s+\S')) >= 2 AND regexp_matches(text, '(?m)^\s{0,3}[-*+]\s*\*\*[^*\n]{2,60}\*\*') THEN 'bullets_with_bold_lead_in' END) AS markdown
 FROM documents"""
 
-QUERIES = {f.__name__: f for f in (prose_features, chat_features, lexicon_candidates, fold_places, evidence_spans, text_views, token_counts, shingle_counts, shape_genre, language_votes, diagnostics, punctuation_features, feature_table, lexicon_matches, rule_marks)}
-ORACLE_SQL = {"text_views": TEXT_VIEWS, "token_counts": TOKEN_COUNTS, "shingle_counts": SHINGLE_COUNTS, "shape_genre": SHAPE_GENRE, "language_votes": _language_sql(), "diagnostics": DIAGNOSTICS, "punctuation_features": PUNCTUATION_FEATURES, "rule_marks": RULE_MARKS, "prose_features": PROSE_FEATURES, "chat_features": CHAT_FEATURES, "lexicon_candidates": LEXICON_CANDIDATES, "fold_places": FOLD_PLACES, "evidence_spans": EVIDENCE_SPANS}
+QUERIES = {f.__name__: f for f in (marked, sentences, chat_sentences, prose_features, chat_features, lexicon_candidates, fold_places, evidence_spans, text_views, token_counts, shingle_counts, shape_genre, language_votes, diagnostics, punctuation_features, feature_table, lexicon_matches, rule_marks)}
+ORACLE_SQL = {"marked": MARKED, "text_views": TEXT_VIEWS, "token_counts": TOKEN_COUNTS, "shingle_counts": SHINGLE_COUNTS, "shape_genre": SHAPE_GENRE, "language_votes": _language_sql(), "diagnostics": DIAGNOSTICS, "punctuation_features": PUNCTUATION_FEATURES, "rule_marks": RULE_MARKS, "prose_features": PROSE_FEATURES, "chat_features": CHAT_FEATURES, "lexicon_candidates": LEXICON_CANDIDATES, "fold_places": FOLD_PLACES, "evidence_spans": EVIDENCE_SPANS}
