@@ -141,6 +141,11 @@ def let(value: Column, body) -> Column:  # noqa: ANN001
     return F.transform(F.array(value), body)[0]
 
 
+def sorted_distinct(xs: Column) -> Column:
+    """The elements in order, each once; neighbours are compared, where array_distinct() compares all structs with all."""
+    return let(F.array_sort(xs), lambda v: F.filter(v, lambda x, i: (i == 0) | ~x.eqNullSafe(F.get(v, i - 1))))
+
+
 def running(xs: Column, op, zero: Column) -> Column:  # noqa: ANN001
     """For each element, op over the elements before it; zero for the first.
 
@@ -160,19 +165,43 @@ def running(xs: Column, op, zero: Column) -> Column:  # noqa: ANN001
     return let(xs, lambda v: let(blocks(v), joined))
 
 
+#: Stand around a match while a text is split there, and what such a character of the text itself is told as.
+OPEN, CLOSE, OTHER = "\ue000", "\ue001", "\ue002"
+
+
 def places(text: Column, pattern: str | Column) -> Column:
-    """start, end and value of each match, in code points: what lies between matches adds up to the starts."""
+    """start, end and value of each match, in code points: what lies between matches adds up to the starts.
+
+    The pattern, which matches no empty text, runs over the text once: matches are marked, and the text split there.
+    """
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     item = lambda start, m: F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("value"))
 
-    def found(pair: Column) -> Column:
-        gaps, matches = pair["gaps"], pair["matches"]
-        # between two starts lie a match and the gap after it
-        steps = F.zip_with(matches, F.slice(gaps, 2, F.greatest(F.size(gaps) - 1, F.lit(0))), lambda m, g: F.length(m) + F.length(g))
-        return F.zip_with(running(steps, lambda a, x: a + x, F.lit(0)), matches, lambda at, m: item(F.length(gaps[0]) + at, m))
+    def summed(ps: Column) -> Column:
+        # pieces are in turn a gap and a match; a match starts after all pieces before it
+        steps = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size(ps) / 2).cast("int") - 1, F.lit(0))), lambda i: F.length(ps[i * 2]) + F.length(F.get(ps, i * 2 + 1)))
+        starts = lambda n: F.transform(running(steps, lambda a, x: a + x, F.lit(0)), lambda at, i: item(at + F.length(ps[i * 2]), ps[i * 2 + 1]))
+        return F.when(F.size(ps) > 1, starts(ps)).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+
+    # marks that the text itself has stand as another character of the same kind
+    own = F.when(text.contains(OPEN) | text.contains(CLOSE), F.translate(text, OPEN + CLOSE, OTHER * 2)).otherwise(text)
+    marked = F.regexp_replace(own, pattern, F.lit(f"{OPEN}$0{CLOSE}"))
+    return F.when(text.isNotNull(), let(F.split(marked, f"[{OPEN}{CLOSE}]", -1), summed))
+
+
+#: Characters of a piece that a text is cut into where many parts of it are read.
+PIECE = 512
+
+
+def pieces(text: Column) -> Column:
+    """The text in pieces, so that part() needn't walk it from its start."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))
+
 
-    both = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("matches"))
-    return let(both, found)
+def part(cut: Column, start: Column, length: Column) -> Column:
+    """The substring of pieces() from a place (from 0) on."""
+    some = F.slice(cut, F.floor(start / PIECE).cast("int") + 1, F.floor(length / PIECE).cast("int") + 2)
+    return F.substring(F.array_join(some, ""), F.pmod(start, F.lit(PIECE)) + 1, length)
 
 
 def inside_quotes(prefix: Column) -> Column:

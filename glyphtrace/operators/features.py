@@ -221,8 +221,10 @@ class _Values:
 
     @cached_property
     def space_hygiene(self) -> Column:
-        raw, urls = self.raw, _count(self.raw, r"(?:https?://|www\.)\S+")
-        after = _count(raw, r"[,.;:\x{060C}\x{061B}](?=\p{L})") - _count(raw, r"\p{Nd}[.,]\p{Nd}") - 2 * urls - _count(raw, rf"(?i){BEFORE}(?:e\.g|i\.e|vs|etc|vb|bkz)\.")
+        raw = self.raw
+        fewer = _count(raw, r"\p{Nd}[.,]\p{Nd}") + 2 * _count(raw, r"(?:https?://|www\.)\S+") + _count(raw, rf"(?i){BEFORE}(?:e\.g|i\.e|vs|etc|vb|bkz)\.")
+        # most texts have no such mark, and are searched for nothing else then
+        after = T.let(_count(raw, r"[,.;:\x{060C}\x{061B}](?=\p{L})"), lambda n: F.when(n > 0, n - fewer).otherwise(0))
         ends = F.size(F.filter(self.lines, lambda x: x.rlike(r"[^\S\n]$") & x.rlike(r"\S")))
         return _per_100(_count(raw, r"\S {2,}\S") + _count(raw, r"\s+[,.;:!?\x{060C}\x{061B}\x{061F}]") + F.greatest(F.lit(0), after) + ends)
 
@@ -348,4 +350,4 @@ def evidence(wide: DataFrame, most: int = 200, longest: int = 80) -> DataFrame:
     every = F.filter(F.concat(hits.cast(kind), *(of(n).cast(kind) for n in features)), lambda x: F.trim(x["text"]) != "")
     silent = F.array(*(F.when(F.col(n).isNotNull(), F.lit(n)) for n in FEATURES if n in wide.columns and n not in features))
     lost = F.when(F.col("_map").isNull(), F.transform("lexicon_hits", lambda h: h["phrase"])).otherwise(F.array().cast("array<string>"))
-    return wide.withColumns({"evidence_spans": F.slice(F.array_sort(F.array_distinct(every)), 1, most), "spanless": F.array_sort(F.array_distinct(F.filter(F.concat(silent, lost), lambda x: x.isNotNull())))}).drop("_map")
+    return wide.withColumns({"evidence_spans": F.slice(T.sorted_distinct(every), 1, most), "spanless": F.array_sort(F.array_distinct(F.filter(F.concat(silent, lost), lambda x: x.isNotNull())))}).drop("_map")

@@ -14,6 +14,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType
 
 from ..functions import text as T
 from ..functions.tables import sized, written
@@ -50,25 +51,32 @@ def repeated(lexicon: DataFrame) -> DataFrame:
     return lexicon.groupBy("lang", "kind", "phrase").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def _end_of(folded: Column, c: Column) -> Column:
-    tail = F.substring(folded, c["start"] + 1, F.length(c["phrase"]) + GAP_MOST)
+def _end_of(cut: Column, c: Column) -> Column:
+    tail = T.part(cut, c["start"], F.length(c["phrase"]) + GAP_MOST)
     # the phrase's parts around a gap may be up to GAP_MOST characters apart
     left, right = F.trim(F.substring_index(c["phrase"], GAP, 1)), F.trim(F.substring_index(c["phrase"], GAP, -1))
-    gap = F.call_function("locate", right, F.substring(tail, F.length(left) + 1, GAP_MOST + F.length(right)))
-    split = F.when(tail.startswith(left) & (gap > 0) & (gap <= GAP_MOST + 1), c["start"] + F.length(left) + gap - 1 + F.length(right))
-    return F.when(c["phrase"].contains(GAP), split).when(tail.startswith(c["phrase"]), c["start"] + F.length(c["phrase"]))
+
+    def end(t: Column) -> Column:
+        gap = F.call_function("locate", right, F.substring(t, F.length(left) + 1, GAP_MOST + F.length(right)))
+        split = F.when(t.startswith(left) & (gap > 0) & (gap <= GAP_MOST + 1), c["start"] + F.length(left) + gap - 1 + F.length(right))
+        return F.when(c["phrase"].contains(GAP), split).when(t.startswith(c["phrase"]), c["start"] + F.length(c["phrase"]))
+
+    return T.let(tail, end)
 
 
 def _matched(folded: Column, some: Column) -> Column:
     """HIT of the candidates (start, phrase, lang, kind, tag, domain, flag) that the text has there."""
 
-    def good(c: Column) -> Column:
-        before = F.substring(folded, F.greatest(c["start"] - 40, F.lit(0)) + 1, F.least(c["start"], F.lit(40)))
-        bounded = ~F.substring(folded, c["end"] + 1, F.lit(1)).rlike(r"[\p{L}\p{M}\p{Nd}_]")
+    def good(cut: Column, c: Column) -> Column:
+        before = T.part(cut, F.greatest(c["start"] - 40, F.lit(0)), F.least(c["start"], F.lit(40)))
+        bounded = ~T.part(cut, c["end"], F.lit(1)).rlike(r"[\p{L}\p{M}\p{Nd}_]")
         return c["end"].isNotNull() & bounded & ((c["flag"] != "initial") | c["phrase"].contains(GAP) | before.rlike(_STARTS))
 
-    ended = F.transform(some, lambda c: c.withField("end", _end_of(folded, c)))
-    return F.transform(F.filter(ended, good), lambda c: F.struct(*(c[n].alias(n) for n in ("phrase", "lang", "kind", "tag", "domain", "start", "end")))).cast(HIT)
+    def of(cut: Column) -> Column:
+        ended = F.transform(some, lambda c: c.withField("end", _end_of(cut, c)))
+        return F.transform(F.filter(ended, lambda c: good(cut, c)), lambda c: F.struct(*(c[n].alias(n) for n in ("phrase", "lang", "kind", "tag", "domain", "start", "end"))))
+
+    return T.let(T.pieces(folded), of).cast(HIT)
 
 
 def _headed(lexicon: DataFrame) -> DataFrame:
@@ -76,9 +84,18 @@ def _headed(lexicon: DataFrame) -> DataFrame:
     return lexicon.withColumn("head", F.regexp_extract("phrase", HEAD, 0)).where("head <> ''")
 
 
+def _tree(words: list[str]) -> str:
+    """A pattern of the words, by their common beginnings, so that a place of the text is left at the first letter that none has."""
+    by_first: dict[str, list[str]] = {}
+    for w in sorted(words):
+        by_first.setdefault(w[:1], []).append(w[1:])
+    ends = by_first.pop("", None) is not None
+    each = "|".join(re.escape(c) + _tree(rest) for c, rest in by_first.items())
+    return "" if not each else f"(?:{each})" + ("?" if ends else "")
+
+
 def _pattern(heads: list[str]) -> str:
-    one = "|".join(re.sub(r"([^\w\s])", r"\\\1", h) for h in sorted(heads, key=lambda h: (-len(h), h))) or "(?!)"
-    return rf"(?<![\p{{L}}\p{{M}}])(?:{one})(?![\p{{L}}\p{{M}}])"
+    return rf"(?<![\p{{L}}\p{{M}}]){_tree(heads) or '(?!)'}(?![\p{{L}}\p{{M}}])"
 
 
 def in_columns(lexicon: DataFrame) -> Callable[[Column], Column] | None:
@@ -125,7 +142,7 @@ def candidates(texts: DataFrame, lexicon: DataFrame, key: str) -> DataFrame:
     return hits.select(key, F.explode_outer("_hits").alias("h")).where("h IS NOT NULL").select(key, "h.*")
 
 
-@F.pandas_udf("array<boolean>")
+@F.pandas_udf(ArrayType(BooleanType()))
 def _free(starts: pd.Series, ends: pd.Series) -> pd.Series:
     """Which of the spans, in their order, meet none that was kept before: a byte for each place of the text that is taken."""
 
@@ -142,26 +159,27 @@ def _free(starts: pd.Series, ends: pd.Series) -> pd.Series:
     return pd.Series([of(a, b) for a, b in zip(starts, ends, strict=True)])
 
 
-def resolved(hits: Column) -> Column:
-    """The hits that count, of an array of HIT: longest first, then leftmost, then by phrase; what overlaps a kept one goes.
+def resolved(df: DataFrame, hits: str) -> DataFrame:
+    """df with lexicon_hits: of its column of HIT arrays, longest first, then leftmost, then by phrase; what overlaps a kept one goes.
 
     Only arrays in which neighbours overlap, in the order of their starts, go through Python.
     """
     item = lambda x: F.struct((x["start"] - x["end"]).alias("neg"), x["start"].alias("start"), x["end"].alias("end"), *(x[n].alias(n) for n in ("phrase", "lang", "kind", "tag", "domain")))
-    ordered = F.array_sort(F.array_distinct(F.transform(hits, item)))
-    bare = lambda xs: F.transform(xs, lambda x: F.struct(x["phrase"], x["lang"], x["kind"], x["tag"], x["domain"], x["start"], x["end"])).cast(HIT)
-    by_start = F.array_sort(F.transform(hits, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
+    by_start = F.array_sort(F.transform("_ordered", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
     meets = T.let(by_start, lambda xs: F.exists(F.zip_with(xs, F.slice(xs, 2, F.greatest(F.size(xs) - 1, F.lit(0))), lambda a, b: a["end"] > b["start"]), lambda x: F.coalesce(x, F.lit(False))))
-    some = F.when(meets, ordered)
-    free = _free(F.transform(some, lambda x: x["start"]), F.transform(some, lambda x: x["end"]))
-    return T.let(F.struct(ordered.alias("o"), free.alias("f")), lambda v: bare(F.when(v["f"].isNull(), v["o"]).otherwise(F.filter(v["o"], lambda x, i: F.get(v["f"], i)))))
+    df = T.barrier(df.withColumn("_ordered", T.sorted_distinct(F.transform(hits, item))))
+    df = T.barrier(df.withColumn("_some", F.when(meets, F.col("_ordered"))))
+    df = T.barrier(df.withColumn("_free", _free(F.transform("_some", lambda x: x["start"]), F.transform("_some", lambda x: x["end"]))))
+    left = F.when(F.col("_free").isNull(), F.col("_ordered")).otherwise(F.filter("_ordered", lambda x, i: F.get(F.col("_free"), i)))
+    bare = F.transform(left, lambda x: F.struct(x["phrase"], x["lang"], x["kind"], x["tag"], x["domain"], x["start"], x["end"])).cast(HIT)
+    return T.barrier(df.withColumn("lexicon_hits", bare).drop("_ordered", "_some", "_free"))
 
 
 def kept(hits: DataFrame, key: str) -> DataFrame:
     """key, lexicon_hits: those of resolved()."""
     item = F.struct("phrase", "lang", "kind", "tag", "domain", "start", "end")
-    every = written(hits.groupBy(key).agg(F.collect_set(item).cast(HIT).alias("h")))
-    return every.select(key, resolved(F.col("h")).alias("lexicon_hits"))
+    every = hits.groupBy(key).agg(F.collect_set(item).cast(HIT).alias("_h"))
+    return resolved(every, "_h").select(key, "lexicon_hits")
 
 
 def with_hits(ctx: DataFrame, lexicon: DataFrame, key: str) -> DataFrame:
@@ -173,8 +191,8 @@ def with_hits(ctx: DataFrame, lexicon: DataFrame, key: str) -> DataFrame:
     if inline is not None:
         ctx = T.barrier(ctx.withColumn("_plain", F.when(F.col("folded").rlike(r"[^\x00-\x7F]"), plain)))
         both = F.concat(inline(F.col("folded")), F.coalesce(F.when(F.col("_plain") != F.col("folded"), inline(F.col("_plain"))), F.array().cast(HIT)))
-        ctx = T.barrier(ctx.withColumn("_all", F.array_distinct(both)))
-        out = T.barrier(ctx.withColumn("lexicon_hits", resolved(F.col("_all"))).drop("_plain", "_all"))
+        ctx = T.barrier(ctx.withColumn("_all", both))
+        out = resolved(ctx, "_all").drop("_plain", "_all")
     else:
         texts = ctx.select(key, "folded")
         others = texts.withColumn("_plain", plain).where("_plain <> folded").select(key, F.col("_plain").alias("folded"))

@@ -35,6 +35,28 @@ def test_places_of_many_matches(spark):
     got = spark.createDataFrame([(text,), ("",), (None,), ("no",)], "t string").select(T.places(F.col("t"), "w[0-9]+").alias("p")).collect()
     assert [(x["start"], x["value"]) for x in got[0]["p"]] == [(m.start(), m[0]) for m in __import__("re").finditer("w[0-9]+", text)]
     assert got[1]["p"] == [] and got[2]["p"] is None and got[3]["p"] == []
+    odd = spark.createDataFrame([("w1\ue000w2 \ue001😀w3",)], "t string").select(T.places(F.col("t"), "w[0-9]+").alias("p"), T.places(F.col("t"), "\\S+").alias("q")).first()
+    assert [(x["start"], x["end"]) for x in odd["p"]] == [(0, 2), (3, 5), (8, 10)] and [(x["start"], x["end"]) for x in odd["q"]] == [(0, 5), (6, 10)]
+
+
+def test_a_hundred_thousand_hits_in_one_text(spark):
+    """Overlaps of very many hits are resolved in seconds, as the loops do."""
+    import time
+
+    from glyphtrace.operators import lexicon as X
+
+    draw = __import__("random").Random(4)
+    some = sorted({(s := draw.randrange(400_000), s + draw.randint(1, 12), f"p{draw.randint(0, 3)}") for _ in range(100_000)})
+    rows = spark.createDataFrame([(1, [(p, "en", "llm", "weak", "general", s, e) for s, e, p in some]), (2, [("a", "en", "llm", "weak", "general", 3, 5)]), (3, []), (4, None)], f"id int, h {X.HIT}")
+    began = time.time()
+    got = {r["id"]: r["k"] for r in X.resolved(rows, "h").select("id", F.col("lexicon_hits").alias("k")).collect()}
+    assert time.time() - began < 30 and len(got[2]) == 1 and got[3] == []
+    taken, want = bytearray(400_020), []
+    for s, e, p in sorted(some, key=lambda x: (x[0] - x[1], *x)):
+        if not any(taken[s:e]):
+            taken[s:e] = b"x" * (e - s)
+            want.append((p, s, e))
+    assert [(x["phrase"], x["start"], x["end"]) for x in got[1]] == want
 
 
 def test_fold_map(spark):
