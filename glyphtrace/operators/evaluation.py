@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,15 +117,66 @@ def straddling(rows: DataFrame, group: str) -> DataFrame:
     return rows.groupBy(group).agg(F.count_distinct("side").alias("sides")).where("sides > 1")
 
 
+#: Words of the items that are held in a task at once, and cells of a table of rows and items.
+HELD_WORDS, CELLS = 4_000_000, 2_000_000
+
+
 def contamination(machine: DataFrame, human: DataFrame) -> DataFrame:
-    """id, overlap: the largest Jaccard similarity of a row's token set with any human row's. Both: id, tokens (distinct).
+    """id, overlap: the greatest Jaccard overlap of each row of machine with any one row of human. Both: id, tokens (distinct).
 
-    An inverted index joined by token; sizes travel along, so a pair is one row after the sum.
+    The rows of machine (a benchmark) are a query set that goes to all rows of human, in blocks of at most HELD_WORDS
+    words: what is broadcast is bounded, human is read once for each block, and its words are never shuffled. A task
+    counts common words for a slice of its rows and all items of the block at once, and gives each item's greatest
+    overlap. Words are told by 64-bit hashes.
     """
-    side = lambda x, i: x.select(F.col("id").alias(i), F.size("tokens").alias(f"n_{i}"), F.explode_outer("tokens").alias("token")).where("token IS NOT NULL")
-    common = side(machine, "a").join(side(human, "b"), "token").groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("c"))
-    best = common.groupBy("a").agg(F.max(F.col("c") / (F.col("n_a") + F.col("n_b") - F.col("c"))).alias("overlap"))
-    return machine.select(F.col("id").alias("a")).join(best, "a", "left").select(F.col("a").alias("id"), F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
+    hashed = lambda x: x.select("id", F.transform("tokens", lambda t: F.xxhash64(t)).alias("tokens"))
+    items = written(hashed(machine).withColumn("id", F.col("id").cast("string")))
+    words = items.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    blocks, found = max(1, -(-words // HELD_WORDS)), None
+    for block in range(blocks):
+        some = items.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block) if blocks > 1 else items
+        index = machine.sparkSession.sparkContext.broadcast(_inverted([(r["id"], r["tokens"]) for r in some.collect()]))
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            ids, sizes, keys, offsets, postings = index.value
+            best = np.zeros(len(ids))
+            rows = max(1, CELLS // max(1, len(ids)))
+            for batch in batches:
+                column = batch.column(0)
+                ends, tokens = column.offsets.to_numpy(), column.values.to_numpy()
+                for at in range(0, len(column), rows):
+                    here = ends[at : min(at + rows, len(column)) + 1]
+                    _overlaps(best, sizes, keys, offsets, postings, np.diff(here), tokens[here[0] : here[-1]])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(best, pa.float64())], names=["id", "overlap"])
+
+        part = hashed(human).select(F.coalesce("tokens", F.array().cast("array<long>")).alias("tokens")).mapInArrow(run, "id string, overlap double")
+        part = written(part.groupBy("id").agg(F.max("overlap").alias("overlap")))
+        found = part if found is None else found.unionByName(part)
+    every = machine.select("id").distinct().select("id", F.col("id").cast("string").alias("_t"))
+    return every.join(found.withColumnRenamed("id", "_t"), "_t", "left").select("id", F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
+
+
+def _inverted(items: list[tuple[str, list[int]]]) -> tuple:
+    """ids, their sizes, and for each distinct word (sorted) the places of the items that have it."""
+    sizes = np.array([len(t or ()) for _, t in items], np.int64)
+    word = np.concatenate([np.array(t, np.int64) for _, t in items if t] or [np.zeros(0, np.int64)])
+    owner = np.repeat(np.arange(len(items)), sizes)
+    order = np.argsort(word, kind="stable")
+    keys, first = np.unique(word[order], return_index=True)
+    return [i for i, _ in items], sizes, keys, np.append(first, len(word)), owner[order]
+
+
+def _overlaps(best: np.ndarray, sizes: np.ndarray, keys: np.ndarray, offsets: np.ndarray, postings: np.ndarray, lengths: np.ndarray, tokens: np.ndarray) -> None:
+    """best, at least the greatest overlap of each item with any of the rows, whose words are `tokens`, `lengths` of them each."""
+    if not len(keys) or not len(tokens):
+        return
+    at = np.minimum(np.searchsorted(keys, tokens), len(keys) - 1)
+    held = keys[at] == tokens
+    row, at = np.repeat(np.arange(len(lengths)), lengths)[held], at[held]
+    n = offsets[at + 1] - offsets[at]
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(offsets[at], n)
+    common = np.bincount(np.repeat(row, n) * len(sizes) + postings[place], minlength=len(lengths) * len(sizes)).reshape(len(lengths), len(sizes))
+    np.maximum(best, (common / np.maximum(1, lengths[:, None] + sizes[None, :] - common)).max(axis=0), out=best)
 
 
 def standardised(rows: DataFrame, reference: Column) -> DataFrame:

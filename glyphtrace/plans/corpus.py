@@ -12,6 +12,7 @@ from ..operators import evaluation as E
 from ..operators import history as H
 from ..operators import near_duplicate as N
 from ..operators import scoring as S
+from ..operators import splits as P
 from ..sources import batch as B
 from .common import table
 from ..operators import rules as R
@@ -449,5 +450,62 @@ WITH d AS (SELECT source, md5(coalesce(text, '')) AS key, CASE WHEN s < 12 THEN
 SELECT 'key' AS kind, count(*) AS n FROM (SELECT key FROM d GROUP BY key HAVING count(DISTINCT side) > 1)
 UNION ALL SELECT 'group', count(*) FROM (SELECT source FROM d GROUP BY source HAVING count(DISTINCT side) > 1)"""
 
-QUERIES = {f.__name__: f for f in (scrubbed, scope_counts, pair_keys, combined_verdicts, author_verdicts, split_leaks, near_duplicates, author_features, author_texts, history_profiles, history_shifts, scores, detect, corpus_splits, normal_key_duplicates, contaminated, source_crosstab, feature_statistics, auc_by_language, calibration_by_language, confusion_by_bucket, fair_threshold, stratum_rates, headlines, prior_precision, fitted_scores, corpus_digest, heads, sample, intake, pseudonyms, side_audit)}
+
+
+def _split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as rows of a split: five ids in a row are a group (a writer), the normal key of the text the key; every 97th id stands in an earlier split as test."""
+    d = table(spark, sf_dir, "documents")
+    key = E.norm_key(F.coalesce("text", F.lit("")))
+    rows = d.select("doc_id", F.concat(F.lit("w"), F.floor(F.col("doc_id") / 5).cast("string")).alias("group"), F.when(key != "", F.md5(key.cast("binary"))).alias("key"), F.when(F.col("doc_id") % 97 == 0, "test").alias("recorded"), T.length_bucket(F.length("text")).alias("bucket"), F.length("text").alias("n_chars"))
+    labels = table(spark, sf_dir, "labels").where("quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("label"))
+    return rows.join(labels, "doc_id", "left")
+
+
+_SPLIT_ROWS = f"""SELECT d.doc_id, 'w' || (d.doc_id // 5) AS grp, CASE WHEN k <> '' THEN md5(k) END AS key, d.doc_id % 97 = 0 AS recorded, label
+  FROM (SELECT doc_id, {_sql_key("nfc_normalize(coalesce(text, repeat(chr(32), 0)))")} AS k FROM documents) d LEFT JOIN (SELECT doc_id, min(quality) AS label FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) l USING (doc_id)"""
+
+
+def component_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The side of every group, by components of groups and text keys."""
+    return P.leak_free_sides(_split_rows(spark, sf_dir))
+
+
+def _side_sql(x: str) -> str:
+    return f"CASE WHEN {_fnv(x)} / 4294967295 < 0.6 THEN 'fit' WHEN {_fnv(x)} / 4294967295 < 0.8 THEN 'val' ELSE 'test' END"
+
+
+COMPONENT_SIDES = rf"""
+WITH RECURSIVE d AS ({_SPLIT_ROWS}), e AS (SELECT DISTINCT grp, key FROM d WHERE key IS NOT NULL), n AS (SELECT DISTINCT a.grp AS a, b.grp AS b FROM e a JOIN e b USING (key)),
+reach(a, b) AS (SELECT DISTINCT grp, grp FROM d UNION SELECT r.a, n.b FROM reach r JOIN n ON n.a = r.b),
+c AS (SELECT a AS grp, min(b) AS component FROM reach GROUP BY a),
+f AS (SELECT key FROM d WHERE key IS NOT NULL AND label IS NOT NULL GROUP BY key HAVING count(DISTINCT label) > 1),
+s AS (SELECT component, min(key) FILTER (key IN (SELECT key FROM f)) AS forced, bool_or(recorded) AS tested FROM d JOIN c USING (grp) GROUP BY component)
+SELECT grp AS "group", component, CASE WHEN forced IS NOT NULL THEN {_side_sql("'split|collision|' || forced")} WHEN tested THEN 'test' ELSE {_side_sql("'split|' || component")} END AS side,
+  CASE WHEN forced IS NOT NULL THEN 'collision' WHEN tested THEN 'recorded' ELSE 'hash' END AS why FROM c JOIN s USING (component)"""
+
+
+def component_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys and groups that stand on two sides of component_sides: none."""
+    rows = written(_split_rows(spark, sf_dir))
+    sides = P.leak_free_sides(rows).select("group", "side")
+    return E.split_leaks(rows.join(sides, "group").where("key IS NOT NULL"), "key", "side", "group")
+
+
+COMPONENT_LEAKS = "SELECT unnest(['key', 'group']) AS kind, 0::BIGINT AS n"
+
+
+def split_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, groups and the median length of each side and length bucket."""
+    rows = written(_split_rows(spark, sf_dir))
+    met = rows.join(P.leak_free_sides(rows).select("group", "side"), "group")
+    return P.coverage(met, ["side", "bucket"], "n_chars")
+
+
+SPLIT_COVERAGE = rf"""
+WITH s AS ({COMPONENT_SIDES}), d AS (SELECT 'w' || (doc_id // 5) AS "group", length(text) AS n FROM documents)
+SELECT side, CASE WHEN n < 20 THEN '<20' WHEN n < 50 THEN '20-49' WHEN n < 150 THEN '50-149' WHEN n < 500 THEN '150-499' ELSE '500+' END AS bucket, count(*) AS rows, count(DISTINCT "group") AS groups, median(n) AS median
+FROM d JOIN s USING ("group") GROUP BY ALL"""
+
+
+QUERIES = {f.__name__: f for f in (component_sides, component_leaks, split_coverage, scrubbed, scope_counts, pair_keys, combined_verdicts, author_verdicts, split_leaks, near_duplicates, author_features, author_texts, history_profiles, history_shifts, scores, detect, corpus_splits, normal_key_duplicates, contaminated, source_crosstab, feature_statistics, auc_by_language, calibration_by_language, confusion_by_bucket, fair_threshold, stratum_rates, headlines, prior_precision, fitted_scores, corpus_digest, heads, sample, intake, pseudonyms, side_audit)}
 ORACLE_SQL = {n: globals()[n.upper()] for n in QUERIES if n.upper() in globals()}
