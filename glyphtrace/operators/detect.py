@@ -12,7 +12,7 @@ from ..functions.tables import sized, written
 from . import authors, documents, features, history, lexicon, near_duplicate, rules, scoring
 
 #: What rules, near duplicates and scores need of a document's context.
-BASE = ("raw", "folded", "markdown", "channel", "shape", "genre", "language", "domain", "cell", "n_tokens", "chars")
+BASE = ("raw", "folded", "markdown", "channel", "shape", "genre", "language", "domain", "cell", "n_tokens", "chars", "nfc", "lexicon_hits")
 
 
 def detect(
@@ -54,7 +54,8 @@ def detect(
     weights = weights if weights is not None else weights_from(long)
     contributed = written(scoring.contributions(long, weights))
     b0 = sized(weights.groupBy("cell").agg(F.first("b0").alias("b0")))
-    docs = wide.join(b0, "cell", "left").select(key, *by, "n_tokens", "chars", "shape", "genre", "language", "rules", "rule_notes", "invisible", "b0", F.lit(aggregate).alias("aggregate"))
+    wide = features.evidence(wide)
+    docs = wide.join(b0, "cell", "left").select(key, *by, "evidence_spans", "spanless", "n_tokens", "chars", "shape", "genre", "language", "rules", "rule_notes", "invisible", "b0", F.lit(aggregate).alias("aggregate"))
     scored = scoring.sums(contributed, docs, [key])
     if profiles is not None and by:
         scored = with_history(scored, contributed, docs, profiles, key)

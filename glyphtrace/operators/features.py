@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import language as L
 from ..functions import text as T
 from ..functions.segment import SUSPECT
+from .documents import MARKDOWN
 
 # Word lists and patterns of the features.
 EMOJI = r"[\x{00A9}\x{00AE}\x{203C}\x{2049}\x{2122}\x{2139}\x{2194}-\x{21AA}\x{231A}-\x{23FF}\x{24C2}\x{25AA}-\x{27BF}\x{2934}-\x{2B55}\x{3030}-\x{3299}\x{1F000}-\x{1FAFF}]"
@@ -22,6 +23,7 @@ EMOTICON = r":\)|:\(|:D|:'\(|<3|xD|:-\)|:-\(|;\)"
 BOLD_LEAD = r"^\s*[-*•\p{Nd}.)]+\s*\*\*[^*\n]{2,40}\*\*\s*[:：-]"
 BOLD_LEAD_INSIDE = r"^\s*[-*•\p{Nd}.)]+\s*\*\*[^*\n]{2,40}:\s*\*\*"
 PLAIN_LEAD = r"^\s*[-*•]\s*\p{Lu}[^:\n]{2,40}:\s+\S"
+INVISIBLE = r"[\x{200B}\x{200C}\x{2060}\x{FEFF}\x{00AD}\x{200E}\x{200F}\x{00A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"
 AFTER, BEFORE = r"(?![\p{L}\p{M}\p{Nd}_])", r"(?<![\p{L}\p{M}\p{Nd}_])"
 ENUMERATED = {"en": rf"^(?:first,|second(?:ly)?,|third(?:ly)?,|finally,|lastly,)", "tr": rf"^(?:öncelikle|[iı]lk olarak|[iı]kinci olarak|ardından|son olarak){AFTER}"}
 FUNCTION_OPENERS = {
@@ -331,23 +333,67 @@ def long_table(wide: DataFrame, key: list[str]) -> DataFrame:
 SPAN_PATTERNS = {
     "ellipsis_hand_typed": r"\.{2}(?!\.)|\.{4,}", "repeated_punct_emoticon": rf"[!?\x{{061F}}]{{2,}}|{EMOTICON}", "letter_elongation": r"(?:(\p{L})\1{2,})|\x{0640}{2,}",
     "multi_exclam": "!{2,}", "em_dash_in_chat": "—", "wa_single_asterisk": r"(?<!\*)\*[^*\n]{2,60}\*(?!\*)", "bold_lead_in_list": "(?m)" + BOLD_LEAD + "|(?m)" + BOLD_LEAD_INSIDE,
+    "emoji_repeat_run": rf"(?:{EMOJI}{EMOJI_MARKS}*){{2,}}", "emoji_bullet_led": rf"(?m)^\s*{EMOJI}{EMOJI_MARKS}*\s+\p{{Lu}}.*$", "self_correction_marker": "|".join(SELF_CORRECTIONS), "colon_led_list": "(?m)" + PLAIN_LEAD,
+    "tr_bare_capital_I": rf"{BEFORE}I(?=[a-zçğıöşü])", "tr_chat_morphology": TR_CHAT, "contraction_apostrophe_drop": rf"(?i){BEFORE}(?:{'|'.join(CONTRACTIONS)}){AFTER}",
 }
+#: Features that are matches in the folded view, by language.
+FOLDED_PATTERNS = {
+    "hedge_density": {k: f"{BEFORE}(?:{p}){AFTER}" for k, p in HEDGES.items()}, "politeness_formula": {k: f"(?:{p}){AFTER}" for k, p in POLITE.items()},
+    "balanced_contrast_frame": {k: "|".join(ps) for k, ps in BALANCED.items()}, "parallel_openers": {k: rf"{BEFORE}(?:{'|'.join(ps)}){AFTER}" for k, ps in CONNECTORS.items()},
+}
+BLANK = r"^[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]*$"
+SPAN = "struct<start:int,end:int,name:string,source:string,direction:string,text:string>"
 
 
 def evidence(wide: DataFrame, most: int = 200, longest: int = 80) -> DataFrame:
-    """wide (raw, folded, language, lexicon_hits, features) with evidence_spans (start, end, source, name, text), in order, each once, and spanless.
+    """wide (raw, nfc, folded, language, lexicon_hits, features, and rules if there) with evidence_spans, in order, each once, and spanless.
 
-    Places on the folded view are taken back to the text by fold_map(); where that has none, or the NFC form is
-    another text, the match is told as spanless. Blank spans go; at most `most` spans of `longest` characters of text.
+    Spans (start, end, name, source, direction, text) have places in UTF-16 units of the raw text, so that a slice of
+    it there is what matched. Places on the folded view are taken back by fold_map(); where that has none, or the NFC
+    form is another text, the match is told as spanless, like features and rules without a place. Blank spans go; at
+    most `most` spans, and `longest` characters of text each.
     """
-    kind = "array<struct<start:int,end:int,source:string,name:string,text:string>>"
-    span = lambda start, end, source, name: F.struct(start.alias("start"), end.alias("end"), F.lit(source).alias("source"), name.alias("name"), F.substring(F.col("raw"), start + 1, F.least(end - start, F.lit(longest))).alias("text"))
-    features = [n for n in SPAN_PATTERNS if n in wide.columns]
-    of = lambda n: F.when(F.col(n) > 0, F.transform(T.places(F.col("raw"), SPAN_PATTERNS[n]), lambda x: span(x["start"], x["end"], "signal", F.lit(n)))).otherwise(F.array().cast(kind))
-    place = F.when(F.col("nfc") == F.col("raw"), T.fold_map(F.col("nfc"), F.col("language")))
-    wide = T.barrier(wide.withColumn("_map", F.when(F.size("lexicon_hits") > 0, place)))
-    hits = F.when(F.col("_map").isNotNull(), F.transform("lexicon_hits", lambda h: span(F.get(F.col("_map"), h["start"]), F.get(F.col("_map"), h["end"] - 1) + 1, "lexicon", h["phrase"]))).otherwise(F.array().cast(kind))
-    every = F.filter(F.concat(hits.cast(kind), *(of(n).cast(kind) for n in features)), lambda x: F.trim(x["text"]) != "")
-    silent = F.array(*(F.when(F.col(n).isNotNull(), F.lit(n)) for n in FEATURES if n in wide.columns and n not in features))
-    lost = F.when(F.col("_map").isNull(), F.transform("lexicon_hits", lambda h: h["phrase"])).otherwise(F.array().cast("array<string>"))
-    return wide.withColumns({"evidence_spans": F.slice(T.sorted_distinct(every), 1, most), "spanless": F.array_sort(F.array_distinct(F.filter(F.concat(silent, lost), lambda x: x.isNotNull())))}).drop("_map")
+    kind, raw, none = f"array<{SPAN}>", F.col("raw"), F.array().cast(f"array<{SPAN}>")
+    exact = F.col("nfc") == raw
+    # the map is made for texts that have something to take back
+    needed = F.size("lexicon_hits") > 0
+    for n in (n for n in FOLDED_PATTERNS if n in wide.columns):
+        needed |= F.coalesce(F.col(n) > 0, F.lit(False))
+    wide = T.barrier(wide.withColumns({"_map": F.when(exact & needed, T.fold_map(F.col("nfc"), F.col("language"))), "_cut": T.pieces(raw)}))
+    cut, place = F.col("_cut"), F.col("_map")
+    span = lambda start, end, name, source, direction: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), name.alias("name"), F.lit(source).alias("source"), direction.alias("direction"), T.part(cut, start, F.least(end - start, F.lit(longest))).alias("text"))
+    back = lambda x: (F.get(place, x["start"]), F.get(place, x["end"] - 1) + 1)
+    told, every = [], []
+    for n in (n for n in FEATURES if n in wide.columns):
+        direction, here = F.lit(FEATURES[n].direction), F.col(n) > 0
+        if n in SPAN_PATTERNS:
+            at = F.transform(T.places(raw, SPAN_PATTERNS[n]), lambda x: span(x["start"], x["end"], F.lit(n), "signal", direction))
+        elif n in FOLDED_PATTERNS:
+            at = F.when(place.isNotNull(), F.transform(_by_lang(FOLDED_PATTERNS[n], lambda p: T.places(F.col("folded"), p)), lambda x: span(*back(x), F.lit(n), "signal", direction)))
+        else:
+            continue
+        every.append(F.coalesce(F.when(here, at.cast(kind)), none))
+        told.append(n)
+    way = lambda h: F.when(h["kind"] == "llm", "llm").otherwise("human")
+    hits = F.when(place.isNotNull(), F.transform("lexicon_hits", lambda h: span(*back(h), h["phrase"], "lexicon", way(h))))
+    every.append(F.coalesce(hits.cast(kind), none))
+    if "rules" in wide.columns:
+        # a frame's words are in the text; markdown and odd characters are found again
+        at = lambda r: F.when(r["name"] == "assistant_frame_leak", F.call_function("locate", r["matched"], raw) - 1)
+        framed = F.filter("rules", lambda r: at(r) >= 0)
+        every.append(F.transform(framed, lambda r: span(at(r), at(r) + F.length(r["matched"]), r["name"], "rule", r["direction"])).cast(kind))
+        for name, pattern, few in (("markdown_in_chat", "|".join(f"(?:{p})" for p in MARKDOWN.values()), 4), ("invisible_chars", INVISIBLE, 5)):
+            held = F.exists("rules", lambda r: r["name"] == name)
+            found = F.transform(F.slice(T.places(raw, pattern), 1, few), lambda x: span(x["start"], x["end"], F.lit(name), "rule", F.lit("llm")))
+            every.append(F.coalesce(F.when(held, found.cast(kind)), none))
+    wide = T.barrier(wide.withColumn("_spans", F.filter(F.concat(*every), lambda x: x["start"].isNotNull() & ~x["text"].rlike(BLANK))))
+    wide = T.barrier(wide.withColumn("_spans", F.slice(T.sorted_distinct(F.col("_spans")), 1, most)))
+    silent = [F.when(F.col(n).isNotNull() & ~F.exists("_spans", lambda x: x["name"] == n), F.lit(n)) for n in FEATURES if n in wide.columns]
+    lost = F.transform("lexicon_hits", lambda h: F.when(~F.exists("_spans", lambda x: x["name"] == h["phrase"]), h["phrase"]))
+    bare = F.transform("rules", lambda r: F.when(~F.exists("_spans", lambda x: x["name"] == r["name"]), r["name"])) if "rules" in wide.columns else F.array().cast("array<string>")
+    # characters past the basic plane are two units
+    astral = raw.rlike(r"[\x{10000}-\x{10FFFF}]")
+    unit = lambda at: at + F.regexp_count(F.substring(raw, F.lit(1), at), F.lit(r"[\x{10000}-\x{10FFFF}]"))
+    units = F.transform("_spans", lambda x: x.withField("start", unit(x["start"])).withField("end", unit(x["end"])))
+    wide = wide.withColumns({"evidence_spans": F.when(astral, units).otherwise(F.col("_spans")), "spanless": F.array_sort(F.array_distinct(F.filter(F.concat(F.array(*silent), lost, bare), lambda x: x.isNotNull())))})
+    return wide.drop("_map", "_cut", "_spans")

@@ -145,7 +145,7 @@ def detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     c = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("role").alias("author"), "text")
     out = run(c, "id", weights_from=_rule_weights, index=c, phrases=lexicon_by_rule(spark, sf_dir), markers=R.check_markers(MARKERS, spark))
-    return out.select("id", "shape", "language", F.round("score", 6).alias("score"), "verdict", "label", F.array_join("warnings", ",").alias("warnings"), F.size("rules").alias("n_rules"))
+    return out.select("id", "shape", "language", F.round("score", 6).alias("score"), "verdict", "label", F.array_join("warnings", ",").alias("warnings"), F.size("rules").alias("n_rules"), F.size("evidence_spans").alias("n_spans"))
 
 
 def _rule_weights(rows: DataFrame) -> DataFrame:

@@ -63,3 +63,28 @@ def test_phrases_of_people(spark):
     names = ("human_lexicon", "llm_lexicon_strong", "llm_lexicon_weak")
     got = {r["id"]: tuple(r[n] for n in names) for r in features.with_features(lexicon.with_hits(documents.context(rows, CHAT), lex, "id"), names).collect()}
     assert got == {1: (8.0, 1.0, None), 2: (None, None, 50.0), 3: (None, None, None)}
+
+
+def test_evidence_in_units_of_the_raw_text(spark):
+    """Spans of rules, features and the folded view; characters past the basic plane, decomposed texts, marks without a place."""
+    from glyphtrace.operators import rules
+
+    texts = ["😀😀 As an AI language model, I cannot. I’m not sure, it may be so!!", "caf\u0065\u0301 it may be so!!", "# Head\na\u200bb **bold words**", "İt may well be"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    ctx = lexicon.without_hits(documents.context(rows, CHAT))
+    names = ("multi_exclam", "emoji_repeat_run", "repeated_punct_emoticon", "all_lowercase")
+    wide = features.with_features(ctx, names).selectExpr("*", "cast(1 as double) AS hedge_density")
+    got = {r["id"]: r for r in features.evidence(rules.with_rules(wide, "id")).collect()}
+
+    def slices(n):
+        units = texts[n].encode("utf-16-le")
+        spans = got[n]["evidence_spans"]
+        assert all(units[2 * s["start"] : 2 * s["end"]].decode("utf-16-le")[:80] == s["text"] for s in spans)
+        return [(s["name"], s["text"], s["source"], s["direction"]) for s in spans]
+
+    assert slices(0) == [
+        ("emoji_repeat_run", "😀😀", "signal", "human"), ("assistant_frame_leak", got[0]["rules"][0]["matched"], "rule", "llm"), ("hedge_density", "may", "signal", "llm"),
+        ("multi_exclam", "!!", "signal", "human"), ("repeated_punct_emoticon", "!!", "signal", "human"),
+    ]
+    assert [s[0] for s in slices(1)] == ["multi_exclam", "repeated_punct_emoticon"] and "hedge_density" in got[1]["spanless"]
+    assert [s[:2] for s in slices(2)] == [("markdown_in_chat", "# H"), ("invisible_chars", "\u200b"), ("markdown_in_chat", "**bold words**")] and slices(3) == [("hedge_density", "may", "signal", "llm")]
