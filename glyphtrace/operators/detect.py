@@ -12,7 +12,7 @@ from ..functions.tables import sized, written
 from . import authors, documents, features, history, lexicon, near_duplicate, rules, scoring
 
 #: What rules, near duplicates and scores need of a document's context.
-BASE = ("raw", "folded", "markdown", "channel", "shape", "genre", "language", "domain", "cell", "n_tokens", "chars", "nfc", "lexicon_hits")
+BASE = ("raw", "folded", "markdown", "channel", "shape", "genre", "language", "domain", "cell", "n_tokens", "chars", "nfc", "lexicon_hits", "segmentation_suspect")
 
 
 def detect(
@@ -55,11 +55,12 @@ def detect(
     contributed = written(scoring.contributions(long, weights))
     b0 = sized(weights.groupBy("cell").agg(F.first("b0").alias("b0")))
     wide = features.evidence(wide)
-    docs = wide.join(b0, "cell", "left").select(key, *by, "evidence_spans", "spanless", "n_tokens", "chars", "shape", "genre", "language", "rules", "rule_notes", "invisible", "b0", F.lit(aggregate).alias("aggregate"))
+    docs = wide.join(b0, "cell", "left").select(key, *by, "evidence_spans", "spanless", "segmentation_suspect", "n_tokens", "chars", "shape", "genre", "language", "rules", "rule_notes", "invisible", "b0", F.lit(aggregate).alias("aggregate"))
     scored = scoring.sums(contributed, docs, [key])
     if profiles is not None and by:
         scored = with_history(scored, contributed, docs, profiles, key)
-    return scoring.verdicts(rules.with_signal_count(scored), provenance, expires_at, now)
+    judged = scoring.verdicts(rules.with_signal_count(scored), provenance, expires_at, now)
+    return judged.withColumn("warnings", F.when(F.col("segmentation_suspect"), F.array_append("warnings", F.lit("segmentation_suspect"))).otherwise(F.col("warnings"))).drop("segmentation_suspect")
 
 
 def with_history(scored: DataFrame, contributed: DataFrame, docs: DataFrame, profiles: DataFrame, key: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import language as L
 from ..functions import text as T
-from ..functions.segment import segmented
+from ..functions.segment import SUSPECT, segmented
 
 # The closed sets of the options.
 OPTIONS = {
@@ -87,6 +87,7 @@ def context(df: DataFrame, options: dict[str, str] | None = None, text: str = "t
     df = df.withColumn("genre", genre_of(F.col("_genre"), F.col("shape"), F.col("_channel")))
     df = T.barrier(df).withColumn("segmented", segmented(F.col("nfc"), F.col("shape")))
     df = df.withColumns({"sentences": F.col("segmented.text"), "sentence_words": F.col("segmented.words"), "listed": F.col("segmented.listed")})
+    df = df.withColumn("segmentation_suspect", F.coalesce(F.array_max("sentence_words") > SUSPECT, F.lit(False)))
     return T.barrier(df.withColumn("cell", cell_of(F.col("language"), F.col("shape"))).drop("_shape", "_channel", "_genre", "_domain"))
 
 

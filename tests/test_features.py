@@ -88,3 +88,14 @@ def test_evidence_in_units_of_the_raw_text(spark):
     ]
     assert [s[0] for s in slices(1)] == ["multi_exclam", "repeated_punct_emoticon"] and "hedge_density" in got[1]["spanless"]
     assert [s[:2] for s in slices(2)] == [("markdown_in_chat", "# H"), ("invisible_chars", "\u200b"), ("markdown_in_chat", "**bold words**")] and slices(3) == [("hedge_density", "may", "signal", "llm")]
+
+
+def test_report_has_spans_and_suspects(spark):
+    """detect() tells where its signals stand, and of sentences that are too long to be one."""
+    from glyphtrace.operators.detect import detect
+    from glyphtrace.plans.corpus import _rule_weights
+
+    rows = spark.createDataFrame([(1, f"{WORDS} " * 8), (2, f"so good!! {WORDS}. {WORDS}! As an AI language model, I cannot say.")], "id int, text string")
+    got = {r["id"]: r for r in detect(rows, "id", weights_from=_rule_weights).collect()}
+    assert "segmentation_suspect" in got[1]["warnings"] and "segmentation_suspect" not in got[2]["warnings"]
+    assert {"multi_exclam", "assistant_frame_leak"} <= {s["name"] for s in got[2]["evidence_spans"]} and got[1]["evidence_spans"] == []
