@@ -199,7 +199,8 @@ MARKED = "SELECT * FROM (SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentences of documents as prose, a row for each."""
     d = table(spark, sf_dir, "documents").select("doc_id", G.segmented(T.nfc(F.coalesce("text", F.lit(""))), F.lit("prose")).alias("s"))
-    return d.select("doc_id", F.posexplode("s").alias("number", "s")).select("doc_id", "number", F.md5(F.col("s.text").cast("binary")).alias("text_md5"), "s.words", "s.listed", "s.terminator", "s.run")
+    # without the barrier a filter on empty arrays segments every text again
+    return T.barrier(d).select("doc_id", F.posexplode("s").alias("number", "s")).select("doc_id", "number", F.md5(F.col("s.text").cast("binary")).alias("text_md5"), "s.words", "s.listed", "s.terminator", "s.run")
 
 
 def chat_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
