@@ -59,3 +59,25 @@ def test_single_words_are_not_compared_again(spark):
 
 def test_scores_read_texts_once(spark):
     assert "documents.parquet" not in plan(corpus.scores(spark, f"{DATA}/sf0.001"))
+
+
+def test_long_lexicons_meet_texts_by_their_first_words(spark):
+    from glyphtrace.functions import tables
+
+    fields = "phrase string, lang string, kind string, tag string, domain string, flag string"
+    phrases = [*(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(70)), "one two three four", "one two", "one-two's three", "one  two", "one … ree", "one tw… four", "four"]
+    rows = spark.createDataFrame([(p, "en", "llm", "strong", "general", "initial" if p == "four" else "-") for p in phrases], fields)
+    texts = ["one two three four. one two three fourth", "one-two's three one  two three", "one twos, four. four four", "one a three", "x wab wabc", "", "one two one two"]
+    df = T.barrier(spark.createDataFrame(enumerate(texts), "id long, folded string"))
+    seen, old = [], tables.written
+    X.written = lambda d: (seen.append(d.select(F.explode("_some")).count()), old(d))[1]
+    try:
+        got = sorted(tuple(r) for r in X.candidates(df, rows, "id").select("id", "phrase", "start", "end").collect())
+    finally:
+        X.written = old
+    assert got == [
+        (0, "one two", 0, 7), (0, "one two", 20, 27), (0, "one two three four", 0, 18), (0, "one … ree", 0, 13), (0, "one … ree", 20, 33), (1, "one  two", 16, 24), (1, "one … ree", 0, 15), (1, "one … ree", 16, 30), (1, "one-two's three", 0, 15),
+        (2, "four", 16, 20), (3, "one … ree", 0, 11), (4, "wab", 2, 5), (6, "one two", 1, 8), (6, "one two", 10, 17),
+    ]
+    # 36 candidates met by two words
+    assert seen[0] <= 29, seen
