@@ -81,3 +81,25 @@ def test_long_lexicons_meet_texts_by_their_first_words(spark):
     ]
     # 36 candidates met by two words
     assert seen[0] <= 29, seen
+
+
+def test_normal_keys_pass_what_they_do_not_change(spark):
+    import unicodedata
+
+    from glyphtrace.operators import evaluation as E
+
+    for c in map(chr, range(0x180)):
+        kept = unicodedata.normalize("NFKC", c) == c and not unicodedata.combining(c)
+        assert kept or re.match(T.NOT_NFKC.replace("x{0", "u0").replace("-\\x{10FFFF}", "-\U0010ffff").replace("}", ""), c), hex(ord(c))
+    draw = random.Random(9)
+    some = ["I", "İ", "ı", "i", "i̇", "ç", "â", "É", "ß", "Σ", "ς", "ﬁ", "½", "أ", "ـ", "ً", "ى", "☀", "😀", "️", "-", " ", "A", "9", "٣", "́"]
+    texts = [chr(i) for i in [*range(1, 0xD800), *range(0xE000, 0x20000)]] + ["".join(draw.choice(some) for _ in range(draw.randrange(9))) for _ in range(2_000)]
+    t = F.translate(F.regexp_replace("t", T.TASHKEEL, ""), E.ARABIC_FROM + T.TATWEEL, E.ARABIC_TO)
+    t = F.regexp_replace(t, r"[\x{2600}-\x{27BF}\x{1F000}-\x{1FAFF}\x{FE0F}]", "")
+    old = F.trim(F.regexp_replace(F.lower(F.translate(T.case_fold(t, F.lit("tr")), E.TURKISH_FROM, E.TURKISH_TO)), r"[^\p{L}\p{Nd}]+", " "))
+    rows = spark.createDataFrame([(unicodedata.normalize("NFKC", x),) for x in texts], "t string")
+    assert rows.where(E.plain_key(F.col("t")) != old).count() == 0
+    raw = spark.createDataFrame([(x, unicodedata.normalize("NFKC", x)) for x in texts], "t string, n string")
+    assert raw.where(T.nfkc(F.col("t")) != F.col("n")).count() == 0
+    # a text of Latin letters with marks went through Python before
+    assert spark.createDataFrame([("Çok güzel é",)], "t string").where(F.col("t").rlike(T.NOT_NFKC)).count() == 0
