@@ -36,16 +36,22 @@ def detect(
     instead. index: key, author, text of a corpus in which near duplicates are looked up. phrases: a compiled lexicon.
     profiles: history.profiles() of the rows' authors.
     """
-    ctx = documents.context(rows, (options or {}) | ({"shape": "prose"} if aggregate else {}))
-    ctx = lexicon.without_hits(ctx) if phrases is None else lexicon.with_hits(ctx, phrases, key)
+    given = (options or {}) | ({"shape": "prose"} if aggregate else {})
+    ctx = documents.context(rows, given)
     by = ["author"] if "author" in ctx.columns and key != "author" else []
+    ctx = lexicon.without_hits(ctx) if phrases is None else lexicon.with_hits(ctx, phrases, key)
     # what the texts are read for is written once; rules, near duplicates and scores take it from there
     base = written(features.with_features(ctx).select(key, *by, *BASE, *features.FEATURES))
     found = None
     if index is not None:
         probe = near_duplicate.shingled(base, key, "author" if by else None)
-        views = documents.context(index).select(*(c for c in (key, "author") if c in index.columns), "folded")
-        found = near_duplicate.nearest(probe, near_duplicate.shingled(views, key, "author" if "author" in index.columns else None), key)
+        # rows that are looked up among themselves have their views already, unless an option gave their language
+        if index is rows and not {"lang", "preset"} & given.keys() and bool(by) == ("author" in index.columns):
+            build = probe
+        else:
+            views = written(documents.context(index).select(*(c for c in (key, "author") if c in index.columns), "folded"))
+            build = near_duplicate.shingled(views, key, "author" if "author" in index.columns else None)
+        found = near_duplicate.nearest(probe, build, key)
     wide = rules.with_rules(base, key, found, markers)
     long = features.long_table(base, [key, *by, "cell", "language", "domain"])
     if aggregate:

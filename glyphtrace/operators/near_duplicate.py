@@ -23,8 +23,9 @@ def shingled(ctx: DataFrame, key: str, author: str | None = None, n: int = SHING
     words = T.words(F.col("folded"))
     rows = ctx.select(key, (F.col(author) if author else F.lit(None)).cast("string").alias("author"), words.alias("w"))
     rows = T.barrier(rows).select(key, "author", F.size("w").alias("n_tokens"), T.shingles(F.col("w"), n).alias("s"))
-    # the words decide which rows have shingles; a filter on the shingles would be computed below, again for each of them
-    return T.barrier(rows.where(F.col("n_tokens") >= n)).select(key, "author", "n_tokens", F.array_sort(F.array_distinct(F.transform("s", lambda x: F.xxhash64(x)))).alias("shingles"))
+    # the words decide which rows have shingles; a filter on them would move below to where the text is made, and make it again
+    some = T.barrier(rows.select(key, "author", "n_tokens", F.explode_outer(F.array(F.when(F.col("n_tokens") >= n, F.col("s")))).alias("s")).where("s IS NOT NULL"))
+    return some.select(key, "author", "n_tokens", F.array_sort(F.array_distinct(F.transform("s", lambda x: F.xxhash64(x)))).alias("shingles"))
 
 
 def _postings(sets: DataFrame) -> DataFrame:

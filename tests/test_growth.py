@@ -77,3 +77,50 @@ def test_sets_meet_in_one_exchange(spark):
     assert sorted(tuple(r) for r in N.nearest(s.where("id IN (1, 4, 6)"), other, "id").select("id", "matched_id").collect()) == [(1, 2), (6, 2)]
     one = spark.createDataFrame([(0, "a", True, True, [1, 2, 3, 4, 5]), (1, "b", True, False, [1, 2, 3, 4, 5, 6]), (2, "c", False, True, [1, 2, 3, 4, 5, 7])], "sid long, set_id string, asks boolean, answers boolean, shingles array<long>")
     assert sorted((r["a"], r["b"]) for r in N.similar_sets(one).collect()) == [("a", "c"), ("b", "a")]
+
+
+def test_rows_are_looked_up_among_themselves_once(spark):
+    """detect() with its own rows as index makes their context once; another table's views are written before shingles ask for them."""
+    from unittest.mock import patch
+
+    from glyphtrace.operators import detect as DT
+    from glyphtrace.plans.corpus import _rule_weights
+
+    words = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(60)]
+    rows = spark.createDataFrame([(1, "x", " ".join(words)), (2, "y", " ".join(words)), (3, "x", "short"), (4, "z", None)], "id int, author string, text string")
+    with patch.object(DT.documents, "context", wraps=DT.documents.context) as made:
+        one = DT.detect(rows, "id", weights_from=_rule_weights, index=rows)
+        assert made.call_count == 1
+        two = DT.detect(rows, "id", weights_from=_rule_weights, index=rows.select("*"))
+        assert made.call_count == 3
+    found = lambda df: sorted((r["id"], r["verdict"], str(r["rules"])) for r in df.collect())
+    assert found(one) == found(two) and sum("near_duplicate" in x[2] for x in found(one)) == 2
+
+
+def test_shingles_dont_make_words_again(spark):
+    """Which rows have shingles isn't asked below the words, where the whole context would be made again."""
+    from glyphtrace.operators import near_duplicate as N
+
+    s = N.shingled(D.context(spark.createDataFrame([(1, "a b c d e f"), (2, "a b")], "id int, text string")), "id")
+    assert not any("Filter" in x and "regexp_extract_all" in x for x in plan(s).splitlines())
+    assert [(r["id"], r["n_tokens"], len(r["shingles"])) for r in s.collect()] == [(1, 6, 2)]
+
+
+def test_frames_are_asked_for_once(spark):
+    """The pattern of all frames matches where one does, whatever stands around."""
+    from glyphtrace.operators import rules as R
+
+    en, tr = tuple(p for p, _ in R.EN_FRAMES), R.TR_FRAMES
+    said = """as a language model|i'm just an llm|being a large language model|since i am an ai language model|as an ai|im an ai|i am only an ai|my training data|my knowledge cutoff|i do not have access to real-time|dont have realtime|cannot have real time
+    |am unable to browse the web|can't have access to internet|i cannot browse|here's your revised version|here is a polished draft|i have rewritten it|i was trained on data|as of my last update|being an ai model|as an artificial intelligence|as a machine learning model
+    |my replies are generated|i don't have personal opinions|i do not have feelings|i have no way to access|i'm not able to browse the web|i was built by openai|i am an automated system
+    |bir yapay zeka dil modeliyim|bir yapay zeka modeliyim|yapay zekâ asistanı olarak|eğitim verilerim|bilgi kesim tarihi|gerçek zamanlı erişim yok|bir yapay zeka olarak|ben bir yapay zekayım|kişisel deneyimim yok|yanıtlarım otomatik olarak üretildi|gerçek zamanlı verilere erişimim yok|duygularım veya tercihlerim yok"""
+    said = [x.strip() for x in said.split("|")]
+    texts = [f"{a}{x}{b}" for x in said for a in ("", "x", "x ", "é", ".") for b in ("", "y", " y")] + ["nothing here", "abc deg hik"]
+    df = T.barrier(spark.createDataFrame([(x,) for x in texts], "t string"))
+    for some in (en, tr):
+        assert all(p.startswith(R._B) for p in some)
+        rows = df.select("t", F.col("t").rlike(R._any(some)).alias("one"), F.col("t").rlike(R._spaced("|".join(some))).alias("each")).collect()
+        assert all(r["one"] == r["each"] for r in rows)
+    hit = df.select(*(F.max(F.col("t").rlike(R._spaced(p)).cast("int")) for p in en + tr)).first()
+    assert all(hit)  # an example for every frame
