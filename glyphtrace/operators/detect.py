@@ -8,11 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions.tables import sized, written
 from . import authors, documents, features, history, lexicon, near_duplicate, rules, scoring
 
 #: What rules, near duplicates and scores need of a document's context.
 BASE = ("raw", "folded", "markdown", "channel", "shape", "genre", "language", "domain", "cell", "n_tokens", "chars", "nfc", "lexicon_hits", "segmentation_suspect")
+#: Authors' texts are dealt over one partition for so many characters, at most so many partitions.
+PART_CHARS, MOST_PARTS = 1_000_000, 10_000
 
 
 def detect(
@@ -39,7 +42,13 @@ def detect(
     given = (options or {}) | ({"shape": "prose"} if aggregate else {})
     ctx = documents.context(rows, given)
     by = ["author"] if "author" in ctx.columns and key != "author" else []
-    ctx = lexicon.without_hits(ctx) if phrases is None else lexicon.with_hits(ctx, phrases, key)
+    hits = lexicon.without_hits if phrases is None else lambda views: lexicon.with_hits(views, phrases, key)
+    # the texts of authors are long: each step is written with what the next ones need, so that few copies of a row are held at once
+    cut = written if aggregate else T.barrier
+    if aggregate:
+        ctx = documents.parts(written(hits(written(ctx.select(key, *by, *documents.VIEWS)))))
+    else:
+        ctx = hits(ctx)
     # what the texts are read for is written once; rules, near duplicates and scores take it from there
     base = written(features.with_features(ctx).select(key, *by, *BASE, *features.FEATURES))
     found = None
@@ -52,7 +61,7 @@ def detect(
             views = written(documents.context(index).select(*(c for c in (key, "author") if c in index.columns), "folded"))
             build = near_duplicate.shingled(views, key, "author" if "author" in index.columns else None)
         found = near_duplicate.nearest(probe, build, key)
-    wide = rules.with_rules(base, key, found, markers)
+    wide = cut(rules.with_rules(base, key, found, markers))
     long = features.long_table(base, [key, *by, "cell", "language", "domain"])
     if aggregate:
         long = long.where(~F.col("feature").isin(*scoring.AGGREGATE_DISABLED))
@@ -93,8 +102,10 @@ def detect_authors(messages: DataFrame, **options) -> DataFrame:  # noqa: ANN003
 
     Authors under the floor have the verdict insufficient_text and the gate aggregate_floor.
     """
-    per = authors.author_features(messages)
-    rows = authors.joined(messages).join(per, "author")
-    scored = detect(rows.where("passes_floor"), "author", aggregate=True, **options)
-    refused = rows.where(~F.col("passes_floor")).select("author", F.lit("aggregate_floor").alias("gate"), F.lit("insufficient_text").alias("verdict"))
+    per = written(authors.author_features(messages))
+    chars = messages.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    # a task, and a file that it writes, has few long texts
+    rows = authors.joined(messages).join(per, "author").where("passes_floor").repartition(min(MOST_PARTS, 1 + chars // PART_CHARS), "author")
+    scored = detect(rows, "author", aggregate=True, **options)
+    refused = per.where(~F.col("passes_floor")).select("author", F.lit("aggregate_floor").alias("gate"), F.lit("insufficient_text").alias("verdict"))
     return scored.unionByName(refused, allowMissingColumns=True)

@@ -106,6 +106,26 @@ def test_shingles_dont_make_words_again(spark):
     assert [(r["id"], r["n_tokens"], len(r["shingles"])) for r in s.collect()] == [(1, 6, 2)]
 
 
+def test_authors_texts_go_in_steps(spark):
+    """An author's long row is written between the steps that each hold copies of it; arrays made from written views are the context's."""
+    from unittest.mock import patch
+
+    from glyphtrace.operators import detect as DT
+    from glyphtrace.plans.corpus import _rule_weights
+
+    draw = random.Random(3)
+    words = "the market was good and very far away, so we went home!! İstanbul'da Σας was it? As an AI language model.\n\n- **Bold words**: more... overall may".split(" ")
+    messages = spark.createDataFrame([(a, i, " ".join(draw.choices(words, k=draw.randrange(60)))) for a in ("ann", "bob") for i in range(30)] + [("cy", 1, None)], "author string, message long, text string")
+    context = D.context(DT.authors.joined(messages), {"shape": "prose"})
+    arrays = ("tokens", "lower", "lines", "lines_with_words", "paragraphs", "sentences", "sentence_words", "listed", "segmentation_suspect")
+    parts = D.parts(DT.written(context.select("author", *D.VIEWS)))
+    assert sorted(map(str, parts.select("author", *arrays).collect())) == sorted(map(str, context.select("author", *arrays).collect()))
+    with patch.object(DT, "written", wraps=DT.written) as steps:
+        DT.detect_authors(messages, weights_from=_rule_weights)
+    held = [set(c.args[0].columns) for c in steps.call_args_list]
+    assert sum("folded" in x for x in held) == 4 and not any({"raw", "tokens"} <= x for x in held)  # one before
+
+
 def test_frames_are_asked_for_once(spark):
     """The pattern of all frames matches where one does, whatever stands around."""
     from glyphtrace.operators import rules as R
